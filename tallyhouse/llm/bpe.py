@@ -19,6 +19,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -36,6 +37,7 @@ STATES, SYMBOLS = 8, 9
 BLOCK = 256
 #: Slices kept in a worker's cache; it is emptied when full, which costs time and changes no result.
 CACHE_SLICES = 300_000
+NEVER = 1 << 40
 
 
 @cache
@@ -137,55 +139,44 @@ class Merges:
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-        return np.where(self.key[at] == key, self.rank[at], 1 << 40)
-
-    def __call__(self, slices: list[bytes]) -> list[list[int]]:
-        out: list = [None] * len(slices)
-        todo = []
-        for i, s in enumerate(slices):
-            if (r := self.ranks.get(s)) is not None:
-                out[i] = [r]
-            else:
-                todo.append(i)
-        if not todo:
-            return out
-        lens = np.array([len(slices[i]) for i in todo])
-        ids = self.byte[np.frombuffer(b"".join(slices[i] for i in todo), np.uint8)]
-        owner = np.repeat(np.arange(len(todo)), lens)
-        rank = np.full(len(ids), 1 << 40)
-        same = owner[1:] == owner[:-1]
-        rank[:-1] = np.where(same, self.pairs(ids[:-1], ids[1:]), 1 << 40)
-        while True:
-            bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-            least = np.minimum.reduceat(rank, bounds)
-            live = least < 1 << 40
-            if not live.any():
-                break
-            done = np.repeat(~live, np.diff(np.r_[bounds, len(ids)]))
-            if done.any():
-                self._give(out, todo, ids[done], owner[done])
-                ids, owner, rank = ids[~done], owner[~done], rank[~done]
+        return np.where(self.key[at] == key, self.rank[at], NEVER)
+
+    def __call__(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices end to end, number of ids of each)."""
+        whole = np.fromiter(map(self.ranks.get, slices, repeat(-1)), np.int64, len(slices))
+        todo = np.flatnonzero(whole < 0)
+        done_ids, done_owner = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        if len(todo):
+            texts = [slices[i] for i in todo.tolist()]
+            ids = self.byte[np.frombuffer(b"".join(texts), np.uint8)]
+            owner = np.repeat(todo, np.fromiter(map(len, texts), np.int64, len(texts)))
+            rank = np.full(len(ids), NEVER)
+            rank[:-1] = np.where(owner[1:] == owner[:-1], self.pairs(ids[:-1], ids[1:]), NEVER)
+            while len(ids):
                 bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-                least = least[live]
-            hit = rank == np.repeat(least, np.diff(np.r_[bounds, len(ids)]))
-            at = np.flatnonzero(hit)
-            at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]]  # the leftmost of each slice
-            ids[at] = rank[at]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            place = np.cumsum(keep) - 1
-            ids, owner, rank, at = ids[keep], owner[keep], rank[keep], place[at]
-            for x in (at, at[at > 0] - 1):
-                y = np.minimum(x + 1, len(ids) - 1)
-                rank[x] = np.where((x + 1 < len(ids)) & (owner[x] == owner[y]), self.pairs(ids[x], ids[y]), 1 << 40)
-        self._give(out, todo, ids, owner)
-        return out
-
-    @staticmethod
-    def _give(out: list, todo: list[int], ids: np.ndarray, owner: np.ndarray) -> None:
-        bounds = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        for o, part in zip(owner[bounds].tolist(), np.split(ids, bounds[1:]), strict=True):
-            out[todo[o]] = part.tolist()
+                size = np.diff(np.r_[bounds, len(ids)])
+                least = np.minimum.reduceat(rank, bounds)
+                live = least < NEVER
+                if not live.all():  # slices without a further merge leave the table
+                    keep = np.repeat(live, size)
+                    done_ids.append(ids[~keep])
+                    done_owner.append(owner[~keep])
+                    ids, owner, rank = ids[keep], owner[keep], rank[keep]
+                    size, least = size[live], least[live]
+                    if not len(ids):
+                        break
+                at = np.flatnonzero(rank == np.repeat(least, size))
+                at = at[np.r_[True, owner[at][1:] != owner[at][:-1]]]  # the leftmost of each slice
+                ids[at] = rank[at]
+                keep = np.ones(len(ids), bool)
+                keep[at + 1] = False
+                place = np.cumsum(keep) - 1
+                ids, owner, rank, at = ids[keep], owner[keep], rank[keep], place[at]
+                for x in (at, at[at > 0] - 1):
+                    y = np.minimum(x + 1, len(ids) - 1)
+                    rank[x] = np.where((x + 1 < len(ids)) & (owner[x] == owner[y]), self.pairs(ids[x], ids[y]), NEVER)
+        ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
+        return ids[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(slices))
 
 
 class SliceCoder:
@@ -197,20 +188,28 @@ class SliceCoder:
 
     def clear(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.first, self.count, self.n = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
+        self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)
+
+    def make_room(self) -> None:
+        """Forgets the slices that were met in one step only."""
+        keep = np.flatnonzero(self.again)
+        if len(keep) > CACHE_SLICES // 2:
+            return self.clear()
+        hashes = np.fromiter(self.known, np.uint64, len(self.known))[keep]  # a dict keeps the order of the slots
+        count = self.count[keep]
+        total = np.cumsum(count) - count
+        self.flat = self.flat[np.repeat(self.first[keep] - total, count) + np.arange(count.sum())]
+        self.first, self.count, self.again = total, count, np.zeros(len(keep), bool)
+        self.known = dict(zip(hashes.tolist(), range(len(keep)), strict=True))
 
     def add(self, hashes: list[int], slices: list[str]) -> None:
-        for h, ids in zip(hashes, self.encode_slices(slices), strict=True):
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            if self.n == len(self.first):
-                self.first, self.count = np.resize(self.first, 2 * self.n), np.resize(self.count, 2 * self.n)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[self.n], self.count[self.n] = self.used, len(ids)
-            self.used += len(ids)
-            self.known[h] = self.n
-            self.n += 1
+        ids, count = self.encode_slices(slices)
+        self.known.update(zip(hashes, range(len(self.count), len(self.count) + len(count)), strict=True))
+        self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
+        self.count = np.r_[self.count, count]
+        self.flat = np.r_[self.flat, ids.astype(np.int32)]
+        self.again = np.r_[self.again, np.zeros(len(count), bool)]
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, index of each text's first id and one more, code point in the step at which each id's slice starts)."""
@@ -229,16 +228,17 @@ class SliceCoder:
         hashes = slice_hashes(mixed(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts, ends)
         codes, unique = pd.factorize(hashes)
         if len(self.known) > CACHE_SLICES:
-            self.clear()
+            self.make_room()
         listed = unique.tolist()
-        where = np.fromiter((self.known.get(h, -1) for h in listed), np.int64, len(listed))
+        where = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
         new = np.flatnonzero(where < 0)
+        self.again[where[where >= 0]] = True
         if len(new):
             example = np.zeros(len(listed), np.int64)
             example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             spans = example[new]
             self.add([listed[i] for i in new.tolist()], [text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
-            where[new] = np.arange(self.n - len(new), self.n)
+            where[new] = np.arange(len(self.count) - len(new), len(self.count))
         slot = where[codes]
         count = self.count[slot]
         total = np.zeros(len(count) + 1, np.int64)

@@ -17,6 +17,7 @@ long texts are encoded whole; other columns are ignored.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from functools import cache
@@ -32,6 +33,9 @@ from .common import mixed, saved, shared_dir, shuffle_parts, text_steps
 MAGIC = b"TALLYID1"
 GAMMA = 2.0
 LEVELS = 64
+#: White space within a slice, and white space that a slice may begin with beside a space.
+_WHITE = re.compile(r"[\s\x85\u200b]")
+_WHITE_FIRST = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200C))))
 NULL_KEY = -(1 << 63)
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long"
 
@@ -43,7 +47,30 @@ def coder(path: str) -> SliceCoder:
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    return SliceCoder(lambda slices: [e.ids for e in t.encode_batch_fast(slices, add_special_tokens=False)])
+    newline = t.encode("\n", add_special_tokens=False).ids
+
+    def encode(slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Slices that hold no white space but a leading space go in one text, a line each; the others one by one."""
+        plain = len(newline) == 1 and not any(_WHITE.search(s, 1) or s[0] in _WHITE_FIRST for s in slices)
+        if not plain:
+            odd = [k for k, s in enumerate(slices) if len(newline) != 1 or _WHITE.search(s, 1) or s[0] in _WHITE_FIRST or s == " "]
+            rest = sorted(set(range(len(slices))) - set(odd))
+            ids, count = encode([slices[k] for k in rest]) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            parts: list = [None] * len(slices)
+            for k, part in zip(rest, np.split(ids, np.cumsum(count)[:-1]) if rest else [], strict=True):
+                parts[k] = part
+            for k in odd:
+                parts[k] = np.array(t.encode(slices[k], add_special_tokens=False).ids, np.int64)
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
+        text = "\n".join([*slices, ""])
+        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(ids == newline[0])
+        if len(ends) != len(slices):
+            raise ValueError(f"{len(slices)} slices gave {len(ends)} lines")
+        count = np.diff(np.r_[-1, ends]) - 1
+        return ids[ids != newline[0]], count
+
+    return SliceCoder(encode)
 
 
 @cache
