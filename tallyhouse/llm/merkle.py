@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import byte_values, shuffle_parts, slice_hashes, word_slices
 
 #: Mean words in a leaf and mean paragraphs in a section (powers of two), and the most words in a leaf.
-LEAF_WORDS, SECTION_PARAGRAPHS, MOST_WORDS = 4, 8, 16
+LEAF_WORDS, SECTION_PARAGRAPHS, MOST_WORDS = 2, 8, 8
 STEP_CHARS = 1 << 19
 _VALUES = byte_values(fold_case=False)
 

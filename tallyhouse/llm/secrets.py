@@ -31,6 +31,7 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 KINDS = ("assign", "access", "hex", "format")
 MIN_VALUE, MIN_ACCESS, MIN_HEX, MIN_TOKEN = 12, 18, 16, 16
 _RUN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 #: The sample that teaches: documents with the least hash of doc_id, and from them so many credentials of each kind and other tokens.
@@ -184,7 +185,8 @@ class Grammar:
 
     def __init__(self, credentials: dict[str, list[str]], other: list[str]):
         self.kinds = {k: Automaton([shape(s) for s in v]) for k, v in credentials.items() if len(v) >= 5}
-        self.other = Automaton([shape(s) for s in other] or ["l" * 16])
+        # ordinary tokens are as ordinary in capitals
+        self.other = Automaton([shape(x) for s in other for x in (s, s.upper())] or ["l" * 16, "L" * 16])
         self._score = None
 
     def __getstate__(self):
@@ -206,9 +208,9 @@ def spans_of(text: str, grammar: Grammar | None, threshold: float = THRESHOLD) -
     if grammar is None or not grammar.kinds:
         return base
     added, k = [], 0
-    for m in _RUN.finditer(text):
+    for m in _TOKEN.finditer(text):
         start, end = m.span()
-        while end > start and text[end - 1] in ".=-":
+        while end > start and text[end - 1] in "=-":
             end -= 1
         while k < len(base) and base[k][2] <= start and base[k][0] < start:
             k += 1
@@ -232,10 +234,10 @@ def learn(docs: DataFrame) -> Grammar:
                 for _, kind, end, value in base:
                     kinds.append(KINDS[kind])
                     strings.append(text[value:end])
-                for m in _RUN.finditer(text):
+                for m in _TOKEN.finditer(text):
                     if not any(b[0] < m.end() and m.start() < b[2] for b in base):
                         kinds.append("other")
-                        strings.append(m[0].rstrip(".=-"))
+                        strings.append(m[0].rstrip("=-"))
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], names=["kind", "string"])
 
     found = rows.mapInArrow(run, "kind string, string string").distinct()

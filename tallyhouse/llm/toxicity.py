@@ -6,8 +6,8 @@ words, each with the log-odds of its document frequency in toxic against other l
 phrase count nothing. A text's weight, its weight for each hundred words and the number of different entries go into a logistic
 score.
 
-Labels teach from a bounded sample: the SAMPLE_TOXIC and SAMPLE_OTHER labelled rows with the least hash of doc_id. Half of them
-gives the entries, the other half confirms them and fits the score.
+Labels teach from a bounded sample: the SAMPLE_TOXIC and SAMPLE_OTHER labelled rows with the least hash of doc_id, texts that repeat counting once. Half of
+them gives the entries, the other half confirms them and fits the score.
 
 Defined results: null and empty texts score as texts without any match; very long texts are matched whole; repeated rows score each;
 rows with labels that differ count as toxic; without labels of both kinds only SEED_ENTRIES match; an empty table gives an empty
@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_steps
+from .common import saved, text_steps
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 5_000, 15_000
 PREFIXES = range(4, 9)
-MIN_SHARE, MIN_ODDS = 0.005, 3.0
+MIN_SHARE, MIN_ODDS = 0.012, 3.0
 MAX_ENTRIES = 5_000
 #: Entries used where there are no labels to learn from, with weights.
 SEED_ENTRIES = {" idiot ": 5.0, " moron ": 5.0, " scum ": 5.0, " stupid ": 4.0, " pathetic ": 4.0, " worthless ": 4.0, " loser ": 4.0, " disgusting ": 4.0}
@@ -195,8 +195,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
         picked = part if picked is None else picked.union(part)
     picked = picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
     # at most SAMPLE_TOXIC + SAMPLE_OTHER rows of three numbers: a bound that doesn't grow with the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("half", "toxic", "text")
-    sizes = {(r.half, r.toxic): r["count"] for r in picked.groupBy("half", "toxic").count().collect()}
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("half", "toxic", "text", F.xxhash64("text").alias("same"))
+    # copies of a text teach once, in one half
+    rows = saved(rows.dropDuplicates(["same"]), "toxicity-sample")
+    sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
     n = [[max(1, sizes.get((h, t), 0)) for t in (0, 1)] for h in (0, 1)]
     if min(sizes.get((h, t), 0) for h in (0, 1) for t in (0, 1)) < 5:
         return Lexicon({" " + folded_texts(np.frombuffer(e.encode(), np.uint8), np.array([0, len(e.encode())]))[0].strip() + " ": w for e, w in SEED_ENTRIES.items()})
