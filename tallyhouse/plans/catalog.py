@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import panel
+from . import events, panel
 from .registry import ORACLES, QUERIES
 
+#: Modules whose import registers their queries.
+AREAS = (panel, events)
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.daily_panel(spark, sf_dir)
