@@ -6,9 +6,11 @@ sets agree in a bin with the probability of their similarity). Bands of consecut
 form a star: every member is paired with the centre alone, so a bucket of m sets gives m - 1 pairs. Pairs are confirmed on whole
 sets. Equal sets are one node from the start, however many copies there are.
 
-A star can miss a link between two members that are both unlike the centre. So buckets in which more than one component is left
-go on: in each further round a bucket's components are its members, with another centre, until a round merges nothing; and what is
-left then is compared across components, pair by pair, in the buckets that still hold several.
+A star can miss a link between two members that are both unlike the centre. So the buckets in which more than one component is left
+are joined with themselves across components, under a condition that only pairs near the threshold meet: each set carries a bit
+array in which every shingle flips one bit, and as two arrays differ in no more bits than the sets in shingles, a pair whose arrays
+differ too much is no link. The join gives the few pairs that pass, and those are confirmed on whole sets as well. Thus every
+link between components is found, while sets that only share a passage make no row.
 
 Defined results: null text, empty text and text of white space alone have an empty set, link with nothing and are their own
 component; a text with fewer words than a shingle has its whole sequence as one; rows that repeat a doc_id are one node with the
@@ -20,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import byte_values, mixed, saved, slice_hashes, text_steps, word_slices
@@ -29,7 +31,8 @@ WORDS = 5
 PERCENT = 75
 BANDS, ROWS = 40, 4
 BINS = 256
-ROUNDS = 3
+#: 64-bit words of the array of flipped bits.
+SKETCH = 16
 SET_BATCH = 256
 
 
@@ -93,6 +96,12 @@ def band_keys(s: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed(key)
 
 
+def flipped_bits(s: np.ndarray) -> np.ndarray:
+    """SKETCH words of one set: the bit that each hash names, flipped once for each hash."""
+    odd = np.bincount((s % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
 def _each(docs: DataFrame, words: int, made, schema: str) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -115,22 +124,20 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, two hashes that stand for the whole set, and the bucket keys."""
+    """doc_id, n_shingles, two hashes that stand for the whole set, the bucket keys and the flipped bits."""
 
     def made(ids, sets):
         with np.errstate(over="ignore"):
             one = [int(np.add.reduce(mixed(s.copy()), dtype=np.uint64).astype(np.int64)) if len(s) else 0 for s in sets]
             two = [int(np.bitwise_xor.reduce(s * (s | np.uint64(1))).astype(np.int64)) if len(s) else 0 for s in sets]
-        keys = [band_keys(s, bands, rows) if len(s) else np.zeros(0, np.uint64) for s in sets]
-        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(keys)], names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+        keys = [band_keys(s, bands, rows) if len(s) else s for s in sets]
+        return pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), _lists(keys), _lists([flipped_bits(s) for s in sets])], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "bits"])
 
-    return _each(docs, words, made, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return _each(docs, words, made, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, bits array<long>")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose whole sets are alike enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = saved(shingle_sets(docs.join(asked, "doc_id", "left_semi"), words), "neardup-sets")
     a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
     joint = pairs.join(b, "b").join(a, "a")
     same = F.size(F.array_intersect("set_a", "set_b"))
@@ -160,65 +167,57 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
 
 
-def _joined(edges: list[DataFrame]) -> DataFrame:
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.union(e)
-    return saved(components(out), "neardup-components")
+def may_link(n: str, m: str, x: str, y: str, percent: int) -> Column:
+    """What sizes and flipped bits (columns x0.., y0..) alone say: false only where the sets can't be alike enough."""
+    apart = F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0")))
+    for k in range(1, SKETCH):
+        apart = apart + F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}")))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
 
 
-def links(nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """node, component over the nodes (doc_id, n_shingles, keys), for nodes that link with another."""
+def links(nodes: DataFrame, docs: DataFrame, extra: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, component over the nodes (doc_id, n_shingles, keys, bits), for nodes that link with another; extra: links known before."""
     member = nodes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     centres = member.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("n_centre"), F.count("*").alias("m")).where("m > 1")
-    met = member.join(centres, "key").where("doc_id <> centre")
+    met = saved(member.join(centres, "key"), "neardup-met")
+    # the sets of all that share a bucket, made once; the texts move by doc_id, at any size in the same way
+    asked = met.select("doc_id").distinct().hint("shuffle_hash")
+    sets = saved(shingle_sets(docs.join(asked, "doc_id", "left_semi"), words), "neardup-sets")
     close = F.least("n", "n_centre") * 100 >= F.greatest("n", "n_centre") * percent
-    pairs = saved(met.where(close).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "neardup-pairs")
-    edges = [saved(confirmed(pairs, docs, words, percent), "neardup-edges")]
-    tried = pairs
-    found = _joined(edges)
-    # only buckets of three members or more can hide a link from their star
-    crowded = saved(member.join(centres.where("m > 2").select("key"), "key"), "neardup-crowded")
-    for turn in range(ROUNDS + 1):
-        named = crowded.join(found, crowded.doc_id == found.node, "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-        several = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-        left = saved(named.join(several, "key"), "neardup-left")
-        if turn < ROUNDS:
-            # a component's member in this bucket and round, and the bucket's centre among those
-            order = F.xxhash64("doc_id", "key", F.lit(turn))
-            member_of = left.groupBy("key", "component").agg(F.min(F.struct(order.alias("h"), "doc_id", "n")).alias("r"))
-            centre = member_of.groupBy("key").agg(F.min(F.struct("r.h", "r.doc_id", "r.n", "component")).alias("c"))
-            rows = left.join(centre, "key").where("component <> c.component")
-            rows = rows.select(F.col("c.doc_id").alias("x"), F.col("doc_id").alias("y"), F.col("c.n").alias("n_centre"), "n")
-        else:
-            x, y = (left.select("key", F.col("doc_id").alias(d), F.col("n").alias(n), F.col("component").alias(c)) for d, n, c in (("x", "n", "cx"), ("y", "n_centre", "cy")))
-            rows = x.join(y, "key").where("cx < cy")
-        more = rows.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        more = saved(more.join(tried, ["a", "b"], "left_anti"), "neardup-pairs")
-        if more.isEmpty():
-            if turn < ROUNDS:
-                continue
-            break
-        good = saved(confirmed(more, docs, words, percent), "neardup-edges")
-        tried = tried.union(more)
-        if not good.isEmpty():
-            edges.append(good)
-            found = _joined([found.select(F.col("node").alias("a"), F.col("component").alias("b")), good])
-    return found
+    pairs = saved(met.where("doc_id <> centre").where(close).select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), "neardup-pairs")
+    edges = saved(confirmed(pairs, sets, percent).union(extra), "neardup-edges")
+    found = saved(components(edges), "neardup-components")
+    # only a bucket of three members or more can hide a link from its star
+    left = met.where("m > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    several = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    bits = nodes.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH)))
+    open_ = saved(left.join(several, "key", "left_semi").join(bits, "doc_id"), "neardup-open")
+    x = open_.select("key", F.col("doc_id").alias("left"), F.col("n").alias("nx"), F.col("component").alias("cx"), *(F.col(f"b{k}").alias(f"x{k}") for k in range(SKETCH)))
+    y = open_.select(F.col("key").alias("key_y"), F.col("doc_id").alias("right"), F.col("n").alias("ny"), F.col("component").alias("cy"), *(F.col(f"b{k}").alias(f"y{k}") for k in range(SKETCH)))
+    met_again = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("cx") < F.col("cy")) & may_link("nx", "ny", "x", "y", percent))
+    more = met_again.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    good = saved(confirmed(saved(more, "neardup-pairs"), sets, percent), "neardup-edges")
+    if good.isEmpty():
+        return found
+    return saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)), "neardup-components")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
     sets = saved(signatures(docs, words, bands, rows), "neardup-signatures")
     full = sets.where("n_shingles > 0")
-    # equal sets are one node, named by its least doc_id; so is each doc_id
-    groups = saved(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "neardup-groups")
-    nodes = full.join(groups, ["set_a", "set_b", "n_shingles", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b", "n_shingles", "doc_id"])
-    found = links(nodes.select("doc_id", "n_shingles", "keys"), docs, words, percent)
-    named = groups.withColumnRenamed("doc_id", "node").join(found, "node", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "node").alias("component"))
-    rows_ = sets.select("doc_id", "n_shingles", "set_a", "set_b")
+    # equal sets are one node, named by its least doc_id
+    groups = saved(full.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("node")), "neardup-groups")
+    same = ["set_a", "set_b", "n_shingles"]
+    nodes = full.withColumnRenamed("doc_id", "node").join(groups, [*same, "node"], "left_semi").dropDuplicates([*same, "node"]).select(F.col("node").alias("doc_id"), "n_shingles", "keys", "bits")
+    # an id whose rows hold several sets links those sets' nodes
+    torn = full.groupBy("doc_id").agg(F.min("set_a").alias("x"), F.max("set_a").alias("y")).where("x < y").select("doc_id")
+    extra = full.select("doc_id", *same).join(torn, "doc_id", "left_semi").join(groups, same).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    found = links(nodes, docs, extra, words, percent)
+    named = groups.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     return (
-        rows_.join(named, ["set_a", "set_b", "n_shingles"], "left")
+        sets.select("doc_id", *same)
+        .join(named, same, "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
