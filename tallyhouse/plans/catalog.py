@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, panel, text, vectors
+from . import events, inference, panel, text, vectors
 from .registry import ORACLES, QUERIES
 
 #: Modules whose import registers their queries.
-AREAS = (panel, events, text, vectors)
+AREAS = (panel, events, text, vectors, inference)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
