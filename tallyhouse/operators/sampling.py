@@ -25,11 +25,11 @@ def fold(key: str, folds: int, seed: int = 0) -> Column:
     return F.pmod(F.shiftright(order_of(key, seed), 5), F.lit(folds)).cast("int")
 
 
-def matched_counts(a: DataFrame, b: DataFrame, stratum: str, key: str, seed: int = 0) -> DataFrame:
+def matched_counts(a: DataFrame, b: DataFrame, stratum: str, key: str, seed: int = 0, order: Column | None = None) -> DataFrame:
     """From both sides as many rows of each stratum as the smaller side has: side, key, stratum."""
     both = a.select(F.lit("a").alias("side"), key, stratum).unionByName(b.select(F.lit("b").alias("side"), key, stratum))
     size = both.groupBy(stratum).pivot("side", ["a", "b"]).count().select(stratum, F.least(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("_k"))
-    turn = F.row_number().over(Window.partitionBy("side", stratum).orderBy(order_of(key, seed), key))
+    turn = F.row_number().over(Window.partitionBy("side", stratum).orderBy(order_of(key, seed) if order is None else order, key))
     return both.withColumn("_n", turn).join(size, stratum).where(F.col("_n") <= F.col("_k")).select("side", key, stratum)
 
 

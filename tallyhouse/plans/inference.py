@@ -111,8 +111,8 @@ def arc_clusters(spark, sf):
     from .text import trajectories
 
     arcs = trajectories(spark, sf, 5).select("doc_id", A.resample(F.col("v")).alias("arc"))
-    m = F.aggregate("arc", F.lit(0.0), lambda a, x: a + x) / 20
-    shaped = arcs.select("doc_id", "arc", array_to_vector(F.transform("arc", lambda x: x - m)).alias("features"))
+    flat = A.let(F.col("arc"), lambda v: A.let(A.mean(v), lambda m: F.transform(v, lambda x: x - m)))
+    shaped = arcs.select("doc_id", "arc", array_to_vector(flat).alias("features"))
     model = KMeans(k=6, seed=0, maxIter=20).fit(shaped)
     return model.transform(shaped).groupBy("prediction").agg(F.count("*").alias("n"), F.avg(F.element_at("arc", -1) - F.element_at("arc", 1)).alias("drift"))
 
