@@ -20,7 +20,7 @@ import os
 import re
 import uuid
 import zlib
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,7 @@ from .common import mixed, saved, shared_dir, shuffle_parts, text_steps
 MAGIC = b"TALLYID1"
 GAMMA = 2.0
 LEVELS = 64
+SLICES_AT_ONCE = 200
 #: White space within a slice, and white space that a slice may begin with beside a space.
 _WHITE = re.compile(r"[\s\x85\u200b]")
 _WHITE_FIRST = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200C))))
@@ -48,27 +49,46 @@ def coder(path: str) -> SliceCoder:
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
     newline = t.encode("\n", add_special_tokens=False).ids
+    letter = {v: k for k, v in t.get_vocab(with_added_tokens=False).items()}
+    space = letter[t.encode(" ", add_special_tokens=False).ids[0]][0]
+    opens = np.zeros(max(letter) + 1, bool)
+    opens[[k for k, v in letter.items() if v[0] == space]] = True
+
+    def joined(slices: list[str], mark: str, heads: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Slices encoded some hundred at a time as one text; they end with the mark, or each begins with an id in heads."""
+        texts = [mark.join([*slices[k : k + SLICES_AT_ONCE], ""]) for k in range(0, len(slices), SLICES_AT_ONCE)]
+        ids = np.concatenate([np.array(e.ids, np.int64) for e in t.encode_batch_fast(texts, add_special_tokens=False)])
+        if heads is not None:
+            count = np.diff(np.r_[np.flatnonzero(heads[ids]), len(ids)])
+        else:
+            count = np.diff(np.r_[-1, np.flatnonzero(ids == newline[0])]) - 1
+            ids = ids[ids != newline[0]]
+        if len(count) != len(slices):
+            raise ValueError(f"{len(slices)} slices gave {len(count)}")
+        return ids, count
 
     def encode(slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Slices that hold no white space but a leading space go in one text, a line each; the others one by one."""
-        plain = len(newline) == 1 and not any(_WHITE.search(s, 1) or s[0] in _WHITE_FIRST for s in slices)
-        if not plain:
-            odd = [k for k, s in enumerate(slices) if len(newline) != 1 or _WHITE.search(s, 1) or s[0] in _WHITE_FIRST or s == " "]
-            rest = sorted(set(range(len(slices))) - set(odd))
-            ids, count = encode([slices[k] for k in rest]) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            parts: list = [None] * len(slices)
-            for k, part in zip(rest, np.split(ids, np.cumsum(count)[:-1]) if rest else [], strict=True):
-                parts[k] = part
-            for k in odd:
-                parts[k] = np.array(t.encode(slices[k], add_special_tokens=False).ids, np.int64)
-            return np.concatenate(parts), np.array([len(x) for x in parts], np.int64)
-        text = "\n".join([*slices, ""])
-        ids = np.array(t.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.flatnonzero(ids == newline[0])
-        if len(ends) != len(slices):
-            raise ValueError(f"{len(slices)} slices gave {len(ends)} lines")
-        count = np.diff(np.r_[-1, ends]) - 1
-        return ids[ids != newline[0]], count
+        """Slices of a space and no other white space follow each other as they are, those without any stand on lines; the rest go one by one."""
+        kinds: tuple[list[int], list[int], list[int]] = ([], [], [])
+        for k, s in enumerate(slices):
+            odd = len(newline) != 1 or s[0] in _WHITE_FIRST or s == " " or (not s[1:].isalpha() and _WHITE.search(s, 1))
+            kinds[2 if odd else 0 if s[0] == " " else 1].append(k)
+        ids, order, count = [], [], []
+        for which, (mark, heads) in enumerate((("", opens), ("\n", None))):
+            if kinds[which]:
+                i, c = joined([slices[k] for k in kinds[which]], mark, heads)
+                ids.append(i)
+                count.append(c)
+                order += kinds[which]
+        for k in kinds[2]:
+            ids.append(np.array(t.encode(slices[k], add_special_tokens=False).ids, np.int64))
+            count.append(np.array([len(ids[-1])]))
+            order.append(k)
+        ids, count, order = np.concatenate(ids), np.concatenate(count), np.array(order)
+        if len(order) == len(kinds[0]):
+            return ids, count
+        owner = np.repeat(order, count)
+        return ids[np.argsort(owner, kind="stable")], count[np.argsort(order)]
 
     return SliceCoder(encode)
 
@@ -207,6 +227,11 @@ class Shard:
         return np.frombuffer(self.file.read_at(int(self.count[record]) * w, int(self.start[record]) * w), self.width)
 
 
+@lru_cache(8)
+def opened(uri: str) -> Shard:
+    return Shard(uri)
+
+
 def write(docs: DataFrame, path: str, end_id: int = 2, root: str | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes all documents in ascending key order and returns the manifest: shard, path, n_docs, n_ids, first_key, last_key."""
     spark = docs.sparkSession
@@ -260,10 +285,6 @@ def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Dat
     asked = keys.select(F.col(key_col).cast("long").alias("doc_id"))
     routed = asked.join(F.broadcast(spans), F.col("doc_id").between(F.col("first_key"), F.col("last_key")), "left").select("doc_id", "path")
 
-    @cache
-    def opened(uri: str) -> Shard:
-        return Shard(uri)
-
     def run(batches):
         for batch in batches:
             key = np.asarray(batch.column("doc_id").fill_null(NULL_KEY), np.int64)
