@@ -27,6 +27,8 @@ MAX_REPEAT_PERCENT = 50
 MIN_ROWS = 50
 KEEP_SHARE = 0.75
 STEPS = 3
+#: A stratum's rows go to so many tasks at least when they meet its estimate.
+SALTS = 16
 #: What is added to each statistic's standard deviation, and the statistics' names.
 FLOORS = {"symbols": 0.05, "word_length": 0.06, "capitals": 0.06, "repeats": 0.2, "richness": 0.03}
 NAMES = list(FLOORS)
@@ -111,10 +113,17 @@ def _strata(stats: DataFrame) -> DataFrame:
 
 
 def _pool(strata: DataFrame) -> DataFrame:
-    """The rows that estimates are made from, each under every stratum that it belongs to."""
+    """The rows that estimates are made from, each under the strata that some row is judged by, with a salt that spreads a stratum's rows."""
     lang, source = (F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source"))
     own = F.array(F.concat(lang, F.lit("\x1f"), source), F.concat(lang, F.lit("\x1e")), F.lit("\x1d"))
-    return strata.where(~F.col("base_failed")).select(*NAMES, F.explode(own).alias("stratum"))
+    rows = strata.where(~F.col("base_failed")).select(*NAMES, F.pmod(F.xxhash64("doc_id", "symbols", "word_length"), F.lit(SALTS)).alias("salt"), F.explode(own).alias("stratum"))
+    used = _salted(strata.select("stratum").distinct())
+    return rows.join(used, ["stratum", "salt"])
+
+
+def _salted(per_stratum: DataFrame) -> DataFrame:
+    """A row a stratum and salt: the side of a join that is the same for all of a stratum's rows."""
+    return per_stratum.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
 
 def _factored(moments: DataFrame) -> DataFrame:
@@ -153,25 +162,27 @@ def estimate(pool: DataFrame, steps: int = STEPS) -> DataFrame:
         return F.percentile_approx(x, F.lit(share), F.lit(ACCURACY)).alias(name)
 
     middle = saved(pool.groupBy("stratum").agg(*(quantile(n, 0.5, f"m_{i}") for i, n in enumerate(NAMES))), "quality-median")
-    around = pool.join(middle, "stratum")
+    keys = ["stratum", "salt"]
+    around = pool.join(_salted(middle), keys)
     spread = saved(around.groupBy("stratum").agg(*(quantile(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, f"s_{i}") for i, n in enumerate(NAMES))), "quality-spread")
     first = sum((((F.col(n) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + FLOORS[n])) ** 2 for i, n in enumerate(NAMES)), F.lit(0.0))
-    rows = around.join(spread, "stratum").withColumn("d2", first).select("stratum", *NAMES, "d2")
+    rows = around.join(_salted(spread), keys).withColumn("d2", first).select(*keys, *NAMES, "d2")
     for turn in range(steps + 1):
         bound = saved(rows.groupBy("stratum").agg(quantile("d2", KEEP_SHARE, "bound"), quantile("d2", 0.5, "half")), "quality-bound")
         if turn == steps:
             break
-        fitted = _moments(rows.join(bound, "stratum").where("d2 <= bound"))
-        rows = _distance(pool.join(fitted, "stratum")).select("stratum", *NAMES, "d2")
+        fitted = _moments(rows.join(_salted(bound), keys).where("d2 <= bound"))
+        rows = _distance(pool.join(_salted(fitted), keys)).select(*keys, *NAMES, "d2")
     return fitted.join(bound.select("stratum", F.greatest(F.col("half") / MEDIAN, F.lit(1.0)).alias("scale")), "stratum")
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the base columns, base_failed, distance (null where only the fixed rules hold) and kept."""
     stats = saved(measured(docs), "quality-stats")
-    strata = _strata(stats)
-    fitted = estimate(_pool(stats))
-    judged = _distance(strata.join(fitted, "stratum", "left"))
+    strata = saved(_strata(stats), "quality-strata")
+    fitted = estimate(_pool(strata))
+    salted = strata.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    judged = _distance(salted.join(_salted(fitted), ["stratum", "salt"], "left"))
     distance = F.col("d2") / F.col("scale")
     enough = stats.where(~F.col("base_failed")).limit(MIN_ROWS).count() >= MIN_ROWS
     verdict = F.coalesce(distance <= CUTOFF, F.lit(True)) if enough else F.lit(True)
