@@ -2,9 +2,9 @@
 
 Folding maps look-alike letters, accents, full-width and styled forms and digits that stand for letters to one plain letter each,
 drops invisible characters and turns whatever else is no letter into single spaces. The lexicon holds whole words and beginnings of
-words, each with the log-odds of its document frequency in toxic against other labelled rows; matches that lie inside an exception
-phrase count nothing. A text's weight, its weight for each hundred words and the number of different entries go into a logistic
-score.
+words, each with the log-odds of its occurrence among the distinct words of toxic against other labelled texts; matches that lie inside an exception
+phrase count nothing. The weight of a text's different words, the weight of all
+its words for each hundred and the number of different ones go into a logistic score.
 
 Labels teach from a bounded sample: the SAMPLE_TOXIC and SAMPLE_OTHER labelled rows with the least hash of doc_id, texts that repeat counting once. Half of
 them gives the entries, the other half confirms them and fits the score.
@@ -29,8 +29,10 @@ from .common import saved, text_steps
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 5_000, 15_000
 PREFIXES = range(4, 9)
-MIN_SHARE, MIN_ODDS = 0.012, 3.0
+MIN_SHARE, MIN_ODDS = 0.012, 2.5
 MAX_ENTRIES = 5_000
+#: Below so many toxic rows in a half, the halves are not held against each other.
+FEW = 100
 #: Entries used where there are no labels to learn from, with weights.
 SEED_ENTRIES = {" idiot ": 5.0, " moron ": 5.0, " scum ": 5.0, " stupid ": 4.0, " pathetic ": 4.0, " worthless ": 4.0, " loser ": 4.0, " disgusting ": 4.0}
 #: Innocent phrases that hold a word of abuse.
@@ -137,19 +139,18 @@ class Lexicon:
         if not hits:
             return 0.0, 0.0, 0.0
         spared = [(end - n + 1, end) for end, (n, weight) in hits if weight is None]
-        total, kinds, last = 0.0, set(), None
+        best: dict[int, float] = {}  # by a word's end: entries for one word count once, by the weightiest
+        by_word: dict[str, float] = {}
         for end, (n, weight) in hits:
             start = end - n + 1
             if weight is None or any(a <= start and end <= b for a, b in spared):
                 continue
             word = folded.find(" ", start + 1)
-            if last == word:  # another entry for the same word
-                continue
-            last = word
-            total += weight
-            kinds.add(folded[start:word])
+            best[word] = max(best.get(word, 0.0), weight)
+            by_word[folded[start:word]] = best[word]
+        total = sum(best.values())
         words = max(1, folded.count(" ") - 1)
-        return math.log1p(total), math.log1p(100 * total / words), float(min(5, len(kinds)))
+        return math.log1p(sum(by_word.values())), math.log1p(100 * total / words), float(min(5, len(by_word)))
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         c = np.array(self.coefficients)
@@ -157,14 +158,14 @@ class Lexicon:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Document frequency of every folded word and beginning, by half and label: half, entry, toxic, other."""
+    """Of every folded word and beginning, by half and label, its distinct words in each text (tf) and its texts (df); under "" all distinct words: half, entry, tf_0, tf_1, df_0, df_1."""
 
     def run(batches):
         counts: dict[tuple[int, str], list[int]] = {}
 
         def flush():
             keys = list(counts)
-            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), pa.array([counts[k][1] for k in keys], pa.int64()), pa.array([counts[k][0] for k in keys], pa.int64())], names=["half", "entry", "toxic", "other"])
+            out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys]), *(pa.array([counts[k][j] for k in keys], pa.int64()) for j in range(4))], names=["half", "entry", "tf_0", "tf_1", "df_0", "df_1"])
             counts.clear()
             return out
 
@@ -172,16 +173,23 @@ def _counted(rows: DataFrame) -> DataFrame:
             half, label = batch.column("half").to_pylist(), batch.column("toxic").to_pylist()
             for row, _, raw, at in text_steps(batch.column("text")):
                 for k, folded in enumerate(folded_texts(raw, at)):
-                    words = set(folded.split())
-                    entries = {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in PREFIXES if len(w) > n}
-                    for e in entries:
-                        counts.setdefault((half[row + k], e), [0, 0])[label[row + k]] += 1
+                    own: dict[str, int] = {}
+                    words = set(folded.split())  # a word counts once a text, however often it is repeated
+                    for w in words:
+                        for e in (f" {w} ", *(f" {w[:m]}" for m in PREFIXES if len(w) > m)):
+                            own[e] = own.get(e, 0) + 1
+                    own[""] = len(words)
+                    y = label[row + k]
+                    for e, n in own.items():
+                        c = counts.setdefault((half[row + k], e), [0, 0, 0, 0])
+                        c[y] += n
+                        c[2 + y] += 1
                     if len(counts) > 500_000:
                         yield flush()
         if counts:
             yield flush()
 
-    return rows.select("half", "toxic", "text").mapInArrow(run, "half int, entry string, toxic long, other long")
+    return rows.select("half", "toxic", "text").mapInArrow(run, "half int, entry string, tf_0 long, tf_1 long, df_0 long, df_1 long")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -202,16 +210,23 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     n = [[max(1, sizes.get((h, t), 0)) for t in (0, 1)] for h in (0, 1)]
     if min(sizes.get((h, t), 0) for h in (0, 1) for t in (0, 1)) < 5:
         return Lexicon({" " + folded_texts(np.frombuffer(e.encode(), np.uint8), np.array([0, len(e.encode())]))[0].strip() + " ": w for e, w in SEED_ENTRIES.items()})
-    counts = _counted(rows).groupBy("entry").agg(*(F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}_{h}") for h in (0, 1) for c in ("toxic", "other")))
-
-    def odds(h: int):
-        return F.log((F.col(f"toxic_{h}") + 0.5) / (n[h][1] + 1)) - F.log((F.col(f"other_{h}") + 0.5) / (n[h][0] + 1))
-
-    strong = counts
-    for h in (0, 1):
-        strong = strong.where((F.col(f"toxic_{h}") >= max(2, MIN_SHARE * n[h][1])) & (odds(h) >= (MIN_ODDS if min(n[h]) >= 200 else 1.5)))
-    weight = (odds(0) + odds(1)) / 2
-    best = strong.select("entry", weight.alias("weight"), (weight * (F.col("toxic_0") + F.col("toxic_1"))).alias("rank")).orderBy(F.desc("rank"), "entry").limit(MAX_ENTRIES)
+    sums = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}_{h}") for h in (0, 1) for c in ("tf_0", "tf_1", "df_1")]
+    counts = saved(_counted(rows).groupBy("entry").agg(*sums), "toxicity-counts")
+    total = counts.where("entry = ''").first()
+
+    def odds(*halves: int):
+        """Log-odds of a word of a toxic text against one of another text to be the entry."""
+        t, o, w1, w0 = (sum((F.col(f"{c}_{h}") for h in halves), F.lit(0)) if isinstance(c, str) else sum(total[f"{c[0]}_{h}"] for h in halves) for c in ("tf_1", "tf_0", ("tf_1",), ("tf_0",)))
+        return F.log((t + 0.5) / (w1 + 1)) - F.log((o + 0.5) / (w0 + 1))
+
+    if min(n[0][1], n[1][1]) >= FEW:
+        strong = counts.where("entry <> ''")
+        for h in (0, 1):
+            strong = strong.where((F.col(f"df_1_{h}") >= MIN_SHARE * n[h][1]) & (odds(h) >= MIN_ODDS))
+    else:  # too few toxic texts for a second opinion: the halves speak together
+        strong = counts.where((F.col("entry") != "") & (F.col("df_1_0") + F.col("df_1_1") >= 3) & (odds(0, 1) >= MIN_ODDS))
+    weight = odds(0, 1)
+    best = strong.select("entry", weight.alias("weight"), (weight * (F.col("tf_1_0") + F.col("tf_1_1"))).alias("rank")).orderBy(F.desc("rank"), "entry").limit(MAX_ENTRIES)
     found = {r.entry: r.weight for r in best.collect()}
     # a word or longer beginning adds nothing to a beginning that is as telling
     entries = {e: w for e, w in found.items() if not any(found.get(e[:k], -1) >= w - 1 for k in range(5, len(e)))}
