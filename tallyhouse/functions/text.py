@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Awakening markers, English and Russian stems.
 AWAKENING = r"(?iu)\b(i|then i|suddenly i)?\s*(woke|wake|awoke|awakened|waking)\b|просну|просып|пробужд"
@@ -39,7 +40,7 @@ def word_count(text: Column) -> Column:
 
 def sentences(text: Column, min_words: int = 2, max_chars: int = 200) -> Column:
     """Sentences in order: cut after . ! ? … with white space and at newlines, trimmed, of min_words or more, cut to max_chars."""
-    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…])\s+|\n+"), F.trim)
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?…])\s+|\n+"), lambda s: F.trim(s, F.lit(" \t\n\x0b\x0c\r")))
     return F.transform(F.filter(parts, lambda s: word_count(s) >= min_words), lambda s: F.substring(s, 1, max_chars))
 
 
@@ -73,7 +74,7 @@ def normal_ascii(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal(text: pd.Series) -> pd.Series:
     """NFKC and case folding, which the JVM functions lack."""
     return text.fillna("").map(lambda t: re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", unicodedata.normalize("NFKC", t).casefold())).strip())

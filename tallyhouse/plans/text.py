@@ -16,7 +16,7 @@ from .registry import query
 
 #: Presence patterns that these invented languages can meet.
 COMMON = {"article": r"\b(the|der|die|das|le|la)\b", "joiner": r"\b(and|und|et)\b", "of": r"\b(of|von|de)\b"}
-SENT = r"""WITH s AS (SELECT doc_id, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x, ' ')),
+SENT = r"""WITH s AS (SELECT doc_id, source, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?…])\s+', '\1' || chr(10), 'g'), '\n+', chr(10), 'g'), chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))),
   lambda x: len(list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '')) >= 2) AS t FROM documents), e AS (SELECT doc_id, source, unnest(range(len(t)))::INT AS pos, substr(unnest(t), 1, 200) AS text FROM s)"""
 #: A sentence's value: the share of its letters that are vowels, less a third.
 VALUE = "(len(regexp_extract_all(lower(text), '[aeiou]')) / greatest(len(regexp_extract_all(lower(text), '[a-z]')), 1) - 0.33)"

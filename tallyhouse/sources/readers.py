@@ -77,7 +77,7 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     raw = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").withColumn("file", F.input_file_name())
     head = F.regexp_extract("value", r"(?s)\A---\n(.*?)\n---\n", 1)
     body = F.regexp_replace("value", r"(?s)\A---\n.*?\n---\n", "")
-    narrative = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^#.*$", ""), r"\n{3,}", "\n\n"))
+    narrative = F.trim(F.regexp_replace(F.regexp_replace(body, r"(?m)^#.*$", ""), r"\n{3,}", "\n\n"), F.lit(WHITE))
 
     def field(name: str) -> Column:
         v = F.trim(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*(.*)$", 1), r"^[\"']|[\"']$", ""))
@@ -86,7 +86,7 @@ def journal(spark: SparkSession, folder: str) -> DataFrame:
     def listed(name: str) -> Column:
         inline = F.split(F.regexp_replace(F.coalesce(field(name), F.lit("")), r"[\[\]\"']", ""), ",")
         block = F.regexp_extract_all(F.regexp_extract(head, rf"(?m)^{name}:[ \t]*\n((?:[ \t]*- .*(?:\n|\z))+)", 1), F.lit(r"- *(.*)"))
-        return F.filter(F.transform(F.when(F.size(block) > 0, block).otherwise(inline), F.trim), lambda x: x != "")
+        return F.filter(F.transform(F.when(F.size(block) > 0, block).otherwise(inline), lambda x: F.trim(x)), lambda x: x != "")
 
     name = F.regexp_extract("file", r"([^/]+)\.md$", 1)
     day = F.coalesce(F.expr("try_to_date(d)"), F.expr("try_to_date(regexp_extract(doc_id, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1))"))
@@ -122,7 +122,7 @@ def capped_paragraphs(df: DataFrame, key: str, text: str, cap: int, least: int =
 
 def lead_section(text: Column, chars: int = 400, paragraphs: int = 3) -> Column:
     """A text's opening: its lines without headings, until `chars` characters or `paragraphs` of them are reached."""
-    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^(=+.*=+|#+ .*)$"))
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(=+.*=+|#+ .*)$"))
     none = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size"))
 
     def step(acc: Column, line: Column) -> Column:
@@ -178,6 +178,8 @@ def write_panel(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
+#: ASCII white space.
+WHITE = " \t\n\x0b\x0c\r"
 CARD = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "source", "license", "sensitivity", "notes", "path", "sha256", "size")] + [T.StructField("bytes", T.LongType()), T.StructField("extra", T.MapType(T.StringType(), T.StringType()))])
 
 
