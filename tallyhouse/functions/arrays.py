@@ -41,16 +41,16 @@ def unit(v: Column, least: float = 1e-12) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))
 
 
 def slope(v: Column) -> Column:
     """OLS slope over positions that run evenly from 0 to 1."""
 
     def of(x: Column) -> Column:
-        k = F.size(x)
+        k = F.size(x).cast("double")
         mid = (k - 1) / 2
-        top = F.aggregate(F.zip_with(x, F.sequence(F.lit(0), k - 1), lambda y, i: y * (i - mid)), F.lit(0.0), lambda a, y: a + y)
+        top = F.aggregate(F.zip_with(x, F.sequence(F.lit(0), F.size(x) - 1), lambda y, i: y * (i - mid)), F.lit(0.0), lambda a, y: a + y)
         return (k - 1) * top / (k * (k * k - 1) / 12.0)
 
     return F.when(F.size(v) > 1, let(v, of))
@@ -85,8 +85,8 @@ def trajectory(v: Column) -> dict[str, Column]:
     t1, t2, t3 = thirds(v)
     return {
         "n_sent": k,
-        "drift": F.element_at(v, -1) - F.element_at(v, 1),
-        "drift_trim": F.when(k >= 3, F.element_at(v, -2) - F.element_at(v, 1)),
+        "drift": F.try_element_at(v, F.lit(-1)) - F.try_element_at(v, F.lit(1)),
+        "drift_trim": F.when(k >= 3, F.try_element_at(v, F.lit(-2)) - F.try_element_at(v, F.lit(1))),
         "slope": slope(v),
         "half": mean(F.slice(v, half + 1, k - half)) - mean(F.slice(v, 1, F.greatest(half, F.lit(1)))),
         "third": t3 - t1,
@@ -128,6 +128,7 @@ def stage(position: Column, size: Column, stages: int = 6) -> Column:
 
 def residual_sd(sd_: Column, slope_: Column, k: Column) -> Column:
     """Spread about a series' own line, from its sample spread and its slope over positions from 0 to 1."""
+    k = k.cast("double")
     line = slope_ * slope_ * k * (k + 1) / (12.0 * (k - 1))
     return F.sqrt(F.greatest((k - 1) * sd_ * sd_ - line, F.lit(0.0)) / (k - 2))
 
@@ -151,12 +152,12 @@ def closing_step(v: Column) -> dict[str, Column]:
     half = F.floor(k / 2).cast("int")
     pre = F.slice(v, 1, k - 1)
     return {
-        "step": F.element_at(v, -1) - F.element_at(v, -2),
-        "pre": F.element_at(pre, -1) - F.element_at(pre, 1),
-        "drift": F.element_at(v, -1) - F.element_at(v, 1),
+        "step": F.try_element_at(v, F.lit(-1)) - F.try_element_at(v, F.lit(-2)),
+        "pre": F.try_element_at(pre, F.lit(-1)) - F.try_element_at(pre, F.lit(1)),
+        "drift": F.try_element_at(v, F.lit(-1)) - F.try_element_at(v, F.lit(1)),
         "flatten": slope(F.slice(v, half + 1, k - half)) - slope(F.slice(v, 1, half)),
         "slope": slope(v),
-        "v0": F.element_at(v, 1),
+        "v0": F.try_element_at(v, F.lit(1)),
         "sd": sd(v, 1),
         "vbar": mean(v),
         "head": mean(F.slice(v, 1, F.least(k, F.lit(5)))),
@@ -171,6 +172,6 @@ TRIMS = {
     "drop_last": lambda v, wake: F.slice(v, 1, F.greatest(F.size(v) - 1, F.lit(0))),
     "drop_last2": lambda v, wake: F.slice(v, 1, F.greatest(F.size(v) - 2, F.lit(0))),
     "interior": lambda v, wake: F.slice(v, 2, F.greatest(F.size(v) - 2, F.lit(0))),
-    "not_ending_awake": lambda v, wake: F.when(~F.element_at(wake, -1), v),
-    "ending_awake": lambda v, wake: F.when(F.element_at(wake, -1), v),
+    "not_ending_awake": lambda v, wake: F.when(~F.try_element_at(wake, F.lit(-1)), v),
+    "ending_awake": lambda v, wake: F.when(F.try_element_at(wake, F.lit(-1)), v),
 }

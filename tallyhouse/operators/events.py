@@ -57,7 +57,7 @@ def event_study(days: DataFrame, events: DataFrame, value: str, n: str = "n", da
     draws = draws.select("perm", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"), "pool").withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "perm", "j"), F.col("pool")))
     null = window_means(draws.join(F.broadcast(pool), "i").select("perm", "at"), prefix, windows).groupBy("perm").agg(F.avg(F.col("post") - F.col("pre")).alias("x")).where("x IS NOT NULL")
     told = null.crossJoin(F.broadcast(sizes)).groupBy("n_events", "effect", "k", "asked").agg(F.avg("x").alias("null_mean"), F.stddev_pop("x").alias("null_sd"), F.count("*").alias("n_null"), F.count_if(F.abs("x") >= F.abs("effect")).alias("beyond"))
-    return told.select("n_events", (F.col("asked") - F.col("k")).alias("n_dropped"), "effect", "null_mean", "null_sd", (F.col("effect") / F.col("null_sd")).alias("z"), ((F.col("beyond") + 1) / (F.col("n_null") + 1)).alias("p"))
+    return told.select("n_events", (F.col("asked") - F.col("k")).alias("n_dropped"), "effect", "null_mean", "null_sd", F.try_divide("effect", "null_sd").alias("z"), ((F.col("beyond") + 1) / (F.col("n_null") + 1)).alias("p"))
 
 
 def aligned_curve(days: DataFrame, events: DataFrame, value: str, lo: int = -21, hi: int = 21, base: tuple[int, int] = (-21, -4), day: str = "day") -> DataFrame:
@@ -76,7 +76,7 @@ def pair_correlation(events: DataFrame, most: int = 14, day: str = "day") -> Dat
     found = ahead.join(e, "d", "left_semi").groupBy("lag").agg(F.count("*").alias("pairs"))
     lags = days_range(events.sparkSession, 1, most, "lag")
     expected = F.col("k") * (F.col("k") - 1) / 2 * 2 * (F.col("span") - F.col("lag")) / (F.col("span") * (F.col("span") - 1))
-    return lags.join(found, "lag", "left").crossJoin(F.broadcast(size)).select("lag", F.coalesce("pairs", F.lit(0)).alias("pairs"), (F.coalesce("pairs", F.lit(0)) / expected).alias("g"))
+    return lags.join(found, "lag", "left").crossJoin(F.broadcast(size)).select("lag", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.try_divide(F.coalesce("pairs", F.lit(0)), expected).alias("g"))
 
 
 def days_range(spark, lo: int, hi: int, name: str) -> DataFrame:
@@ -90,7 +90,7 @@ def branching(days: DataFrame, value: str, quantile: float = 0.90, ahead: int =
     after = d.where("top").select(day, F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("o")).select(F.date_add(day, F.col("o")).alias(day))
     post = after.join(d, day).agg(F.avg(F.col("top").cast("int")).alias("post_rate"))
     base = d.agg(F.count_if("top").alias("n_spikes"), F.avg(F.col("top").cast("int")).alias("base_rate"))
-    return base.crossJoin(post).withColumn("ratio", F.col("post_rate") / F.col("base_rate"))
+    return base.crossJoin(post).withColumn("ratio", F.try_divide("post_rate", "base_rate"))
 
 
 def displaced_branching(days: DataFrame, value: str, step: int = 7, quantile: float = 0.90, ahead: int = 3, day: str = "day") -> DataFrame:
@@ -100,7 +100,7 @@ def displaced_branching(days: DataFrame, value: str, step: int = 7, quantile: fl
     spikes = d.where("top = 1").select("at", "_span", F.explode(F.expr(f"sequence(0, _span - 1, {step})")).alias("shift"))
     after = spikes.select("shift", F.explode(F.sequence(F.lit(1), F.lit(ahead))).alias("o"), "at", "_span").select("shift", F.pmod(F.col("at") + F.col("o") + F.col("shift"), F.col("_span")).alias("at"))
     base = d.agg(F.avg("top").alias("base"))
-    return after.join(d.select("at", "top"), "at").groupBy("shift").agg(F.avg("top").alias("post")).crossJoin(F.broadcast(base)).select("shift", (F.col("post") / F.col("base")).alias("ratio"))
+    return after.join(d.select("at", "top"), "at").groupBy("shift").agg(F.avg("top").alias("post")).crossJoin(F.broadcast(base)).select("shift", F.try_divide("post", "base").alias("ratio"))
 
 
 def placebo_days(days: DataFrame, events: DataFrame, count: int, exclusion: int = 30, seed: int = 0, day: str = "day") -> DataFrame:

@@ -33,7 +33,7 @@ def synchrony(units: DataFrame, vector: str, day: str = "day", within: int = 56,
     null = cohesion(drawn, vector, [day, "draw"]).groupBy(day).agg(F.avg("cohesion").alias("null_mean"), F.stddev_samp("cohesion").alias("null_sd"), F.collect_list("cohesion").alias("_x"))
     rows = seen.join(null, day)
     beyond = F.size(F.filter("_x", lambda x: x >= F.col("obs")))
-    return rows.select(day, "n", "obs", "null_mean", "null_sd", (F.col("obs") - F.col("null_mean")).alias("excess"), ((F.col("obs") - F.col("null_mean")) / F.col("null_sd")).alias("z"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))
+    return rows.select(day, "n", "obs", "null_mean", "null_sd", (F.col("obs") - F.col("null_mean")).alias("excess"), F.try_divide(F.col("obs") - F.col("null_mean"), "null_sd").alias("z"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))
 
 
 def stouffer(df: DataFrame, z: str = "z") -> DataFrame:

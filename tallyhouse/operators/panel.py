@@ -52,7 +52,7 @@ def to_weekly(series: DataFrame, value: str, how: str = "mean", day: str = "day"
 def returns(weeks: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """Adds the relative change to the week before (by position)."""
     before = F.lag(value).over(Window.partitionBy(*(by or [])).orderBy("week"))
-    return weeks.withColumn(f"{value}_return", F.col(value) / before - 1)
+    return weeks.withColumn(f"{value}_return", F.try_divide(F.col(value), before) - 1)
 
 
 def two_stage_mean(df: DataFrame, value: str, unit: str, day: str = "day") -> DataFrame:

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def small(key: str) -> Column:
+    """The key modulo 2^31, so that products stay in 64 bits."""
+    return F.pmod(F.col(key).cast("long"), F.lit(2147483648))
+
+
 def order_of(key: str, seed: int) -> Column:
-    """A portable integer hash (a multiplier modulo 2^32), with the key as the tie-break."""
-    return F.pmod(F.col(key).cast("long") * 2654435761 + F.lit(seed) * 40503, F.lit(4294967296))
+    """A portable integer hash (a multiplier modulo 2^32); callers add the key as the tie-break."""
+    return F.pmod(small(key) * 2654435761 + F.lit(seed) * 40503, F.lit(4294967296))
 
 
 def capped(df: DataFrame, by: list[str], key: str, cap: int, seed: int = 0) -> DataFrame:
@@ -18,7 +23,7 @@ def capped(df: DataFrame, by: list[str], key: str, cap: int, seed: int = 0) -> D
 
 def half(key: str, split: int | Column, seed: int = 0) -> Column:
     """0 or 1 for a key in a split."""
-    return F.pmod(F.shiftright(F.pmod(F.col(key).cast("long") * 2654435761 + F.lit(split) * 40503 + seed, F.lit(4294967296)), 7), F.lit(2)).cast("int")
+    return F.pmod(F.shiftright(F.pmod(small(key) * 2654435761 + F.lit(split) * 40503 + seed, F.lit(4294967296)), 7), F.lit(2)).cast("int")
 
 
 def fold(key: str, folds: int, seed: int = 0) -> Column:
@@ -42,14 +47,14 @@ def binned(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame
 def one_per_group(df: DataFrame, by: str, key: str, draws: int, seed: int = 0) -> DataFrame:
     """For each draw one row of each group, by hash: draw and df's columns."""
     d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    mixed = F.pmod(F.col(key).cast("long") * 2654435761 + F.col("draw") * 97 + (F.col("draw") * F.col(key).cast("long")) % 65521 * 40503 + seed, F.lit(4294967296))
+    mixed = F.pmod(small(key) * 2654435761 + F.col("draw") * 97 + (F.col("draw") * small(key)) % 65521 * 40503 + seed, F.lit(4294967296))
     return d.withColumn("_n", F.row_number().over(Window.partitionBy("draw", by).orderBy(mixed, key))).where("_n = 1").drop("_n")
 
 
 def split_half(df: DataFrame, value: str, period: str, unit: str, splits: int, least: int = 5, seed: int = 0) -> DataFrame:
     """For each split the correlation of the two halves' period means, over periods with `least` rows in both: split, r, n."""
     d = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    side = F.pmod(F.shiftright(F.pmod(F.col(unit).cast("long") * 2654435761 + (F.col("split") * (F.col(unit).cast("long") % 65521 + 13)) % 65521 * 40503 + seed, F.lit(4294967296)), 7), F.lit(2))
+    side = F.pmod(F.shiftright(F.pmod(small(unit) * 2654435761 + (F.col("split") * (small(unit) % 65521 + 13)) % 65521 * 40503 + seed, F.lit(4294967296)), 7), F.lit(2))
     means = d.withColumn("_h", side).groupBy("split", period).pivot("_h", [0, 1]).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
     both = means.where((F.col("0_n") >= least) & (F.col("1_n") >= least))
     return both.groupBy("split").agg(F.corr("0_m", "1_m").alias("r"), F.count("*").alias("n")).where("n > 10")

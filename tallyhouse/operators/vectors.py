@@ -46,10 +46,13 @@ def order_parameter(units: DataFrame, vector: str, by: list[str]) -> DataFrame:
 
 def displacement(df: DataFrame, key: str, pos: str, vector: str, most: int = 6) -> DataFrame:
     """Mean squared distance between vectors `tau` places apart in a sequence, and the exponent of its growth: tau, msd, n."""
-    a = df.select(key, F.col(pos).alias("_p"), F.col(vector).alias("_a"), F.explode(F.sequence(F.lit(1), F.lit(most))).alias("tau")).withColumn(pos, F.col("_p") + F.col("tau"))
-    both = a.join(df.select(key, pos, F.col(vector).alias("_b")), [key, pos])
-    gap = F.zip_with("_a", "_b", lambda x, y: (x - y).cast("double"))
-    return both.groupBy("tau").agg(F.avg(dot(gap, gap)).alias("msd"), F.count("*").alias("n"))
+    # earlier vectors come by lag over one shuffle; a gap in the positions makes no pair
+    w = Window.partitionBy(key).orderBy(pos)
+    earlier = F.array(*(F.struct(F.lit(t).alias("tau"), F.lag(pos, t).over(w).alias("p"), F.lag(vector, t).over(w).alias("v")) for t in range(1, most + 1)))
+    placed = df.select(F.col(pos).alias("_p"), F.col(vector).alias("_v"), earlier.alias("_e"))
+    both = placed.select("_p", "_v", F.explode("_e").alias("e")).where(F.col("e.p") == F.col("_p") - F.col("e.tau"))
+    gap = F.zip_with("_v", "e.v", lambda x, y: (x - y).cast("double"))
+    return both.groupBy("e.tau").agg(F.avg(dot(gap, gap)).alias("msd"), F.count("*").alias("n"))
 
 
 def exponent(curve: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import sampling as S
 from ..operators import vectors as V
 from ..operators import windows as W
-from ..sources.tables import read, reports, six
+from ..sources.tables import eight, read, reports
 from .panel import R
 from .registry import query
 
@@ -29,8 +29,10 @@ def sentences(spark, sf):
 
 
 def value(text):
-    t = F.lower(text)
-    return F.regexp_count(t, F.lit("[aeiou]")) / F.greatest(F.regexp_count(t, F.lit("[a-z]")), F.lit(1)) - 0.33
+    def count(t, characters: str):
+        return F.char_length(t) - F.char_length(F.translate(t, characters, ""))
+
+    return A.let(F.lower(text), lambda t: count(t, "aeiou") / F.greatest(count(t, "abcdefghijklmnopqrstuvwxyz"), F.lit(1)) - 0.33)
 
 
 def trajectories(spark, sf, least=4):
@@ -60,9 +62,9 @@ def lexicon_presence(spark, sf):
     return d.select("doc_id", *(c.alias(k) for k, c in X.presence(F.col("text"), COMMON).items()))
 
 
-@query("SELECT doc_id, round(len(regexp_extract_all(text, '(?i)\\bthe\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z'']+')), 1), 6) AS rate FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, round(len(regexp_extract_all(text, '(?i)\\bthe\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z'']+')), 1), 8) AS rate FROM documents WHERE lang = 'en'")
 def lexicon_rate(spark, sf):
-    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", six(X.rate(F.col("text"), r"(?i)\bthe\b")).alias("rate"))
+    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", eight(X.rate(F.col("text"), r"(?i)\bthe\b")).alias("rate"))
 
 
 @query("SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')))) AS exact FROM benchmark_docs".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark)"))
@@ -84,13 +86,13 @@ def corpus_overlap(spark, sf):
 
 
 @query(TRAJ + """, q AS (SELECT doc_id, k, v, greatest(k // 3, 1) AS j, k // 2 AS h FROM v), t AS (SELECT *, list_avg(v[1:j]) AS t1, CASE WHEN k - 2 * j > 0 THEN list_avg(v[j + 1:k - j]) ELSE list_avg(v) END AS t2, list_avg(v[k - j + 1:k]) AS t3 FROM q)
-  SELECT doc_id, k AS n_sent, round(v[-1] - v[1], 6) AS drift, round(v[-2] - v[1], 6) AS drift_trim, round(list_avg(v[h + 1:k]) - list_avg(v[1:h]), 6) AS half, round(t3 - t1, 6) AS third, round(list_avg(v), 6) AS level, round(list_stddev_pop(v), 6) AS sd,
-  round((list_position(v, list_max(v)) - 1) / (k - 1), 6) AS argmax, round((list_position(v, list_min(v)) - 1) / (k - 1), 6) AS argmin,
+  SELECT doc_id, k AS n_sent, round(v[-1] - v[1], 8) AS drift, round(v[-2] - v[1], 8) AS drift_trim, round(list_avg(v[h + 1:k]) - list_avg(v[1:h]), 8) AS half, round(t3 - t1, 8) AS third, round(list_avg(v), 8) AS level, round(list_stddev_pop(v), 8) AS sd,
+  round((list_position(v, list_max(v)) - 1) / (k - 1), 8) AS argmax, round((list_position(v, list_min(v)) - 1) / (k - 1), 8) AS argmin,
   round((k - 1) * list_sum(list_transform(range(k), lambda i: v[i + 1] * (i - (k - 1) / 2))) / (k * (k * k - 1) / 12), 5) AS slope FROM t""")
 def trajectory_statistics(spark, sf):
     t = A.trajectory(F.col("v"))
     cols = ("drift", "drift_trim", "half", "third", "level", "sd", "argmax", "argmin")
-    return trajectories(spark, sf).select("doc_id", t["n_sent"].cast("long").alias("n_sent"), *(six(t[c]).alias(c) for c in cols), F.round(t["slope"], 5).alias("slope"))
+    return trajectories(spark, sf).select("doc_id", t["n_sent"].cast("long").alias("n_sent"), *(eight(t[c]).alias(c) for c in cols), F.round(t["slope"], 5).alias("slope"))
 
 
 @query()
@@ -104,21 +106,21 @@ def increment_skew(spark, sf):
     return trajectories(spark, sf).select("doc_id", F.round(A.increment_skew(F.col("v")), 4).alias("skew"))
 
 
-@query(TRAJ + ", p AS (SELECT doc_id, v, k, unnest(range(20)) AS i FROM v), w AS (SELECT *, i * (k - 1) / 19 AS place, least(floor(i * (k - 1) / 19), k - 2)::INT AS lo FROM p) SELECT doc_id, i::INT AS i, round(v[lo + 1] + (v[lo + 2] - v[lo + 1]) * (place - lo), 6) AS y FROM w")
+@query(TRAJ + ", p AS (SELECT doc_id, v, k, unnest(range(20)) AS i FROM v), w AS (SELECT *, i * (k - 1) / 19 AS place, least(floor(i * (k - 1) / 19), k - 2)::INT AS lo FROM p) SELECT doc_id, i::INT AS i, round(v[lo + 1] + (v[lo + 2] - v[lo + 1]) * (place - lo), 8) AS y FROM w")
 def resampled_arcs(spark, sf):
-    return trajectories(spark, sf).select("doc_id", F.posexplode(A.resample(F.col("v"))).alias("i", "y")).select("doc_id", "i", six("y").alias("y"))
+    return trajectories(spark, sf).select("doc_id", F.posexplode(A.resample(F.col("v"))).alias("i", "y")).select("doc_id", "i", eight("y").alias("y"))
 
 
-@query(TRAJ + ", p AS (SELECT doc_id, v, k, unnest(range(k)) AS i FROM v) SELECT doc_id, floor((i + 0.5) / k * 6)::INT AS stage, round(avg(v[i + 1]), 6) AS mean FROM p GROUP BY 1, 2")
+@query(TRAJ + ", p AS (SELECT doc_id, v, k, unnest(range(k)) AS i FROM v) SELECT doc_id, floor((i + 0.5) / k * 6)::INT AS stage, round(avg(v[i + 1]), 8) AS mean FROM p GROUP BY 1, 2")
 def stage_means(spark, sf):
     p = trajectories(spark, sf).select("doc_id", F.size("v").alias("k"), F.posexplode("v").alias("i", "x"))
-    return p.groupBy("doc_id", A.stage(F.col("i"), F.col("k")).alias("stage")).agg(six(F.avg("x")).alias("mean"))
+    return p.groupBy("doc_id", A.stage(F.col("i"), F.col("k")).alias("stage")).agg(eight(F.avg("x")).alias("mean"))
 
 
-@query(TRAJ + " SELECT doc_id, round(v[-1] - v[-2], 6) AS step, round(v[-2] - v[1], 6) AS pre, round(v[1], 6) AS v0, round(list_stddev_samp(v), 6) AS sd, round(list_avg(v), 6) AS vbar FROM v")
+@query(TRAJ + " SELECT doc_id, round(v[-1] - v[-2], 8) AS step, round(v[-2] - v[1], 8) AS pre, round(v[1], 8) AS v0, round(list_stddev_samp(v), 8) AS sd, round(list_avg(v), 8) AS vbar FROM v")
 def closing_steps(spark, sf):
     c = A.closing_step(F.col("v"))
-    return trajectories(spark, sf).select("doc_id", *(six(c[k]).alias(k) for k in ("step", "pre", "v0", "sd", "vbar")))
+    return trajectories(spark, sf).select("doc_id", *(eight(c[k]).alias(k) for k in ("step", "pre", "v0", "sd", "vbar")))
 
 
 @query()
@@ -130,10 +132,10 @@ def trimmed_arms(spark, sf):
     return arms.groupBy("arm").agg(F.avg(F.element_at("w", -1) - F.element_at("w", 1)).alias("drift"), F.count("*").alias("n"))
 
 
-@query(TRAJ + ", d AS (SELECT doc_id, source, v[-1] - v[1] AS x FROM v), a AS (SELECT source, avg(x) AS m FROM d GROUP BY 1) SELECT round(avg(m), 6) AS drift, round(stddev_samp(m) / sqrt(count(*)), 6) AS se, count(*) AS n_authors FROM a")
+@query(TRAJ + ", d AS (SELECT doc_id, source, v[-1] - v[1] AS x FROM v), a AS (SELECT source, avg(x) AS m FROM d GROUP BY 1) SELECT round(avg(m), 8) AS drift, round(stddev_samp(m) / sqrt(count(*)), 8) AS se, count(*) AS n_authors FROM a")
 def author_clustered_drift(spark, sf):
     d = trajectories(spark, sf).select("source", (F.element_at("v", -1) - F.element_at("v", 1)).alias("x")).groupBy("source").agg(F.avg("x").alias("m"))
-    return d.agg(six(F.avg("m")).alias("drift"), six(F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n_authors"))
+    return d.agg(eight(F.avg("m")).alias("drift"), eight(F.stddev_samp("m") / F.sqrt(F.count("*"))).alias("se"), F.count("*").alias("n_authors"))
 
 
 @query()
@@ -177,17 +179,17 @@ def forward_against_reversed(spark, sf):
     return rows.groupBy().applyInPandas(one, "auc double, n long")
 
 
-@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), l AS (SELECT doc_id, x - lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS d FROM p) SELECT round(avg(d), 6) AS drift, round(stddev_pop(d), 6) AS sd, round(avg(d ** 3) / avg(d ** 2) ** 1.5, 6) AS skew, count(*) AS n FROM l WHERE d IS NOT NULL")
+@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), l AS (SELECT doc_id, x - lag(x) OVER (PARTITION BY doc_id ORDER BY pos) AS d FROM p) SELECT round(avg(d), 8) AS drift, round(stddev_pop(d), 8) AS sd, round(avg(d ** 3) / avg(d ** 2) ** 1.5, 8) AS skew, count(*) AS n FROM l WHERE d IS NOT NULL")
 def irreversibility(spark, sf):
     p = sentences(spark, sf).select("doc_id", "pos", value(F.col("text")).alias("x"))
     d = p.select((F.col("x") - F.lag("x").over(Window.partitionBy("doc_id").orderBy("pos"))).alias("d")).where("d IS NOT NULL")
-    return d.agg(six(F.avg("d")).alias("drift"), six(F.stddev_pop("d")).alias("sd"), six(F.avg(F.col("d") ** 3) / F.avg(F.col("d") ** 2) ** 1.5).alias("skew"), F.count("*").alias("n"))
+    return d.agg(eight(F.avg("d")).alias("drift"), eight(F.stddev_pop("d")).alias("sd"), eight(F.avg(F.col("d") ** 3) / F.avg(F.col("d") ** 2) ** 1.5).alias("skew"), F.count("*").alias("n"))
 
 
-@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), j AS (SELECT t.tau, (b.x - a.x) ** 2 AS q FROM (SELECT unnest(range(1, 7))::INT AS tau) t CROSS JOIN p a JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + t.tau) SELECT tau, round(avg(q), 6) AS msd, count(*) AS n FROM j GROUP BY 1")
+@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), j AS (SELECT t.tau, (b.x - a.x) ** 2 AS q FROM (SELECT unnest(range(1, 7))::INT AS tau) t CROSS JOIN p a JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + t.tau) SELECT tau, round(avg(q), 8) AS msd, count(*) AS n FROM j GROUP BY 1")
 def mean_squared_displacement(spark, sf):
     p = sentences(spark, sf).select("doc_id", "pos", F.array(value(F.col("text"))).alias("x"))
-    return V.displacement(p, "doc_id", "pos", "x").select("tau", six("msd").alias("msd"), "n")
+    return V.displacement(p, "doc_id", "pos", "x").select("tau", eight("msd").alias("msd"), "n")
 
 
 @query()
@@ -196,24 +198,24 @@ def diffusion_exponent(spark, sf):
     return V.exponent(V.displacement(p, "doc_id", "pos", "x"), "tau", "msd")
 
 
-@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), k AS (SELECT doc_id FROM p GROUP BY 1 HAVING count(*) >= 3), z AS (SELECT a.doc_id, avg(abs(a.x - b.x)) AS pairs, avg(abs(a.x - b.x)) FILTER (b.pos = a.pos + 1) AS adjacent FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.doc_id IN (FROM k) GROUP BY 1) SELECT doc_id, CASE WHEN pairs > 0 THEN round(adjacent / pairs, 6) END AS ratio FROM z")
+@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), k AS (SELECT doc_id FROM p GROUP BY 1 HAVING count(*) >= 3), z AS (SELECT a.doc_id, avg(abs(a.x - b.x)) AS pairs, avg(abs(a.x - b.x)) FILTER (b.pos = a.pos + 1) AS adjacent FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.doc_id IN (FROM k) GROUP BY 1) SELECT doc_id, CASE WHEN pairs > 0 THEN round(adjacent / pairs, 8) END AS ratio FROM z")
 def order_coherence(spark, sf):
     p = sentences(spark, sf).select("doc_id", "pos", value(F.col("text")).alias("x"))
-    return V.order_coherence(p, "doc_id", "pos", "x").select("doc_id", six("ratio").alias("ratio"))
+    return V.order_coherence(p, "doc_id", "pos", "x").select("doc_id", eight("ratio").alias("ratio"))
 
 
-@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), l AS (SELECT abs(x - lag(x) OVER (PARTITION BY doc_id ORDER BY pos)) AS d FROM p), z AS (SELECT avg(d) AS m, stddev_pop(d) AS s FROM l) SELECT round(quantile_cont(d, 0.95) / quantile_cont(d, 0.5), 6) AS p95_p50, round(quantile_cont(d, 0.99) / quantile_cont(d, 0.5), 6) AS p99_p50, round(kurtosis_pop(d), 4) AS kurtosis, round(avg((d > m + 2 * z.s)::INT), 6) AS long_share, count(*) AS n FROM l, z WHERE d IS NOT NULL")
+@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), l AS (SELECT abs(x - lag(x) OVER (PARTITION BY doc_id ORDER BY pos)) AS d FROM p), z AS (SELECT avg(d) AS m, stddev_pop(d) AS s FROM l) SELECT round(quantile_cont(d, 0.95) / quantile_cont(d, 0.5), 8) AS p95_p50, round(quantile_cont(d, 0.99) / quantile_cont(d, 0.5), 8) AS p99_p50, round(kurtosis_pop(d), 4) AS kurtosis, round(avg((d > m + 2 * z.s)::INT), 8) AS long_share, count(*) AS n FROM l, z WHERE d IS NOT NULL")
 def jump_lengths(spark, sf):
     p = sentences(spark, sf).select("doc_id", "pos", value(F.col("text")).alias("x"))
     d = p.select(F.abs(F.col("x") - F.lag("x").over(Window.partitionBy("doc_id").orderBy("pos"))).alias("d")).where("d IS NOT NULL")
-    return V.jumps(d, "d").select(six("p95_p50").alias("p95_p50"), six("p99_p50").alias("p99_p50"), F.round("kurtosis", 4).alias("kurtosis"), six("long_share").alias("long_share"), "n")
+    return V.jumps(d, "d").select(eight("p95_p50").alias("p95_p50"), eight("p99_p50").alias("p99_p50"), F.round("kurtosis", 4).alias("kurtosis"), eight("long_share").alias("long_share"), "n")
 
 
-@query("WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT w, count(*) AS f FROM t GROUP BY 1), r AS (SELECT f, row_number() OVER (ORDER BY f DESC, w) AS rk FROM c) SELECT round(regr_slope(ln(f), ln(rk)), 6) AS exponent, count(*) AS n FROM r WHERE rk BETWEEN 10 AND 1000")
+@query("WITH t AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents), c AS (SELECT w, count(*) AS f FROM t GROUP BY 1), r AS (SELECT f, row_number() OVER (ORDER BY f DESC, w) AS rk FROM c) SELECT round(regr_slope(ln(f), ln(rk)), 8) AS exponent, count(*) AS n FROM r WHERE rk BETWEEN 10 AND 1000")
 def zipf_exponent(spark, sf):
     c = read(spark, sf, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("w")).groupBy("w").agg(F.count("*").alias("f")).orderBy(F.desc("f"), "w").limit(1000)
     r = c.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("f"), "w"))).where("rk >= 10")
-    return r.agg(six(F.regr_slope(F.log("f"), F.log("rk"))).alias("exponent"), F.count("*").alias("n"))
+    return r.agg(eight(F.regr_slope(F.log("f"), F.log("rk"))).alias("exponent"), F.count("*").alias("n"))
 
 
 @query("WITH k AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY (doc_id * 2654435761 + 3 * 40503) % 4294967296, doc_id) AS n FROM documents) SELECT doc_id, source FROM k WHERE n <= 15")
@@ -240,9 +242,9 @@ def one_report_per_person(spark, sf):
 
 
 @query(R + """, d AS (SELECT *, unnest(range(4)) AS split FROM r), h AS (SELECT *, ((user_id * 2654435761 + (split * (user_id % 65521 + 13)) % 65521 * 40503) % 4294967296 >> 7) % 2 AS h FROM d),
-  m AS (SELECT split, day, avg(value) FILTER (h = 0) AS a, avg(value) FILTER (h = 1) AS b, count(value) FILTER (h = 0) AS na, count(value) FILTER (h = 1) AS nb FROM h GROUP BY 1, 2) SELECT split::INT AS split, round(corr(a, b), 6) AS r, count(*) AS n FROM m WHERE na >= 5 AND nb >= 5 GROUP BY 1 HAVING count(*) > 10""")
+  m AS (SELECT split, day, avg(value) FILTER (h = 0) AS a, avg(value) FILTER (h = 1) AS b, count(value) FILTER (h = 0) AS na, count(value) FILTER (h = 1) AS nb FROM h GROUP BY 1, 2) SELECT split::INT AS split, round(corr(a, b), 8) AS r, count(*) AS n FROM m WHERE na >= 5 AND nb >= 5 GROUP BY 1 HAVING count(*) > 10""")
 def split_half_reliability(spark, sf):
-    return S.split_half(reports(spark, sf), "value", "day", "user_id", 4).select("split", six("r").alias("r"), "n")
+    return S.split_half(reports(spark, sf), "value", "day", "user_id", 4).select("split", eight("r").alias("r"), "n")
 
 
 @query()

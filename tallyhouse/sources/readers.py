@@ -67,7 +67,7 @@ def level_csv(spark: SparkSession, path: str, day: str, value: str) -> DataFrame
 def index_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """Fixed-layout lines (year month day, then eight three-hourly values and the day's index last): day, most, mean, index, storm flags at 5 and 6."""
     parts = F.split(F.trim(line), r"\s+")
-    rows = lines.where(~F.trim(line).startswith("#") & (F.size(parts) >= 12)).select(F.make_date(F.get(parts, F.lit(0)).cast("int"), F.get(parts, F.lit(1)).cast("int"), F.get(parts, F.lit(2)).cast("int")).alias("day"), F.transform(F.slice(parts, 4, 8), lambda x: x.cast("double")).alias("k"), F.element_at(parts, -1).cast("double").alias("daily_index"))
+    rows = lines.select(line, parts.alias("p")).where(~F.trim(line).startswith("#") & (F.size("p") >= 12)).select(F.expr("try_to_date(concat_ws('-', p[0], p[1], p[2]))").alias("day"), F.transform(F.slice(parts, 4, 8), lambda x: x.try_cast("double")).alias("k"), F.element_at(parts, -1).try_cast("double").alias("daily_index"))
     most = F.array_max("k")
     return rows.select("day", most.alias("k_max"), (F.aggregate("k", F.lit(0.0), lambda a, x: a + x) / 8).alias("k_mean"), "daily_index", (most >= 5).cast("int").alias("storm_minor"), (most >= 6).cast("int").alias("storm_strong"))
 
