@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(scan: DataFrame) -> DataFrame:
     """A table smaller than one split of a scan, which one task would read, is dealt out to all cores; a larger one is left as it is."""
     spark = scan.sparkSession
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
     return scan.repartition(spark.sparkContext.defaultParallelism) if size < split else scan
 
