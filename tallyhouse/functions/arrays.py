@@ -137,7 +137,8 @@ def shape_name(v: Column, edge: float = 0.15, middle: float = 0.10) -> Column:
     """A name for a resampled arc from the means of its first three, middle two and last three points."""
     k = F.size(v)
     a, z, m = mean(F.slice(v, 1, 3)), mean(F.slice(v, k - 2, 3)), mean(F.slice(v, F.floor(k / 2).cast("int"), 2))
-    named = F.when(z - a > edge, "rise").when(a - z > edge, "fall").when((m < a - middle) & (m < z - middle), "trough").when((m > a + middle) & (m > z + middle), "peak").otherwise("flat")
+    # fixed values: the names
+    named = F.when(z - a > edge, "rise (rags→riches)").when(a - z > edge, "fall (tragedy)").when((m < a - middle) & (m < z - middle), "U / man-in-a-hole").when((m > a + middle) & (m > z + middle), "∩ / Icarus").otherwise("flat/other")
     return F.when(k >= 4, named)
 
 

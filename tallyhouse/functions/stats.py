@@ -50,7 +50,8 @@ def benjamini_hochberg(df: DataFrame, p: str = "p", q: str = "q", family: list[s
 
 
 def tier(q: Column) -> Column:
-    return F.when(q.isNull(), "untested").when(q < 0.05, "robust").when(q < 0.20, "suggestive").otherwise("null")
+    # fixed values: the labels
+    return F.when(q.isNull() | F.isnan(q), "n/a").when(q < 0.05, "headline (q<0.05)").when(q < 0.20, "suggestive (q<0.20)").otherwise("not significant")
 
 
 def average_rank(value: str, by: list[str] | None = None) -> Column:

@@ -10,26 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Awakening markers, English and Russian stems.
-AWAKENING = r"(?iu)\b(i|then i|suddenly i)?\s*(woke|wake|awoke|awakened|waking)\b|просну|просып|пробужд"
 FIRST_PERSON = r"(?i)\b(i|me|my|mine|myself|we|us|our)\b"
-#: Axes of a presence lexicon, by family; patterns match in either case, and callers may bring their own.
-LEXICON: dict[str, tuple[str, str]] = {
-    "illness": ("explicit", r"\b(virus|infect\w*|pandemic|quarantine|vaccin\w*|mask)\b"),
-    "anxiety": ("latent", r"\b(afraid|fear\w*|panic\w*|anxi\w*|scar(ed|y)|terrif\w*)\b"),
-    "death": ("latent", r"\b(death|dead|die[sd]?|dying|kill\w*|corpse|funeral)\b"),
-    "pursuit": ("latent", r"\b(chas(e|ed|ing)|pursu\w*|escap\w*|hid(e|ing))\b"),
-    "crowd": ("comparator", r"\b(crowd\w*|people|party|stadium)\b"),
-    "food": ("neutral", r"\b(food|eat(ing)?|bread|meal|dinner|kitchen)\b"),
-    "music": ("neutral", r"\b(music|song\w*|sing(ing)?|guitar|piano)\b"),
-}
 
 
 def language(text: Column) -> Column:
     """unknown for blanks; ru where more than a fifth of the letters are Cyrillic; other where more than 0.15 of the characters are beyond ASCII; else en."""
     t = F.coalesce(text, F.lit(""))
     letters = F.regexp_count(t, F.lit(r"\p{L}"))
-    cyrillic = F.regexp_count(t, F.lit(r"\p{IsCyrillic}"))
+    cyrillic = F.regexp_count(t, F.lit(r"[Ѐ-ӿ]"))
     beyond = F.regexp_count(t, F.lit(r"[^\x00-\x7F]"))
     return F.when(F.length(F.trim(t)) == 0, "unknown").when((letters > 0) & (cyrillic / F.greatest(letters, F.lit(1)) > 0.20), "ru").when(beyond / F.char_length(t) > 0.15, "other").otherwise("en")
 

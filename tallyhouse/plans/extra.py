@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..functions import calendar as Cal
 from ..functions import kernels as K
+from ..functions import lexicons as Lx
 from ..functions import scoring
 from ..functions import text as X
 from ..operators import graph as G
@@ -191,3 +192,19 @@ def gated_months(spark, sf):
     o = read(spark, sf, "orders")
     g = o.groupBy(Cal.period(F.col("o_orderdate"), "M").cast("string").alias("period")).agg(six(F.avg("o_totalprice")).alias("v"), F.count("*").alias("n"))
     return g.where("n >= 120")
+
+
+AXES = ", ".join(f"regexp_matches(text, '(?i){p}')::INT AS {a}" for a, p in Lx.ALL.items())
+
+
+@query(f"SELECT item_id, {AXES} FROM benchmark")
+def lexicon_axes(spark, sf):
+    b = read(spark, sf, "benchmark")
+    return b.select("item_id", *(c.alias(a) for a, c in Lx.presence(F.col("text")).items()))
+
+
+@query()
+def presence_without_explicit(spark, sf):
+    """Rates by role of threat marks, awakenings and threat words over conversations' texts that name no explicit axis."""
+    c = read(spark, sf, "conversations").where(Lx.without_explicit(F.col("text")))
+    return c.groupBy("role").agg(F.count("*").alias("n"), F.avg(Lx.threat_marked(F.col("text"))).alias("threat"), F.avg(Lx.awakening(F.col("text")).cast("int")).alias("awakening"), F.avg(Lx.threat_rate(F.col("text"))).alias("threat_rate"))

@@ -310,7 +310,7 @@ def fdr_by_family(spark, sf):
 
 
 @query("""WITH f AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 'event_study' ELSE 'coupling' END AS category, c_acctbal / 1000 AS effect, (c_custkey * 7919 % 1000 + 0.5) / 1000 AS q FROM customer), i AS (SELECT *, abs(effect) * -log10(least(greatest(q, 1e-6), 1)) * CASE WHEN category = 'event_study' THEN 1.2 ELSE 1.0 END AS impact FROM f)
-  SELECT id, round(impact, 6) AS impact, row_number() OVER (ORDER BY impact DESC, id, category)::INT AS rank, round(100 * impact / max(impact) OVER (), 1) AS impact_0_100, CASE WHEN q < 0.05 THEN 'robust' WHEN q < 0.20 THEN 'suggestive' ELSE 'null' END AS tier FROM i""")
+  SELECT id, round(impact, 6) AS impact, row_number() OVER (ORDER BY impact DESC, id, category)::INT AS rank, round(100 * impact / max(impact) OVER (), 1) AS impact_0_100, CASE WHEN q < 0.05 THEN 'headline (q<0.05)' WHEN q < 0.20 THEN 'suggestive (q<0.20)' ELSE 'not significant' END AS tier FROM i""")
 def ranked_findings(spark, sf):
     f = read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "event_study").otherwise("coupling").alias("category"), (F.col("c_acctbal") / 1000).alias("effect"), ((F.col("c_custkey") * 7919 % 1000 + 0.5) / 1000).alias("q"))
     return W.ranked_findings(f).select("id", six("impact").alias("impact"), "rank", "impact_0_100", stats.tier(F.col("q")).alias("tier"))

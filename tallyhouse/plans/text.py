@@ -41,7 +41,7 @@ def trajectories(spark, sf, least=4):
     return d.where(F.size("v") >= least)
 
 
-@query(r"SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'unknown' WHEN len(regexp_extract_all(text, '\p{Cyrillic}')) / greatest(len(regexp_extract_all(text, '\p{L}')), 1) > 0.20 THEN 'ru' WHEN len(regexp_extract_all(text, '[^\x00-\x7F]')) / length(text) > 0.15 THEN 'other' ELSE 'en' END AS tag FROM documents")
+@query(r"SELECT doc_id, CASE WHEN length(trim(text)) = 0 THEN 'unknown' WHEN len(regexp_extract_all(text, '[\x{0400}-\x{04FF}]')) / greatest(len(regexp_extract_all(text, '\p{L}')), 1) > 0.20 THEN 'ru' WHEN len(regexp_extract_all(text, '[^\x00-\x7F]')) / length(text) > 0.15 THEN 'other' ELSE 'en' END AS tag FROM documents")
 def language_tags(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.language(F.col("text")).alias("tag"))
 

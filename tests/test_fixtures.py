@@ -134,3 +134,15 @@ def test_ranks_dimension_and_entropy():
     assert K.permutation_entropy(np.arange(50.0)) == 0
     assert K.kendall_b(np.arange(10.0), np.arange(10.0)) == 1
     assert K.distance_correlation(np.arange(30.0), np.arange(30.0) * 2) == pytest.approx(1)
+
+
+def test_lexicons(spark):
+    from tallyhouse.functions import lexicons as L
+
+    rows = [("I woke up in a hospital, the virus was gone", 1, 1, True), ("covid again", 0, 0, False), ("Я проснулась дома", 0, 0, True), (None, 0, 0, False), ("nothing", 0, 0, False)]
+    got = spark.createDataFrame(rows, "t string, contagion int, illness int, awake boolean")
+    p = L.presence(F.col("t"))
+    for r in got.select("*", p["contagion"].alias("c"), p["illness"].alias("i"), L.awakening(F.col("t")).alias("a"), L.without_explicit(F.col("t")).alias("w"), L.threat_rate(F.col("t")).alias("r")).collect():
+        assert (r.c, r.i, r.a) == (r.contagion, r.illness, r.awake), r
+        assert r.w == (r.t != "covid again")
+    assert L.family_of("death") == "latent" and len(L.ALL) == 14 and len(L.version()) == 12
