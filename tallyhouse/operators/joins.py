@@ -85,13 +85,46 @@ def all_cosines(rows: DataFrame, key: str, vector: str, blocks: int = 8) -> Data
     return a.join(b, ["own", "o"]).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim"))
 
 
+#: Rows of either side that a task holds at once where all of one side meet all of the other.
+BLOCK_ROWS = 2048
+
+
+def in_blocks(queries: DataFrame, base: DataFrame, fn, schema: str) -> DataFrame:
+    """fn(queries, base) as pandas frames for every block of BLOCK_ROWS queries and of as many base rows, by cogroups of two hashes: nothing is broadcast, no group grows with the data."""
+    blocks = [max(1, -(-side.count() // BLOCK_ROWS)) for side in (queries, base)]
+
+    def dealt(side: DataFrame, own: int) -> DataFrame:
+        key = F.pmod(F.xxhash64(*side.columns[:1]), F.lit(blocks[own])).cast("int")
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - own] - 1)))
+        return side.select("*", key.alias(f"_{own}"), other.alias(f"_{1 - own}"))
+
+    return dealt(queries, 0).groupBy("_0", "_1").cogroup(dealt(base, 1).groupBy("_0", "_1")).applyInPandas(lambda q, b: fn(q, b), schema)
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest base rows of each query by cosine, itself left out: key, other, sim, rank. For a stated, bounded set of queries."""
-    q = queries.select(key, F.col(vector).alias("_q"))
-    b = base.select(F.col(key).alias("other"), F.col(vector).alias("_v"))
-    sims = b.join(F.broadcast(q), F.col("other") != F.col(key)).select(key, "other", cosine(F.col("_q"), F.col("_v")).alias("sim"))
+    """The k nearest base rows of each query by cosine, itself left out: key, other, sim, rank. Each block gives its k best, those are ranked."""
+    kind = base.schema[key].dataType.simpleString()
+
+    def best(q, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(b):
+            return pd.DataFrame(columns=[key, "other", "sim"])
+        x, y = (np.stack(d[vector].to_numpy()).astype(float) for d in (q, b))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        sim, others = x @ y.T, b[key].to_numpy()
+        sim[q[key].to_numpy()[:, None] == others[None]] = -np.inf
+        m = min(k, len(b))
+        order = np.lexsort((np.broadcast_to(others, sim.shape), -np.round(sim, 12)), axis=1)[:, :m] if len(b) <= 4 * k else np.argpartition(-sim, m - 1, axis=1)[:, :m]
+        rows = np.repeat(np.arange(len(q)), m)
+        flat = order.ravel()
+        out = pd.DataFrame({key: q[key].to_numpy()[rows], "other": others[flat], "sim": sim[rows, flat]})
+        return out[np.isfinite(out["sim"])]
+
+    found = in_blocks(queries.select(key, vector), base.select(key, vector), best, f"{key} {kind}, other {kind}, sim double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("sim"), "other"))
-    return sims.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def drop_near_own(test: DataFrame, train: DataFrame, key: str, person: str, vector: str, most: float = 0.98) -> DataFrame:
@@ -102,12 +135,27 @@ def drop_near_own(test: DataFrame, train: DataFrame, key: str, person: str, vect
 
 
 def rank_of_true(test: DataFrame, centroids: DataFrame, key: str, person: str, vector: str) -> DataFrame:
-    """For each test row the rank of its own person's centroid among all (a bounded set of people), by dot product: key, person, rank."""
+    """For each test row the rank of its own person's centroid among all by dot product (ties by person): key, person, rank. In blocks, whose counts add up."""
     c = centroids.select(F.col(person).alias("_p"), F.col(vector).alias("_c"))
-    sims = test.select(key, person, vector).join(F.broadcast(c)).select(key, person, "_p", dot(F.col(vector), F.col("_c")).alias("sim"))
-    own = sims.where(F.col("_p") == F.col(person)).select(key, F.col("sim").alias("_own"))
-    better = (F.col("sim") > F.col("_own")) | ((F.col("sim") == F.col("_own")) & (F.col("_p") < F.col(person)))
-    return sims.join(own, key).groupBy(key, person).agg((F.count_if(better) + 1).alias("rank"))
+    t = test.select(F.col(key).alias(key), F.col(person).alias(person), F.col(vector).alias(vector))
+    own = t.join(c, F.col(person) == F.col("_p")).select(key, person, vector, dot(F.col(vector), F.col("_c")).alias("_own"))
+    kinds = {n: test.schema[n].dataType.simpleString() for n in (key, person)}
+
+    def better(q, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(b):
+            return pd.DataFrame(columns=[key, person, "n"])
+        sim = np.stack(q[vector].to_numpy()).astype(float) @ np.stack(b["_c"].to_numpy()).astype(float).T
+        mine, who = q["_own"].to_numpy()[:, None], b["_p"].to_numpy()[None]
+        same = who == q[person].to_numpy()[:, None]
+        above = (sim > mine + 1e-12) | ((np.abs(sim - mine) <= 1e-12) & (who < q[person].to_numpy()[:, None]))
+        return pd.DataFrame({key: q[key], person: q[person], "n": (above & ~same).sum(1)})
+
+    again = centroids.select(F.col(person).alias("_p"), F.col(vector).alias("_c"))
+    counts = in_blocks(own, again, better, f"{key} {kinds[key]}, {person} {kinds[person]}, n long")
+    return counts.groupBy(key, person).agg((F.sum("n") + 1).alias("rank"))
 
 
 def identification(ranks: DataFrame, people: int) -> DataFrame:
