@@ -27,7 +27,11 @@ def synchrony(units: DataFrame, vector: str, day: str = "day", within: int = 56,
     seen = cohesion(units, vector, [day]).where(F.col("n") >= least).withColumnRenamed("cohesion", "obs")
     near = neighbourhood(units.select(day), within, same_weekday, day)
     pool = near.join(units.select(F.col(day).alias("other"), vector, F.col("unit_id")), "other").join(seen.select(day, F.col("n").alias("_k")), day)
-    drawn = pool.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    size = pool.groupBy(day).agg(F.count("*").alias("_size"))
+    drawn = pool.join(size, day).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # a draw ranks only rows whose hash lies below a share that holds enough of them, six spreads to spare
+    share = (F.col("_k") + 6 * F.sqrt("_k") + 6) / F.col("_size")
+    drawn = drawn.where(F.pmod(F.xxhash64("unit_id", "other", day, "draw"), F.lit(1_000_003)) / 1_000_003.0 < share)
     turn = F.row_number().over(Window.partitionBy(day, "draw").orderBy(F.xxhash64("draw", day, "other", "unit_id")))
     drawn = drawn.withColumn("_n", turn).where(F.col("_n") <= F.col("_k"))
     null = cohesion(drawn, vector, [day, "draw"]).groupBy(day).agg(F.avg("cohesion").alias("null_mean"), F.stddev_samp("cohesion").alias("null_sd"), F.collect_list("cohesion").alias("_x"))
