@@ -227,3 +227,60 @@ def injected_power(effects: DataFrame, effect: str, null_sd: float, deltas: list
     rows = d.crossJoin(F.broadcast(draw)).crossJoin(F.broadcast(n))  # a few hundred rows
     noise = F.sqrt(-2 * F.log((F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1_000_003)) + 1) / 1_000_004.0)) * F.cos(2 * 3.141592653589793 * F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1_000_003)) / 1_000_003.0)
     return rows.groupBy("delta").agg(F.avg((F.abs(F.col("delta") + noise * F.lit(null_sd)) > z * null_sd).cast("int")).alias("power"))
+
+
+def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[str], k: int = 5, lag: int = 1, draws: int = 0) -> DataFrame:
+    """For periods `lag` apart in the list: how much of a person's k nearest (cosine of standardised columns) stay, among those in both; with draws also against relabelled people.
+
+    One group holds two periods' panel, a row a person. Pairs with k + 1 people in common or fewer are left out.
+    """
+    order = panel.select(period).distinct().withColumn("_i", F.row_number().over(Window.orderBy(period)))  # a row a period
+    rows = panel.select(person, period, *columns).dropna().join(order, period).withColumn("pair", F.explode(F.array(F.col("_i"), F.col("_i") - lag)))
+    columns_out = ["pair", "n_common", "overlap", "chance", "edge_jaccard", "null_mean", "p"]
+
+    def nearest(x: np.ndarray) -> np.ndarray:
+        x = (x - x.mean(0)) / (x.std(0) + 1e-9)
+        x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
+        sim = x @ x.T
+        np.fill_diagonal(sim, -np.inf)
+        near = np.zeros(sim.shape, bool)
+        near[np.arange(len(x))[:, None], np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]] = True
+        return near
+
+    def one(ids, pdf):
+        import pandas as pd
+
+        a, b = (pdf[pdf["_i"] == ids[0] + s].drop_duplicates(person).set_index(person)[columns] for s in (0, lag))
+        common = sorted(set(a.index) & set(b.index))
+        if len(common) <= k + 1:
+            return pd.DataFrame(columns=columns_out)
+        n = len(common)
+        near = [nearest(m.loc[common].to_numpy(float)) for m in (a, b)]
+        share = lambda p, q: float((p & q).sum() / (n * min(k, n - 1)))
+        seen, rng = share(*near), K.rng_of("identity", ids[0], n)
+        null = []
+        for _ in range(draws):
+            o = rng.permutation(n)
+            null.append(share(near[0], near[1][np.ix_(o, o)]))
+        return pd.DataFrame([(ids[0], n, seen, k / (n - 1), float((near[0] & near[1]).sum() / (near[0] | near[1]).sum()), float(np.mean(null)) if null else np.nan, (1 + sum(v >= seen for v in null)) / (draws + 1) if null else np.nan)], columns=columns_out)
+
+    return rows.groupBy("pair").applyInPandas(one, "pair int, n_common long, overlap double, chance double, edge_jaccard double, null_mean double, p double")
+
+
+def chronology(panel: DataFrame, person: str, period: str, vector: str, draws: int = 10) -> DataFrame:
+    """Pair-weighted mean cosine within periods of people's unit vectors, against vectors dealt anew over each person's own periods: observed, null_mean, p (two-sided)."""
+    from .vectors import order_parameter
+
+    def mean_order(rows: DataFrame, column: str, draw: int) -> DataFrame:
+        o = order_parameter(rows, column, [period]).where("n > 1")
+        w = F.col("n") * (F.col("n") - 1) / 2
+        return o.agg((F.sum(w * F.col("mean_pair_cosine")) / F.sum(w)).alias("x")).select(F.lit(draw).alias("draw"), "x")
+
+    base = panel.select(person, period, vector)
+    everything = mean_order(base, vector, -1)
+    for d in range(draws):
+        everything = everything.unionByName(mean_order(within_shift_null(base, person, vector, period, d), "shuffled", d))
+    g = everything.agg(F.max(F.when(F.col("draw") < 0, F.col("x"))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col("x"))).alias("_x"))
+    m = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.size("_x")
+    beyond = F.size(F.filter("_x", lambda x: F.abs(x - m) >= F.abs(F.col("observed") - m)))
+    return g.select("observed", m.alias("null_mean"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))

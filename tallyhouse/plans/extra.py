@@ -14,6 +14,7 @@ from ..functions import scoring
 from ..functions import text as X
 from ..operators import graph as G
 from ..operators import inference as I
+from ..operators import nulls as N
 from ..operators import sampling as S
 from ..operators import windows as W
 from ..sources.tables import read, reports, six
@@ -56,31 +57,26 @@ def day_level_wls(spark, sf):
     return spark.createDataFrame([(round(float(beta[1]), 6),)], "beta double")
 
 
+def weekly_people(spark, sf):
+    r = reports(spark, sf).withColumn("week", F.to_date(F.date_trunc("week", "day")))
+    return r.groupBy("user_id", "week").agg(F.avg("value").alias("value"), F.avg("k").alias("k"), F.count("*").alias("n")).where("n >= 3")
+
+
 @query()
 def neighbour_persistence(spark, sf):
-    """Share of a contributor's nearest five in one week that are so in the next, among those in both: one pair of weeks a group."""
-    r = reports(spark, sf).withColumn("week", F.to_date(F.date_trunc("week", "day"))).groupBy("user_id", "week").agg(F.avg("value").alias("value"), F.avg("k").alias("k"), F.count("*").alias("n")).where("n >= 3")
-    weeks = r.select("week").distinct().withColumn("i", F.rank().over(W.Window.orderBy("week")))
-    numbered = r.join(F.broadcast(weeks), "week")  # a row a week
-    pairs = numbered.withColumn("pair", F.explode(F.array(F.col("i"), F.col("i") - 1)))
-
-    def one(ids, pdf):
-        a, b = (pdf[pdf["i"] == ids[0] + s].set_index("user_id")[["value", "k"]] for s in (0, 1))
-        common = sorted(set(a.index) & set(b.index))
-        if len(common) <= 6:
-            return pd.DataFrame(columns=["pair", "n_common", "overlap", "chance"])
-        sets = []
-        for m in (a, b):
-            x = m.loc[common].to_numpy(float)
-            x = (x - x.mean(0)) / (x.std(0) + 1e-9)
-            x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-            s = x @ x.T
-            np.fill_diagonal(s, -np.inf)
-            sets.append([set(np.argsort(-row, kind="stable")[:5]) for row in s])
-        overlap = float(np.mean([len(p & q) / 5 for p, q in zip(*sets, strict=True)]))
-        return pd.DataFrame([{"pair": ids[0], "n_common": len(common), "overlap": overlap, "chance": 5 / (len(common) - 1)}])
-
-    return pairs.groupBy("pair").applyInPandas(one, "pair int, n_common long, overlap double, chance double")
+    """Share of a contributor's nearest five in one week that are so in the next, against relabelled contributors."""
+    return N.neighbour_overlap(weekly_people(spark, sf), "user_id", "week", ["value", "k"], draws=50)
+
+
+@query()
+def neighbour_persistence_two_weeks(spark, sf):
+    return N.neighbour_overlap(weekly_people(spark, sf), "user_id", "week", ["value", "k"], lag=2)
+
+
+@query()
+def chronology_permutation(spark, sf):
+    w = weekly_people(spark, sf).withColumn("u", A.unit(F.array(F.col("value") - 50, F.col("k") - 50))).where("u IS NOT NULL")
+    return N.chronology(w, "user_id", "week", "u", 5)
 
 
 @query()

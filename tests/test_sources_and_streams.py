@@ -151,3 +151,43 @@ def test_warning_indicators_equal_loops(spark):
         seg = x[max(0, r.day - 27) : r.day + 1]
         if len(seg) >= 28:
             assert r.variance == pytest.approx(seg.var(ddof=1)) and r.ar1 == pytest.approx(np.corrcoef(seg[:-1], seg[1:])[0, 1])
+
+
+def test_searches_in_several_blocks_equal_one(spark, monkeypatch):
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    q = e.where("vec_id % 20 = 0")
+    c = V.unit_means(e, "embedding", ["label"]).select("label", F.col("unit").alias("embedding"))
+    one = [sorted(map(str, f.collect())) for f in (J.nearest(q, e, "vec_id", "embedding", 3).drop("sim"), J.rank_of_true(q, c, "vec_id", "label", "embedding"))]
+    monkeypatch.setattr(J, "BLOCK_ROWS", 7)
+    many = [sorted(map(str, f.collect())) for f in (J.nearest(q, e, "vec_id", "embedding", 3).drop("sim"), J.rank_of_true(q, c, "vec_id", "label", "embedding"))]
+    assert one == many and len(one[0]) == 3 * q.count()
+
+
+def test_kept_identities_beat_relabelled_ones(spark):
+    import numpy as np
+
+    from tallyhouse.operators import nulls as N
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(40, 3))
+    rows = [(i, w, *map(float, x[i] + rng.normal(0, 0.05, 3))) for i in range(40) for w in (1, 2)]
+    r = N.neighbour_overlap(spark.createDataFrame(rows, "p int, w int, a double, b double, c double"), "p", "w", ["a", "b", "c"], draws=50).first()
+    assert r.overlap > 0.6 and r.p < 0.05 and abs(r.null_mean - r.chance) < 0.1
+
+
+def test_aligned_days_are_in_synchrony(spark):
+    import numpy as np
+
+    from tallyhouse.operators import nulls as N
+
+    rng = np.random.default_rng(1)
+    rows = []
+    for d in range(30):
+        turn = rng.uniform(0, 6.28)
+        for u in range(12):
+            a = turn + rng.normal(0, 0.3)
+            rows.append((d, u, [float(np.cos(a)), float(np.sin(a))]))
+    units = spark.createDataFrame(rows, "d int, unit_id int, u array<double>").select(F.expr("date_add(date'2024-01-01', d)").alias("day"), "unit_id", "u")
+    s = N.synchrony(units, "u", within=10, draws=20, same_weekday=False)
+    r = N.stouffer(s).first()
+    assert r.stouffer_z > 5 and r.n == 30 and s.agg(F.min("n")).first()[0] == 12
