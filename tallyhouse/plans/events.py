@@ -64,10 +64,10 @@ def same_weekday_neighbourhood(spark, sf):
 
 
 @query(SPACED + """, b AS (SELECT min(day) AS b FROM d WHERE n >= 5), el AS (SELECT day, v FROM d WHERE n >= 5), x AS (SELECT ev.day AS event, (SELECT avg(v) FROM el WHERE el.day BETWEEN ev.day + 1 AND ev.day + 7) AS post, (SELECT avg(v) FROM el WHERE el.day BETWEEN ev.day - 21 AND ev.day - 4) AS pre FROM ev JOIN el USING (day))
-  SELECT event::VARCHAR AS event, round(post, 4) AS post, round(pre, 4) AS pre, round(post - pre, 4) AS effect FROM x""")
+  SELECT event::VARCHAR AS event, round(post, 2) AS post, round(pre, 2) AS pre, round(post - pre, 2) AS effect FROM x""")
 def event_effects(spark, sf):
     e = E.event_effects(daily_orders(spark, sf), events(spark, sf), "v", least=5)
-    return e.select(text("event"), *(F.round(c, 4).alias(c) for c in ("post", "pre", "effect")))
+    return e.select(text("event"), *(F.round(c, 2).alias(c) for c in ("post", "pre", "effect")))
 
 
 @query()

@@ -209,10 +209,10 @@ def anomalous_days(spark, sf):
 
 
 @query(ORDERS + """, c AS (SELECT unnest(generate_series((SELECT min(day) FROM d), (SELECT max(day) FROM d), INTERVAL 1 DAY))::DATE AS day), j AS (SELECT c.day, CASE WHEN n >= 5 THEN v END AS v FROM c LEFT JOIN d USING (day))
-  SELECT day::VARCHAR AS day, round(sum(coalesce(v, 0)) OVER (ORDER BY day), 4) AS csum, count(v) OVER (ORDER BY day) AS ccount FROM j""")
+  SELECT day::VARCHAR AS day, round(sum(coalesce(v, 0)) OVER (ORDER BY day), 1) AS csum, count(v) OVER (ORDER BY day) AS ccount FROM j""")
 def prefix_sums(spark, sf):
     d = daily_orders(spark, sf).withColumn("v", F.when(F.col("n") >= 5, F.col("v")))
-    return W.prefix_sums(d, "v").select(text("day"), F.round("csum", 4).alias("csum"), "ccount")
+    return W.prefix_sums(d, "v").select(text("day"), F.round("csum", 1).alias("csum"), "ccount")
 
 
 @query(ORDERS + """, p AS (SELECT *, lag(v) OVER (ORDER BY day) AS l FROM d), a AS (SELECT day, count(v) OVER w AS k, var_samp(v / 1000) OVER w AS variance, corr(v, l) OVER p AS ar1 FROM p
