@@ -120,7 +120,7 @@ def warning_pipeline(series: DataFrame, value: str, order: str = "day", window:
         def taus(v):
             s = pd.Series(v)
             var = s.rolling(window, min_periods=window // 2).var().to_numpy()
-            ac = s.rolling(window, min_periods=window // 2).apply(lambda a: np.corrcoef(a[:-1], a[1:])[0, 1] if len(a) > 5 else np.nan, raw=True).to_numpy()
+            ac = K.rolling_ar1(v, window)
             ahead = (s.shift(-14).rolling(14).mean() - s.rolling(7).mean()).to_numpy()
             top = np.flatnonzero(np.isfinite(ahead) & (ahead >= np.nanquantile(ahead, 0.90)))
             kept = []
