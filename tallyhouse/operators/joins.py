@@ -101,6 +101,26 @@ def in_blocks(queries: DataFrame, base: DataFrame, fn, schema: str) -> DataFrame
     return dealt(queries, 0).groupBy("_0", "_1").cogroup(dealt(base, 1).groupBy("_0", "_1")).applyInPandas(lambda q, b: fn(q, b), schema)
 
 
+def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str) -> DataFrame:
+    """Cosines of every query with every base row but itself, in blocks: key, other, sim."""
+    kind = base.schema[key].dataType.simpleString()
+
+    def pairs(q, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(b):
+            return pd.DataFrame(columns=[key, "other", "sim"])
+        x, y = (np.stack(v.to_numpy()).astype(float) for v in (q[vector], b["_v"]))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        own, others = q[key].to_numpy(), b["other"].to_numpy()
+        i, j = np.nonzero(own[:, None] != others[None])
+        return pd.DataFrame({key: own[i], "other": others[j], "sim": (x @ y.T)[i, j]})
+
+    others = base.select(F.col(key).alias("other"), F.col(vector).alias("_v"))
+    return in_blocks(queries.select(key, vector), others, pairs, f"{key} {kind}, other {kind}, sim double")
+
+
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
     """The k nearest base rows of each query by cosine, itself left out: key, other, sim, rank. Each block gives its k best, those are ranked."""
     kind = base.schema[key].dataType.simpleString()

@@ -60,6 +60,13 @@ def all_pair_cosines(spark, sf):
     return J.all_cosines(embeddings(spark, sf).where("vec_id % 100 = 0"), "vec_id", "embedding").select("a", "b", F.round("sim", 5).alias("sim"))
 
 
+@query(SOME + " SELECT q.vec_id, e.vec_id AS other, round(list_cosine_similarity(q.v, e.v), 5) AS sim FROM q JOIN e ON e.vec_id <> q.vec_id")
+def query_cosines(spark, sf):
+    """The query vectors against all vectors (all_pair_cosines, with its SQL, has pairs of query vectors only)."""
+    e = embeddings(spark, sf)
+    return J.cosines_to_all(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding").select("vec_id", "other", F.round("sim", 5).alias("sim"))
+
+
 CENTROIDS = SOME + ", c AS (SELECT label, list(m ORDER BY p) AS c FROM (SELECT label, p, avg(x) AS m FROM (SELECT label, unnest(range(64)) AS p, unnest(v) AS x FROM e WHERE vec_id % 5 <> 0) GROUP BY 1, 2) GROUP BY 1), cu AS (SELECT label, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)))) AS c FROM c)"
 
 

@@ -26,3 +26,10 @@ def test_warning_pipeline_takes_every_day(spark):
         if not kept or t - kept[-1] >= 42:
             kept.append(t)
     assert {r.episodes for r in QUERIES["warning_pipeline"](spark, SMALL).collect()} == {len(kept)}
+
+
+def test_query_cosines_meet_every_vector(spark):
+    ids = {r.vec_id for r in spark.read.parquet(f"{SMALL}/embeddings.parquet").select("vec_id").collect()}
+    got = QUERIES["query_cosines"](spark, SMALL).toPandas()
+    assert set(got["other"]) == ids
+    assert (got.groupby("vec_id").size() == len(ids) - 1).all() and set(got["vec_id"]) == {i for i in ids if i % 100 == 0}
