@@ -14,6 +14,7 @@ def components(edges: DataFrame, nodes: DataFrame, key: str, rounds: int = 50) -
     label = nodes.select(F.col(key).alias("a"), F.col(key).alias("c"))
     spark = nodes.sparkSession
     stable = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
+    both = both.checkpoint() if stable else both.persist()
     for _ in range(rounds):
         near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         new = label.join(near, "a", "left").select("a", F.least("c", "n").alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved"))

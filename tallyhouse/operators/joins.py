@@ -101,6 +101,31 @@ def in_blocks(queries: DataFrame, base: DataFrame, fn, schema: str) -> DataFrame
     return dealt(queries, 0).groupBy("_0", "_1").cogroup(dealt(base, 1).groupBy("_0", "_1")).applyInPandas(lambda q, b: fn(q, b), schema)
 
 
+def cosine_links(rows: DataFrame, key: str, vector: str, least: float) -> DataFrame:
+    """Links a, b between rows with a cosine above `least` that give the components of all such pairs: every two blocks meet once, and each meeting gives a spanning forest of its pairs."""
+    from ..functions import kernels as K
+
+    kind = rows.schema[key].dataType.simpleString()
+    n = max(1, -(-rows.count() // BLOCK_ROWS))
+    own = F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    a = rows.select(F.col(key).alias("a"), F.col(vector).alias("_x"), own.alias("_i")).withColumn("_j", F.explode(F.sequence(F.col("_i"), F.lit(n - 1))))
+    b = rows.select(F.col(key).alias("b"), F.col(vector).alias("_y"), own.alias("_j")).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_j"))))
+
+    def links(p, q):
+        import numpy as np
+        import pandas as pd
+
+        if not len(p) or not len(q):
+            return pd.DataFrame(columns=["a", "b"])
+        x, y = (np.stack(v.to_numpy()).astype(float) for v in (p["_x"], q["_y"]))
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+        one, two = p["a"].to_numpy(), q["b"].to_numpy()
+        found = K.block_links((x @ y.T > least) & (one[:, None] != two[None]))
+        return pd.DataFrame({"a": one[[i for i, _ in found]], "b": two[[j for _, j in found]]}) if found else pd.DataFrame(columns=["a", "b"])
+
+    return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(links, f"a {kind}, b {kind}")
+
+
 def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str) -> DataFrame:
     """Cosines of every query with every base row but itself, in blocks: key, other, sim."""
     kind = base.schema[key].dataType.simpleString()

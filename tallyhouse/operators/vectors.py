@@ -130,39 +130,23 @@ def shuffled_positions(df: DataFrame, key: str, vector: str, size: int, seed: in
     return out.select(key, F.array(*(F.col(f"_{k}") for k in range(size))).alias(vector))
 
 
-def percolation(edges: DataFrame, nodes: int, thetas: list[float]) -> DataFrame:
-    """From the edges (a, b, sim) of a bounded sample: giant share, components, mean degree and singletons at each threshold.
-
-    Components at all thresholds follow from the strongest edges alone (a maximum spanning forest), one group of nodes squared at most.
-    """
+def percolation(df: DataFrame, key: str, vector: str, thetas: list[float], sample: int = 5000, seeds: int = 3) -> DataFrame:
+    """The percolation curve of `sample` rows (all, if fewer), averaged over seeds: each seed's hashed sample is one group."""
+    drawn = None
+    for seed in range(seeds):
+        d = df.select(key, vector).orderBy(F.xxhash64(F.lit(seed), key), key).limit(sample).withColumn("seed", F.lit(seed))
+        drawn = d if drawn is None else drawn.unionByName(d)
+    columns = ["theta", "giant_frac", "n_components", "mean_degree", "n_singletons"]
 
     def one(pdf):
         import pandas as pd
 
-        rows = []
-        order = np.argsort(-pdf["sim"].to_numpy(), kind="stable")
-        a, b, s = (pdf[c].to_numpy()[order] for c in ("a", "b", "sim"))
-        names = np.unique(np.r_[a, b])
-        a, b = np.searchsorted(names, a), np.searchsorted(names, b)
-        for theta in sorted(thetas, reverse=True):
-            parent = np.arange(len(names))
-
-            def root(x, parent=parent):
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            use = int(np.searchsorted(-s, -theta, "left"))
-            for x, y in zip(a[:use], b[:use], strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-            size = np.bincount([root(x) for x in range(len(names))], minlength=len(names))
-            rows.append((float(theta), float(size.max() / nodes), int((size > 0).sum() + nodes - len(names)), float(2 * use / nodes), int((size == 1).sum() + nodes - len(names))))
-        return pd.DataFrame(rows, columns=["theta", "giant_frac", "n_components", "mean_degree", "n_singletons"])
-
-    return edges.groupBy().applyInPandas(one, "theta double, giant_frac double, n_components long, mean_degree double, n_singletons long")
+        x = np.stack(pdf.sort_values(key)[vector].to_numpy()).astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+        return pd.DataFrame([(*r, len(x)) for r in K.percolation(x, thetas)], columns=[*columns, "n"])
+
+    each = drawn.groupBy("seed").applyInPandas(one, ", ".join(f"{c} double" for c in columns) + ", n long")
+    return each.groupBy("theta").agg(*(F.avg(c).alias(c) for c in columns[1:]), F.max("n").alias("n"))
 
 
 def ridge_axis(df: DataFrame, vector: str, size: int, target: str, alpha: float = 10.0) -> tuple[list[float], float]:

@@ -101,33 +101,31 @@ def shuffled_spectrum(spark, sf):
 
 @query()
 def intrinsic_dimension(spark, sf):
-    """TwoNN (both fits) and correlation dimension by label, one label's vectors in a group (a bounded sample of 400 each)."""
+    """TwoNN (both fits) and correlation dimension by label, one label's vectors in a group (at most 8,000 each, 1,500 of them for the correlation dimension, as surveyed)."""
     from ..operators.sampling import capped
 
-    s = capped(embeddings(spark, sf), ["label"], "vec_id", 400).select("label", "vec_id", "embedding")
+    s = capped(embeddings(spark, sf), ["label"], "vec_id", 8000).select("label", "vec_id", "embedding")
 
     def one(ids, pdf):
         import numpy as np
         import pandas as pd
 
         x = np.stack(pdf.sort_values("vec_id")["embedding"].to_numpy()).astype(float)
-        return pd.DataFrame([{"label": ids[0], "n": len(x), "two_nn": K.two_nn(x), "two_nn_origin": K.two_nn(x, False), "corr_dim": K.correlation_dimension(x)}])
+        return pd.DataFrame([{"label": ids[0], "n": len(x), "two_nn": K.two_nn(x), "two_nn_origin": K.two_nn(x, False), "corr_dim": K.correlation_dimension(x[np.sort(K.rng_of("corr_dim", int(ids[0])).permutation(len(x))[:1500])])}])
 
     return s.groupBy("label").applyInPandas(one, "label int, n long, two_nn double, two_nn_origin double, corr_dim double")
 
 
 @query()
 def percolation_curve(spark, sf):
-    sample = embeddings(spark, sf).orderBy(F.pmod(F.col("vec_id") * 2654435761, F.lit(4294967296)), "vec_id").limit(300)
-    return V.percolation(J.all_cosines(sample, "vec_id", "embedding"), 300, [0.1, 0.2, 0.3, 0.4, 0.5])
+    return V.percolation(embeddings(spark, sf), "vec_id", "embedding", [round(0.02 + 0.03 * k, 2) for k in range(30)])
 
 
 @query()
 def graph_components(spark, sf):
-    """Components of the cosine graph at 0.5 of every 5th vector's sample, by label passing."""
-    s = embeddings(spark, sf).orderBy(F.pmod(F.col("vec_id") * 2654435761, F.lit(4294967296)), "vec_id").limit(200)
-    e = J.all_cosines(s, "vec_id", "embedding").where("sim > 0.5").select("a", "b")
-    return G.components(e, s.select("vec_id"), "vec_id")
+    """Components of the cosine graph of all vectors at 0.5, by label passing."""
+    e = embeddings(spark, sf)
+    return G.components(J.cosine_links(e, "vec_id", "embedding", 0.5), e.select("vec_id"), "vec_id")
 
 
 @query()

@@ -33,3 +33,53 @@ def test_query_cosines_meet_every_vector(spark):
     got = QUERIES["query_cosines"](spark, SMALL).toPandas()
     assert set(got["other"]) == ids
     assert (got.groupby("vec_id").size() == len(ids) - 1).all() and set(got["vec_id"]) == {i for i in ids if i % 100 == 0}
+
+
+def least_reached(near: np.ndarray) -> list[int]:
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None], len(near)).min(1))
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def unit_rows() -> np.ndarray:
+    x = np.stack(pd.read_parquet(f"{SMALL}/embeddings.parquet").sort_values("vec_id")["embedding"].to_numpy()).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_components_are_those_of_all_vectors(spark, monkeypatch):
+    from tallyhouse.operators import graph as G
+    from tallyhouse.operators import joins as J
+
+    x = unit_rows()
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    got = {r.vec_id: r.component for r in QUERIES["graph_components"](spark, SMALL).collect()}
+    assert got == dict(enumerate(least_reached(s > 0.5)))
+    monkeypatch.setattr(J, "BLOCK_ROWS", 120)
+    e = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    got = {r.vec_id: r.component for r in G.components(J.cosine_links(e, "vec_id", "embedding", 0.3), e.select("vec_id"), "vec_id").collect()}
+    assert got == dict(enumerate(least_reached(s > 0.3)))
+
+
+def test_percolation_of_all_rows(spark):
+    got = {r.theta: r for r in QUERIES["percolation_curve"](spark, SMALL).collect()}
+    x = unit_rows()
+    s = x @ x.T
+    np.fill_diagonal(s, 0)
+    assert len(got) == 30
+    for theta in (0.2, 0.32, 0.44):
+        size = np.bincount(least_reached(s > theta))
+        want = (size.max() / len(x), (size > 0).sum(), (s > theta).sum() / len(x), (size == 1).sum(), len(x))
+        r = got[theta]
+        assert (r.giant_frac, r.n_components, r.mean_degree, r.n_singletons, r.n) == pytest.approx(want)
+
+
+def test_two_nn_takes_more_rows_and_copies():
+    x = np.random.default_rng(1).normal(size=(900, 8))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    assert K.nearest_two(x) == pytest.approx(np.sort(d, axis=1)[:, :2])
+    assert K.nearest_two(np.r_[x, x[:1]])[0, 0] == 0
