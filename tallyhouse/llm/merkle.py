@@ -3,7 +3,7 @@
 A text is cut, without gaps, into leaves of a few words; leaves form paragraphs (lines), paragraphs form sections (at blank lines, and
 where a paragraph's hash says so, so that an edit moves no boundary far from it). A paragraph's hash covers its leaves' hashes, a
 section's its paragraphs', the root all sections'. The fingerprint string is the tree's top and bottom: the root, each section's
-hash, and 16 bits of each leaf's. Equal roots mean equal texts; where roots differ, sections that differ locate the edit, and the
+hash, and the 64 bits of each leaf's. Equal roots mean equal texts; where roots differ, sections that differ locate the edit, and the
 share of leaves in common is the likeness.
 
 Neighbours in descending doc_id are found without ordering all rows in one place: doc_id is cut into ranges of like size, every
@@ -52,7 +52,7 @@ class Tree:
 
     @property
     def fingerprint(self) -> str:
-        return f"{self.root}.{'-'.join(self.sections)}.{(self.leaves & np.uint64(0xFFFF)).astype('>u2').tobytes().hex()}"
+        return f"{self.root}.{'-'.join(self.sections)}.{self.leaves.astype('>u8').tobytes().hex()}"
 
 
 def trees(texts: list[bytes]) -> list[Tree]:
@@ -103,7 +103,7 @@ def likeness(one: str, two: str) -> float:
     a, b = one.split("."), two.split(".")
     if a[0] == b[0]:
         return 1.0
-    x, y = (np.sort(np.frombuffer(bytes.fromhex(p[2]), ">u2").astype(np.int32)) for p in (a, b))
+    x, y = (np.sort(np.frombuffer(bytes.fromhex(p[2]), ">u8").astype(np.uint64)) for p in (a, b))
     if not len(x) or not len(y):
         return 0.0
     (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)

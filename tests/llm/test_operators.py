@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -186,6 +187,15 @@ def test_tree_properties():
             assert (merkle.trees([a.encode()])[0].fingerprint == merkle.trees([b.encode()])[0].fingerprint) == (a == b)
 
 
+def test_long_unrelated_texts_are_unlike():
+    one, two = (" ".join(f"{k}x{i}" for i in range(40_000)) for k in "ab")
+    a, b = merkle.trees([one.encode(), two.encode()])
+    assert len(a.leaves) > 10_000 and merkle.likeness(a.fingerprint, b.fingerprint) < 1e-4
+    half = merkle.trees([(one[: len(one) // 2] + two[len(two) // 2 :]).encode()])[0]
+    same = (Counter(a.leaves.tolist()) & Counter(half.leaves.tolist())).total()
+    assert merkle.likeness(a.fingerprint, half.fingerprint) == pytest.approx(2 * same / (len(a.leaves) + len(half.leaves)))
+
+
 def test_fingerprints_awkward(spark, awkward, nothing):
     got = merkle.compare_with_edits(awkward).collect()
     assert len(got) == awkward.count() and all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
