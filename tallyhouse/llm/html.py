@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 # fixed values: HTML's element classes
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style head title template noscript iframe noembed noframes object svg canvas audio video math datalist".split())
+UNSEEN = frozenset("script style head title template noscript iframe noembed noframes canvas audio video datalist".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section summary table tbody td tfoot th thead tr ul caption".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote dl figure pre ul ol menu table hr".split())
 LISTS = frozenset("ul ol menu dir".split())
@@ -39,9 +39,15 @@ P_SCOPE = {"table", "td", "th", "caption", "button", "object", "body", "html"}
 BODY_ONLY = BLOCK - {"html", "body"} | {"a", "span", "b", "i", "em", "strong", "img", "br", "input", "button", "label", "select"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-_HIDDEN = re.compile(r"""(?i)(?:^|[\s"'])hidden(?:[\s=/]|$)|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))""")
-_ATTR = r"""(?i)(?:^|\s){}\s*=\s*["']?([^\s"'>]*)"""
-_SPAN, _START = re.compile(_ATTR.format("colspan")), re.compile(_ATTR.format("start"))
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
+#: An attribute string without this hides nothing.
+_MAY_HIDE = re.compile(r"(?i)hidden|none|collapse|&")
+#: What may hold semicolons in a style without ending a declaration.
+_STYLE_INERT = re.compile(r"""(?s)/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|(?i:url)\([^)]*\)""")
+#: Of svg and math: what is never drawn itself, and HTML's tags that end a drawing or formula left open.
+UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_FOREIGN = re.compile(r"(?i)<(?:svg|math)[\s/>]")
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 MAX_TABLE_DEPTH = 16
 
@@ -53,11 +59,46 @@ class Node:
         self.tag, self.attrs, self.children = tag, attrs, []
 
 
+def attributes(raw: str) -> dict[str, str]:
+    """Names in small letters with their values; the first of a name counts."""
+    found: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(raw):
+        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 else value))
+    return found
+
+
+def hides(raw: str) -> bool:
+    """Whether an element with these attributes is left out: the hidden attribute, or a style that says so in the end."""
+    if not _MAY_HIDE.search(raw):
+        return False
+    found = attributes(raw)
+    if "hidden" in found:
+        return True
+    said: dict[str, tuple[bool, str]] = {}
+    for part in _STYLE_INERT.sub(" ", found.get("style", "")).split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.strip().lower().partition("!")
+        name, strong = name.strip().lower(), bool(mark)
+        if strong >= said.get(name, (False, ""))[0]:
+            said[name] = strong, value.strip()
+    return said.get("display", (False, ""))[1] == "none" or said.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+
+
 def build(html: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     stack = [root]
     at, size = 0, len(html)
+    drawings = _FOREIGN.search(html) is not None
+
+    def foreign() -> int:
+        """The place in the stack of the svg or math element whose own markup is being read, or 0."""
+        for k in range(len(stack) - 1, 0, -1):
+            if stack[k].tag in ("svg", "math"):
+                return k
+            if stack[k].tag == "foreignobject":
+                return 0
+        return 0
 
     def text(raw: str, escaped: bool = True) -> None:
         if raw:
@@ -106,6 +147,16 @@ def build(html: str) -> Node:
             continue
         if tag == "html":
             continue
+        inside = foreign() if drawings else 0
+        if inside and tag in BREAKOUT:
+            del stack[inside:]
+            inside = 0
+        if inside:
+            node = Node(tag, "hidden" if tag in UNDRAWN else attrs)
+            stack[-1].children.append(node)
+            if not attrs.endswith("/"):
+                stack.append(node)
+            continue
         if tag == "body":
             if any(n.tag == "body" for n in stack):
                 continue
@@ -127,7 +178,7 @@ def build(html: str) -> Node:
                 node.children.append(unescape(body))
             at = end.end() if end else size
             continue
-        if attrs.endswith("/") and tag in ("path", "g", "rect", "circle"):
+        if attrs.endswith("/") and tag in ("path", "g", "rect", "circle", "svg", "math"):
             continue
         stack.append(node)
     return root
@@ -202,7 +253,21 @@ class Page:
 
 
 def seen(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attrs and _HIDDEN.search(node.attrs))
+    return node.tag not in UNSEEN and not (node.attrs and hides(node.attrs))
+
+
+def drawn(svg: Node) -> list[Node]:
+    """The texts of a drawing in order; what lies outside of them is not shown."""
+    out, todo = [], [svg]
+    while todo:
+        node = todo.pop()
+        if node.tag in ("text", "foreignobject"):
+            out.append(node)
+            continue
+        for child in reversed(node.children):
+            if isinstance(child, Node) and seen(child) and not (child.attrs and (a := attributes(child.attrs)) and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"))):
+                todo.append(child)
+    return out
 
 
 def render(node: Node, depth: int = 0) -> str:
@@ -228,8 +293,12 @@ def render(node: Node, depth: int = 0) -> str:
             page.margin()
             continue
         if tag == "wbr" or tag in VOID:
-            if tag == "input" and re.search(r"(?i)type\s*=\s*[\"']?(submit|button|reset)", item.attrs) and (m := re.search(r"(?i)value\s*=\s*\"([^\"]*)\"", item.attrs)):
-                page.write(unescape(m[1]))
+            if tag == "input" and (a := attributes(item.attrs)).get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
+                page.write(a["value"])
+            continue
+        if tag == "svg":  # each text stands by itself
+            for t in reversed(drawn(item)):
+                stack += [(None, page.end_line), *((c, None) for c in reversed(t.children)), (None, page.end_line)]
             continue
         if tag == "table" and depth < MAX_TABLE_DEPTH:
             page.margin()
@@ -246,8 +315,8 @@ def render(node: Node, depth: int = 0) -> str:
         start()
         after = [start]
         if tag in LISTS:
-            first = _START.search(item.attrs)
-            lists.append([tag == "ol", int(first[1]) if first and re.fullmatch(r"-?\d{1,9}", first[1]) else 1])
+            first = attributes(item.attrs).get("start", "").strip()
+            lists.append([tag == "ol", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
             after.append(lists.pop)
         elif tag == "li":
             if lists and lists[-1][0]:
@@ -307,8 +376,8 @@ def table_lines(table: Node, depth: int) -> list[str]:
     for cells, stray in rows:
         row = []
         for c in cells:
-            span = _SPAN.search(c.attrs)
-            n = min(1000, max(1, int(span[1]))) if span and span[1].isdigit() else 1
+            span = attributes(c.attrs).get("colspan", "").strip()
+            n = min(1000, max(1, int(span))) if re.fullmatch(r"[0-9]{1,9}", span) else 1
             row.append((_inner(c.children, depth).split("\n"), n))
         if stray:
             caption += [x for x in (_inner(stray, depth),) if x]

@@ -280,6 +280,25 @@ def test_rendering(page, text):
     assert html.text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('a<b title="Hidden gems of Rome">b</b><i aria-label="show hidden files">c</i><u class="hidden md:block">d</u>', "abcd"),
+        ("""a<b data-style="display:none">b</b><i title='style="display:none"'>c</i><u class=hidden>d</u>""", "abcd"),
+        ("a<b style=display:none>b</b><i style=VISIBILITY:hidden>c</i><u HIDDEN=''>d</u><b id=x hidden>e</b>z", "az"),
+        ("a<b style='display:none;display:inline'>b</b><i style='display:none!important;display:inline'>c</i><u style='display&#58;none'>d</u>", "ab"),
+        ('a<b style="background:url(x;display:none)">b</b><i style="/* display:none */color:red">c</i>', "abc"),
+        ("x = <math><mi>a</mi><mo>+</mo><mn>2</mn><annotation>no</annotation></math>.", "x = a+2."),
+        ("a<svg><title/><defs><text>no</text></defs><path d=x /><g>no<text>one</text><text display=none>no</text></g><text>two <tspan>2</tspan></text></svg>b", "a\none\ntwo 2\nb"),
+        ("<svg><path><p>after", "after"),
+        ("a<object data=x.swf>instead</object>", "ainstead"),
+        ("<ol data-start=7><li>x</ol>", "1. x"),
+    ],
+)
+def test_only_what_hides_is_left_out(page, text):
+    assert html.text_of(page) == text
+
+
 def test_html_awkward(spark):
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     tables = "<table><tr><td>" * 60 + "in" + "</table>" * 60
