@@ -4,8 +4,8 @@ Pre-tokenisation uses no regex: every code point becomes a class symbol (letter,
 a contraction; white space also says whether a non-space follows), and a transition table over eight states says whether a slice
 starts there. The scan over the symbols is associative: each block of symbols is first composed into a function from entry state
 to exit state (all blocks side by side), the functions are composed from left to right, and a second sweep reads the starts off
-with the entry states known. The slices are hashed in one running sum, and only slices not met before go through pair merging,
-all of them at once.
+with the entry states known. Slices that hash alike are compared in full, and only slices not met before go through pair merging:
+all short ones at once, long ones with a heap each.
 
 Defined results: null text counts as empty and has no ids; repeated rows are encoded each; very long texts are one numpy step;
 an empty table gives an empty result; other columns of the input pass through untouched unless named like an output (those are
@@ -18,7 +18,8 @@ import base64
 import sys
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
+from heapq import heapify, heappop, heappush
 from itertools import repeat
 
 import numpy as np
@@ -28,15 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mixed, slice_hashes, text_steps
+from .common import slice_hashes, text_steps
 
 L, N, O, AP1, AP2, SP_LAST, SP_MORE, WS_LAST, WS_MORE = range(9)
 IN_WS, IN_L, IN_N, IN_O, IN_SP, IN_C1, IN_C2, AFTER_C = range(8)
 STATES, SYMBOLS = 8, 9
 #: Symbols in a block of the scan.
 BLOCK = 256
-#: Slices kept in a worker's cache; it is emptied when full, which costs time and changes no result.
-CACHE_SLICES = 300_000
+#: Slices kept in a worker's cache, and their code points; it is emptied when full, which costs time and changes no result.
+CACHE_SLICES, CACHE_POINTS = 300_000, 16_000_000
+#: Slices of more bytes are merged one at a time, with a heap, as each merge of many slices at once touches all of them.
+LONG = 256
 NEVER = 1 << 40
 
 
@@ -136,16 +139,56 @@ class Merges:
         self.key, self.rank = key[order], np.array(rank, np.int64)[order]
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int64)
 
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self.key.tolist(), self.rank.tolist(), strict=True))
+
+    def long(self, data: bytes) -> list[int]:
+        """The ids of one slice: always the least rank is merged next, the leftmost of equal ones."""
+        ids = self.byte[np.frombuffer(data, np.uint8)].tolist()
+        n, rank_of = len(ids), self.rank_of
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        pair = [rank_of.get(a << 32 | b, -1) for a, b in zip(ids[:-1], ids[1:], strict=True)] + [-1]
+        heap = [(r, i) for i, r in enumerate(pair) if r >= 0]
+        heapify(heap)
+        while heap:
+            r, i = heappop(heap)
+            if pair[i] != r:  # merged or changed since
+                continue
+            j = after[i]
+            k = after[j]
+            ids[i], pair[j], after[i] = r, -1, k
+            if k < n:
+                before[k] = i
+            for x, y in ((before[i], i), (i, k)):
+                if x >= 0:
+                    pair[x] = rank_of.get(ids[x] << 32 | ids[y], -1) if y < n else -1
+                    if pair[x] >= 0:
+                        heappush(heap, (pair[x], x))
+        out, i = [], 0
+        while i < n:
+            out.append(ids[i])
+            i = after[i]
+        return out
+
     def pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
         return np.where(self.key[at] == key, self.rank[at], NEVER)
 
+    def strings(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self([s.encode() for s in slices])
+
     def __call__(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all slices end to end, number of ids of each)."""
         whole = np.fromiter(map(self.ranks.get, slices, repeat(-1)), np.int64, len(slices))
         todo = np.flatnonzero(whole < 0)
         done_ids, done_owner = [whole[whole >= 0]], [np.flatnonzero(whole >= 0)]
+        for i in todo.tolist():
+            if len(slices[i]) > LONG:
+                done_ids.append(np.array(self.long(slices[i]), np.int64))
+                done_owner.append(np.full(len(done_ids[-1]), i))
+        todo = todo[np.fromiter((len(slices[i]) <= LONG for i in todo.tolist()), bool, len(todo))]
         if len(todo):
             texts = [slices[i] for i in todo.tolist()]
             ids = self.byte[np.frombuffer(b"".join(texts), np.uint8)]
@@ -187,25 +230,29 @@ class SliceCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[str, int] = {}
+        self.points = 0
         self.flat, self.first, self.count = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.again = np.zeros(0, bool)
 
     def make_room(self) -> None:
         """Forgets the slices that were met in one step only."""
         keep = np.flatnonzero(self.again)
-        if len(keep) > CACHE_SLICES // 2:
+        slices = list(self.known)  # a dict keeps the order of the slots
+        slices = [slices[k] for k in keep.tolist()]
+        points = sum(map(len, slices))
+        if len(keep) > CACHE_SLICES // 2 or points > CACHE_POINTS // 2:
             return self.clear()
-        hashes = np.fromiter(self.known, np.uint64, len(self.known))[keep]  # a dict keeps the order of the slots
         count = self.count[keep]
         total = np.cumsum(count) - count
         self.flat = self.flat[np.repeat(self.first[keep] - total, count) + np.arange(count.sum())]
         self.first, self.count, self.again = total, count, np.zeros(len(keep), bool)
-        self.known = dict(zip(hashes.tolist(), range(len(keep)), strict=True))
+        self.known, self.points = dict(zip(slices, range(len(keep)), strict=True)), points
 
-    def add(self, hashes: list[int], slices: list[str]) -> None:
+    def add(self, slices: list[str]) -> None:
         ids, count = self.encode_slices(slices)
-        self.known.update(zip(hashes, range(len(self.count), len(self.count) + len(count)), strict=True))
+        self.known.update(zip(slices, range(len(self.count), len(self.count) + len(count)), strict=True))
+        self.points += sum(map(len, slices))
         self.first = np.r_[self.first, len(self.flat) + np.cumsum(count) - count]
         self.count = np.r_[self.count, count]
         self.flat = np.r_[self.flat, ids.astype(np.int32)]
@@ -225,19 +272,15 @@ class SliceCoder:
             at = heads[offsets]
         starts = slice_starts(symbols(points, at))
         ends = np.r_[starts[1:], len(points)]
-        hashes = slice_hashes(mixed(points.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), starts, ends)
-        codes, unique = pd.factorize(hashes)
-        if len(self.known) > CACHE_SLICES:
+        codes, example = distinct_slices(text, points, starts, ends)
+        if len(self.known) > CACHE_SLICES or self.points > CACHE_POINTS:
             self.make_room()
-        listed = unique.tolist()
+        listed = [text[a:b] for a, b in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         where = np.fromiter(map(self.known.get, listed, repeat(-1)), np.int64, len(listed))
         new = np.flatnonzero(where < 0)
         self.again[where[where >= 0]] = True
         if len(new):
-            example = np.zeros(len(listed), np.int64)
-            example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-            spans = example[new]
-            self.add([listed[i] for i in new.tolist()], [text[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist(), strict=True)])
+            self.add([listed[i] for i in new.tolist()])
             where[new] = np.arange(len(self.count) - len(new), len(self.count))
         slot = where[codes]
         count = self.count[slot]
@@ -247,6 +290,23 @@ class SliceCoder:
         return ids, total[np.searchsorted(starts, at)], np.repeat(starts, count)
 
 
+def distinct_slices(text: str, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which distinct slice each slice is, a slice that is an example of each). Slices tile the step.
+
+    Hashes propose which slices are equal; every slice is then held against its example, code point by code point.
+    """
+    codes, unique = pd.factorize(slice_hashes(points, starts, ends))
+    example = np.zeros(len(unique), np.int64)
+    example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    size, of = ends - starts, example[codes]
+    alike = np.array_equal(size, size[of]) and np.array_equal(points, points[np.repeat(starts[of] - starts, size) + np.arange(len(points))])
+    if not alike:
+        codes, _ = pd.factorize(np.array([text[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], object))
+        example = np.zeros(codes.max() + 1, np.int64)
+        example[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+    return codes, example
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as lines:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
@@ -254,8 +314,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 @cache
 def coder(path: str) -> SliceCoder:
-    merges = Merges(read_ranks(path))
-    return SliceCoder(lambda slices: merges([s.encode() for s in slices]))
+    return SliceCoder(Merges(read_ranks(path)).strings)
 
 
 @cache
@@ -285,10 +344,8 @@ def _rows(batches: Iterator[pa.RecordBatch], column: str, schema: list[str], enc
             made = {"ids": pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))}
             if offsets:
                 base = np.searchsorted(first, np.arange(len(ids)), "right") - 1
-                text = raw.tobytes().decode()
                 heads = np.zeros(len(raw) + 1, np.int64)
                 np.cumsum((raw & 0xC0) != 0x80, out=heads[1:])
-                del text
                 made["id_starts"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(starts - heads[at][base], pa.int32()))
             part = batch.slice(row, end - row)
             yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in schema], names=schema)

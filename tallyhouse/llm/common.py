@@ -33,10 +33,12 @@ def spread(scan: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder named in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyhouse-"))
     return jsc.getCheckpointDir().get()
 
@@ -46,11 +48,19 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    atexit.register(_delete, spark, path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.saved_at = path
+    return made
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of frames that saved() made and that no later result reads."""
+    for frame in frames:
+        _delete(frame.sparkSession, frame.saved_at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
@@ -95,38 +105,36 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+#: Codes of a slice are below two to this power.
+CODE_BITS = np.uint64(21)
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, (n + 1).bit_length())
-    if size not in _powers:
-        _powers.clear()
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, _INVERSE, np.uint64)
-        up[0] = down[0] = 1
-        with np.errstate(over="ignore"):
-            _powers[size] = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-    return _powers[size]
 
+def slice_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each slice codes[start:end]; slices come in order and don't overlap.
 
-def slice_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each slice values[start:end] from one running sum: equal slices hash alike wherever they lie."""
-    up, down = _power_tables(len(values))
+    Each code and its place in the slice become one number, which splitmix64 scrambles; a slice's hash scrambles the sum. Unlike in
+    a polynomial sum there is no base whose powers could cancel, so texts that are built from each other collide by chance alone.
+    """
+    n = len(codes)
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    place = np.arange(n, dtype=np.int64)
+    place[starts[0] :] -= np.repeat(starts, np.diff(np.r_[starts, n]))
     with np.errstate(over="ignore"):
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
-        h = (total[ends] - total[starts]) * down[starts]
-        return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
-def byte_values(fold_case: bool) -> np.ndarray:
-    """A fixed pseudo-random 64-bit value for each byte; with fold_case A-Z take those of a-z."""
-    v = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    if fold_case:
-        v[65:91] = v[97:123]
-    return v
+        x = place.view(np.uint64)
+        x <<= CODE_BITS
+        x += codes
+        x += np.uint64(1)
+        x *= _GOLDEN
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(x), out=total[1:])
+        return mixed(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+#: Byte values with A-Z as a-z.
+SMALL_LETTERS = np.arange(256, dtype=np.uint8)
+SMALL_LETTERS[65:91] += 32
 
 
 #: True for the six bytes that part words.

@@ -1,58 +1,89 @@
 """Document fingerprints (operator 4): a Merkle tree over paragraphs and sections.
 
-A text is cut, without gaps, into leaves of a few words; leaves form paragraphs (lines), paragraphs form sections (at blank lines, and
-where a paragraph's hash says so, so that an edit moves no boundary far from it). A paragraph's hash covers its leaves' hashes, a
-section's its paragraphs', the root all sections'. The fingerprint string is the tree's top and bottom: the root, each section's
-hash, and the 64 bits of each leaf's. Equal roots mean equal texts; where roots differ, sections that differ locate the edit, and the
-share of leaves in common is the likeness.
+A text is cut, without gaps, into paragraphs (lines) and those into sections (at blank lines, and where a paragraph's hash says so, so
+that an edit moves no boundary far from it). A paragraph's hash is a cryptographic one of its bytes, a section's covers its
+paragraphs' hashes, the root all sections'. Below, each paragraph is cut by content into leaves of a few words with hashes of 64 bits,
+which tell how much of two differing paragraphs is the same.
+
+The fingerprint string is the whole tree: root, sections with their numbers of paragraphs, paragraphs with their numbers of leaves,
+leaves. Equal roots mean equal texts. Where roots differ, likeness() and differing() descend: equal sections count in full and are not
+looked into, then equal paragraphs of the sections left, then equal leaves of the paragraphs left.
 
 Neighbours in descending doc_id are found without ordering all rows in one place: doc_id is cut into ranges of like size, every
-range is sorted by itself, and the first row of the next range is copied in as the last row's neighbour.
+range is a task of its own and sorted there, and the first row of the next range is copied in as the last row's neighbour.
 
 Defined results: null counts as empty; empty texts have the fingerprint of no leaves; rows that repeat a doc_id are ordered by text
 and are each other's neighbours; null doc_ids come last; a table of one row has itself as neighbour; an empty table gives an empty
-result; very long texts are hashed whole; other columns are ignored.
+result; very long texts are hashed whole; other columns are ignored. Rows of one doc_id, and those of none, are one range: an id is
+taken to name few rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, shuffle_parts, slice_hashes, word_slices
+from .common import shuffle_parts, slice_hashes, word_slices
 
 #: Mean words in a leaf and mean paragraphs in a section (powers of two), and the most words in a leaf.
 LEAF_WORDS, SECTION_PARAGRAPHS, MOST_WORDS = 2, 8, 8
 STEP_CHARS = 1 << 19
-_VALUES = byte_values(fold_case=False)
+#: Bytes of a section's or paragraph's hash in the fingerprint string; the tree itself is built from DIGEST bytes.
+SHOWN, DIGEST = 8, 16
 
 
-class Tree:
-    """One text's tree: root and sections in hex, paragraphs and leaves as 64-bit hashes, leaves' byte offsets."""
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=DIGEST).digest()
 
-    __slots__ = ("leaf_at", "leaves", "paragraphs", "root", "section_of", "sections")
 
-    def __init__(self, leaves, leaf_at, paragraph_first, paragraph_blank):
-        self.leaves, self.leaf_at = leaves, leaf_at
-        data = leaves.tobytes()
-        bounds = [*paragraph_first.tolist(), len(leaves)]
-        digests = [hashlib.blake2b(data[8 * a : 8 * b], digest_size=8).digest() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        self.paragraphs = digests
-        self.sections, self.section_of, start = [], [], 0
+class Tree:
+    """One text's tree: the root, section and paragraph hashes with the number of children of each, and the leaves' 64-bit hashes.
+
+    leaf_at, the leaves' byte offsets and at last the text's size, is None in a tree read from a fingerprint.
+    """
+
+    __slots__ = ("leaf_at", "leaves", "paragraph_leaves", "paragraphs", "root", "section_paragraphs", "sections")
+
+    @classmethod
+    def of(cls, text: bytes, leaves: np.ndarray, leaf_at: list[int], heads: list[int], blank: list[bool]) -> Tree:
+        """heads: which leaves open a paragraph; blank: whether a blank line goes before it."""
+        tree = cls()
+        tree.leaves, tree.leaf_at = leaves, [*leaf_at, len(text)]
+        bounds = [*heads, len(leaves)]
+        digests = [_digest(text[tree.leaf_at[a] : tree.leaf_at[b]]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        tree.paragraph_leaves = [b - a for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        sections, tree.section_paragraphs, start = [], [], 0
         for k, d in enumerate(digests):
-            self.section_of.append(len(self.sections))
-            if k + 1 == len(digests) or d[0] % SECTION_PARAGRAPHS == 0 or paragraph_blank[k + 1]:
-                self.sections.append(hashlib.blake2b(b"".join(digests[start : k + 1]), digest_size=4).hexdigest())
+            if k + 1 == len(digests) or d[0] % SECTION_PARAGRAPHS == 0 or blank[k + 1]:
+                sections.append(_digest(b"".join(digests[start : k + 1])))
+                tree.section_paragraphs.append(k + 1 - start)
                 start = k + 1
-        self.root = hashlib.blake2b("".join(self.sections).encode() + b"".join(digests), digest_size=16).hexdigest()
+        tree.root = _digest(b"".join(sections)).hex()
+        tree.sections, tree.paragraphs = [d[:SHOWN] for d in sections], [d[:SHOWN] for d in digests]
+        return tree
+
+    @classmethod
+    def read(cls, fingerprint: str) -> Tree:
+        tree = cls()
+        tree.root, sections, paragraphs, leaves = fingerprint.split(".")
+        for name, sizes, part in (("sections", "section_paragraphs", sections), ("paragraphs", "paragraph_leaves", paragraphs)):
+            pairs = [x.split(":") for x in part.split("-")] if part else []
+            setattr(tree, name, [bytes.fromhex(d) for d, _ in pairs])
+            setattr(tree, sizes, [int(n) for _, n in pairs])
+        tree.leaves, tree.leaf_at = np.frombuffer(bytes.fromhex(leaves), ">u8").astype(np.uint64), None
+        return tree
 
     @property
     def fingerprint(self) -> str:
-        return f"{self.root}.{'-'.join(self.sections)}.{self.leaves.astype('>u8').tobytes().hex()}"
+        sections, paragraphs = ("-".join(f"{d.hex()}:{n}" for d, n in zip(x, y, strict=True)) for x, y in ((self.sections, self.section_paragraphs), (self.paragraphs, self.paragraph_leaves)))
+        return f"{self.root}.{sections}.{paragraphs}.{self.leaves.astype('>u8').tobytes().hex()}"
 
 
 def trees(texts: list[bytes]) -> list[Tree]:
@@ -60,18 +91,13 @@ def trees(texts: list[bytes]) -> list[Tree]:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     offsets = np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
     starts, ends, first = word_slices(raw, offsets)
-    empty = np.zeros(0, np.uint64)
-    if not len(starts):
-        # white space alone: one leaf for each such text
-        return [Tree(slice_hashes(_VALUES[raw[a:b]], np.array([0]), np.array([b - a])), np.array([0]), np.array([0]), [False]) if b > a else Tree(empty, np.array([], np.int64), np.array([], np.int64), []) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    words = slice_hashes(_VALUES[raw], starts, ends)
+    words = slice_hashes(raw, starts, ends)
     newlines = np.r_[0, np.cumsum(raw == 10)]
     lines = np.zeros(len(starts), np.int64)  # newlines between a word and the one before it
     lines[1:] = newlines[starts[1:]] - newlines[ends[:-1]]
-    opens = np.r_[True, words[:-1] % np.uint64(LEAF_WORDS) == 0]
+    opens = np.r_[True, words[:-1] % np.uint64(LEAF_WORDS) == 0][: len(starts)]
     opens |= lines > 0
-    heads = first[:-1][np.diff(first) > 0]
-    opens[heads] = True
+    opens[first[:-1][np.diff(first) > 0]] = True
     # a leaf that runs on is cut after MOST_WORDS words
     at = np.flatnonzero(opens)
     run = np.arange(len(starts)) - np.repeat(at, np.diff(np.r_[at, len(starts)]))
@@ -79,46 +105,111 @@ def trees(texts: list[bytes]) -> list[Tree]:
     at = np.flatnonzero(opens)
     begin = starts[at]
     leaf_first = np.searchsorted(at, first)
-    begin[leaf_first[:-1][np.diff(leaf_first) > 0]] = offsets[:-1][np.diff(leaf_first) > 0]
-    owner_end = np.repeat(offsets[1:], np.diff(leaf_first))
-    finish = np.minimum(np.r_[begin[1:], len(raw)], owner_end)
-    leaves = slice_hashes(_VALUES[raw], begin, finish)
-    paragraph, blank = lines[at] > 0, lines[at] > 1
+    # a text's first leaf begins with the text; a text of white space alone is one leaf
+    some = np.diff(leaf_first) > 0
+    begin[leaf_first[:-1][some]] = offsets[:-1][some]
+    bare = np.flatnonzero(~some & (np.diff(offsets) > 0))
+    everywhere = np.sort(np.r_[begin, offsets[bare]])
+    leaf_first = np.searchsorted(everywhere, offsets)
+    leaves = slice_hashes(raw, everywhere, np.r_[everywhere[1:], len(raw)])
+    kind = np.zeros(len(everywhere), np.int64)
+    kind[np.searchsorted(everywhere, begin)] = lines[at]
     out = []
-    for k, (a, b) in enumerate(zip(leaf_first[:-1].tolist(), leaf_first[1:].tolist(), strict=True)):
-        if a == b:
-            size = int(offsets[k + 1] - offsets[k])
-            own = slice_hashes(_VALUES[raw[offsets[k] : offsets[k + 1]]], np.array([0]), np.array([size])) if size else empty
-            out.append(Tree(own, np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), [False] * len(own)))
-            continue
-        flags = paragraph[a:b].copy()
-        flags[0] = True
-        heads = np.flatnonzero(flags)
-        out.append(Tree(leaves[a:b], begin[a:b] - offsets[k], heads, blank[a:b][heads].tolist()))
+    for text, offset, a, b in zip(texts, offsets[:-1].tolist(), leaf_first[:-1].tolist(), leaf_first[1:].tolist(), strict=True):
+        opened = kind[a:b] > 0
+        opened[:1] = True
+        heads = np.flatnonzero(opened)
+        out.append(Tree.of(text, leaves[a:b], (everywhere[a:b] - offset).tolist(), heads.tolist(), (kind[a:b][heads] > 1).tolist()))
     return out
 
 
-def likeness(one: str, two: str) -> float:
-    """1 for equal roots, else the share of leaves that two fingerprints have in common."""
-    a, b = one.split("."), two.split(".")
-    if a[0] == b[0]:
+def _left_over(one: list[bytes], two: list[bytes], sizes: list[int]) -> tuple[list[bool], list[bool], int]:
+    """Which children of each side find no equal one on the other, and the sizes of those of one that do."""
+    free = Counter(two)
+    left, taken, size = [], Counter(), 0
+    for d, n in zip(one, sizes, strict=True):
+        if free[d] > taken[d]:
+            taken[d] += 1
+            size += n
+            left.append(False)
+        else:
+            left.append(True)
+    rest = []
+    for d in two:
+        rest.append(not taken[d])
+        taken[d] -= not rest[-1]
+    return left, rest, size
+
+
+def likeness(one: Tree | str, two: Tree | str) -> float:
+    """1 for equal roots, else twice the leaves in common over the leaves of both, found by descending where hashes differ."""
+    a, b = (Tree.read(x) if isinstance(x, str) else x for x in (one, two))
+    if a.root == b.root:
         return 1.0
-    x, y = (np.sort(np.frombuffer(bytes.fromhex(p[2]), ">u8").astype(np.uint64)) for p in (a, b))
-    if not len(x) or not len(y):
+    if not len(a.leaves) or not len(b.leaves):
         return 0.0
-    (ux, cx), (uy, cy) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-    at = np.minimum(np.searchsorted(ux, uy), len(ux) - 1)
-    same = np.where(ux[at] == uy, np.minimum(cx[at], cy), 0).sum()
-    return float(2 * same / (len(x) + len(y)))
+    inside = [list(accumulate(t.section_paragraphs, initial=0)) for t in (a, b)]
+    weight = [sum(a.paragraph_leaves[i:j]) for i, j in zip(inside[0][:-1], inside[0][1:], strict=True)]
+    *left, same = _left_over(a.sections, b.sections, weight)
+    open_ = [[p for k, out in enumerate(own) if out for p in range(i[k], i[k + 1])] for own, i in zip(left, inside, strict=True)]
+    *left, more = _left_over([a.paragraphs[p] for p in open_[0]], [b.paragraphs[p] for p in open_[1]], [a.paragraph_leaves[p] for p in open_[0]])
+    same += more
+    loose = []
+    for t, own, which in zip((a, b), left, open_, strict=True):
+        mask = np.zeros(len(t.paragraphs), bool)
+        mask[[p for p, out in zip(which, own, strict=True) if out]] = True
+        loose.append(t.leaves[np.repeat(mask, t.paragraph_leaves)])
+    if len(loose[0]) and len(loose[1]):
+        (ux, cx), (uy, cy) = (np.unique(x, return_counts=True) for x in loose)
+        at = np.minimum(np.searchsorted(ux, uy), len(ux) - 1)
+        same += int(np.where(ux[at] == uy, np.minimum(cx[at], cy), 0).sum())
+    return 2 * same / (len(a.leaves) + len(b.leaves))
+
+
+def _gaps(a: list, b: list) -> list[tuple[int, int, int, int]]:
+    """(from, to) in a and in b of the runs that differ: what lies between equal ends and what occurs once on both sides in like order."""
+    where = {x: k for k, x in enumerate(b)}
+    twice = {x for side in (a, b) for x, n in Counter(side).items() if n > 1}
+    anchors = [(i, where[x]) for i, x in enumerate(a) if x in where and x not in twice]
+    # the longest run of anchors that rises in b as well
+    tails, ends, back = [], [], []
+    for k, (_, j) in enumerate(anchors):
+        at = bisect_left(tails, j)
+        back.append(ends[at - 1] if at else -1)
+        tails[at : at + 1], ends[at : at + 1] = [j], [k]
+    chain, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        chain.append(anchors[k])
+        k = back[k]
+    out, i, j = [], 0, 0
+    for x, y in [*reversed(chain), (len(a), len(b))]:
+        p, q = x, y
+        while i < p and j < q and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < p and j < q and a[p - 1] == b[q - 1]:
+            p, q = p - 1, q - 1
+        if i < p or j < q:
+            out.append((i, p, j, q))
+        i, j = x + 1, y + 1
+    return out
 
 
-def differing(one: Tree, two: Tree) -> tuple[int, int]:
-    """The range of two's leaves outside the longest common beginning and end of sections, then paragraphs: where the edit lies."""
-    a, b = one.leaves, two.leaves
-    n = min(len(a), len(b))
-    head = int(np.argmax(np.r_[a[:n] != b[:n], True]))
-    tail = int(np.argmax(np.r_[a[::-1][: n - head] != b[::-1][: n - head], True]))
-    return head, len(b) - tail
+def differing(one: Tree, two: Tree) -> list[tuple[int, int]]:
+    """Byte ranges of two's text that an edit of one's explains: sections that differ, in those paragraphs, in those leaves.
+
+    Where something was only taken out, the range is empty and says where. `two` must have been built from its text.
+    """
+    if one.root == two.root:
+        return []
+    sections, leaves = ([list(accumulate(sizes, initial=0)) for sizes in pair] for pair in ((one.section_paragraphs, two.section_paragraphs), (one.paragraph_leaves, two.paragraph_leaves)))
+    x, y = one.leaves.tolist(), two.leaves.tolist()
+    out = []
+    for a, b, c, d in _gaps(one.sections, two.sections):
+        a, b, c, d = sections[0][a], sections[0][b], sections[1][c], sections[1][d]
+        for e, f, g, h in _gaps(one.paragraphs[a:b], two.paragraphs[c:d]):
+            e, f, g, h = leaves[0][a + e], leaves[0][a + f], leaves[1][c + g], leaves[1][c + h]
+            out += [(two.leaf_at[g + j], two.leaf_at[g + k]) for _, _, j, k in _gaps(x[e:f], y[g:h])]
+    return out
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
@@ -173,7 +264,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     ghosts = spark.createDataFrame(moved, "to int, bucket int, head long")
     copies = placed.join(F.broadcast(ghosts), (placed.bucket == ghosts.bucket) & placed.doc_id.eqNullSafe(ghosts["head"])).select(F.col("to").alias("bucket"), "doc_id", "text", F.lit(True).alias("copy"))
     everything = placed.withColumn("copy", F.lit(False)).unionByName(copies)
-    return everything.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
+    return everything.repartitionById(len(cuts) + 2, F.col("bucket") + 1).sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first())
 
 
 def compare_with_edits(docs: DataFrame) -> DataFrame:
@@ -192,18 +283,17 @@ def compare_with_edits(docs: DataFrame) -> DataFrame:
             # a text's neighbour is most often the next text of the step
             chained = [k for k in range(len(own)) if k + 1 == len(own) or nexts[k] != texts[k + 1]]
             made = trees(texts + [nexts[k] for k in chained])
-            prints = [t.fingerprint for t in made]
-            other = dict(zip(chained, prints[len(own) :], strict=True))
-            changed = [t.fingerprint for t in trees(edited)]
+            other = dict(zip(chained, made[len(own) :], strict=True))
+            changed = trees(edited)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([r[0] for r in own], pa.int64()),
                     pa.array([len(r[1]) for r in own], pa.int64()),
                     pa.array([hashlib.sha256(e).hexdigest() for e in edited]),
-                    pa.array(prints[: len(own)]),
-                    pa.array(changed),
-                    pa.array([likeness(p, q) for p, q in zip(prints, changed, strict=False)]),
-                    pa.array([likeness(prints[k], other.get(k) or prints[k + 1]) for k in range(len(own))]),
+                    pa.array([t.fingerprint for t in made[: len(own)]]),
+                    pa.array([t.fingerprint for t in changed]),
+                    pa.array([likeness(t, c) for t, c in zip(made, changed, strict=False)]),
+                    pa.array([likeness(made[k], other.get(k) or made[k + 1]) for k in range(len(own))]),
                 ],
                 names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )

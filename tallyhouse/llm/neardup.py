@@ -6,11 +6,11 @@ sets agree in a bin with the probability of their similarity). Bands of consecut
 form a star: every member is paired with the centre alone, so a bucket of m sets gives m - 1 pairs. Pairs are confirmed on whole
 sets. Equal sets are one node from the start, however many copies there are.
 
-A star can miss a link between two members that are both unlike the centre. So the buckets in which more than one component is left
-are joined with themselves across components, under a condition that only pairs near the threshold meet: each set carries a bit
-array in which every shingle flips one bit, and as two arrays differ in no more bits than the sets in shingles, a pair whose arrays
-differ too much is no link. The join gives the few pairs that pass, and those are confirmed on whole sets as well. Thus every
-link between components is found, while sets that only share a passage make no row.
+A star can miss a link between two members that are both unlike the centre. So the sets of buckets in which more than one component
+is left are joined once more, exactly and without the buckets: shingles are ordered from rare to common (by counts on a fixed number
+of counters, the same for all), and two sets that are alike enough must share one of the first few shingles of each, so only those
+are joined. Sets that share a common passage have it at the end of that order and don't meet. Pairs that sizes, places and bit arrays
+(every shingle flips one bit; two arrays differ in no more bits than the sets in shingles) leave open are confirmed on whole sets.
 
 Defined results: null text, empty text and text of white space alone have an empty set, link with nothing and are their own
 component; a text with fewer words than a shingle has its whole sequence as one; rows that repeat a doc_id are one node with the
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_values, mixed, saved, slice_hashes, text_steps, word_slices
+from .common import SMALL_LETTERS, dropped, mixed, saved, slice_hashes, text_steps, word_slices
 
 WORDS = 5
 PERCENT = 75
@@ -33,6 +33,8 @@ BANDS, ROWS = 40, 4
 BINS = 256
 #: 64-bit words of the array of flipped bits.
 SKETCH = 16
+#: Counters of the shingles' frequencies: what the driver holds and sends to tasks, a byte each.
+COUNTERS = 1 << 20
 SET_BATCH = 256
 
 
@@ -47,7 +49,6 @@ def _orders(bins: int) -> np.ndarray:
 
 
 ORDERS = _orders(BINS)
-_VALUES = byte_values(fold_case=True)
 
 
 def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -55,7 +56,7 @@ def shingle_hashes(raw: np.ndarray, offsets: np.ndarray, words: int) -> list[np.
     starts, ends, first = word_slices(raw, offsets)
     if not len(starts):
         return [np.zeros(0, np.uint64)] * (len(offsets) - 1)
-    w = slice_hashes(_VALUES[raw], starts, ends)
+    w = slice_hashes(SMALL_LETTERS[raw], starts, ends)
     with np.errstate(over="ignore"):
         q = np.uint64(0xC6A4A7935BD1E995)
         full = np.zeros(max(0, len(w) - words + 1), np.uint64)
@@ -137,8 +138,8 @@ def signatures(docs: DataFrame, words: int = WORDS, bands: int = BANDS, rows: in
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose whole sets are alike enough."""
-    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    """Those of the pairs (a, b) whose whole sets are alike enough. Sort-merge joins, so that Spark can split a centre with many pairs."""
+    a, b = (sets.select(F.col("doc_id").alias(x), F.col("shingles").alias(f"set_{x}")).hint("merge") for x in "ab")
     joint = pairs.join(b, "b").join(a, "a")
     same = F.size(F.array_intersect("set_a", "set_b"))
     either = F.size("set_a") + F.size("set_b") - same
@@ -155,11 +156,12 @@ def components(edges: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: all larger neighbours of u move to the least node of u's neighbourhood
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        big = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        big = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u's smaller neighbours and u itself move to the least of them
         small_least = big.groupBy("u").agg(F.min("v").alias("m"))
-        small = big.join(small_least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
-        e = saved(small.where("u <> v").distinct(), f"components-{turn}")
+        small = big.join(small_least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
+        before, e = e, saved(small.where("u <> v").distinct(), f"components-{turn}")
+        dropped(before)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == n:
             break
@@ -168,18 +170,64 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def may_link(n: str, m: str, x: str, y: str, percent: int) -> Column:
-    """What sizes and flipped bits (columns x0.., y0..) alone say: false only where the sets can't be alike enough."""
-    apart = F.bit_count(F.col(f"{x}0").bitwiseXOR(F.col(f"{y}0")))
-    for k in range(1, SKETCH):
-        apart = apart + F.bit_count(F.col(f"{x}{k}").bitwiseXOR(F.col(f"{y}{k}")))
+    """What sizes and flipped bits alone say: false only where the sets can't be alike enough."""
+    apart = F.aggregate(F.zip_with(x, y, lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda total, k: total + k)
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (apart * (100 + percent) <= (F.col(n) + F.col(m)) * (100 - percent))
 
 
+def commonness(sets: DataFrame) -> np.ndarray:
+    """How often shingles fall on each of COUNTERS counters, eight steps to a doubling. At most COUNTERS rows reach the driver."""
+    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("slot")).count().toArrow()
+    out = np.zeros(COUNTERS)
+    out[np.asarray(counted.column("slot"))] = np.asarray(counted.column("count"))
+    return np.minimum(255, np.ceil(8 * np.log2(1 + out))).astype(np.uint8)
+
+
+def first_shingles(sets: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
+    """token, doc_id, n, place, component: of each set (doc_id, component, shingles) the rarest shingles, so many that no link shares none."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            lists = batch.column("shingles")
+            at, values = np.asarray(lists.offsets, np.int64), np.asarray(lists.values)
+            made, places = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                s = values[a:b]
+                k = b - a - -(-percent * (b - a) // 100) + 1
+                made.append(s[np.lexsort((s, common[s % COUNTERS]))[:k]])
+                places.append(np.arange(k))
+            count = np.array([len(x) for x in made], np.int64)
+            row = np.repeat(np.arange(len(made)), count)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(made)), batch.column("doc_id").take(pa.array(row)), pa.array(np.repeat(np.diff(at), count)), pa.array(np.concatenate(places)), batch.column("component").take(pa.array(row))],
+                names=["token", "doc_id", "n", "place", "component"],
+            )
+
+    return sets.select("doc_id", "component", "shingles").mapInArrow(run, "token long, doc_id long, n long, place long, component long")
+
+
+def across(open_: DataFrame, sets: DataFrame, bits: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among the sets of open_ (doc_id, component) that sizes, rare shingles and bits leave possible."""
+    own = saved(sets.where(F.size("shingles") > 0).join(open_, "doc_id"), "neardup-open")
+    tokens = saved(first_shingles(own, commonness(own), percent), "neardup-tokens")
+    x = tokens.select("token", *(F.col(c).alias(f"{c}_x") for c in tokens.columns[1:]))
+    y = tokens.select("token", *(F.col(c).alias(f"{c}_y") for c in tokens.columns[1:])).hint("merge")
+    least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)  # shingles that a link has in common
+    sized = F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * percent
+    met = x.join(y, "token").where("component_x < component_y").where(sized & (F.col("place_x") <= F.col("n_x") - least) & (F.col("place_y") <= F.col("n_y") - least))
+    pairs = met.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b")).distinct()
+    a, b = (bits.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}")) for k in "ab")
+    return pairs.join(b, "b").join(a, "a").where(may_link("n_a", "n_b", "bits_a", "bits_b", percent)).select("a", "b")
+
+
 def links(nodes: DataFrame, docs: DataFrame, extra: DataFrame, words: int, percent: int) -> DataFrame:
     """node, component over the nodes (doc_id, n_shingles, keys, bits), for nodes that link with another; extra: links known before."""
     member = nodes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    # a key's members are counted before they move, and meet their centre in a sort-merge join, which Spark splits where a key is hot
     centres = member.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("n_centre"), F.count("*").alias("m")).where("m > 1")
-    met = saved(member.join(centres, "key"), "neardup-met")
+    met = saved(member.join(centres.hint("merge"), "key"), "neardup-met")
     # the sets of all that share a bucket, made once; the texts move by doc_id, at any size in the same way
     asked = met.select("doc_id").distinct().hint("shuffle_hash")
     sets = saved(shingle_sets(docs.join(asked, "doc_id", "left_semi"), words), "neardup-sets")
@@ -188,15 +236,12 @@ def links(nodes: DataFrame, docs: DataFrame, extra: DataFrame, words: int, perce
     edges = saved(confirmed(pairs, sets, percent).union(extra), "neardup-edges")
     found = saved(components(edges), "neardup-components")
     # only a bucket of three members or more can hide a link from its star
-    left = met.where("m > 2").select("key", "doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    left = met.where("m > 2").select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     several = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    bits = nodes.select("doc_id", *(F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(SKETCH)))
-    open_ = saved(left.join(several, "key", "left_semi").join(bits, "doc_id"), "neardup-open")
-    x = open_.select("key", F.col("doc_id").alias("left"), F.col("n").alias("nx"), F.col("component").alias("cx"), *(F.col(f"b{k}").alias(f"x{k}") for k in range(SKETCH)))
-    y = open_.select(F.col("key").alias("key_y"), F.col("doc_id").alias("right"), F.col("n").alias("ny"), F.col("component").alias("cy"), *(F.col(f"b{k}").alias(f"y{k}") for k in range(SKETCH)))
-    met_again = x.join(y, (F.col("key") == F.col("key_y")) & (F.col("cx") < F.col("cy")) & may_link("nx", "ny", "x", "y", percent))
-    more = met_again.select(F.least("left", "right").alias("a"), F.greatest("left", "right").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    good = saved(confirmed(saved(more, "neardup-pairs"), sets, percent), "neardup-edges")
+    open_ = left.join(several.hint("merge"), "key", "left_semi").select("doc_id", "component").distinct()
+    more = saved(across(open_, sets, nodes, percent).join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
+    good = saved(confirmed(more, sets, percent), "neardup-edges")
+    dropped(met, pairs, edges, more, sets)
     if good.isEmpty():
         return found
     return saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)), "neardup-components")
@@ -217,7 +262,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = groups.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
     return (
         sets.select("doc_id", *same)
-        .join(named, same, "left")
+        .join(named.hint("merge"), same, "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

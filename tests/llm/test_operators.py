@@ -174,26 +174,115 @@ def test_fingerprints_against_plain_edits(spark, small):
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
 
 
-def test_tree_properties():
+def plain_tree(text):
+    """(root, [(section, [(paragraph, bytes)])]) built line by line, with the same cuts."""
+    lines, at = [], 0
+    words = list(re.finditer(rb"[^ \t-\r]+", text))
+    cuts = []
+    for one, two in zip(words, words[1:]):
+        between = text[one.end() : two.start()].count(b"\n")
+        if between:
+            cuts.append((two.start(), between > 1))
+    for cut, blank in [*cuts, (len(text), False)]:
+        lines.append(text[at:cut])
+        at = cut
+    if not text:
+        return hashlib.blake2b(b"", digest_size=16).hexdigest(), []
+    sections, own = [], []
+    for k, line in enumerate(lines):
+        own.append(hashlib.blake2b(line, digest_size=16).digest())
+        if k == len(lines) - 1 or own[-1][0] % merkle.SECTION_PARAGRAPHS == 0 or cuts[k][1]:
+            sections.append((hashlib.blake2b(b"".join(own), digest_size=16).digest(), own))
+            own = []
+    return hashlib.blake2b(b"".join(s for s, _ in sections), digest_size=16).hexdigest(), sections
+
+
+def thue_morse(n, letters="ab"):
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word, word.translate(str.maketrans(letters, letters[::-1]))
+
+
+def test_trees_equal_plain_ones():
+    rng = random.Random(11)
+    texts = ["".join(rng.choice(["a", "b ", "\n", "\n\n", " ", "cc", "é "]) for _ in range(rng.randint(0, 30))).encode() for _ in range(2000)]
+    for text, tree in zip(texts, merkle.trees(texts)):
+        root, sections = plain_tree(text)
+        assert tree.root == root and tree.sections == [s[:8] for s, _ in sections] and tree.paragraphs == [p[:8] for _, own in sections for p in own]
+        assert merkle.Tree.read(tree.fingerprint).fingerprint == tree.fingerprint == merkle.trees([text])[0].fingerprint
+    roots = {}
+    for text, tree in zip(texts, merkle.trees(texts)):
+        assert roots.setdefault(tree.fingerprint, text) == text
+
+
+def test_likeness_descends():
+    rng = random.Random(12)
+    for _ in range(300):
+        one, two = ("\n".join(" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(0, 12))) for _ in range(2))
+        x, y = merkle.trees([one.encode(), two.encode()])
+        shared = 0
+
+        # by hand: leaves below equal sections, then below equal paragraphs of the rest, then equal leaves of the rest
+        parts = []
+        for t in (x, y):
+            p = leaf = 0
+            own = []
+            for s, n in zip(t.sections, t.section_paragraphs):
+                below = []
+                for d, m in zip(t.paragraphs[p : p + n], t.paragraph_leaves[p : p + n]):
+                    below.append((d, t.leaves[leaf : leaf + m].tolist()))
+                    leaf += m
+                own.append((s, below))
+                p += n
+            parts.append(own)
+        for level in (0, 1):
+            for item in list(parts[0]):
+                twin = next((o for o in parts[1] if o[0] == item[0]), None)
+                if twin is not None:
+                    parts[0].remove(item)
+                    parts[1].remove(twin)
+                    shared += sum(len(v) for _, v in item[1]) if level == 0 else len(item[1])
+            if level == 0:
+                parts = [[p for _, below in own for p in below] for own in parts]
+        a, b = (Counter(v for _, leaves in own for v in leaves) for own in parts)
+        shared += (a & b).total()
+        want = 1.0 if one == two else 2 * shared / (len(x.leaves) + len(y.leaves)) if len(x.leaves) and len(y.leaves) else 0.0
+        assert merkle.likeness(x, y) == merkle.likeness(x.fingerprint, y.fingerprint) == pytest.approx(want)
+
+
+
+def test_edits_are_located():
     text = "\n".join(f"line {k} of a text with words {k * k} and more" for k in range(60))
-    one, two = merkle.trees([text.encode(), text.replace("line 30", "LINE 30").encode()])
-    assert one.root != two.root and merkle.likeness(one.fingerprint, one.fingerprint) == 1
-    lo, hi = merkle.differing(one, two)
-    at = text.encode().index(b"line 30")
-    assert one.leaf_at[lo] <= at + 7 and (hi == len(two.leaves) or two.leaf_at[hi] >= at)
-    assert sum(a != b for a, b in zip(one.sections, two.sections)) <= 2 or len(one.sections) != len(two.sections)
+    new = text.replace("line 30", "LINE 30").replace("line 50 of", "line 50 off")
+    one, two = merkle.trees([text.encode(), new.encode()])
+    assert one.root != two.root and merkle.likeness(one, one) == 1 and merkle.differing(one, one) == []
+    found = merkle.differing(one, two)
+    assert len(found) == 2 and all(b - a < 40 for a, b in found)
+    for word, (a, b) in zip(("LINE 30", "off"), found):
+        assert a <= new.index(word) < new.index(word) + len(word) <= b
+    assert sum(a != b for a, b in zip(one.sections, two.sections)) <= 4 or len(one.sections) != len(two.sections)
     for a in ("x", " x", "x ", "x\n", "x\n\n", "", " "):
         for b in ("x", " x", "x ", "x\n", "x\n\n", "", " "):
             assert (merkle.trees([a.encode()])[0].fingerprint == merkle.trees([b.encode()])[0].fingerprint) == (a == b)
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_texts_made_of_each_other_are_told_apart(n):
+    one, two = thue_morse(n)
+    a, b = merkle.trees([one.encode(), two.encode()])
+    assert a.root != b.root and merkle.likeness(a, b) == 0
+    sets = neardup.shingle_hashes(np.frombuffer((one + two).encode(), np.uint8), np.array([0, n, 2 * n]), 5)
+    assert sets[0].tolist() != sets[1].tolist()
+
+
 def test_long_unrelated_texts_are_unlike():
     one, two = (" ".join(f"{k}x{i}" for i in range(40_000)) for k in "ab")
     a, b = merkle.trees([one.encode(), two.encode()])
-    assert len(a.leaves) > 10_000 and merkle.likeness(a.fingerprint, b.fingerprint) < 1e-4
+    assert len(a.leaves) > 10_000 and merkle.likeness(a, b) < 1e-4
     half = merkle.trees([(one[: len(one) // 2] + two[len(two) // 2 :]).encode()])[0]
     same = (Counter(a.leaves.tolist()) & Counter(half.leaves.tolist())).total()
-    assert merkle.likeness(a.fingerprint, half.fingerprint) == pytest.approx(2 * same / (len(a.leaves) + len(half.leaves)))
+    assert merkle.likeness(a, half) == pytest.approx(2 * same / (len(a.leaves) + len(half.leaves)))
 
 
 def test_fingerprints_awkward(spark, awkward, nothing):
@@ -238,11 +327,38 @@ def test_ids_equal_the_libraries(small):
     assert coded(idfile.coder(queries.vocabulary_path(HF)), texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_slices_made_of_each_other_and_long_slices():
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    texts = [w for n in (1024, 2048, 4096) for w in thue_morse(n)]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (257, 1000, 30_000)] + ["!" * 700 + "=-" * 900, " \t" * 600, "7" * 999]
+    path = queries.vocabulary_path(TIK)
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = [library.encode_ordinary(t) for t in texts]
+    coder = bpe.SliceCoder(bpe.Merges(bpe.read_ranks(path)).strings)
+    assert coded(coder, texts) == want and [ids for t in texts for ids in coded(coder, [t])] == want
+    t = Tokenizer.from_file(queries.vocabulary_path(HF))
+    want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+    coder = idfile.coder(queries.vocabulary_path(HF))
+    assert coded(coder, texts) == want and [ids for t in texts for ids in coded(coder, [t])] == want
+
+
+def test_slices_that_hash_alike_are_compared(monkeypatch):
+    texts = fuzz(200, 4)
+    want = coded(bpe.coder(queries.vocabulary_path(TIK)), texts)
+    monkeypatch.setattr(bpe, "slice_hashes", lambda codes, starts, ends: (ends - starts).astype(np.uint64))
+    coder = bpe.SliceCoder(bpe.Merges(bpe.read_ranks(queries.vocabulary_path(TIK))).strings)
+    assert coded(coder, texts) == want
+
+
 def test_cache_may_overflow(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_SLICES", 50)
     monkeypatch.setattr(common, "STEP_BYTES", 64)
     merges = bpe.Merges(bpe.read_ranks(queries.vocabulary_path(TIK)))
-    coder = bpe.SliceCoder(lambda s: merges([x.encode() for x in s]))
+    coder = bpe.SliceCoder(merges.strings)
     texts = fuzz(300, 9)
     one_by_one = [ids for t in texts for ids in coded(coder, [t])]
     assert one_by_one == coded(bpe.coder(queries.vocabulary_path(TIK)), texts)
@@ -367,12 +483,38 @@ def test_minima_agree_as_sets_are_alike():
         assert np.mean(agree) == pytest.approx(j, abs=0.06)
 
 
+def test_recall_against_all_pairs(spark):
+    """Every component of sf0.01's whole texts, found by all pairs that share a shingle."""
+    sets, holders = {}, {}
+    low = str.maketrans({chr(65 + k): chr(97 + k) for k in range(26)})
+    for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect():
+        w = WORD.findall((r.text or "").translate(low))
+        sets[r.doc_id] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        for s in sets[r.doc_id]:
+            holders.setdefault(s, []).append(r.doc_id)
+    shared = Counter((a, b) for own in holders.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    linked = [(a, b) for (a, b), n in shared.items() if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n)]
+    got = {r.doc_id: r for r in queries.op7_near_duplicates(spark, "/root/testdata/sf0.01").collect()}
+    assert len(linked) > 100 and np.mean([got[a].component_id == got[b].component_id for a, b in linked]) == 1
+    of = {i: i for i in sets}
+
+    def root(i):
+        return i if of[i] == i else root(of[i])
+
+    for a, b in linked:
+        x, y = root(a), root(b)
+        of[max(x, y)] = min(x, y)
+    assert {i: (len(sets[i]), root(i)) for i in sets} == {i: (r.n_shingles, r.component_id) for i, r in got.items()}
+
+
 def test_near_duplicates_awkward(spark, awkward, nothing):
     got = neardup.near_duplicates(awkward).collect()
     assert len(got) == awkward.count()
     assert {r.component_id for r in got if r.doc_id in (4, 5)} == {4}
     assert all(r.kept and r.n_shingles == 0 for r in got if r.doc_id in (0, 1, 2))
     assert neardup.near_duplicates(nothing).count() == 0
+    tangled = [w for n in (2048, 4096) for w in thue_morse(n)] + [" ".join(w) for w in thue_morse(40)]
+    assert all(r.kept for r in neardup.near_duplicates(docs(spark, tangled[:4])).collect())
     torn = spark.createDataFrame([(3, "p q r s t u v"), (5, "p q r s t u v"), (5, "one two three four five six"), (8, "one two three four five six")], "doc_id long, text string")
     assert {r.component_id for r in neardup.near_duplicates(torn).collect()} == {3}
 
