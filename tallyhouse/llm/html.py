@@ -1,19 +1,21 @@
 """HTML extraction by layout-aware rendering (operator 6).
 
-A tokenizer cuts a page into tags and text; a tree builder opens and closes elements, with end tags implied where HTML lets authors
-leave them out; then the tree is rendered as a reader would see it: hidden subtrees left out, white space collapsed outside `pre`,
-blocks on lines of their own with blank lines where a browser leaves a margin, lists with marks and indents, tables with cells
-aligned in columns.
+One scan from left to right cuts a page into tags and text; a tree builder opens and closes elements, with end tags implied where HTML
+lets authors leave them out; what is hidden is taken out; then the tree is rendered as a reader would see it: white space collapsed
+outside `pre`, blocks on lines of their own with blank lines where a browser leaves a margin, lists with marks and indents, tables
+with cells aligned in columns, spans of rows and columns included.
 
 Defined results: null and empty pages give an empty text; broken markup (unclosed or stray tags, unfinished comments and attributes)
-gives the text that can still be seen; very long and very deep pages are rendered whole; repeated rows render each; an empty table
-gives an empty result; other columns pass through if named in `keep`.
+gives the text that can still be seen; very long pages, pages of many open elements and tables in tables are rendered whole, in time
+that grows with their length; repeated rows render each; an empty table gives an empty result; other columns pass through if named in
+`keep`.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from html import unescape
 
 import pyarrow as pa
@@ -31,138 +33,204 @@ CELLS = frozenset(("td", "th"))
 #: An opening tag of the key closes open elements named in the value, up to an element of SCOPE.
 CLOSES = {
     "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tr": {"tr", "td", "th", "caption", "colgroup", "p"},
-    "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "p"}, "thead": {"caption", "colgroup"}, "tfoot": {"tr", "td", "th", "thead", "tbody", "p"}, "body": {"head"},
+    "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tbody": {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "p"}, "thead": {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "p"}, "tfoot": {"tr", "td", "th", "thead", "tbody", "tfoot", "caption", "colgroup", "p"}, "body": {"head"},
 }
 NO_P = BLOCK - {"option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "dd", "dt", "body", "html"}
 SCOPE = {"li": LISTS, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "optgroup": {"select"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "tfoot": {"table"}}
 P_SCOPE = {"table", "td", "th", "caption", "button", "object", "body", "html"}
 BODY_ONLY = BLOCK - {"html", "body"} | {"a", "span", "b", "i", "em", "strong", "img", "br", "input", "button", "label", "select"}
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*'|["'])*?)>""", re.S)
-_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-#: An attribute string without this hides nothing.
-_MAY_HIDE = re.compile(r"(?i)hidden|none|collapse|&")
+#: Pieces of a tag, matched one after another from where the last one ended.
+_NAME = re.compile(r"[^ \t\n\f\r/>]*")
+_BETWEEN = re.compile(r"[ \t\n\f\r/]*")
+_ATTRIBUTE = re.compile(r"=?[^ \t\n\f\r/>=]*")
+_EQUALS = re.compile(r"[ \t\n\f\r]*=[ \t\n\f\r]*")
+_UNQUOTED = re.compile(r"[^ \t\n\f\r>]*")
 #: What may hold semicolons in a style without ending a declaration.
 _STYLE_INERT = re.compile(r"""(?s)/\*.*?(?:\*/|\Z)|"[^"]*"|'[^']*'|(?i:url)\([^)]*\)""")
 #: Of svg and math: what is never drawn itself, and HTML's tags that end a drawing or formula left open.
 UNDRAWN = frozenset("defs desc metadata symbol clippath mask pattern marker annotation annotation-xml".split())
 BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
-_FOREIGN = re.compile(r"(?i)<(?:svg|math)[\s/>]")
+FOREIGN = ("svg", "math")
+TABLE_TAGS = frozenset("table tr tbody thead tfoot td th".split())
 _WHITE = re.compile(r"[ \t\n\f\r]+")
-MAX_TABLE_DEPTH = 16
+#: HTML's limit of a colspan.
+MAX_COLSPAN = 1000
+#: In what order the parts of a table stand.
+GROUPS = {"thead": 0, "tbody": 1, "tfoot": 2}
 
 
 class Node:
-    __slots__ = ("attrs", "children", "tag")
+    __slots__ = ("attrs", "children", "lines", "tag")
 
-    def __init__(self, tag: str, attrs: str = ""):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    def __init__(self, tag: str, attrs: dict[str, str] | None = None):
+        self.tag, self.attrs, self.children, self.lines = tag, attrs or {}, [], None
 
 
-def attributes(raw: str) -> dict[str, str]:
-    """Names in small letters with their values; the first of a name counts."""
+def attributes(html: str, at: int) -> tuple[dict[str, str], bool, int]:
+    """The attributes from `at` on (names in small letters; the first of a name counts), whether the tag ends in a slash, and where
+    it ends: -1 if it never does."""
     found: dict[str, str] = {}
-    for name, value in _ATTRIBUTE.findall(raw):
-        found.setdefault(name.lower(), unescape(value[1:-1] if value[:1] in ("'", '"') and len(value) > 1 else value))
-    return found
-
-
-def hides(raw: str) -> bool:
-    """Whether an element with these attributes is left out: the hidden attribute, or a style that says so in the end."""
-    if not _MAY_HIDE.search(raw):
-        return False
-    found = attributes(raw)
-    if "hidden" in found:
-        return True
+    size = len(html)
+    while True:
+        begin, at = at, _BETWEEN.match(html, at).end()
+        if at >= size:
+            return found, False, -1
+        if html[at] == ">":
+            return found, at > begin and html[at - 1] == "/", at + 1
+        m = _ATTRIBUTE.match(html, at)
+        name, at, value = m[0].lower(), m.end(), ""
+        if m := _EQUALS.match(html, at):
+            at = m.end()
+            quote = html[at : at + 1]
+            if quote in ('"', "'") and quote:
+                end = html.find(quote, at + 1)
+                if end < 0:
+                    return found, False, -1
+                value, at = html[at + 1 : end], end + 1
+            else:
+                m = _UNQUOTED.match(html, at)
+                value, at = m[0], m.end()
+        found.setdefault(name, unescape(value) if "&" in value else value)
+
+
+def tokens(html: str):
+    """(kind, what, attributes, slash, where it ends): kind is "text", "data" (nothing escaped), "open" or "close"."""
+    at, size = 0, len(html)
+    while at < size:
+        lt = html.find("<", at)
+        if lt < 0:
+            yield "text", html[at:], None, False, size
+            return
+        nxt = html[lt + 1 : lt + 2]
+        end_tag = nxt == "/"
+        first = html[lt + 2 : lt + 3] if end_tag else nxt
+        if first.isascii() and first.isalpha():
+            if lt > at:
+                yield "text", html[at:lt], None, False, lt
+            m = _NAME.match(html, lt + 1 + end_tag)
+            attrs, slash, at = attributes(html, m.end())
+            if at < 0:  # a tag that never ends hides what follows, as in a browser
+                return
+            # the caller may move on, past what is no markup
+            moved = yield "close" if end_tag else "open", m[0].lower(), attrs, slash, at
+            at = moved if moved is not None else at
+            continue
+        if nxt in ("!", "?") and nxt or end_tag and first:
+            if lt > at:
+                yield "text", html[at:lt], None, False, lt
+            if html.startswith("<!--", lt):
+                if html.startswith((">", "->"), lt + 4):
+                    at = html.index(">", lt) + 1
+                    continue
+                end, skip = html.find("-->", lt + 4), 3
+            elif html.startswith("<![CDATA[", lt):
+                end, skip = html.find("]]>", lt + 9), 3
+                yield "data", html[lt + 9 : end if end >= 0 else size], None, False, lt
+            else:
+                end, skip = html.find(">", lt + 2), 1
+            if end < 0:
+                return
+            at = end + skip
+            continue
+        yield "text", html[at : lt + 1], None, False, lt + 1  # a sign like any other
+        at = lt + 1
+
+
+def stands(node: Node) -> str | None:
+    """What an element's attributes say: "gone" with its place, "hidden" or "visible" for itself and what doesn't say otherwise, or None."""
+    found = node.attrs
+    if node.tag in UNSEEN or "hidden" in found or (node.tag == "dialog" and "open" not in found):
+        return "gone"
     said: dict[str, tuple[bool, str]] = {}
-    for part in _STYLE_INERT.sub(" ", found.get("style", "")).split(";"):
+    for name in ("display", "visibility"):  # attributes of drawings
+        if name in found:
+            said[name] = False, found[name].strip().lower()
+    style = found.get("style", "")
+    for part in _STYLE_INERT.sub(" ", style).split(";") if style else ():
         name, _, value = part.partition(":")
         value, mark, _ = value.strip().lower().partition("!")
         name, strong = name.strip().lower(), bool(mark)
         if strong >= said.get(name, (False, ""))[0]:
             said[name] = strong, value.strip()
-    return said.get("display", (False, ""))[1] == "none" or said.get("visibility", (False, ""))[1] in ("hidden", "collapse")
+    if said.get("display", (False, ""))[1] == "none":
+        return "gone"
+    seen = said.get("visibility", (False, ""))[1]
+    if seen == "collapse":
+        return "gone" if node.tag in ("tr", "tbody", "thead", "tfoot", "col", "colgroup") else "hidden"
+    return seen if seen in ("hidden", "visible") else None
 
 
 def build(html: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     stack = [root]
-    at, size = 0, len(html)
-    drawings = _FOREIGN.search(html) is not None
+    where: dict[str, list[int]] = {}  # the places in the stack of each tag's open elements
 
-    def foreign() -> int:
-        """The place in the stack of the svg or math element whose own markup is being read, or 0."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in ("svg", "math"):
-                return k
-            if stack[k].tag == "foreignobject":
-                return 0
-        return 0
+    def push(node: Node) -> None:
+        where.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
 
-    def text(raw: str, escaped: bool = True) -> None:
-        if raw:
-            if stack[-1].tag == "head" and not raw.isspace():
-                stack.pop()
-            stack[-1].children.append(unescape(raw) if escaped and "&" in raw else raw)
+    def cut(k: int) -> None:
+        """Closes the elements from place k on."""
+        while len(stack) > k:
+            where[stack.pop().tag].pop()
+
+    def last(*tags: str) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=0)
 
     def close(names, scope) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in scope:
-                return
-            if stack[k].tag in names:
-                del stack[k:]
-                # an outer one may be implied closed as well (td, then tr)
-                if k > 1 and stack[-1].tag in names:
-                    continue
-                if not any(n.tag in names for n in stack[1:]):
-                    return
+        """Closes the open elements of these names that lie within the scope, with what is open in them."""
+        beyond = last(*scope)
+        inner = [own[k] for n in names if (own := where.get(n)) and (k := bisect_right(own, beyond)) < len(own)]
+        if inner:
+            cut(min(inner))
 
-    while at < size:
-        m = _TAG.search(html, at)
-        if m is None:
-            rest = html[at:]
-            cut = re.search(r"<[a-zA-Z/!?]", rest)  # a tag that never ends hides what follows, as in a browser
-            text(rest[: cut.start()] if cut else rest)
-            break
-        text(html[at : m.start()])
-        at = m.end()
-        if m["data"] is not None:
-            text(m["data"], False)
-        if not m["name"]:
+    def text(raw: str, escaped: bool = True) -> None:
+        if stack[-1].tag == "head" and not raw.isspace():
+            cut(len(stack) - 1)
+        stack[-1].children.append(unescape(raw) if escaped and "&" in raw else raw)
+
+    found = tokens(html)
+    moved = None
+    while True:
+        try:
+            kind, tag, attrs, slash, at = found.send(moved)
+        except StopIteration:
+            return root
+        moved = None
+        if kind in ("text", "data"):
+            if tag:
+                text(tag, kind == "text")
             continue
-        tag, attrs = m["name"].lower(), m["attrs"]
-        if m["end"]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+        if kind == "close":
+            if tag == "p" and not where.get("p"):
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag not in ("html", "body"):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        del stack[k:]
-                        break
-                    if stack[k].tag in ("td", "th", "table") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "td", "th"):
-                        break
+            elif tag not in ("html", "body") and (k := last(tag)) and (tag in TABLE_TAGS or k > last("td", "th", "table")):
+                cut(k)
             continue
         if tag == "html":
             continue
-        inside = foreign() if drawings else 0
+        inside = last(*FOREIGN)
+        if inside < last("foreignobject"):
+            inside = 0
         if inside and tag in BREAKOUT:
-            del stack[inside:]
+            cut(inside)
             inside = 0
         if inside:
-            node = Node(tag, "hidden" if tag in UNDRAWN else attrs)
+            node = Node(tag, attrs if tag not in UNDRAWN else {"hidden": ""})
             stack[-1].children.append(node)
-            if not attrs.endswith("/"):
-                stack.append(node)
+            if not slash:
+                push(node)
             continue
         if tag == "body":
-            if any(n.tag == "body" for n in stack):
+            if where.get("body"):
                 continue
-            del stack[1:]
+            cut(1)
         elif tag in BODY_ONLY and stack[-1].tag == "head":
-            stack.pop()
+            cut(len(stack) - 1)
         if tag in CLOSES:
             close(CLOSES[tag], SCOPE.get(tag, ()))
         elif tag in NO_P:
@@ -172,16 +240,38 @@ def build(html: str) -> Node:
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(rf"(?i)</{re.escape(tag)}(?=[\s/>])[^>]*>?").search(html, at)
-            body = html[at : end.start() if end else size]
+            end = re.compile(rf"(?i)</{re.escape(tag)}(?=[ \t\n\f\r/>])[^>]*>?").search(html, at)
+            body = html[at : end.start() if end else len(html)]
             if tag == "textarea":
                 node.children.append(unescape(body))
-            at = end.end() if end else size
+            elif tag == "xmp":
+                node.children.append(body)
+            moved = end.end() if end else len(html)
             continue
-        if attrs.endswith("/") and tag in ("path", "g", "rect", "circle", "svg", "math"):
+        if slash and tag in FOREIGN:
             continue
-        stack.append(node)
-    return root
+        push(node)
+
+
+def take_out_hidden(root: Node) -> None:
+    """Leaves in the tree what shows, and elements that keep their place without showing."""
+    todo = [(root, False)]
+    while todo:
+        node, dark = todo.pop()
+        kept = []
+        for child in node.children:
+            if isinstance(child, str):
+                if not dark:
+                    kept.append(child)
+                continue
+            state = stands(child) if child.attrs or child.tag in UNSEEN or child.tag == "dialog" else None
+            hidden = dark if state is None else state == "hidden"
+            if state == "gone" or (hidden and child.tag in VOID and child.tag != "br"):
+                continue
+            kept.append(child)
+            if child.children:
+                todo.append((child, hidden))
+        node.children = kept
 
 
 def width(text: str) -> int:
@@ -252,10 +342,6 @@ class Page:
         return "\n".join(self.lines)
 
 
-def seen(node: Node) -> bool:
-    return node.tag not in UNSEEN and not (node.attrs and hides(node.attrs))
-
-
 def drawn(svg: Node) -> list[Node]:
     """The texts of a drawing in order; what lies outside of them is not shown."""
     out, todo = [], [svg]
@@ -263,14 +349,13 @@ def drawn(svg: Node) -> list[Node]:
         node = todo.pop()
         if node.tag in ("text", "foreignobject"):
             out.append(node)
-            continue
-        for child in reversed(node.children):
-            if isinstance(child, Node) and seen(child) and not (child.attrs and (a := attributes(child.attrs)) and (a.get("display") == "none" or a.get("visibility") in ("hidden", "collapse"))):
-                todo.append(child)
+        else:
+            todo += [c for c in reversed(node.children) if isinstance(c, Node)]
     return out
 
 
-def render(node: Node, depth: int = 0) -> str:
+def render(node: Node) -> str:
+    """The text of a node whose inner tables have their lines."""
     page = Page()
     stack: list = [(node, None)]
     lists: list[list] = []
@@ -283,8 +368,6 @@ def render(node: Node, depth: int = 0) -> str:
         if isinstance(item, str):
             page.write(item, pre > 0)
             continue
-        if not seen(item):
-            continue
         tag = item.tag
         if tag == "br":
             page.end_line(True)
@@ -292,17 +375,17 @@ def render(node: Node, depth: int = 0) -> str:
         if tag == "hr":
             page.margin()
             continue
-        if tag == "wbr" or tag in VOID:
-            if tag == "input" and (a := attributes(item.attrs)).get("type", "").lower() in ("submit", "button", "reset") and a.get("value"):
-                page.write(a["value"])
+        if tag in VOID:
+            if tag == "input" and item.attrs.get("type", "").lower() in ("submit", "button", "reset") and item.attrs.get("value"):
+                page.write(item.attrs["value"])
             continue
         if tag == "svg":  # each text stands by itself
             for t in reversed(drawn(item)):
                 stack += [(None, page.end_line), *((c, None) for c in reversed(t.children)), (None, page.end_line)]
             continue
-        if tag == "table" and depth < MAX_TABLE_DEPTH:
+        if item.lines is not None:
             page.margin()
-            for line in table_lines(item, depth):
+            for line in item.lines:
                 page.write(line, True)
                 page.end_line()
             page.margin()
@@ -315,7 +398,7 @@ def render(node: Node, depth: int = 0) -> str:
         start()
         after = [start]
         if tag in LISTS:
-            first = attributes(item.attrs).get("start", "").strip()
+            first = item.attrs.get("start", "").strip()
             lists.append([tag == "ol", int(first) if re.fullmatch(r"-?\d{1,9}", first) else 1])
             after.append(lists.pop)
         elif tag == "li":
@@ -349,69 +432,104 @@ def render(node: Node, depth: int = 0) -> str:
     return page.text()
 
 
-def table_lines(table: Node, depth: int) -> list[str]:
-    """A table's rows, cells padded to their columns' widths; a cell's own lines stay lines."""
-    caption, rows, todo = [], [], [table]
-    while todo:
-        node = todo.pop()
-        for child in node.children if node.tag != "tr" else ():
-            if isinstance(child, str):
-                if child.strip():
-                    caption.append(_WHITE.sub(" ", child).strip())
-            elif not seen(child):
-                continue
-            elif child.tag == "tr":
-                cells = [c for c in child.children if isinstance(c, Node) and c.tag in CELLS and seen(c)]
-                stray = [c for c in child.children if c not in cells and (isinstance(c, Node) and seen(c) or isinstance(c, str) and c.strip())]
-                rows.append((cells, stray))
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                rows += [(([c for c in r.children if isinstance(c, Node) and c.tag in CELLS and seen(c)]), [c for c in r.children if not (isinstance(c, Node) and c.tag in CELLS) and (isinstance(c, str) and c.strip() or isinstance(c, Node) and seen(c))]) for r in child.children if isinstance(r, Node) and r.tag == "tr" and seen(r)]
-                other = [c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.tag != "tr"]
-                caption += [x for x in (_inner(other, depth),) if x]
-            elif child.tag in CELLS:
-                rows.append(([child], []))
-            elif child.tag not in ("col", "colgroup"):
-                caption += [x for x in (_inner([child], depth),) if x]
-    grid: list[list[tuple[list[str], int]]] = []
-    for cells, stray in rows:
-        row = []
+def _inner(children: list) -> list[str]:
+    node = Node("div")
+    node.children = children
+    text = render(node)
+    return text.split("\n") if text else []
+
+
+def _span(cell: Node, name: str, most: int, least: int) -> int:
+    said = cell.attrs.get(name, "").strip()
+    return min(most, max(least, int(said))) if re.fullmatch(r"[0-9]{1,9}", said) else 1
+
+
+def _rows(table: Node) -> tuple[list[tuple[int, list[Node]]], list[str]]:
+    """(group, cells) of each row as they stand, and the lines that go before: captions and what is in no cell."""
+    rows, before = [], []
+
+    def take(children: list, group: int, level: int = 0) -> list[Node]:
+        """The cells right among the children of a table (level 0), a part of one (1) or a row (2)."""
+        cells, stray = [], []
+        for c in children:
+            if isinstance(c, Node) and c.tag in CELLS:
+                cells.append(c)
+            elif isinstance(c, Node) and level < 2 and c.tag == "tr":
+                rows.append((group, take(c.children, group, 2)))
+            elif isinstance(c, Node) and level < 1 and c.tag in GROUPS:
+                own = take(c.children, GROUPS[c.tag], 1)
+                if own:
+                    rows.append((GROUPS[c.tag], own))
+            elif isinstance(c, Node) or c.strip():
+                stray.append(c)
+        before.extend(_inner(stray) if stray else [])
+        return cells
+
+    loose = take(table.children, GROUPS["tbody"])
+    if loose:
+        rows.append((GROUPS["tbody"], loose))
+    return sorted(rows, key=lambda r: r[0]), before
+
+
+def table_lines(table: Node) -> list[str]:
+    """A table's rows, cells padded to their columns' widths; a cell's own lines stay lines, a span of rows leaves its place free below."""
+    rows, out = _rows(table)
+    taken: dict[int, int] = {}  # by column, in how many more rows a cell from above stands there
+    grid, group = [], None
+    for own_group, cells in rows:
+        if own_group != group:
+            taken, group = {}, own_group
+        below = {k: n - 1 for k, n in taken.items() if n > 1}
+        row, k = [], 0
         for c in cells:
-            span = attributes(c.attrs).get("colspan", "").strip()
-            n = min(1000, max(1, int(span))) if re.fullmatch(r"[0-9]{1,9}", span) else 1
-            row.append((_inner(c.children, depth).split("\n"), n))
-        if stray:
-            caption += [x for x in (_inner(stray, depth),) if x]
+            while k in taken:
+                k += 1
+            wide, high = _span(c, "colspan", MAX_COLSPAN, 1), _span(c, "rowspan", 65534, 0) or 65534
+            row.append((k, wide, _inner(c.children)))
+            if high > 1:
+                for j in range(k, k + wide):
+                    below[j] = max(below.get(j, 0), high - 1)
+            k += wide
         grid.append(row)
-    widths: dict[int, int] = {}
+        taken = below
+    columns = sorted({k for row in grid for k, _, _ in row})
+    widths = dict.fromkeys(columns, 0)
     for row in grid:
-        k = 0
-        for lines, n in row:
-            if n == 1:
-                widths[k] = max(widths.get(k, 0), *map(width, lines))
-            k += n
-    out = [line for x in caption for line in x.split("\n")]
+        for k, wide, lines in row:
+            if bisect_left(columns, k + wide) - bisect_left(columns, k) == 1:  # it spans no other column
+                widths[k] = max(widths[k], *map(width, lines)) if lines else widths[k]
+    place, at = {}, 0
+    for k in columns:
+        place[k] = at
+        at += widths[k] + 2 if widths[k] else 0  # a column that shows nothing takes no place
     for row in grid:
-        for h in range(max((len(lines) for lines, _ in row), default=0)):
-            k, parts = 0, []
-            for lines, n in row:
-                text = lines[h] if h < len(lines) else ""
-                room = sum(widths.get(k + j, 0) for j in range(n)) + 2 * (n - 1)
-                parts.append(text + " " * max(0, room - width(text)))
-                k += n
-            line = "  ".join(parts).rstrip()
+        for h in range(max((len(lines) for _, _, lines in row), default=0)):
+            line, size = "", 0
+            for k, _, lines in row:
+                if h < len(lines) and lines[h]:
+                    room = max(place[k] - size, 2 if size else 0)
+                    line += " " * room + lines[h]
+                    size += room + width(lines[h])
+            line = line.rstrip()
             if line:
                 out.append(line)
     return out
 
 
-def _inner(children: list, depth: int) -> str:
-    node = Node("div")
-    node.children = children
-    return render(node, depth + 1)
-
-
 def text_of(html: str | None) -> str:
-    return render(build(html)) if html else ""
+    if not html:
+        return ""
+    root = build(html)
+    take_out_hidden(root)
+    tables, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "table":
+            tables.append(node)
+        todo += [c for c in node.children if isinstance(c, Node)]
+    for table in reversed(tables):  # an inner table comes after the one around it
+        table.lines = table_lines(table)
+    return render(root)
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:

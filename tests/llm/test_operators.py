@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
@@ -415,6 +417,108 @@ def test_only_what_hides_is_left_out(page, text):
     assert html.text_of(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>b<tr><td>c<tr><td>d<td>e</table>", "A  b\n   c\nd  e"),
+        ("<table><tr><td colspan=2>wide one<td>x<tr><td>1<td>2<td>3</table>", "wide one  x\n1  2  3"),
+        ("<table><tfoot><tr><td>sum<tbody><tr><td>row<thead><tr><td>head</table>", "head\nrow\nsum"),
+        ("<table><tr><td colspan=1000>a<td>b</table>", "a  b"),
+        ("<p style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</p>", "yes"),
+        ("<table><tr style='visibility:collapse'><td>no<tr><td style='visibility:hidden'>no<td>x</table>", "x"),
+        ("a<dialog>no</dialog><dialog open>yes</dialog>", "a\nyes"),
+        ("x</ y>z<!>w<!-->v", "xzwv"),
+        ('<a title="x>y" href=/a/b/>seen</a>', "seen"),
+        ("<xmp><b>as is</b></xmp>", "<b>as is</b>"),
+    ],
+)
+def test_layout(page, text):
+    assert html.text_of(page) == text
+
+
+def test_html_takes_time_by_length():
+    pages = [
+        "seen<a " + '"' * 10**6,
+        "seen<a x=" + '"' * 999_999 + ">",
+        "<div>" * 10**5 + "seen" + "<p>x</p>" * 1000,
+        "seen" + "<p><button>" + "<div>" * 50_000 + "<p>" * 50_000,
+        "<table><tr><td>" * 3_000 + "seen",
+        "<table><tr>" + "<td>seen" * 20_000,
+        "<table>" + "<tr><td rowspan=9 colspan=9>seen" * 5_000,
+        "seen<" * 10**5,
+        "seen" + "<!--" * 10**5,
+        "seen" + "<script>" * 10**5,
+        "<ul><li>" * 2_000 + "seen",
+        "<svg>" * 10**5 + "<text>seen",
+        "seen" + "</p></b>" * 10**5,
+    ]
+    for page in pages:
+        begin = time.process_time()
+        assert "seen" in html.text_of(page), page[:40]
+        assert time.process_time() - begin < 4, page[:40]
+
+
+class PlainText(HTMLParser):
+    """A second reader, for pages whose tags are all closed: the words that show, in order."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.dark, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag not in html.VOID:
+            style = (a.get("style") or "").replace(" ", "")
+            self.dark += bool(self.dark or tag in ("script", "style", "head", "title", "template") or "hidden" in a or "display:none" in style)
+        if (tag in html.BLOCK or tag == "br") and not self.dark:
+            self.out.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in html.BLOCK and not self.dark:
+            self.out.append(" ")
+        self.dark -= self.dark > 0
+
+    def handle_data(self, data):
+        if not self.dark:
+            self.out.append(data)
+
+
+def plain_words(page):
+    reader = PlainText()
+    reader.feed(page)
+    reader.close()
+    return "".join(reader.out).split()
+
+
+def test_rendering_equals_a_plain_reader():
+    rng = random.Random(21)
+
+    def part(depth):
+        kind = rng.randrange(12) if depth < 5 else 0
+        inner = "".join(part(depth + 1) for _ in range(rng.randint(0, 4) if depth < 5 else 0))
+        if kind < 3:
+            return rng.choice(["word", " two words ", "a&amp;b ", "\n", "é ", "x"])
+        if kind == 3:
+            return f"<table>{''.join(f'<tr><td>{part(depth + 1)}</td></tr>' for _ in range(rng.randint(1, 3)))}</table>"
+        if kind == 4:
+            return f"<{(t := rng.choice(['div hidden', 'p style=\"display: none\"', 'span hidden=x', 'b style=display:none']))}>{rng.choice(['no', ''])}</{t.split()[0]}>"
+        if kind == 5:
+            return rng.choice(["<script>var a = '<p>';</script>", "<style>p{}</style>", "<!-- no -->", "<br>", "<img alt=no>"])
+        tag = rng.choice(["div", "b", "i", "span title='hidden'", "section", "a href='x>y'", "em", "blockquote", "article"])
+        return f"<{tag}>{inner}</{tag.split()[0]}>"
+
+    pages = ["".join(part(0) for _ in range(6)) for _ in range(1500)]
+    for page in pages:
+        assert html.text_of(page).split() == plain_words(page), page
+
+
+def test_pages_equal_a_plain_reader(spark):
+    found = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").join(queries.op6_html_text(spark, "/root/testdata/sf0.01"), "page_id").collect()
+    assert found
+    for r in found:
+        assert [w for w in r.text.split() if w != "-"] == [w for w in plain_words(r.html) if w != "-"]
+
+
 def test_html_awkward(spark):
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     tables = "<table><tr><td>" * 60 + "in" + "</table>" * 60
