@@ -1,24 +1,28 @@
 """Toxicity (operator 2): a weighted lexicon, matched by Aho-Corasick in folded text.
 
 Folding maps look-alike letters, accents, full-width and styled forms and digits that stand for letters to one plain letter each,
-drops invisible characters and turns whatever else is no letter into single spaces. The lexicon holds whole words and beginnings of
-words, each with the log-odds of its occurrence among the distinct words of toxic against other labelled texts; matches that lie inside an exception
-phrase count nothing. The weight of a text's different words, the weight of all
-its words for each hundred and the number of different ones go into a logistic score.
+drops invisible characters and turns whatever else is no letter into single spaces; letters of other scripts stay. The lexicon holds
+whole words and beginnings of words, each with the log-odds of its occurrence among the distinct words of toxic against other labelled
+texts; matches that lie inside an exception phrase count nothing. The weight of a text's different words, the weight of all its words
+for each hundred and the number of different ones go into a logistic score.
 
-Labels teach from a bounded sample: the SAMPLE_TOXIC and SAMPLE_OTHER labelled rows with the least hash of doc_id, texts that repeat counting once. Half of
-them gives the entries, the other half confirms them and fits the score.
+Labels teach from a bounded sample: the SAMPLE_TOXIC and SAMPLE_OTHER labelled rows with the least hash of doc_id, texts that repeat
+counting once. Half of it gives the entries, the other half confirms them, all of it fits the score. One rule holds at all sizes: what
+the labels say is shrunk towards a prior, SEED_ENTRIES with their weights, nothing for other words, and COEFFICIENTS; so without
+labels the prior acts alone, and its part fades as labels come in.
 
 Defined results: null and empty texts score as texts without any match; very long texts are matched whole; repeated rows score each;
-rows with labels that differ count as toxic; without labels of both kinds only SEED_ENTRIES match; an empty table gives an empty
-result; other columns are ignored by score().
+rows with labels that differ, and copies of a text whose labels differ, count as toxic; an empty table gives an empty result; other
+columns are ignored by score().
 """
 
 from __future__ import annotations
 
 import math
 import unicodedata
+from bisect import bisect_right
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +33,12 @@ from .common import saved, text_steps
 
 SAMPLE_TOXIC, SAMPLE_OTHER = 5_000, 15_000
 PREFIXES = range(4, 9)
+#: An entry stands in this share of toxic texts at least, which bounds how many entries there are, and has these log-odds.
 MIN_SHARE, MIN_ODDS = 0.012, 2.5
-MAX_ENTRIES = 5_000
-#: Below so many toxic rows in a half, the halves are not held against each other.
-FEW = 100
-#: Entries used where there are no labels to learn from, with weights.
+#: What the prior counts for: occurrences of a word, toxic texts (of which SEED_SHARE hold a seed entry), labelled texts in the fit.
+PRIOR_WORDS, PRIOR_TEXTS, SEED_SHARE, PRIOR_FIT = 2.0, 20.0, 0.05, 1.0
+COEFFICIENTS = (-4.0, 0.6, 0.2, 0.5)
+#: The prior's entries, with weights.
 SEED_ENTRIES = {" idiot ": 5.0, " moron ": 5.0, " scum ": 5.0, " stupid ": 4.0, " pathetic ": 4.0, " worthless ": 4.0, " loser ": 4.0, " disgusting ": 4.0}
 #: Innocent phrases that hold a word of abuse.
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "trash collection", "circus clown", "clown fish", "idiot proof", "pond scum", "sore loser", "loser bracket")
@@ -53,13 +58,15 @@ FEATURES = 3
 def _table() -> np.ndarray:
     """Folded letter, 32 for no letter, 0 for what is dropped, by code point."""
     table = np.full(0x110000, 32, np.uint32)
-    for cp in [*range(0x41, 0x3000), *range(0xFB00, 0xFB07), *range(0xFF21, 0xFF5B), *range(0x1D400, 0x1D800)]:
-        c = unicodedata.normalize("NFKD", chr(cp).lower())[:1].lower()
-        if unicodedata.category(chr(cp))[0] == "M":
+    for cp in range(0x41, 0x40000):  # there are no letters beyond
+        kind = unicodedata.category(chr(cp))[0]
+        if kind == "M":
             table[cp] = 0
-        elif c.isalpha():
-            table[cp] = ord(LOOK_ALIKES.get(c, c))
-    table[0x3040:0xD7FF] = np.arange(0x3040, 0xD7FF)
+        elif kind in "LSN":  # styled letters are signs or numbers in part
+            c = chr(cp).lower()
+            c = c if "\uac00" <= c <= "\ud7a3" else unicodedata.normalize("NFKD", c)[:1].lower()  # a Korean syllable is one letter
+            if c.isalpha():
+                table[cp] = ord(LOOK_ALIKES.get(c, c))
     for sign, letter in LOOK_ALIKES.items():
         table[ord(sign)] = ord(letter)
     table[_INVISIBLE] = 0
@@ -109,7 +116,7 @@ def folded_texts(raw: np.ndarray, offsets: np.ndarray) -> list[str]:
 class Lexicon:
     """Entries (a space marks a word's edge) with weights, exception phrases, and the logistic score's coefficients."""
 
-    def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, coefficients: tuple[float, ...] = (-4.0, 0.6, 0.2, 0.5)):
+    def __init__(self, entries: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS, coefficients: tuple[float, ...] = COEFFICIENTS):
         self.entries, self.coefficients = entries, coefficients
         raw = [" ".join(("", e, "")).encode() for e in exceptions]
         self.exceptions = []
@@ -138,12 +145,13 @@ class Lexicon:
         hits = list(self.automaton.iter(folded)) if len(self.automaton) else []
         if not hits:
             return 0.0, 0.0, 0.0
-        spared = [(end - n + 1, end) for end, (n, weight) in hits if weight is None]
+        spared = sorted((end - n + 1, end) for end, (n, weight) in hits if weight is None)
+        opens, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
         best: dict[int, float] = {}  # by a word's end: entries for one word count once, by the weightiest
         by_word: dict[str, float] = {}
         for end, (n, weight) in hits:
             start = end - n + 1
-            if weight is None or any(a <= start and end <= b for a, b in spared):
+            if weight is None or ((k := bisect_right(opens, start)) and reach[k - 1] >= end):
                 continue
             word = folded.find(" ", start + 1)
             best[word] = max(best.get(word, 0.0), weight)
@@ -157,6 +165,14 @@ class Lexicon:
         return 1 / (1 + np.exp(-(c[0] + features @ c[1:])))
 
 
+COUNTS = "half int, entry string, tf_0 long, tf_1 long, df_0 long, df_1 long"
+
+
+def folded(text: str) -> str:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return folded_texts(raw, np.array([0, len(raw)]))[0]
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """Of every folded word and beginning, by half and label, its distinct words in each text (tf) and its texts (df); under "" all distinct words: half, entry, tf_0, tf_1, df_0, df_1."""
 
@@ -189,7 +205,7 @@ def _counted(rows: DataFrame) -> DataFrame:
         if counts:
             yield flush()
 
-    return rows.select("half", "toxic", "text").mapInArrow(run, "half int, entry string, tf_0 long, tf_1 long, df_0 long, df_1 long")
+    return rows.select("half", "toxic", "text").mapInArrow(run, COUNTS)
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -201,33 +217,31 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     for label, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_OTHER)):
         part = known.where(F.col("toxic") == label).orderBy(order, "doc_id").limit(most)
         picked = part if picked is None else picked.union(part)
-    picked = picked.withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int"))
-    # at most SAMPLE_TOXIC + SAMPLE_OTHER rows of three numbers: a bound that doesn't grow with the corpus
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("half", "toxic", "text", F.xxhash64("text").alias("same"))
+    # at most SAMPLE_TOXIC + SAMPLE_OTHER rows of two numbers: a bound that doesn't grow with the corpus
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
     # copies of a text teach once, in one half
-    rows = saved(rows.dropDuplicates(["same"]), "toxicity-sample")
+    rows = rows.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    rows = saved(rows.select(F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"), "toxic", "text"), "toxicity-sample")
     sizes = {(r.half, r.toxic): r["count"] for r in rows.groupBy("half", "toxic").count().collect()}
-    n = [[max(1, sizes.get((h, t), 0)) for t in (0, 1)] for h in (0, 1)]
-    if min(sizes.get((h, t), 0) for h in (0, 1) for t in (0, 1)) < 5:
-        return Lexicon({" " + folded_texts(np.frombuffer(e.encode(), np.uint8), np.array([0, len(e.encode())]))[0].strip() + " ": w for e, w in SEED_ENTRIES.items()})
     sums = [F.sum(F.when(F.col("half") == h, F.col(c)).otherwise(0)).alias(f"{c}_{h}") for h in (0, 1) for c in ("tf_0", "tf_1", "df_1")]
-    counts = saved(_counted(rows).groupBy("entry").agg(*sums), "toxicity-counts")
+    prior = {f" {folded(e).strip()} ": w for e, w in SEED_ENTRIES.items()}
+    seeds = docs.sparkSession.createDataFrame([(0, e, 0, 0, 0, 0) for e in ["", *prior]], COUNTS)
+    counts = saved(_counted(rows).union(seeds).groupBy("entry").agg(*sums), "toxicity-counts")
     total = counts.where("entry = ''").first()
+    known_before = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in prior.items() for x in pair)), F.col("entry")), F.lit(0.0))
 
     def odds(*halves: int):
-        """Log-odds of a word of a toxic text against one of another text to be the entry."""
-        t, o, w1, w0 = (sum((F.col(f"{c}_{h}") for h in halves), F.lit(0)) if isinstance(c, str) else sum(total[f"{c[0]}_{h}"] for h in halves) for c in ("tf_1", "tf_0", ("tf_1",), ("tf_0",)))
-        return F.log((t + 0.5) / (w1 + 1)) - F.log((o + 0.5) / (w0 + 1))
-
-    if min(n[0][1], n[1][1]) >= FEW:
-        strong = counts.where("entry <> ''")
-        for h in (0, 1):
-            strong = strong.where((F.col(f"df_1_{h}") >= MIN_SHARE * n[h][1]) & (odds(h) >= MIN_ODDS))
-    else:  # too few toxic texts for a second opinion: the halves speak together
-        strong = counts.where((F.col("entry") != "") & (F.col("df_1_0") + F.col("df_1_1") >= 3) & (odds(0, 1) >= MIN_ODDS))
-    weight = odds(0, 1)
-    best = strong.select("entry", weight.alias("weight"), (weight * (F.col("tf_1_0") + F.col("tf_1_1"))).alias("rank")).orderBy(F.desc("rank"), "entry").limit(MAX_ENTRIES)
-    found = {r.entry: r.weight for r in best.collect()}
+        """Log-odds of a word of a toxic text against one of another text to be the entry, shrunk towards the prior."""
+        t, o = (sum((F.col(f"{c}_{h}") for h in halves), F.lit(0)) for c in ("tf_1", "tf_0"))
+        w1, w0 = (sum(total[f"{c}_{h}"] for h in halves) for c in ("tf_1", "tf_0"))
+        seen = F.log((t + 0.5) / (w1 + 1)) - F.log((o + 0.5) / (w0 + 1))
+        return (PRIOR_WORDS * known_before + (t + o) * seen) / (PRIOR_WORDS + t + o)
+
+    strong = counts.where("entry <> ''")
+    for h in (0, 1):
+        share = (F.col(f"df_1_{h}") + F.when(known_before > 0, PRIOR_TEXTS * SEED_SHARE).otherwise(0.0)) / (PRIOR_TEXTS + sizes.get((h, 1), 0))
+        strong = strong.where((share >= MIN_SHARE) & (odds(h) >= MIN_ODDS))
+    found = {r.entry: r.weight for r in strong.select("entry", odds(0, 1).alias("weight")).collect()}  # bounded by MIN_SHARE
     # a word or longer beginning adds nothing to a beginning that is as telling
     entries = {e: w for e, w in found.items() if not any(found.get(e[:k], -1) >= w - 1 for k in range(5, len(e)))}
     model = Lexicon(entries)
@@ -238,19 +252,19 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), *(pa.array([x[k] for x in f], pa.float64()) for k in range(FEATURES))], names=["toxic", *(f"f{k}" for k in range(FEATURES))])
 
     fitted = rows.select("toxic", "text").mapInArrow(run, "toxic int, f0 double, f1 double, f2 double")
-    sample = np.array([tuple(r) for r in fitted.collect()], float)  # bounded by the sample
+    sample = np.array([tuple(r) for r in fitted.collect()], float).reshape(-1, 1 + FEATURES)  # bounded by the sample
     return Lexicon(entries, coefficients=_logistic(sample[:, 1:], sample[:, 0]))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
-    """Ridge logistic regression by Newton steps; classes weigh as they come."""
-    x = np.c_[np.ones(len(x)), x]
-    beta = np.zeros(x.shape[1])
-    penalty = np.diag([1e-6, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = COEFFICIENTS, strength: float = PRIOR_FIT) -> tuple[float, ...]:
+    """Logistic regression by Newton steps, with coefficients drawn towards the prior; classes weigh as they come."""
+    x, middle = np.c_[np.ones(len(x)), x], np.array(prior)
+    beta = middle.copy()
+    penalty = strength * np.eye(len(middle))
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)
-        beta = beta + step
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ (beta - middle))
+        beta = beta + np.clip(step, -2, 2)
         if abs(step).max() < 1e-8:
             break
     return tuple(float(b) for b in beta)

@@ -102,6 +102,83 @@ def test_lexicon_and_exceptions():
     assert short[1] > long_[1] > 0
 
 
+def plain_fold(text):
+    """Sign by sign, as the fold is described."""
+    marks, out = "!|@$€", []
+    low = {cp: toxicity.fold(np.array([32, 97, cp, 97, 32], np.uint32))[2] for cp in {*map(ord, text)}}
+    for k, c in enumerate(text):
+        f = int(low[ord(c)])
+        if c in marks:
+            around = [text[j] if 0 <= j < len(text) else " " for j in (k - 1, k + 1)]
+            if not all(a not in marks and int(low.get(ord(a), 32)) not in (0, 32) for a in around):
+                f = 32
+        out.append((c, f))
+    words, run = [], []
+    for c, f in [*out, (" ", 32)]:
+        if f != 32:
+            run.append((c, f))
+            continue
+        if any(g and c2 not in "0123456789" for c2, g in run):
+            words.append("".join(chr(g) for _, g in run if g))
+        run = []
+    return "".join(f" {w}" for w in words if w) + " "
+
+
+def plain_features(entries, exceptions, folded):
+    def places(what):
+        return [(k, k + len(what)) for k in range(len(folded)) if folded.startswith(what, k)]
+
+    spared = [p for e in exceptions for p in places(e)]
+    by_word = {}
+    for entry, weight in entries.items():
+        for a, b in places(entry):
+            if not any(x <= a and b <= y for x, y in spared):
+                at = folded.index(" ", a + 1)
+                by_word.setdefault((a, folded[a:at]), []).append(weight)
+    best = {k: max(v) for k, v in by_word.items()}
+    words = {w: best[a, w] for a, w in best}
+    if not best:
+        return 0.0, 0.0, 0.0
+    return np.log1p(sum(words.values())), np.log1p(100 * sum(best.values()) / max(1, len(folded.split()))), float(min(5, len(words)))
+
+
+def test_lexicon_equals_naive_matching():
+    rng = random.Random(31)
+    entries = {" trash ": 5.0, " tras": 3.0, " clown ": 4.0, " iose": 2.5, " pond ": 1.5, " bad ": 2.0}
+    model = toxicity.Lexicon(entries)
+    parts = ["trash", "can", "tr4sh", "cl0wn", "fish", "loser", "pond", "scum", "sore", "bracket", "bad", "b@d", "b@", "!", "x", "12", "1st", "é", "Ｔrash", "tra\u200bsh", "t", " ", "  ", "\n", ".", "日本", "\U00020000\U00020001", "हिन्दी"]
+    texts = [rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randint(0, 12))) for _ in range(3000)]
+    raw = [t.encode() for t in texts]
+    folded = toxicity.folded_texts(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])])
+    for text, f in zip(texts, folded):
+        assert f == plain_fold(text), text
+        assert model.features(f) == pytest.approx(plain_features(entries, model.exceptions, f)), text
+
+
+def test_many_exceptions_take_time_by_length():
+    model = toxicity.Lexicon({" trash ": 5.0})
+    begin = time.process_time()
+    assert model.features(" a trash can" * 100_000 + " trash ")[2] == 1
+    assert time.process_time() - begin < 3
+
+
+def test_teaching_does_not_depend_on_task_order(spark):
+    sf = "/root/testdata/sf0.01"
+    at, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    copies = at.withColumn("doc_id", F.col("doc_id") + 7)  # copies of texts with other ids, halves and labels
+    one, two = (toxicity.learn(at.unionByName(copies).repartition(n, F.rand(n)), labels) for n in (3, 7))
+    assert one.entries == two.entries and one.coefficients == pytest.approx(two.coefficients, rel=1e-6)
+
+
+def test_labels_outweigh_the_prior_step_by_step(spark):
+    texts = ["you zork " + "fine words here " * 3 + str(k) for k in range(120)] + ["nice day " + "fine words here " * 3 + str(k) for k in range(120)]
+    frame = docs(spark, texts)
+    for n, learned in ((0, False), (100, True)):
+        labels = spark.createDataFrame([(k, int(k < 120)) for k in range(240) if k % 120 < n], "doc_id long, toxic int")
+        model = toxicity.learn(frame, labels)
+        assert (" zork " in model.entries) == learned and (" idiot " in model.entries or learned)
+
+
 def test_toxicity_held_out(spark):
     got = queries.op2_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").where("held_out").toPandas()
     assert (got.predicted == got.toxic).mean() > 0.95
