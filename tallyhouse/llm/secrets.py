@@ -17,14 +17,16 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_steps
+from .common import saved
 
 #: The base patterns, in order; keys in either case, over ASCII alone.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -39,6 +41,8 @@ SAMPLE_DOCUMENTS, SAMPLE_STRINGS = 20_000, 400
 ALPHA = 0.01
 #: Nats for each character by which a format must be likelier than an ordinary token.
 THRESHOLD = 0.5
+#: Longer tokens are scored anew each time, so that a worker's memory of scores stays small.
+REMEMBERED = 256
 SPAN = "array<struct<kind:string,start:int,end:int,value_start:int>>"
 
 
@@ -74,6 +78,29 @@ def base_spans(text: str, low: str | None = None) -> list[tuple[int, int, int, i
     return sorted(out)
 
 
+class Touched:
+    """Whether a range of a text has a place in common with one of its base spans."""
+
+    def __init__(self, base: list[tuple[int, int, int, int]]):
+        self.starts = [b[0] for b in base]
+        self.reach = list(accumulate((b[2] for b in base), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
+def tokens(text: str) -> list[tuple[int, int]]:
+    """Start and end of what may be a credential: long runs of its characters, without a dash or sign of equality at the end."""
+    out = []
+    for m in _TOKEN.finditer(text):
+        start, end = m.span()
+        end = start + len(m[0].rstrip("=-"))
+        if end - start >= MIN_TOKEN:
+            out.append((start, end))
+    return out
+
+
 def symbol(c: str) -> str:
     if c.isdigit():
         return "9"
@@ -86,9 +113,12 @@ def symbol(c: str) -> str:
     return "L" if c.isupper() else c
 
 
-@lru_cache(100_000)
+_SHAPES = {i: symbol(chr(i)) for i in range(128)}
+
+
 def shape(token: str) -> str:
-    return "".join(map(symbol, token))
+    """The token with each character replaced by its class."""
+    return token.translate(_SHAPES)
 
 
 class Automaton:
@@ -195,7 +225,7 @@ class Grammar:
     def score(self, token: str) -> float:
         if self._score is None:
             self._score = lru_cache(200_000)(self._of_shape)
-        return self._score(shape(token))
+        return (self._score if len(token) <= REMEMBERED else self._of_shape)(shape(token))
 
     def _of_shape(self, s: str) -> float:
         if not self.kinds:
@@ -207,15 +237,8 @@ def spans_of(text: str, grammar: Grammar | None, threshold: float = THRESHOLD) -
     base = base_spans(text)
     if grammar is None or not grammar.kinds:
         return base
-    added, k = [], 0
-    for m in _TOKEN.finditer(text):
-        start, end = m.span()
-        while end > start and text[end - 1] in "=-":
-            end -= 1
-        while k < len(base) and base[k][2] <= start and base[k][0] < start:
-            k += 1
-        if end - start >= MIN_TOKEN and not any(b[0] < end and start < b[2] for b in base[max(0, k - 8) :]) and grammar.score(text[start:end]) >= threshold:
-            added.append((start, 3, end, start))
+    touched = Touched(base)
+    added = [(a, 3, b, a) for a, b in tokens(text) if not touched(a, b) and grammar.score(text[a:b]) >= threshold]
     return sorted(base + added) if added else base
 
 
@@ -234,13 +257,14 @@ def learn(docs: DataFrame) -> Grammar:
                 for _, kind, end, value in base:
                     kinds.append(KINDS[kind])
                     strings.append(text[value:end])
-                for m in _TOKEN.finditer(text):
-                    if not any(b[0] < m.end() and m.start() < b[2] for b in base):
+                touched = Touched(base)
+                for a, b in tokens(text):
+                    if not touched(a, b):
                         kinds.append("other")
-                        strings.append(m[0].rstrip("=-"))
+                        strings.append(text[a:b])
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], names=["kind", "string"])
 
-    found = rows.mapInArrow(run, "kind string, string string").distinct()
+    found = saved(rows.mapInArrow(run, "kind string, string string").distinct(), "secrets-sample")
     best = None
     for kind in (*KINDS[:3], "other"):
         part = found.where(F.col("kind") == kind).orderBy(F.xxhash64("string"), "string").limit(SAMPLE_STRINGS)
