@@ -60,6 +60,18 @@ def dropped(*frames: DataFrame) -> None:
         _delete(frame.sparkSession, frame.saved_at)
 
 
+#: What is broadcast at most, as files hold it.
+BROADCAST_BYTES = 32 << 20
+
+
+def sized(frame: DataFrame) -> DataFrame:
+    """A frame that saved() made, as a side of a join: broadcast where its files are small, else left for a sort-merge join, in which
+    Spark splits the other side's hot keys. The rows are the same either way."""
+    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
+    size = path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame.hint("merge")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)

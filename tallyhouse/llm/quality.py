@@ -6,10 +6,14 @@ source: from medians and absolute deviations, concentration steps keep the three
 estimate mean and covariance from those alone, so that outliers don't shape what they are judged by. A text is rejected whose
 squared Mahalanobis distance, scaled so that its median is that of chi-square, passes the cutoff.
 
-All estimates are sums and quantile sketches per stratum, merged before they move, so a source that holds many rows costs no task
-more than another. A language and source with fewer than MIN_ROWS texts that pass the rules uses its language's estimate, a language
-with fewer all texts'; with fewer than MIN_ROWS in all, only the fixed rules hold. A small variance is added to each statistic, so
-that a statistic that is the same in nearly all texts doesn't reject every text that differs a little.
+A language's and source's estimate is shrunk towards its language's, that towards all texts', and that towards NOISE, each as if
+PRIOR_ROWS rows stood for the wider one. So one rule holds at all sizes: a source of a few texts is judged by its language, and in a
+table of a few texts hardly any lies far enough out to be rejected.
+
+All estimates come from counts and sums per stratum, merged before they move: quantiles from counts in fixed bins, moments from exact
+sums of statistics in whole units. They don't depend on the order of tasks, so verdicts are the same in every run. Rows never move:
+each pass reads the statistics and meets the estimates, a row a stratum, in a broadcast join once they have been measured (in a
+sort-merge join with skew splitting if there are too many sources for that).
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources are values of their own;
 repeated rows count each; very long texts are measured whole; an empty table gives an empty result; other columns are ignored.
@@ -17,24 +21,38 @@ repeated rows count each; very long texts are measured whole; an empty table giv
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, saved
+from .common import SPACE, dropped, saved, sized
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_ROWS = 50
+PRIOR_ROWS = 50
 KEEP_SHARE = 0.75
 STEPS = 3
-#: A stratum's rows go to so many tasks at least when they meet its estimate.
-SALTS = 16
-#: What is added to each statistic's standard deviation, and the statistics' names.
-FLOORS = {"symbols": 0.05, "word_length": 0.06, "capitals": 0.06, "repeats": 0.2, "richness": 0.03}
-NAMES = list(FLOORS)
+#: Statistics are kept as whole multiples of this.
+UNIT = 1e-6
+#: Letters of a usual word, and how much more the counts of a text scatter than independent ones would.
+LETTERS, BURST = 6, 2
+#: The standard deviation that each statistic has by chance in a text of MIN_WORDS words: of a root of a share sqrt(x / n) it is
+#: 1 / (2 sqrt(n)), however large the share (a repeated window covers six words or more); of the logarithm of a mean word length a
+#: word's variation (0.6) / sqrt(n); of log(distinct) / log(n) at most 0.5 / (sqrt(n) log(n)). No estimate is narrower than that.
+NOISE = {
+    "symbols": BURST / (2 * math.sqrt(LETTERS * MIN_WORDS)),
+    "word_length": 0.6 / math.sqrt(MIN_WORDS),
+    "capitals": BURST / (2 * math.sqrt(LETTERS * MIN_WORDS)),
+    "repeats": math.sqrt(6) / (2 * math.sqrt(MIN_WORDS)),
+    "richness": BURST * 0.5 / (math.sqrt(MIN_WORDS) * math.log(MIN_WORDS)),
+}
+NAMES = list(NOISE)
+SIZE = len(NAMES)
 #: Quantiles of chi-square with five degrees of freedom: 0.5 and 0.9999.
 MEDIAN, CUTOFF = 4.351, 25.745
-ACCURACY = 10_000
+#: Bins to one unit of a statistic, and to a doubling of a distance.
+FINE, PER_DOUBLING = 1024, 64
 
 
 def _let(value: Column, body) -> Column:
@@ -87,103 +105,138 @@ def measured(docs: DataFrame) -> DataFrame:
         F.size(F.array_distinct("words")).alias("n_distinct"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).alias("n_capitals"),
     )
+    def whole(x: Column, name: str) -> Column:
+        return F.round(x / UNIT).cast("long").alias(name)
+
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     n, chars = F.greatest("n_words", F.lit(2)), F.greatest("word_chars", F.lit(1))
     return base.select(
         *base.columns[:8],
         failed.alias("base_failed"),
-        F.sqrt(F.col("n_symbols") / chars).alias("symbols"),
-        F.log(chars / n).alias("word_length"),
-        F.sqrt(F.col("n_capitals") / chars).alias("capitals"),
-        F.sqrt(F.col("n_repeat_words") / n).alias("repeats"),
-        (F.log(F.greatest("n_distinct", F.lit(1))) / F.log(n)).alias("richness"),
+        whole(F.sqrt(F.col("n_symbols") / chars), "symbols"),
+        whole(F.log(chars / n), "word_length"),
+        whole(F.sqrt(F.col("n_capitals") / chars), "capitals"),
+        whole(F.sqrt(F.col("n_repeat_words") / n), "repeats"),
+        whole(F.log(F.greatest("n_distinct", F.lit(1))) / F.log(n), "richness"),
     )
 
 
-def _strata(stats: DataFrame) -> DataFrame:
-    """stats with stratum: what estimate a row is judged by."""
+def strata() -> list[Column]:
+    """A row's language and source, its language, and all: what estimates it takes part in, from narrow to wide."""
     lang, source = (F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source"))
-    fine, coarse = F.concat(lang, F.lit("\x1f"), source), lang
-    named = stats.withColumns({"fine": fine, "coarse": coarse})
-    good = named.where(~F.col("base_failed"))
-    many = good.groupBy("fine").count().where(F.col("count") >= MIN_ROWS).select("fine", F.lit(True).alias("has_fine"))
-    wide = good.groupBy("coarse").count().where(F.col("count") >= MIN_ROWS).select("coarse", F.lit(True).alias("has_coarse"))
-    joined = named.join(many, "fine", "left").join(wide, "coarse", "left")
-    return joined.withColumn("stratum", F.when(F.col("has_fine"), F.col("fine")).when(F.col("has_coarse"), F.concat(F.col("coarse"), F.lit("\x1e"))).otherwise("\x1d")).drop("fine", "coarse", "has_fine", "has_coarse")
+    return [F.concat(lang, F.lit("\x1f"), source), F.concat(lang, F.lit("\x1e")), F.lit("\x1d")]
 
 
-def _pool(strata: DataFrame) -> DataFrame:
-    """The rows that estimates are made from, each under the strata that some row is judged by, with a salt that spreads a stratum's rows."""
-    lang, source = (F.coalesce(F.col(c), F.lit("\x00")) for c in ("lang", "source"))
-    own = F.array(F.concat(lang, F.lit("\x1f"), source), F.concat(lang, F.lit("\x1e")), F.lit("\x1d"))
-    rows = strata.where(~F.col("base_failed")).select(*NAMES, F.pmod(F.xxhash64("doc_id", "symbols", "word_length"), F.lit(SALTS)).alias("salt"), F.explode(own).alias("stratum"))
-    used = _salted(strata.select("stratum").distinct())
-    return rows.join(used, ["stratum", "salt"])
+def _quantiles(counts: DataFrame, keys: list[str], **shares: float) -> DataFrame:
+    """keys, n and the bin in which each share is reached, from counts (keys, bin, n) of a fixed number of bins."""
+    upto = Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*keys))})
+    return ranked.groupBy(*keys).agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))).alias(name) for name, share in shares.items()))
+
+
+def _middles(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
+    """stratum, name_0, name_1, ...: the medians of the values."""
+    one = rows.select("stratum", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(v * FINE).alias("bin")) for i, v in enumerate(values)))).alias("x"))
+    counts = one.groupBy("stratum", "x.i", "x.bin").agg(F.count("*").alias("n"))
+    found = _quantiles(counts, ["stratum", "i"], half=0.5)
+    return found.groupBy("stratum").agg(*(F.max(F.when(F.col("i") == i, (F.col("half") + 0.5) / FINE)).alias(f"{name}_{i}") for i in range(SIZE)))
+
 
+def _statistics() -> list[Column]:
+    return [F.col(n) * UNIT for n in NAMES]
 
-def _salted(per_stratum: DataFrame) -> DataFrame:
-    """A row a stratum and salt: the side of a join that is the same for all of a stratum's rows."""
-    return per_stratum.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
 
+def _bin(d2: Column) -> Column:
+    return F.floor(PER_DOUBLING * F.log2(1 + 64 * d2))
 
-def _factored(moments: DataFrame) -> DataFrame:
-    """Adds the lower Cholesky factor l_i_j of each stratum's covariance."""
-    p = len(NAMES)
-    for i in range(p):
+
+def _upper(bin_: Column) -> Column:
+    """The distance at which a bin ends."""
+    return (F.pow(F.lit(2.0), (bin_ + 1) / PER_DOUBLING) - 1) / 64
+
+
+def factored(moments: DataFrame) -> DataFrame:
+    """Adds the lower Cholesky factor l_i_j of each covariance with NOISE added."""
+    for i in range(SIZE):
         for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}") + (F.lit(FLOORS[NAMES[i]] ** 2) if i == j else F.lit(0.0))
+            rest = F.col(f"c_{i}_{j}") + (F.lit(NOISE[NAMES[i]] ** 2) if i == j else F.lit(0.0))
             for k in range(j):
                 rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
             moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
     return moments
 
 
-def _distance(rows: DataFrame) -> DataFrame:
+def distance(rows: DataFrame) -> DataFrame:
     """Adds d2 to rows that carry their stratum's m_i and l_i_j."""
-    for i, name in enumerate(NAMES):
-        z = F.col(name) - F.col(f"m_{i}")
+    for i, x in enumerate(_statistics()):
+        z = x - F.col(f"m_{i}")
         for k in range(i):
             z = z - F.col(f"l_{i}_{k}") * F.col(f"z_{k}")
         rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
-    return rows.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(1, len(NAMES))), F.col("z_0") ** 2))
+    return rows.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(1, SIZE)), F.col("z_0") ** 2))
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    p = len(NAMES)
-    sums = [F.avg(n).alias(f"m_{i}") for i, n in enumerate(NAMES)]
-    sums += [F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    return saved(_factored(rows.groupBy("stratum").agg(*sums)), "quality-estimate")
-
-
-def estimate(pool: DataFrame, steps: int = STEPS) -> DataFrame:
-    """stratum, location m_i, Cholesky factor l_i_j and scale: the concentrated estimate of each stratum."""
-
-    def quantile(x, share, name):
-        return F.percentile_approx(x, F.lit(share), F.lit(ACCURACY)).alias(name)
-
-    middle = saved(pool.groupBy("stratum").agg(*(quantile(n, 0.5, f"m_{i}") for i, n in enumerate(NAMES))), "quality-median")
-    keys = ["stratum", "salt"]
-    around = pool.join(_salted(middle), keys)
-    spread = saved(around.groupBy("stratum").agg(*(quantile(F.abs(F.col(n) - F.col(f"m_{i}")), 0.5, f"s_{i}") for i, n in enumerate(NAMES))), "quality-spread")
-    first = sum((((F.col(n) - F.col(f"m_{i}")) / (1.4826 * F.col(f"s_{i}") + FLOORS[n])) ** 2 for i, n in enumerate(NAMES)), F.lit(0.0))
-    rows = around.join(_salted(spread), keys).withColumn("d2", first).select(*keys, *NAMES, "d2")
-    for turn in range(steps + 1):
-        bound = saved(rows.groupBy("stratum").agg(quantile("d2", KEEP_SHARE, "bound"), quantile("d2", 0.5, "half")), "quality-bound")
-        if turn == steps:
-            break
-        fitted = _moments(rows.join(_salted(bound), keys).where("d2 <= bound"))
-        rows = _distance(pool.join(_salted(fitted), keys)).select(*keys, *NAMES, "d2")
-    return fitted.join(bound.select("stratum", F.greatest(F.col("half") / MEDIAN, F.lit(1.0)).alias("scale")), "stratum")
+    """stratum, n, means m_i and covariances c_i_j, from exact sums."""
+    sums = [F.count("*").alias("n"), *(F.sum(n).cast("double").alias(f"s_{i}") for i, n in enumerate(NAMES))]
+    sums += [F.sum((F.col(NAMES[i]) * F.col(NAMES[j])).cast("decimal(20,0)")).cast("double").alias(f"p_{i}_{j}") for i in range(SIZE) for j in range(i + 1)]
+    means = [(F.col(f"s_{i}") / F.col("n") * UNIT).alias(f"m_{i}") for i in range(SIZE)]
+    spread = [((F.col(f"p_{i}_{j}") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}")) / F.col("n") * UNIT * UNIT).alias(f"c_{i}_{j}") for i in range(SIZE) for j in range(i + 1)]
+    return rows.groupBy("stratum").agg(*sums).select("stratum", "n", *means, *spread)
+
+
+def concentrated(rows: DataFrame, steps: int = STEPS) -> DataFrame:
+    """stratum, n, m_i, c_i_j of the share of each stratum's rows (stratum and the statistics) that lies nearest."""
+    middle = saved(_middles(rows, _statistics(), "m"), "quality-middle")
+    around = rows.join(sized(middle), "stratum")
+    deviations = saved(_middles(around, [F.abs(x - F.col(f"m_{i}")) for i, x in enumerate(_statistics())], "s"), "quality-spread")
+    start = sum((((x - F.col(f"m_{i}")) / F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + NOISE[NAMES[i]] ** 2)) ** 2 for i, x in enumerate(_statistics())), F.lit(0.0))
+    far = around.join(sized(deviations), "stratum").withColumn("d2", start)
+    made = [middle, deviations]
+    for turn in range(steps):
+        bound = saved(_quantiles(far.groupBy("stratum", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n")), ["stratum"], bound=KEEP_SHARE).drop("n"), "quality-bound")
+        near = far.join(sized(bound), "stratum").where(_bin(F.col("d2")) <= F.col("bound"))
+        fitted = saved(factored(_moments(near.select("stratum", *NAMES))), "quality-estimate")
+        made += [bound, fitted]
+        far = distance(rows.join(sized(fitted), "stratum"))
+    dropped(*made[:-1])
+    return fitted
+
+
+def shrunk(fitted: DataFrame, named: DataFrame) -> DataFrame:
+    """stratum, m_i, l_i_j of every narrow stratum in named (stratum, wide, all), each estimate drawn towards the wider one."""
+    own = [*(f"m_{i}" for i in range(SIZE)), *(f"c_{i}_{j}" for i in range(SIZE) for j in range(i + 1))]
+
+    def at(level: str) -> DataFrame:
+        return fitted.select(F.col("stratum").alias(level), F.col("n").alias(f"n_{level}"), *(F.col(c).alias(f"{c}_{level}") for c in own))
+
+    wide = named.join(at("all"), "all", "left").join(at("wide"), "wide", "left").join(at("stratum"), "stratum", "left")
+    drawn = {}
+    for c in own:
+        value = F.coalesce(F.col(f"{c}_all"), F.lit(0.0))
+        for level in ("wide", "stratum"):
+            n = F.coalesce(F.col(f"n_{level}"), F.lit(0))
+            value = (n * F.coalesce(F.col(f"{c}_{level}"), F.lit(0.0)) + PRIOR_ROWS * value) / (n + PRIOR_ROWS)
+        drawn[c] = value
+    # with few rows in all, covariances are those of the prior: NOISE, many times over
+    n = F.coalesce(F.col("n_all"), F.lit(0))
+    for i in range(SIZE):
+        drawn[f"c_{i}_{i}"] = drawn[f"c_{i}_{i}"] + (PRIOR_ROWS / (n + 1.0)) ** 2 * NOISE[NAMES[i]] ** 2
+    return factored(wide.select("stratum", *(v.alias(c) for c, v in drawn.items()))).select("stratum", *own[:SIZE], *(f"l_{i}_{j}" for i in range(SIZE) for j in range(i + 1)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the base columns, base_failed, distance (null where only the fixed rules hold) and kept."""
+    """doc_id, the base columns, base_failed, distance and kept."""
     stats = saved(measured(docs), "quality-stats")
-    strata = saved(_strata(stats), "quality-strata")
-    fitted = estimate(_pool(strata))
-    salted = strata.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
-    judged = _distance(salted.join(_salted(fitted), ["stratum", "salt"], "left"))
-    distance = F.col("d2") / F.col("scale")
-    enough = stats.where(~F.col("base_failed")).limit(MIN_ROWS).count() >= MIN_ROWS
-    verdict = F.coalesce(distance <= CUTOFF, F.lit(True)) if enough else F.lit(True)
-    return judged.select("doc_id", *stats.columns[3:8], "base_failed", (distance if enough else F.lit(None).cast("double")).alias("distance"), (~F.col("base_failed") & verdict).alias("kept"))
+    narrow, wide, everything = strata()
+    good = stats.where(~F.col("base_failed"))
+    fitted = concentrated(good.select(*NAMES, F.explode(F.array(*strata())).alias("stratum")))
+    named = stats.select(narrow.alias("stratum"), wide.alias("wide"), everything.alias("all")).distinct()
+    estimate = saved(shrunk(fitted, named), "quality-shrunk")
+    placed = distance(stats.withColumn("stratum", narrow).join(sized(estimate), "stratum"))
+    counts = placed.where(~F.col("base_failed")).groupBy("stratum", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
+    half = _quantiles(counts, ["stratum"], half=0.5)
+    scale = saved(half.select("stratum", ((F.col("n") * F.greatest(_upper(F.col("half")) / MEDIAN, F.lit(1.0)) + PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)).alias("scale")), "quality-scale")
+    dropped(fitted)
+    judged = placed.join(sized(scale), "stratum", "left").withColumn("distance", F.col("d2") / F.coalesce("scale", F.lit(1.0)))
+    return judged.select("doc_id", *stats.columns[3:8], "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"))
