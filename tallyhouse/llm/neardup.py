@@ -155,13 +155,13 @@ def components(edges: DataFrame) -> DataFrame:
         turn += 1
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: all larger neighbours of u move to the least node of u's neighbourhood
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "components-least")
         big = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: u's smaller neighbours and u itself move to the least of them
         small_least = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(small_least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_least.select("u", F.col("m").alias("v")))
         before, e = e, saved(small.where("u <> v").distinct(), f"components-{turn}")
-        dropped(before)
+        dropped(before, least)
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == n:
             break
@@ -176,10 +176,14 @@ def may_link(n: str, m: str, x: str, y: str, percent: int) -> Column:
 
 
 def commonness(sets: DataFrame) -> np.ndarray:
-    """How often shingles fall on each of COUNTERS counters, eight steps to a doubling. At most COUNTERS rows reach the driver."""
-    counted = sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("slot")).count().toArrow()
+    """How often shingles fall on each of COUNTERS counters, eight steps to a doubling; 0 for those that are not well above the mean,
+    which are most, and more so the more sets there are. Only the others' counts reach the driver."""
+    counted = saved(sets.select(F.explode("shingles").alias("s")).groupBy(F.pmod("s", F.lit(COUNTERS)).cast("int").alias("slot")).count(), "neardup-counters")
+    mean = (counted.agg(F.sum("count")).first()[0] or 0) / COUNTERS
+    often = counted.where(F.col("count") > max(2, 2 * mean)).toArrow()
+    dropped(counted)
     out = np.zeros(COUNTERS)
-    out[np.asarray(counted.column("slot"))] = np.asarray(counted.column("count"))
+    out[np.asarray(often.column("slot"))] = np.asarray(often.column("count"))
     return np.minimum(255, np.ceil(8 * np.log2(1 + out))).astype(np.uint8)
 
 
@@ -226,7 +230,9 @@ def links(nodes: DataFrame, docs: DataFrame, extra: DataFrame, words: int, perce
     """node, component over the nodes (doc_id, n_shingles, keys, bits), for nodes that link with another; extra: links known before."""
     member = nodes.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     # a key's members are counted before they move, and meet their centre in a sort-merge join, which Spark splits where a key is hot
+    # (it can't where a side is aggregated in the same stage; so what is aggregated is saved first, here and below)
     centres = member.groupBy("key").agg(F.min("doc_id").alias("centre"), F.min_by("n", "doc_id").alias("n_centre"), F.count("*").alias("m")).where("m > 1")
+    centres = saved(centres, "neardup-centres")
     met = saved(member.join(centres.hint("merge"), "key"), "neardup-met")
     # the sets of all that share a bucket, made once; the texts move by doc_id, at any size in the same way
     asked = met.select("doc_id").distinct().hint("shuffle_hash")
@@ -238,10 +244,11 @@ def links(nodes: DataFrame, docs: DataFrame, extra: DataFrame, words: int, perce
     # only a bucket of three members or more can hide a link from its star
     left = met.where("m > 2").select("key", "doc_id").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     several = left.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
+    several = saved(several, "neardup-several")
     open_ = left.join(several.hint("merge"), "key", "left_semi").select("doc_id", "component").distinct()
     more = saved(across(open_, sets, nodes, percent).join(pairs, ["a", "b"], "left_anti"), "neardup-pairs")
     good = saved(confirmed(more, sets, percent), "neardup-edges")
-    dropped(met, pairs, edges, more, sets)
+    dropped(centres, met, pairs, edges, several, more, sets)
     if good.isEmpty():
         return found
     return saved(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(good)), "neardup-components")
