@@ -48,7 +48,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
+    atexit.register(delete, spark, path)
     made = spark.read.schema(df.schema).parquet(path)
     made.saved_at = path
     return made
@@ -57,7 +57,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def dropped(*frames: DataFrame) -> None:
     """Deletes the files of frames that saved() made and that no later result reads."""
     for frame in frames:
-        _delete(frame.sparkSession, frame.saved_at)
+        delete(frame.sparkSession, frame.saved_at)
 
 
 #: What is broadcast at most, as files hold it.
@@ -72,7 +72,7 @@ def sized(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if size <= BROADCAST_BYTES else frame.hint("merge")
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     try:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

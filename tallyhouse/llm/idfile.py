@@ -3,8 +3,10 @@
 A shard holds, end to end: the raw ids (little-endian, two bytes each while the vocabulary allows, else four), a record table in
 key order (key, first id, number of ids), a minimal perfect hash over the distinct keys, and a footer that says where each part
 lies. The hash is a cascade of bit arrays: a key sits on the first level where no other remaining key shares its bit, and the rank
-of that bit is its slot; a slot stores the key's fingerprint and its record. A lookup thus touches a few bits, one fingerprint and
-one record. Shards follow each other by key range, so a key finds its shard from the manifest alone.
+of that bit is its slot; a slot stores the key's fingerprint and its record. Bits lie in blocks of 64 bytes, and the bits set before
+each block are stored, so a lookup reads a block a level (two on average), one number, one fingerprint, one record and the ids, each
+at its place in the file, however large the shard is. Shards follow each other by key range, so a key finds its shard from the
+manifest alone.
 
 Executors write each shard under a name of its own into the shared folder; only files that the manifest names count, so a task run
 twice leaves no trace in the result.
@@ -16,6 +18,7 @@ long texts are encoded whole; other columns are ignored.
 
 from __future__ import annotations
 
+import atexit
 import os
 import re
 import uuid
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import SliceCoder
-from .common import mixed, saved, shared_dir, shuffle_parts, text_steps
+from .common import delete, mixed, saved, shared_dir, shuffle_parts, text_steps
 
 MAGIC = b"TALLYID1"
 GAMMA = 2.0
@@ -38,6 +41,8 @@ SLICES_AT_ONCE = 200
 _WHITE = re.compile(r"[\s\x85\u200b]")
 _WHITE_FIRST = frozenset("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200C))))
 NULL_KEY = -(1 << 63)
+#: A record, and the bytes of the footer: five numbers and MAGIC.
+RECORD, FOOTER = np.dtype([("key", "<i8"), ("start", "<u8"), ("count", "<u8")]), 48
 MANIFEST = "shard int, path string, n_docs long, n_ids long, first_key long, last_key long"
 
 
@@ -117,39 +122,56 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_level_hash(keys, 1000) >> np.uint64(32)).astype(np.uint32)
 
 
+BLOCK_BITS = 512
+
+
 class PerfectHash:
     """Slots 0..n-1 for n distinct int64 keys."""
 
-    def __init__(self, levels: list[np.ndarray]):
-        self.levels = levels
-        self.base = np.cumsum([0, *(int(b.sum()) for b in levels)])
-        self.rank = [np.cumsum(b) - b for b in levels]
+    def __init__(self, sizes: list[int], blocks: np.ndarray, ranks: np.ndarray):
+        """Bits of each level; all levels' blocks of bytes; the bits set before each block."""
+        self.sizes, self.blocks, self.ranks = sizes, blocks, ranks
+        self.first_block = first_blocks(sizes)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:
-        levels = []
+        sizes, packed = [], [np.zeros((0, BLOCK_BITS // 8), np.uint8)]
         while len(keys):
-            if len(levels) == LEVELS:
+            if len(sizes) == LEVELS:
                 raise ValueError("keys for a perfect hash must be distinct")
             size = max(64, int(GAMMA * len(keys)))
-            at = _level_hash(keys, len(levels)) % np.uint64(size)
-            alone = np.bincount(at.astype(np.int64), minlength=size) == 1
-            levels.append(alone)
+            at = (_level_hash(keys, len(sizes)) % np.uint64(size)).astype(np.int64)
+            alone = np.zeros(-(-size // BLOCK_BITS) * BLOCK_BITS, bool)
+            alone[:size] = np.bincount(at, minlength=size) == 1
+            sizes.append(size)
+            packed.append(np.packbits(alone, bitorder="little").reshape(-1, BLOCK_BITS // 8))
             keys = keys[~alone[at]]
-        return cls(levels)
+        blocks = np.concatenate(packed)
+        count = np.bitwise_count(blocks).sum(1, dtype=np.uint64)
+        return cls(sizes, blocks, np.cumsum(count) - count)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """The slot of each key; of a key that was not built in, some slot or -1."""
         slot = np.full(len(keys), -1, np.int64)
         left = np.arange(len(keys))
-        for k, bits in enumerate(self.levels):
-            at = (_level_hash(keys[left], k) % np.uint64(len(bits))).astype(np.int64)
-            hit = bits[at]
-            slot[left[hit]] = self.base[k] + self.rank[k][at[hit]]
+        for k, size in enumerate(self.sizes):
+            at = (_level_hash(keys[left], k) % np.uint64(size)).astype(np.int64)
+            own = self.blocks[self.first_block[k] + at // BLOCK_BITS]
+            before = np.arange(BLOCK_BITS // 8) * 8
+            bit = at % BLOCK_BITS
+            hit = (own[np.arange(len(at)), bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)
+            # bits of the block below this one: whole bytes, then a part of one
+            whole = np.where(before[None, :] + 8 <= bit[:, None], np.bitwise_count(own), 0).sum(1)
+            part = np.bitwise_count(own[np.arange(len(at)), bit // 8] & ((1 << bit % 8) - 1).astype(np.uint8))
+            slot[left[hit]] = (self.ranks[self.first_block[k] + at // BLOCK_BITS].astype(np.int64) + whole + part)[hit]
             left = left[~hit]
         return slot
 
 
+def first_blocks(sizes: list[int]) -> list[int]:
+    return [0, *np.cumsum([-(-s // BLOCK_BITS) for s in sizes]).tolist()]
+
+
 def _write_shard(batches, root: str, shard: int, path: str, end_id: int):
     code, wide = coder(path), vocabulary_size(path) > 1 << 16
     width = np.dtype("<u4" if wide else "<u2")
@@ -179,52 +201,69 @@ def _write_shard(batches, root: str, shard: int, path: str, end_id: int):
     slot = index(distinct)
     prints, records = np.zeros(len(slot), "<u4"), np.zeros(len(slot), "<u8")
     prints[slot], records[slot] = fingerprints(distinct), record
-    parts = [key.astype("<i8").tobytes(), start.astype("<u8").tobytes(), count.astype("<u8").tobytes(), prints.tobytes(), records.tobytes(), np.array([len(b) for b in index.levels], "<u8").tobytes(), *(np.packbits(b).tobytes() for b in index.levels)]
+    parts = [np.rec.fromarrays([key, start, count], RECORD).tobytes(), prints.tobytes(), records.tobytes(), index.blocks.tobytes(), index.ranks.astype("<u8").tobytes(), np.array(index.sizes, "<u8").tobytes()]
     for p in parts:
         sink.write(p)
     n_ids = int(count.sum())
-    sink.write(np.array([width.itemsize, n_ids, len(key), len(slot), len(index.levels), sum(map(len, parts))], "<u8").tobytes() + MAGIC)
+    sink.write(np.array([width.itemsize, n_ids, len(key), len(slot), len(index.sizes)], "<u8").tobytes() + MAGIC)
     sink.close()
     return uri, len(key), n_ids, int(key[0]), int(key[-1])
 
 
 class Shard:
-    """One shard, opened for reading."""
+    """One shard, opened for reading: only the footer is read before something is asked."""
 
     def __init__(self, uri: str):
         where, name = file_system(uri)
-        self.file = where.open_input_file(name)
+        self.uri, self.file = uri, where.open_input_file(name)
         size = self.file.size()
-        tail = self.file.read_at(56, size - 56)
-        if tail[48:] != MAGIC:
+        tail = self.file.read_at(min(size, 8 * LEVELS + FOOTER), max(0, size - 8 * LEVELS - FOOTER))
+        if tail[-len(MAGIC) :] != MAGIC:
             raise ValueError(f"{uri} is no shard of token ids")
-        width, self.n_ids, n, slots, levels, index = (int(x) for x in np.frombuffer(tail[:48], "<u8"))
+        width, self.n_ids, self.n, self.slots, levels = (int(x) for x in np.frombuffer(tail[-FOOTER : -len(MAGIC)], "<u8"))
         self.width = np.dtype(f"<u{width}")
-        data = self.file.read_at(index, size - 56 - index)
-        at = 0
-
-        def take(kind: str, k: int) -> np.ndarray:
-            nonlocal at
-            part = np.frombuffer(data, kind, k, at)
-            at += part.nbytes
-            return part
-
-        self.key, self.start, self.count = take("<i8", n), take("<u8", n).astype(np.int64), take("<u8", n).astype(np.int64)
-        self.prints, self.records = take("<u4", slots), take("<u8", slots).astype(np.int64)
-        bits = [np.unpackbits(take("u1", -(-int(k) // 8)))[: int(k)].astype(bool) for k in take("<u8", levels)]
-        self.index = PerfectHash(bits)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """The record of each key, -1 where the stored fingerprint or key differs."""
-        slot = self.index(keys)
-        if not len(self.prints):
-            return np.full(len(keys), -1, np.int64)
-        record = self.records[slot]
-        return np.where((slot >= 0) & (self.prints[slot] == fingerprints(keys)) & (self.key[record] == keys), record, -1)
-
-    def ids(self, record: int) -> np.ndarray:
+        self.sizes = np.frombuffer(tail, "<u8", levels, len(tail) - FOOTER - 8 * levels).tolist()
+        self.first_block = first_blocks(self.sizes)
+        blocks = self.first_block[-1]
+        self.at = dict(zip(("records", "prints", "slots", "blocks", "ranks"), np.cumsum([width * self.n_ids, RECORD.itemsize * self.n, 4 * self.slots, 8 * self.slots, BLOCK_BITS // 8 * blocks]).tolist(), strict=True))
+
+    def _read(self, part: str, kind, first: int, count: int = 1) -> np.ndarray:
+        kind = np.dtype(kind)
+        return np.frombuffer(self.file.read_at(count * kind.itemsize, self.at[part] + first * kind.itemsize), kind)
+
+    def find(self, key: int) -> np.void | None:
+        """The record (key, start, count) of a key, None where no level, or else the stored fingerprint or key, has it."""
+        one = np.array([key], np.int64)
+        for k, size in enumerate(self.sizes):
+            bit = int(_level_hash(one, k)[0] % np.uint64(size))
+            block = self.first_block[k] + bit // BLOCK_BITS
+            bits = int.from_bytes(self._read("blocks", "u1", block * (BLOCK_BITS // 8), BLOCK_BITS // 8).tobytes(), "little")
+            if bits >> bit % BLOCK_BITS & 1:
+                slot = int(self._read("ranks", "<u8", block)[0]) + (bits & (1 << bit % BLOCK_BITS) - 1).bit_count()
+                if self._read("prints", "<u4", slot)[0] != fingerprints(one)[0]:
+                    return None
+                record = self._read("records", RECORD, int(self._read("slots", "<u8", slot)[0]))[0]
+                return record if record["key"] == key else None
+        return None
+
+    def ids(self, record: np.void) -> np.ndarray:
         w = self.width.itemsize
-        return np.frombuffer(self.file.read_at(int(self.count[record]) * w, int(self.start[record]) * w), self.width)
+        return np.frombuffer(self.file.read_at(int(record["count"]) * w, int(record["start"]) * w), self.width)
+
+    def records(self) -> np.ndarray:
+        """All records, each as the index leads to it; those of null and repeated keys, which it leaves out, by position."""
+        stored = self._read("records", RECORD, 0, self.n)
+        key, blocks = stored["key"].astype(np.int64), self.first_block[-1]
+        index = PerfectHash(self.sizes, self._read("blocks", "u1", 0, blocks * BLOCK_BITS // 8).reshape(-1, BLOCK_BITS // 8), self._read("ranks", "<u8", 0, blocks))
+        lone = ~(np.r_[False, key[1:] == key[:-1]] | (key == NULL_KEY))
+        own = np.arange(self.n)
+        if lone.any():
+            slot = index(key[lone])
+            record = self._read("slots", "<u8", 0, self.slots).astype(np.int64)[slot]
+            if (slot < 0).any() or (self._read("prints", "<u4", 0, self.slots)[slot] != fingerprints(key[lone])).any() or (key[record] != key[lone]).any():
+                raise ValueError(f"{self.uri}: the index misses a key")
+            own[lone] = record
+        return stored[own]
 
 
 @lru_cache(8)
@@ -233,9 +272,14 @@ def opened(uri: str) -> Shard:
 
 
 def write(docs: DataFrame, path: str, end_id: int = 2, root: str | None = None, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes all documents in ascending key order and returns the manifest: shard, path, n_docs, n_ids, first_key, last_key."""
+    """Writes all documents in ascending key order and returns the manifest: shard, path, n_docs, n_ids, first_key, last_key.
+
+    Without a root the files lie in the shared folder and go when the program ends.
+    """
     spark = docs.sparkSession
-    root = root or f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    if root is None:
+        root = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+        atexit.register(delete, spark, root)
     n = shuffle_parts(spark)
 
     def run(batches):
@@ -263,17 +307,14 @@ def read(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for uri, base in zip(batch.column("path").to_pylist(), batch.column("base").to_pylist(), strict=True):
                 shard = Shard(uri)
-                record = shard.find(shard.key)
-                repeated = np.r_[False, shard.key[1:] == shard.key[:-1]]
-                record = np.where(repeated | (shard.key == NULL_KEY), np.arange(len(record)), record)
-                if (record < 0).any():
-                    raise ValueError(f"{uri}: the index misses a key")
-                for a in range(0, len(record), 256):
-                    own = record[a : a + 256]
-                    lists = [shard.ids(r).astype(np.int32) for r in own.tolist()]
+                records = shard.records()
+                for a in range(0, len(records), 256):
+                    own = records[a : a + 256]
+                    lists = [shard.ids(r).astype(np.int32) for r in own]
                     first = np.r_[0, np.cumsum([len(x) for x in lists])]
-                    key = shard.key[own]
-                    yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == NULL_KEY), pa.array(shard.start[own] + base), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))], names=["doc_id", "start", "ids"])
+                    key = own["key"].astype(np.int64)
+                    start = own["start"].astype(np.int64) + base
+                    yield pa.RecordBatch.from_arrays([pa.array(key, mask=key == NULL_KEY), pa.array(start), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(lists), pa.int32()))], names=["doc_id", "start", "ids"])
 
     n = shuffle_parts(manifest.sparkSession)
     return with_base(manifest).repartition(n, "shard").mapInArrow(run, "doc_id long, start long, ids array<int>")
@@ -281,7 +322,7 @@ def read(manifest: DataFrame) -> DataFrame:
 
 def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
     """ids of the keys asked for (null where no shard has the key), by manifest range, then index."""
-    spans = manifest.select("path", "first_key", "last_key")
+    spans = manifest.select("path", "first_key", "last_key")  # a row for each partition of the writing
     asked = keys.select(F.col(key_col).cast("long").alias("doc_id"))
     routed = asked.join(F.broadcast(spans), F.col("doc_id").between(F.col("first_key"), F.col("last_key")), "left").select("doc_id", "path")
 
@@ -290,8 +331,8 @@ def lookup(manifest: DataFrame, keys: DataFrame, key_col: str = "doc_id") -> Dat
             key = np.asarray(batch.column("doc_id").fill_null(NULL_KEY), np.int64)
             out = []
             for k, uri in zip(key, batch.column("path").to_pylist(), strict=True):
-                r = opened(uri).find(np.array([k]))[0] if uri else -1
-                out.append(opened(uri).ids(r).astype(np.int32) if r >= 0 else None)
+                r = opened(uri).find(int(k)) if uri else None
+                out.append(opened(uri).ids(r).astype(np.int32) if r is not None else None)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return routed.repartition(shuffle_parts(keys.sparkSession), "path").mapInArrow(run, "doc_id long, ids array<int>")

@@ -777,6 +777,31 @@ def test_perfect_hash():
     assert sorted(h(keys).tolist()) == list(range(len(keys)))
     with pytest.raises(ValueError):
         idfile.PerfectHash.build(np.array([1, 1]))
+    assert idfile.PerfectHash.build(np.zeros(0, np.int64))(keys[:3]).tolist() == [-1] * 3
+
+
+def test_a_lookup_reads_little_of_a_shard(tmp_path):
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    keys = sorted(rng.sample(range(10**9), 20_000))
+    batch = pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([f"text {k}" for k in keys])], names=["key", "text"])
+    uri, *_ = idfile._write_shard([batch], tmp_path.as_uri(), 0, queries.vocabulary_path(HF), 2)
+    shard = idfile.Shard(uri)
+    whole, read = shard.file, []
+
+    class Counting:
+        def read_at(self, n, at):
+            read.append(n)
+            return whole.read_at(n, at)
+
+    shard.file = Counting()
+    code = idfile.coder(queries.vocabulary_path(HF))
+    for k in rng.sample(keys, 300):
+        assert shard.ids(shard.find(k)).tolist() == [*coded(code, [f"text {k}"])[0], 2]
+    assert sum(read) / 300 < 600 and all(shard.find(k) is None for k in range(-500, 0))
+    shard.file = whole
+    assert shard.records()["key"].tolist() == keys
 
 
 def test_files_round_trip(spark, awkward, nothing):
