@@ -80,6 +80,13 @@ def delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until no frame has a column of that name."""
+    while any(name.lower() in (c.lower() for c in f.columns) for f in frames):
+        name = "_" + name
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

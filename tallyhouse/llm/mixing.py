@@ -4,12 +4,12 @@ Words are summed per source, weights become targets by filling up to a ceiling (
 weight), and target over size is the source's rate of repetition. A document is emitted floor(rate) times, plus once more where a
 hash of its id, as a fraction of 1, lies below the rest of the rate.
 
-Only sums per source meet in one place; the rates return by an ordinary join, which Spark broadcasts after measuring them or else
-splits where one source holds many rows.
+Only sums per source meet in one place. The rates, a row a source, are written and measured, and return in a broadcast join, so that
+documents don't move (if there are too many sources for that, in a sort-merge join that Spark splits where a source is hot).
 
 Defined results: null and empty texts have size 0 and are never words taken; a null source is a source of its own, last in order; a
 source of size 0 has target 0; rows that repeat a doc_id share its draw, so they are all taken or none; an empty table gives an
-empty result; other columns pass through mix() unless named like one it adds.
+empty result; all columns pass through mix(); planned() replaces those named like one it adds.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, saved, sized
 
 WEIGHTS = (5, 2, 1)
 CEILING = 3
@@ -56,25 +56,35 @@ def draw(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def _rated(rows: DataFrame, sizes: DataFrame, weights: tuple[int, ...], ceiling: int, seed: str) -> DataFrame:
+    """rows (key, source and others) with source_size, target and copies, by the sizes (source, size) of all documents."""
+    goal = targets(sizes, weights, ceiling).withColumnRenamed("source", "of_source")
+    joined = rows.join(sized(saved(goal, "mixing-targets")), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    return joined.withColumn("copies", F.floor(rate) + (draw(F.col("key"), seed) < rate - F.floor(rate)).cast("long"))
+
+
 def planned(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """docs with size, source_size, target and copies."""
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = docs.select(*own, words_in(F.col(text_col)).alias("size"))
-    goal = targets(docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size")), weights, ceiling).withColumnRenamed("source", "_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    joined = sized.join(goal, F.col(source_col).eqNullSafe(F.col("_source")))
-    return joined.select(*own, "size", "source_size", "target", (F.floor(rate) + (draw(F.col(key_col), seed) < rate - F.floor(rate)).cast("long")).alias("copies"))
+    counted = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct(*own).alias("row"), F.col(key_col).alias("key"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    return _rated(rows, counted, weights, ceiling, seed).select("row.*", "size", "source_size", "target", "copies")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "copies")]
-    return planned(docs, **options).where("copies > 0").select(*own, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).drop("_copy")
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, ceiling: int = CEILING, seed: str = SEED, key_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each document as often as it is taken, with all columns of docs."""
+    counted = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key_col).alias("key"), F.col(source_col).alias("source"))
+    taken = _rated(rows, counted, weights, ceiling, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """The contract's columns."""
-    return planned(docs.select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    """The contract's columns. Words are counted once; the counts, not the texts, are read again."""
+    counted = saved(docs.select(F.col("doc_id").alias("key"), "source", words_in(F.col("text")).alias("size")), "mixing-sizes")
+    rated = _rated(counted, counted.select("source", "size"), WEIGHTS, CEILING, SEED)
+    return rated.select(F.col("key").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 SQL = f"""

@@ -270,19 +270,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, prior: tuple[float, ...] = COEFFICIE
     return tuple(float(b) for b in beta)
 
 
-def score(docs: DataFrame, model: Lexicon, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of `keep` and score, of every whole text."""
+def score(docs: DataFrame, model: Lexicon, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """The columns of `keep` and score_col (in place of a column of that name), of every whole text."""
     from pyspark.sql import types as T
 
-    keep = tuple(c for c in keep if c != "score")
+    keep = tuple(c for c in keep if c != score_col)
     read = docs.select(*dict.fromkeys([*keep, text_col]))
 
     def run(batches):
         for batch in batches:
             f = np.array([model.features(t) for _, _, raw, at in text_steps(batch.column(text_col)) for t in folded_texts(raw, at)], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(f))], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(model.scores(f))], names=[*keep, score_col])
 
-    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("score", T.DoubleType(), False)]))
+    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField(score_col, T.DoubleType(), False)]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -965,3 +965,38 @@ def test_pipeline_awkward(spark, awkward, nothing):
         for _, f in p.STAGES:
             at = common.saved(f(spark, at, sf), "t")
         assert at.columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_tokens"]
+
+
+def test_pipeline_keeps_clashing_columns(spark):
+    import corpus_pipeline as p
+
+    clashing = ["score", "size", "copies", "source_size", "target", "row", "key", "same", "turn", "copy", "of_source", "half", "kept", "secrets", "stratum", "component_id", "shingles", "_score", "entry"]
+    texts = ["a clean text of some words " + str(k) for k in range(6)] + ["password = 'abcdefghijklmno'", "", None]
+    frame = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars", *(F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashing))
+    at = frame
+    for name, f in p.STAGES[:-1]:
+        at = common.saved(f(spark, at, SMALL), "t")
+        assert at.columns == frame.columns, name
+        assert all(r[c] == f"{c}{r.doc_id}" for r in at.collect() for c in clashing), name
+    assert p.STAGES[-1][1](spark, at, SMALL).columns == ["doc_id", "lang", "source", "n_chars", "ids", "n_tokens"]
+
+
+def test_pipeline_without_ids(spark):
+    import corpus_pipeline as p
+
+    long_ = " ".join(f"w{k}" for k in range(60))
+    rows_ = [(None, long_), (None, long_), (7, long_), (7, long_), (None, "other words stand here today again"), (None, ""), (None, None), (None, ""), (9, "other words stand here today again too"), (11, "x"), (11, "y")]
+    frame = spark.createDataFrame([(i, t, "en", "s", None) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in p.drop_near_duplicates(spark, frame, SMALL).collect()), key=str)
+    assert got == sorted([(7, long_), (None, "other words stand here today again"), (None, ""), (None, ""), (None, None), (9, "other words stand here today again too"), (11, "x"), (11, "y")], key=str)
+
+
+def test_operators_ignore_clashing_columns(spark):
+    clashing = ["ids", "decoded", "score", "fingerprint", "key", "bucket", "copy", "token", "place", "component", "stratum", "d2", "scale", "half", "size", "row", "secrets", "bits", "shingles", "n", "a", "b", "x", "y"]
+    texts = ["some words " * k + "end" for k in range(40)] + [None, ""]
+    plain = docs(spark, texts).select("doc_id", "text", "lang", "source", "n_chars")
+    more = plain.select("*", *(F.lit("no").alias(c) for c in clashing))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    for f in (mixing.digest, lambda d: toxicity.digest(d, labels), secrets.digest, merkle.compare_with_edits, lambda d: bpe.digest(d, queries.vocabulary_path(TIK)), neardup.near_duplicates, lambda d: idfile.digest(d, queries.vocabulary_path(HF)), quality.judge):
+        one, two = (sorted(map(str, f(d).collect())) for d in (plain, more))
+        assert one == two
