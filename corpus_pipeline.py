@@ -1,8 +1,10 @@
 """A training corpus from raw documents: five stages, each over all rows that the one before kept.
 
 Null and empty texts pass every stage (they score as harmless, have no near duplicates and no secrets) up to the mix, where a text
-without words is never taken. Rows with a null doc_id pass the near-duplicate stage; of rows that share a doc_id one stays. Extra
-columns of documents pass through to the last stage, which returns doc_id, lang, source, n_chars, ids and n_tokens.
+without words is never taken. Texts without a doc_id take part in the near-duplicate stage after all ids, so that of copies one with
+an id stays if there is any; rows that repeat a doc_id and a text count as one row, and rows of one doc_id stay or go together. Extra
+columns of documents, whatever their names, pass through to the last stage, which returns doc_id, lang, source, n_chars, ids and
+n_tokens.
 """
 
 from __future__ import annotations
@@ -11,23 +13,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.llm import bpe, mixing, neardup, secrets, toxicity
-from tallyhouse.llm.common import saved, table
+from tallyhouse.llm.common import WORD, saved, table, unused
 from tallyhouse.llm.queries import vocabulary_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the lexicon, taught by labels, scores below one half."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, keep=tuple(docs.columns)).where("score < 0.5").select(*docs.columns)
+    name = unused("score", docs)
+    return toxicity.score(docs, model, keep=tuple(docs.columns), score_col=name).where(F.col(name) < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the least doc_id."""
-    named = docs.where("doc_id IS NOT NULL")
-    kept = neardup.near_duplicates(named).where("kept").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    one = named.join(kept, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*docs.columns)
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    key, same, turn = (unused(c, docs) for c in ("key", "same", "turn"))
+    # texts without an id take one from their text, above all real ids; what has neither id nor words stays as it is
+    made = F.xxhash64(F.lit("no id"), "text").bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    no_key = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    keyed = docs.where(~no_key).withColumn(key, F.coalesce("doc_id", made))
+    kept = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(key)).distinct()
+    first = Window.partitionBy(key, same).orderBy("lang", "source")
+    one = keyed.join(kept, key, "left_semi").withColumn(same, F.xxhash64("text")).withColumn(turn, F.row_number().over(first)).where(F.col(turn) == 1)
+    return one.select(*docs.columns).unionByName(docs.where(no_key))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
