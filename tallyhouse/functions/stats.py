@@ -54,6 +54,22 @@ def tier(q: Column) -> Column:
     return F.when(q.isNull() | F.isnan(q), "n/a").when(q < 0.05, "headline (q<0.05)").when(q < 0.20, "suggestive (q<0.20)").otherwise("not significant")
 
 
+def sign_test(up: Column, n: Column) -> Column:
+    """The chance of `up` or more of n signs above 0 if either is as likely."""
+    ln_choose = lambda k: _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
+    return F.aggregate(F.sequence(up, n), F.lit(0.0), lambda a, k: a + F.exp(ln_choose(k) - n * F.log(F.lit(2.0))))
+
+
+def _ln_factorial(n: Column) -> Column:
+    return F.when(n > 1, F.aggregate(F.sequence(F.lit(2).cast("long"), F.greatest(n.cast("long"), F.lit(2).cast("long"))), F.lit(0.0), lambda a, k: a + F.log(k.cast("double")))).otherwise(0.0)
+
+
+def tier_of_interval(n: Column, lo: Column, sign_p: Column, combined_p: Column) -> Column:
+    """How well an effect stands by its interval's lower end and two p."""
+    # fixed values: the labels
+    return F.when(n == 0, "n/a").when((lo > 0) & (sign_p < 0.05), "robust positive").when((lo > 0) | (combined_p < 0.05), "suggestive").otherwise("null")
+
+
 def average_rank(value: str, by: list[str] | None = None) -> Column:
     """Rank with ties averaged, NULLs unranked."""
     part = Window.partitionBy(*(by or []), F.col(value).isNull())

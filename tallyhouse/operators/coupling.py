@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.stats import benjamini_hochberg
+from ..sources.shared import saved
 from .joins import lagged
 
 
@@ -97,3 +98,34 @@ def regime_summary(segments: DataFrame, value: str, segment: str, order: str) ->
     rows = g.withColumn("shift", F.abs(F.col("m") - F.lag("m").over(Window.orderBy("o")))).crossJoin(F.broadcast(total))
     a = rows.agg((F.count("*") - 1).alias("k_changepoints"), F.sum("n").alias("n"), (F.sum(F.col("n") * (F.col("m") - F.col("mean")) ** 2) / F.max("sst")).alias("between_share"), F.coalesce(F.avg("shift"), F.lit(0.0)).alias("mean_abs_shift"), F.coalesce(F.max("shift"), F.lit(0.0)).alias("max_abs_shift"), F.percentile("n", F.lit(0.5)).alias("median_dwell"), F.min("n").alias("min_dwell"))
     return a
+
+
+def surrogate_scan(pairs: DataFrame, by: list[str], statistics: tuple[str, ...] = tuple(K.ASSOCIATIONS), kinds: tuple[str, ...] = ("phase",), t: str = "t", screen: int = 200, refine: int = 5000, at: float = 0.10, block: int = 500) -> DataFrame:
+    """by, statistic, surrogate, observed, p, n_null, n: each statistic of y with x against `screen` surrogates of x; where p is at most
+    `at` against `refine` instead. A group holds one series of some hundred points and one block of draws, so draws spread over tasks."""
+    held = pairs.select(*by, t, "y", "x").where("y IS NOT NULL AND x IS NOT NULL")
+    kinds_of = [f"{b} {held.schema[b].dataType.simpleString()}" for b in by]
+    keys = [*by, "statistic", "surrogate", "block"]
+
+    def one(ids, pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(t)
+        y, x, (statistic, kind, part), draws = pdf["y"].to_numpy(float), pdf["x"].to_numpy(float), ids[-3:], int(pdf["draws"].iloc[0])
+        seen = K.ASSOCIATIONS[statistic](y, x)
+        null = K.association_null(statistic, y, K.surrogates(kind, x, K.rng_of(*map(str, ids[:-1]), draws, part), draws))
+        return pd.DataFrame([(*ids, seen, int((np.abs(null) >= abs(seen) - 1e-12).sum()), draws, len(y))], columns=[*keys, "observed", "beyond", "draws", "n"])
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = rows.groupBy(*keys).applyInPandas(one, ", ".join([*kinds_of, "statistic string, surrogate string, block int, observed double, beyond long, draws long, n long"]))
+        return each.groupBy(*keys[:-1]).agg(F.first("observed").alias("observed"), F.sum("beyond").alias("_b"), F.sum("draws").alias("n_null"), F.first("n").alias("n")).select(*keys[:-1], "observed", ((F.col("_b") + 1) / (F.col("n_null") + 1)).alias("p"), "n_null", "n")
+
+    asked = F.explode(F.array(*(F.struct(F.lit(s).alias("statistic"), F.lit(k).alias("surrogate")) for s in statistics for k in kinds))).alias("_a")
+    first = saved(counted(held.select("*", asked).select(*held.columns, "_a.*").withColumns({"block": F.lit(0), "draws": F.lit(screen).cast("long")})), "surrogate-screen")
+    if refine <= screen:
+        return first
+    near = first.where(F.col("p") <= at)
+    blocks = -(-refine // block)
+    again = held.join(near.select(*keys[:-1]), by).withColumn("block", F.explode(F.sequence(F.lit(1), F.lit(blocks)))).withColumn("draws", F.when(F.col("block") == blocks, refine - (blocks - 1) * block).otherwise(block).cast("long"))
+    return first.where(F.col("p") > at).unionByName(counted(again))

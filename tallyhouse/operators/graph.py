@@ -6,26 +6,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..sources.shared import dropped, saved
 
 
-def components(edges: DataFrame, nodes: DataFrame, key: str, rounds: int = 50) -> DataFrame:
-    """Each node with the least node it can reach, by passing labels along edges until none changes; checkpointed each round where a folder is set."""
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    label = nodes.select(F.col(key).alias("a"), F.col(key).alias("c"))
-    spark = nodes.sparkSession
-    stable = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    both = both.checkpoint() if stable else both.persist()
-    for _ in range(rounds):
+def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
+    """Each node with the least node it can reach, by passing labels along edges until none changes; each round is written to the shared folder."""
+    both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "graph-edges")
+    label = saved(nodes.select(F.col(key).alias("a"), F.col(key).alias("c")), "graph-labels")
+    while True:
         near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("n")), "b").groupBy("a").agg(F.min("n").alias("n"))
         new = label.join(near, "a", "left").select("a", F.least("c", "n").alias("c"), (F.coalesce("n", "c") < F.col("c")).alias("moved"))
         # a node's label points to a node whose own label may be smaller: take that, so that paths halve
         new = new.join(new.select(F.col("a").alias("c"), F.col("c").alias("c2")), "c", "left").select("a", F.least("c", "c2").alias("c"), "moved")
-        new = new.checkpoint() if stable else new.persist()
-        moved = new.where("moved").limit(1).count()
-        label = new.select("a", "c")
-        if not moved:
-            break
-    return label.select(F.col("a").alias(key), F.col("c").alias("component"))
+        new = saved(new, "graph-labels")
+        dropped(label)
+        label = new
+        if new.where("moved").isEmpty():
+            dropped(both)
+            return label.select(F.col("a").alias(key), F.col("c").alias("component"))
+
+
+def scalars(corr: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, mean_abs_rho, lambda1_share, participation_ratio of each group's correlations (by, n, a, b, rho): a group holds a row for
+    each pair of columns, whatever the data's size."""
+    kinds = [f"{b} {corr.schema[b].dataType.simpleString()}" for b in by]
+
+    def one(ids, pdf):
+        import numpy as np
+        import pandas as pd
+
+        names = sorted(set(pdf["a"]) | set(pdf["b"]))
+        m = np.eye(len(names))
+        i, j = (np.searchsorted(names, pdf[c].to_numpy()) for c in ("a", "b"))
+        m[i, j] = m[j, i] = pdf["rho"].to_numpy(float)
+        return pd.DataFrame([{**dict(zip(by, ids, strict=True)), "n": int(pdf["n"].iloc[0]), **K.network_scalars(m)}])
+
+    return corr.groupBy(*by).applyInPandas(one, ", ".join([*kinds, "n long, mean_abs_rho double, lambda1_share double, participation_ratio double"]))
 
 
 def correlations(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:

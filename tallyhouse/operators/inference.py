@@ -13,6 +13,7 @@ from ..functions import kernels as K
 from ..functions.arrays import dot
 from ..functions.calendar import calendar_design
 from ..functions.stats import average_rank
+from ..sources.shared import saved, sized
 from .windows import filled
 
 
@@ -82,37 +83,65 @@ def slope_within(df: DataFrame, y: str, x: str, by: list[str]) -> DataFrame:
     return d.agg(F.regr_slope(y, x).alias("raw"), F.regr_slope(f"{y}_within", f"{x}_within").alias("within"), F.count("*").alias("n"))
 
 
-def two_way_effects(df: DataFrame, value: str, person: str, day: str, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
+def two_way_effects(df: DataFrame, value: str, person: str, day: str, rounds: int = 500, tolerance: float = 1e-10) -> DataFrame:
     """One row on y = person + day + rest on an unbalanced panel: variances and the rest's variance by degrees of freedom.
 
-    The person-day cells are written once; each round sends only the days' effects, whose number is the calendar's. They are put in
-    by a join, not by the driver, and checkpointed so that plans stay short.
+    With persons' effects put in, days' effects solve a system that is never formed: conjugate gradients ask for its product with a
+    vector of days, two sums over the person-day cells, which are written once, by person. Only vectors over the calendar reach the
+    driver. A panel that doesn't settle within `rounds` is an error.
     """
     spark = df.sparkSession
     cells = df.where(F.col(value).isNotNull()).groupBy(person, day).agg(F.count("*").alias("n"), F.avg(value).alias("m"), F.sum(F.col(value) * F.col(value)).alias("ss"))
-    stable = not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    keep = (lambda d: d.checkpoint()) if stable else (lambda d: d.persist())
-    cells = keep(cells)
-    beta = keep(cells.select(day).distinct().withColumn("b", F.lit(0.0)))
-    n = None
-    for n in range(1, rounds + 1):
-        a = cells.join(beta, day).groupBy(person).agg((F.sum(F.col("n") * (F.col("m") - F.col("b"))) / F.sum("n")).alias("a"))
-        new = cells.join(a, person).groupBy(day).agg((F.sum(F.col("n") * (F.col("m") - F.col("a"))) / F.sum("n")).alias("b"), F.sum("n").alias("w"))
-        centre = new.agg((F.sum(F.col("w") * F.col("b")) / F.sum("w")).alias("c"))
-        new = keep(new.crossJoin(F.broadcast(centre)).select(day, (F.col("b") - F.col("c")).alias("b")))  # one row
-        moved = new.join(beta.withColumnRenamed("b", "_b"), day).agg(F.max(F.abs(F.col("b") - F.col("_b")))).first()[0]
-        beta = new
-        if moved is None or moved < tolerance:
-            break
-    a = cells.join(beta, day).groupBy(person).agg((F.sum(F.col("n") * (F.col("m") - F.col("b"))) / F.sum("n")).alias("a"))
-    f = cells.join(beta, day).join(a, person)
-    w = F.col("n")
-    e = F.sum(F.col("ss") - 2 * w * F.col("m") * (F.col("a") + F.col("b")) + w * (F.col("a") + F.col("b")) ** 2)
+    cells = saved(cells.repartition(person), "two-way-cells")
+    kind = cells.schema[day].dataType.simpleString()
+    sums = cells.groupBy(day).agg(F.sum("n").alias("w"), F.sum(F.col("n") * F.col("m")).alias("wm")).orderBy(day).collect()  # a row a day
+    days = [r[day] for r in sums]
+    w, wm = (np.array([float(r[c]) for r in sums]) for c in ("w", "wm"))
+    place = {d: k for k, d in enumerate(days)}
+
+    def persons(x: np.ndarray) -> DataFrame:
+        """The cells with their day's x as b."""
+        b = spark.createDataFrame([(d, float(v)) for d, v in zip(days, x, strict=True)], f"{day} {kind}, b double")
+        return cells.join(F.broadcast(b), day)
+
+    def over_days(a: DataFrame) -> np.ndarray:
+        out = np.zeros(len(days))
+        for r in cells.join(a, person).groupBy(day).agg(F.sum(F.col("n") * F.col("a")).alias("s")).collect():
+            out[place[r[day]]] = r["s"]
+        return out
+
+    def product(x: np.ndarray) -> np.ndarray:
+        return w * x - over_days(persons(x).groupBy(person).agg((F.sum(F.col("n") * F.col("b")) / F.sum("n")).alias("a")))
+
+    beta = np.zeros(len(days))
+    n = 0
+    if days:
+        own = cells.groupBy(person).agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("a"))
+        rest = wm - over_days(own)
+        z = rest / w  # weights of days precondition the system
+        p, now = z.copy(), float(rest @ z)
+        while np.abs(z).max() > tolerance:
+            n += 1
+            if n > rounds:
+                raise ArithmeticError(f"day effects have not settled after {rounds} rounds")
+            q = product(p)
+            step = now / float(p @ q) if p @ q > 0 else 0.0
+            if not step:
+                break
+            beta, rest = beta + step * p, rest - step * q
+            z = rest / w
+            before, now = now, float(rest @ z)
+            p = z + now / before * p
+        beta = beta - (w @ beta) / w.sum()
+    a = persons(beta).groupBy(person).agg((F.sum(F.col("n") * (F.col("m") - F.col("b"))) / F.sum("n")).alias("a"))
+    f = persons(beta).join(a, person)
+    w_ = F.col("n")
+    e = F.sum(F.col("ss") - 2 * w_ * F.col("m") * (F.col("a") + F.col("b")) + w_ * (F.col("a") + F.col("b")) ** 2)
 
     def var(c):
-        return F.sum(w * F.col(c) ** 2) / F.sum(w) - (F.sum(w * F.col(c)) / F.sum(w)) ** 2
+        return F.sum(w_ * F.col(c) ** 2) / F.sum(w_) - (F.sum(w_ * F.col(c)) / F.sum(w_)) ** 2
 
-    s = f.agg(F.sum(w).alias("n_obs"), F.count_distinct(person).alias("n_person"), F.count_distinct(day).alias("n_time"), var("a").alias("var_alpha"), var("b").alias("var_beta"), e.alias("ssr"))
+    s = f.agg(F.sum(w_).alias("n_obs"), F.count_distinct(person).alias("n_person"), F.count_distinct(day).alias("n_time"), var("a").alias("var_alpha"), var("b").alias("var_beta"), e.alias("ssr"))
     return s.select("n_obs", "n_person", "n_time", F.lit(n).alias("rounds"), "var_alpha", "var_beta", (F.col("ssr") / F.col("n_obs")).alias("var_resid"), (F.col("ssr") / F.greatest(F.col("n_obs") - F.col("n_person") - F.col("n_time") + 1, F.lit(1))).alias("sigma2_dof"))
 
 
@@ -181,3 +210,69 @@ def design_f(df: DataFrame, value: str, design: list[str], nested: list[str]) ->
     d1, d2 = k - j, n - k
     f = ((less - full) / max(d1, 1)) / (full / max(d2, 1)) if full > 0 else float("nan")
     return df.sparkSession.createDataFrame([(float(f), float(K.f_p(f, d1, d2)) if f == f and d1 > 0 else None, d1, d2)], "f double, p double, df1 int, df2 int")
+
+
+#: Bins of a score between 0 and 1 in which rows are counted for its AUC; rows of one bin count as ties.
+SCORE_BINS = 1 << 16
+
+
+def folded_auc(rows: DataFrame, features: list[str], label: str, fold: str, by: list[str] | None = None, ridge: float = 1.0, rounds: int = 25) -> DataFrame:
+    """by, auc, n: how well a ridge logistic regression of label (0/1) on features, standardised and fitted on the other folds, tells rows apart.
+
+    Every fold's model is fitted in the same passes, by Newton steps on summed gradients, so that only sums of columns squared move.
+    """
+    by = by or []
+    p = len(features) + 1
+    base = saved(rows.dropna(subset=features).select(*by, F.col(fold).alias("_fold"), F.col(label).cast("double").alias("_y"), *features), "auc-rows")
+    joined = saved(base.select(*by, F.col("_fold").alias("_out")).distinct(), "auc-folds")
+
+    def placed(inside: bool) -> DataFrame:
+        on = [F.col(f"l.{b}").eqNullSafe(F.col(f"r.{b}")) for b in by]
+        on.append(F.col("l._fold") == F.col("r._out") if inside else F.col("l._fold") != F.col("r._out"))
+        cond = on[0]
+        for c in on[1:]:
+            cond = cond & c
+        return base.alias("l").join(F.broadcast(joined).alias("r"), cond).select("l.*", "r._out")  # a few folds a group
+
+    train = placed(False)
+    keys = [*by, "_out"]
+    scale = saved(train.groupBy(*keys).agg(*(F.avg(f).alias(f"_m{k}") for k, f in enumerate(features)), *(F.stddev_pop(f).alias(f"_s{k}") for k, f in enumerate(features))), "auc-scale")
+    key_of = lambda r: tuple(r[k] for k in keys)
+    models = {key_of(r): np.zeros(p) for r in scale.collect()}  # a row for each group and fold
+    kinds = ", ".join(f"{k} {scale.schema[k].dataType.simpleString()}" for k in keys)
+
+    def with_score(frame: DataFrame) -> DataFrame:
+        beta = base.sparkSession.createDataFrame([(*k, *map(float, b)) for k, b in models.items()], kinds + "".join(f", _b{k} double" for k in range(p)))
+        one = scale
+        for part in (sized(one), F.broadcast(beta)):
+            on = None
+            for k in keys:
+                c = frame[k].eqNullSafe(part[k])
+                on = c if on is None else on & c
+            frame = frame.join(part, on).drop(*(part[k] for k in keys))
+        z = [F.lit(1.0), *((F.col(f) - F.col(f"_m{k}")) / F.when(F.col(f"_s{k}") > 0, F.col(f"_s{k}")).otherwise(1.0) for k, f in enumerate(features))]
+        frame = frame.withColumns({f"_z{k}": c for k, c in enumerate(z)})
+        return frame.withColumn("_p", 1 / (1 + F.exp(-sum((F.col(f"_z{k}") * F.col(f"_b{k}") for k in range(1, p)), F.col("_b0")))))
+
+    penalty = ridge * np.diag([0.0, *[1.0] * (p - 1)])
+    for _ in range(rounds if models else 0):
+        w = F.col("_p") * (1 - F.col("_p"))
+        sums = with_score(train).groupBy(*keys).agg(*(F.sum((F.col("_y") - F.col("_p")) * F.col(f"_z{i}")).alias(f"g{i}") for i in range(p)), *(F.sum(w * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"h{i}_{j}") for i in range(p) for j in range(i + 1)))
+        moved = 0.0
+        for r in sums.collect():
+            h = np.zeros((p, p))
+            for i in range(p):
+                for j in range(i + 1):
+                    h[i, j] = h[j, i] = r[f"h{i}_{j}"]
+            beta = models[key_of(r)]
+            step = np.linalg.solve(h + penalty + 1e-9 * np.eye(p), np.array([r[f"g{i}"] for i in range(p)]) - penalty @ beta)
+            models[key_of(r)] = beta + np.clip(step, -3, 3)
+            moved = max(moved, float(abs(step).max()))
+        if moved < 1e-8:
+            break
+    # Mann-Whitney over bins, within folds, and folds together by their numbers of pairs
+    bins = with_score(placed(True)).groupBy(*keys, F.floor(F.col("_p") * (SCORE_BINS - 1)).alias("_bin")).agg(F.sum("_y").alias("_one"), F.sum(1 - F.col("_y")).alias("_zero"))
+    below = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = bins.withColumn("_below", F.coalesce(F.sum("_zero").over(below), F.lit(0.0)))
+    each = ranked.groupBy(*keys).agg(F.sum(F.col("_one") * (F.col("_below") + F.col("_zero") / 2)).alias("_wins"), (F.sum("_one") * F.sum("_zero")).alias("_pairs"), F.sum(F.col("_one") + F.col("_zero")).alias("_n"))
+    return each.groupBy(*by).agg((F.sum("_wins") / F.sum("_pairs")).alias("auc"), F.sum("_n").cast("long").alias("n"))

@@ -147,7 +147,7 @@ def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str) -
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:
-    """The k nearest base rows of each query by cosine, itself left out: key, other, sim, rank. Each block gives its k best, those are ranked."""
+    """The k nearest base rows of each query by cosine to 12 decimals (ties by key), itself left out: key, other, sim, rank. Each block gives its k best, those are ranked."""
     kind = base.schema[key].dataType.simpleString()
 
     def best(q, b):
@@ -156,15 +156,17 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int)
 
         if not len(q) or not len(b):
             return pd.DataFrame(columns=[key, "other", "sim"])
+        b = b.sort_values(key)
         x, y = (np.stack(d[vector].to_numpy()).astype(float) for d in (q, b))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        sim, others = x @ y.T, b[key].to_numpy()
+        sim, others = np.round(x @ y.T, 12), b[key].to_numpy()
         sim[q[key].to_numpy()[:, None] == others[None]] = -np.inf
         m = min(k, len(b))
-        order = np.lexsort((np.broadcast_to(others, sim.shape), -np.round(sim, 12)), axis=1)[:, :m] if len(b) <= 4 * k else np.argpartition(-sim, m - 1, axis=1)[:, :m]
-        rows = np.repeat(np.arange(len(q)), m)
-        flat = order.ravel()
-        out = pd.DataFrame({key: q[key].to_numpy()[rows], "other": others[flat], "sim": sim[rows, flat]})
+        # all above the m-th greatest, and of those equal to it the least keys (b comes in their order)
+        least = -np.partition(-sim, m - 1, axis=1)[:, m - 1 : m]
+        above, equal = sim > least, sim == least
+        i, j = np.nonzero(above | (equal & (equal.cumsum(1) <= m - above.sum(1, keepdims=True))))
+        out = pd.DataFrame({key: q[key].to_numpy()[i], "other": others[j], "sim": sim[i, j]})
         return out[np.isfinite(out["sim"])]
 
     found = in_blocks(queries.select(key, vector), base.select(key, vector), best, f"{key} {kind}, other {kind}, sim double")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.arrays import let, mean
+from .graph import correlations, scalars
 from .joins import neighbourhood
 from .panel import period_moments, weighted_variance
 from .vectors import cohesion, mean_vectors, within_shift_null
@@ -70,22 +71,43 @@ def distribution_dynamics(df: DataFrame, value: str, period: str, person: str, k
 
 
 def contrast(a: DataFrame, b: DataFrame, value: str, draws: int = 2000) -> DataFrame:
-    """Difference of the means of two sets of contributor means, with a bootstrap interval, its ratio and how far the variance may grow before 0 is in reach."""
-    both = a.select(F.lit(1).alias("side"), F.col(value).alias("v")).unionByName(b.select(F.lit(0).alias("side"), F.col(value).alias("v"))).where("v IS NOT NULL")
+    """Difference of the means of two sets of contributor means, with a bootstrap interval, its ratio and how far the variance may grow before 0 is in reach.
+
+    Each task weighs its rows for every draw by Poisson numbers and gives their sums, so nothing but sums of draws moves.
+    """
+    both = a.select(F.lit(1).alias("side"), F.col(value).cast("double").alias("v")).unionByName(b.select(F.lit(0).alias("side"), F.col(value).cast("double").alias("v"))).where("v IS NOT NULL")
+    # a row's weights come from its hash and its turn among equal rows, which stand for each other
+    numbered = both.groupBy("side", "v").agg(F.count("*").alias("k"))
+
+    def weighed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            side, v, k = (np.asarray(batch.column(c)) for c in range(3))
+            total = np.zeros((2, 2, draws + 1))
+            for s, x, n in zip(side.tolist(), v.tolist(), k.tolist(), strict=True):
+                w = np.r_[n, K.rng_of("contrast", s, x).poisson(n, draws)]
+                total[s, 0] += w
+                total[s, 1] += w * x
+            for s in (0, 1):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(draws + 1, s, np.int32)), pa.array(np.arange(draws + 1, dtype=np.int32)), pa.array(total[s, 0]), pa.array(total[s, 1])], names=["side", "draw", "w", "wv"])
+
+    sums = numbered.mapInArrow(weighed, "side int, draw int, w double, wv double").groupBy("draw").pivot("side", [0, 1]).agg(F.sum("w").alias("w"), F.sum("wv").alias("wv"))
 
     def one(pdf):
         import pandas as pd
 
-        x, y = (np.sort(pdf.loc[pdf["side"] == s, "v"].to_numpy()) for s in (1, 0))
-        rng = K.rng_of("contrast", len(x), len(y))
-        d = x[rng.integers(0, len(x), (draws, len(x)))].mean(1) - y[rng.integers(0, len(y), (draws, len(y)))].mean(1)
+        pdf = pdf.sort_values("draw")
+        n = pdf[["1_w", "0_w"]].iloc[0].to_numpy(float)
+        x, y = (pdf[f"{s}_wv"].to_numpy(float) / np.maximum(pdf[f"{s}_w"].to_numpy(float), 1e-300) for s in (1, 0))
+        gap, d = x[0] - y[0], (x - y)[1:]
         lo, hi = np.quantile(d, [0.025, 0.975])
-        gap = x.mean() - y.mean()
         far = (gap - lo) if gap > 0 else (hi - gap)
         p = 2 * min((1 + (d <= 0).sum()) / (draws + 1), (1 + (d >= 0).sum()) / (draws + 1))
-        return pd.DataFrame([{"difference": gap, "lo": lo, "hi": hi, "p": min(1.0, p), "ratio": x.mean() / y.mean() if y.mean() else np.nan, "inflation_to_overturn": (abs(gap) / far) ** 2 if far > 0 else np.nan, "n_a": len(x), "n_b": len(y)}])
+        return pd.DataFrame([{"difference": gap, "lo": lo, "hi": hi, "p": min(1.0, p), "ratio": x[0] / y[0] if y[0] else np.nan, "inflation_to_overturn": (abs(gap) / far) ** 2 if far > 0 else np.nan, "n_a": int(n[0]), "n_b": int(n[1])}])
 
-    return both.groupBy().applyInPandas(one, "difference double, lo double, hi double, p double, ratio double, inflation_to_overturn double, n_a long, n_b long")
+    # a row for each draw
+    return sums.groupBy().applyInPandas(one, "difference double, lo double, hi double, p double, ratio double, inflation_to_overturn double, n_a long, n_b long")
 
 
 def date_block_permutation(df: DataFrame, value: str, day: str, wanted: tuple[int, int] = (4, 0), draws: int = 500) -> DataFrame:
@@ -209,24 +231,42 @@ def rolling_network(df: DataFrame, columns: list[str], day: str, person: str, wi
     days = grid.select("start", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("o")).select("start", F.date_add("start", F.col("o")).alias(day))
     rows = df.dropna(subset=columns).join(F.broadcast(days), day).select("start", person, *columns)
     counted = rows.groupBy("start").agg(F.count("*").alias("n"), F.count_distinct(person).alias("people")).where((F.col("n") >= least_rows) & (F.col("people") >= least_people))
+    held = rows.join(counted.select("start"), "start", "left_semi")
+    return counted.join(scalars(correlations(held, columns, ["start"]), ["start"]).drop("n"), "start")
 
-    def one(ids, pdf):
-        import pandas as pd
 
-        return pd.DataFrame([{"start": ids[0], **K.network_scalars(K.rank_correlations(pdf[columns].to_numpy(float)))}])
+def injected_power(series: DataFrame, events: DataFrame, value: str, deltas: list[float], day: str = "day", pre: int = 7, post: int = 7, rotations: int = 200, z: float = 1.96) -> DataFrame:
+    """Power by injection: the series is turned against the calendar, each delta is added in the days after every event, and the event
+    study is run anew on each turned series; found is what lies z spreads of the untouched turned series' effects from 0: delta, power, null_sd.
 
-    scalars = rows.join(counted.select("start"), "start", "left_semi").groupBy("start").applyInPandas(one, "start date, mean_abs_rho double, lambda1_share double, participation_ratio double")
-    return counted.join(scalars, "start")
+    One group holds the daily series; the turns, spread evenly over its length, are rows of one matrix.
+    """
+    days = series.select(day, value).where(F.col(value).isNotNull())
+    marked = days.join(events.select(F.col(day), F.lit(1).alias("event")).distinct(), day, "left").na.fill(0, ["event"])
 
+    def one(pdf):
+        import pandas as pd
 
-def injected_power(effects: DataFrame, effect: str, null_sd: float, deltas: list[float], z: float = 1.96) -> DataFrame:
-    """Share of draws of event effects, shifted by each delta, that pass z null spreads: delta, power."""
-    n = effects.agg(F.count(effect).alias("n"), F.avg(effect).alias("m"), F.stddev_samp(effect).alias("s"))
-    d = effects.sparkSession.createDataFrame([(float(x),) for x in deltas], "delta double")
-    draw = effects.sparkSession.range(200).withColumnRenamed("id", "k")
-    rows = d.crossJoin(F.broadcast(draw)).crossJoin(F.broadcast(n))  # a few hundred rows
-    noise = F.sqrt(-2 * F.log((F.pmod(F.xxhash64("k", F.lit(1)), F.lit(1_000_003)) + 1) / 1_000_004.0)) * F.cos(2 * 3.141592653589793 * F.pmod(F.xxhash64("k", F.lit(2)), F.lit(1_000_003)) / 1_000_003.0)
-    return rows.groupBy("delta").agg(F.avg((F.abs(F.col("delta") + noise * F.lit(null_sd)) > z * null_sd).cast("int")).alias("power"))
+        pdf = pdf.sort_values(day)
+        v, at = pdf[value].to_numpy(float), np.flatnonzero(pdf["event"].to_numpy())
+        n = len(v)
+        at = at[(at >= pre) & (at + post <= n)]
+        if not len(at):
+            return pd.DataFrame(columns=["delta", "power", "null_sd"])
+        turns = np.unique(np.linspace(0, n, min(rotations, n), endpoint=False).astype(int))
+        turned = v[(np.arange(n)[None] + turns[:, None]) % n]
+        after = np.zeros(n, bool)
+        for e in at:
+            after[e : e + post] = True
+
+        def effects(x):
+            c = np.c_[np.zeros(len(x)), x.cumsum(1)]
+            return ((c[:, at + post] - c[:, at]) / post - (c[:, at] - c[:, at - pre]) / pre).mean(1)
+
+        sd = effects(turned).std(ddof=1)
+        return pd.DataFrame([{"delta": d, "power": float((np.abs(effects(turned + d * after)) > z * sd).mean()), "null_sd": sd} for d in deltas])
+
+    return marked.groupBy().applyInPandas(one, "delta double, power double, null_sd double")
 
 
 def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[str], k: int = 5, lag: int = 1, draws: int = 0) -> DataFrame:

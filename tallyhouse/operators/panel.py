@@ -198,3 +198,13 @@ def violations(df: DataFrame, statistics: list[str], reports: str = "n_reports",
     shown = F.greatest(*(F.col(s).isNotNull() for s in statistics), F.lit(False))
     below = (F.coalesce(F.col(reports) < least_reports, F.lit(False))) | (F.coalesce(F.col(people) < least_people, F.lit(False)))
     return df.where(below & shown)
+
+
+def composition_adjusted(df: DataFrame, value: str, mix: list[str], period: str, least: int) -> DataFrame:
+    """period, raw, adj, n: means as they are and less what the period's mix explains (each report less its cell's mean, plus the mean of
+    all), of periods with `least` reports."""
+    cells = df.groupBy(*mix).agg(F.avg(value).alias("_cell"))
+    everything = df.agg(F.avg(value).alias("_all"))
+    adjusted = df.join(cells, mix).crossJoin(F.broadcast(everything))  # one row
+    g = adjusted.groupBy(period).agg(F.avg(value).alias("raw"), F.avg(F.col(value) - F.col("_cell") + F.col("_all")).alias("adj"), F.count("*").alias("n"))
+    return g.where(F.col("n") >= least)

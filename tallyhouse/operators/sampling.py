@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 
 def small(key: str) -> Column:
     """The key modulo 2^31, so that products stay in 64 bits."""
@@ -58,3 +59,16 @@ def split_half(df: DataFrame, value: str, period: str, unit: str, splits: int, l
     means = d.withColumn("_h", side).groupBy("split", period).pivot("_h", [0, 1]).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
     both = means.where((F.col("0_n") >= least) & (F.col("1_n") >= least))
     return both.groupBy("split").agg(F.corr("0_m", "1_m").alias("r"), F.count("*").alias("n")).where("n > 10")
+
+
+def numbered(df: DataFrame, key: str, order: list[Column], keep: list[str] | None = None) -> DataFrame:
+    """key, the columns of keep and number: 1, 2, ... by ascending expressions, which must tell rows apart. Rows are sorted by ranges and
+    written; only the ranges' sizes, a row for each, meet in one task."""
+    names = [key, *(keep or [])]
+    ranked = df.select(*names, *(c.alias(f"_o{k}") for k, c in enumerate(order)))
+    by = [f"_o{k}" for k in range(len(order))]
+    placed = saved(ranked.repartitionByRange(*by).sortWithinPartitions(*by).select(*names, F.monotonically_increasing_id().alias("_m")), "numbered")
+    part, place = F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).count().select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    return placed.withColumn("_part", part).join(F.broadcast(sizes), "_part").select(*names, (F.col("_before") + place + 1).alias("number"))

@@ -118,16 +118,25 @@ def spectrum(df: DataFrame, vector: str, size: int) -> DataFrame:
     return df.sparkSession.createDataFrame([row], "participation_ratio double, dims50 int, dims80 int, dims90 int, first_share double")
 
 
-def shuffled_positions(df: DataFrame, key: str, vector: str, size: int, seed: int = 1) -> DataFrame:
-    """Each vector position permuted over the rows by its own hash: keeps every position's values, breaks their ties."""
-    out = None
-    n = Window.orderBy(key)
-    ids = df.select(key, F.row_number().over(n).alias("_r"))  # a stated, bounded sample of rows
-    for k in range(size):
-        mixed = Window.orderBy(F.xxhash64(F.lit(seed), F.lit(k), key))
-        col = df.select(F.row_number().over(mixed).alias("_r"), F.get(vector, F.lit(k)).alias(f"_{k}"))
-        out = ids.join(col, "_r") if out is None else out.join(col, "_r")
-    return out.select(key, F.array(*(F.col(f"_{k}") for k in range(size))).alias(vector))
+#: Rows within which vector positions are permuted.
+SHUFFLE_ROWS = 2048
+
+
+def shuffled_positions(df: DataFrame, key: str, vector: str, seed: int = 1) -> DataFrame:
+    """Each vector position permuted by itself over the rows of a random block: keeps every position's values, breaks their ties.
+    Rows are dealt into blocks by hash, so a block is a sample of all and no task holds more than some thousand rows."""
+    blocks = max(1, -(-df.count() // SHUFFLE_ROWS))
+    kind, held = df.schema[key].dataType.simpleString(), df.schema[vector].dataType.simpleString()
+
+    def one(ids, pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(key)
+        x = np.stack(pdf[vector].to_numpy())
+        return pd.DataFrame({key: pdf[key].to_numpy(), vector: list(K.rng_of("positions", seed, int(ids[0])).permuted(x, axis=0))})
+
+    placed = df.select(key, vector, F.pmod(F.xxhash64(F.lit(seed), key), F.lit(blocks)).alias("_block"))
+    return placed.groupBy("_block").applyInPandas(one, f"{key} {kind}, {vector} {held}")
 
 
 def percolation(df: DataFrame, key: str, vector: str, thetas: list[float], sample: int = 5000, seeds: int = 3) -> DataFrame:
@@ -168,17 +177,3 @@ def within_shift_null(df: DataFrame, person: str, value: str, order: str, seed:
     a = df.withColumn("_r", F.row_number().over(own.orderBy(order)))
     b = df.select(person, F.col(value).alias(name), F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), order), order)).alias("_r"))
     return a.join(b, [person, "_r"]).drop("_r")
-
-
-def scalars_by_group(df: DataFrame, columns: list[str], by: str) -> DataFrame:
-    """Network scalars of the rank correlations of columns, one group's rows at a time (a period's panel)."""
-
-    def one(ids, pdf):
-        import pandas as pd
-
-        x = pdf[columns].dropna().to_numpy(float)
-        out = K.network_scalars(K.rank_correlations(x)) if len(x) >= 5 else dict.fromkeys(("mean_abs_rho", "lambda1_share", "participation_ratio"))
-        return pd.DataFrame([{by: ids[0], "n": len(x), **out}])
-
-    kind = df.schema[by].dataType.simpleString()
-    return df.select(by, *columns).groupBy(by).applyInPandas(one, f"{by} {kind}, n long, mean_abs_rho double, lambda1_share double, participation_ratio double")

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import events, extra, inference, nulls, panel, text, vectors
+from . import dynamics, events, extra, inference, nulls, panel, text, vectors
 from .registry import ORACLES, QUERIES
 
 #: Modules whose import registers their queries.
-AREAS = (panel, events, text, vectors, inference, nulls, extra)
+AREAS = (panel, events, text, vectors, inference, nulls, extra, dynamics)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

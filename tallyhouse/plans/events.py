@@ -230,23 +230,9 @@ def interrupted_series(spark, sf):
 
 @query()
 def surrogate_associations(spark, sf):
-    """Four associations with p under five kinds of surrogate, 50 each: screened; those at p <= 0.10 again with 200."""
-
-    def fn(name, y, x):
-        out = []
-        for stat, f in K.ASSOCIATIONS.items():
-            seen = f(y, x)
-            for kind in ("ar1", "phase", "iaaft", "bootstrap", "shuffle"):
-                for n in (50, 200):
-                    rng = K.rng_of(name, stat, kind, n)
-                    null = [f(y, K.SURROGATES[kind](x, rng)) for _ in range(n)]
-                    p = (1 + sum(abs(v) >= abs(seen) for v in null)) / (n + 1)
-                    if p > 0.10:
-                        break
-                out.append({"statistic": stat, "surrogate": kind, "observed": seen, "p": p, "n_null": n})
-        return out
-
-    return per_series(spark, sf, fn, "statistic string, surrogate string, observed double, p double, n_null int")
+    """Four associations with p under five kinds of surrogate, 200 each: screened; those at p <= 0.10 again with 5,000."""
+    s = by_series(spark, sf).withColumnRenamed("week", "t")
+    return C.surrogate_scan(s, ["series"], kinds=("ar1", "phase", "iaaft", "bootstrap", "shuffle")).drop("n")
 
 
 @query()

@@ -15,13 +15,14 @@ from ..functions import text as X
 from ..operators import graph as G
 from ..operators import inference as I
 from ..operators import nulls as N
+from ..operators import records as R2
 from ..operators import sampling as S
 from ..operators import windows as W
 from ..sources.tables import read, reports, six
 from .events import per_series
 from .panel import R
 from .registry import query
-from .text import SENT, sentences, trajectories
+from .text import ORDER, SENT, sentences, trajectories
 from .vectors import FEATURES, features
 
 
@@ -105,20 +106,9 @@ def shape_power(spark, sf):
 @query()
 def grouped_folds_auc(spark, sf):
     """Forward against reversed with folds by document and by author."""
-    names = ("slope", "half", "ends", "argmax", "argmin")
-    t = trajectories(spark, sf)
-    rows = None
-    for label, v in ((1, F.col("v")), (0, F.reverse("v"))):
-        f = A.order_features(v)
-        part = t.select("doc_id", "source", F.lit(label).alias("y"), *(f[n].alias(n) for n in names))
-        rows = part if rows is None else rows.unionByName(part)
-
-    def one(pdf):
-        pdf = pdf.sort_values(["doc_id", "y"])
-        x, y = pdf[list(names)].to_numpy(float), pdf["y"].to_numpy()
-        return pd.DataFrame([{"auc_by_document": K.logistic_auc(x, y, pdf["doc_id"].to_numpy()), "auc_by_author": K.logistic_auc(x, y, pdf["source"].to_numpy())}])
-
-    return rows.groupBy().applyInPandas(one, "auc_by_document double, auc_by_author double")
+    rows = R2.both_ways(trajectories(spark, sf), ["doc_id", "source"], "v")
+    out = [I.folded_auc(rows.withColumn("fold", F.pmod(F.xxhash64(c), F.lit(5))), list(ORDER), "y", "fold").select(F.col("auc").alias(f"auc_by_{n}")) for c, n in (("doc_id", "document"), ("source", "author"))]
+    return out[0].crossJoin(out[1])  # one row each
 
 
 @query()

@@ -108,8 +108,7 @@ def rolling_network(spark, sf):
 
 @query()
 def injected_event_power(spark, sf):
-    e = E.event_effects(daily_orders(spark, sf), events(spark, sf), "v", least=5)
-    return N.injected_power(e, "effect", 3000.0, [0, 3000, 6000, 12000])
+    return N.injected_power(daily_orders(spark, sf), events(spark, sf), "v", [0.0, 3000.0, 6000.0, 12000.0, 24000.0])
 
 
 @query(SPACED + ", s AS (SELECT unnest(range(-252, 253, 7))::INT AS s) SELECT (ev.day + s)::VARCHAR AS day, s AS shift FROM ev, s WHERE abs(s) >= 28")
@@ -137,14 +136,15 @@ def own_quartile_share(spark, sf):
     return r.join(q, ["day", "lang"]).groupBy(text("day"), "lang").agg(six(F.avg((F.col("value") >= F.col("cut")).cast("int"))).alias("share"), F.count("*").alias("n"))
 
 
-@query("WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY (doc_id * 2654435761 + 2 * 40503) % 4294967296, doc_id) AS n FROM documents), l AS (SELECT length(text) AS len, row_number() OVER (ORDER BY (item_id * 2654435761 + 2 * 40503) % 4294967296, item_id) AS n FROM benchmark) SELECT doc_id, least(length(text), len)::INT AS n_chars FROM d JOIN l USING (n)")
+@query("WITH d AS (SELECT doc_id, text, row_number() OVER (ORDER BY (doc_id * 2654435761 + 2 * 40503) % 4294967296, doc_id) AS n FROM documents), l AS (SELECT length(text) AS len, row_number() OVER (ORDER BY (item_id * 2654435761 + 2 * 40503) % 4294967296, item_id) AS n FROM benchmark) SELECT doc_id, least(length(text), len)::INT AS n_chars FROM d JOIN l ON (d.n - 1) % (SELECT count(*) FROM l) + 1 = l.n")
 def length_matched_texts(spark, sf):
-    """Documents cut to lengths dealt from another corpus, by hashed ranks."""
-    from pyspark.sql import Window
-
-    d = read(spark, sf, "documents").select("doc_id", "text", F.row_number().over(Window.orderBy(S.order_of("doc_id", 2), "doc_id")).alias("n"))
-    b = read(spark, sf, "benchmark").select(F.char_length("text").alias("len"), F.row_number().over(Window.orderBy(S.order_of("item_id", 2), "item_id")).alias("n"))
-    return d.join(b, "n").select("doc_id", F.char_length(F.substring(F.col("text"), F.lit(1), F.col("len"))).alias("n_chars"))
+    """Documents cut to lengths dealt in turn from another corpus, by hashed ranks. Ranks are made from ids by ranges; texts don't move for them."""
+    docs, items = read(spark, sf, "documents"), read(spark, sf, "benchmark")
+    d = S.numbered(docs, "doc_id", [S.order_of("doc_id", 2), F.col("doc_id")])
+    b = S.numbered(items.select("item_id", F.char_length("text").alias("len")), "item_id", [S.order_of("item_id", 2), F.col("item_id")], ["len"])
+    size = b.count()
+    dealt = d.withColumn("turn", F.pmod(F.col("number") - 1, F.lit(size)) + 1).join(b.select(F.col("number").alias("turn"), "len"), "turn")
+    return docs.select("doc_id", "text").join(dealt, "doc_id").select("doc_id", F.char_length(F.substring(F.col("text"), F.lit(1), F.col("len"))).alias("n_chars"))
 
 
 @query()

@@ -96,7 +96,7 @@ def principal_spectrum(spark, sf):
 
 @query()
 def shuffled_spectrum(spark, sf):
-    return V.spectrum(V.shuffled_positions(embeddings(spark, sf), "vec_id", "embedding", 8), "embedding", 8)
+    return V.spectrum(V.shuffled_positions(embeddings(spark, sf), "vec_id", "embedding"), "embedding", SIZE)
 
 
 @query()
@@ -176,7 +176,7 @@ def edge_changes(spark, sf):
 
 @query()
 def network_scalars(spark, sf):
-    return V.scalars_by_group(features(spark, sf), FEATURES, "lang")
+    return G.scalars(G.correlations(features(spark, sf), FEATURES, ["lang"]), ["lang"])
 
 
 @query()
