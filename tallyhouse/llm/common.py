@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, dropped, saved, shared_dir, sized
+from ..sources.tables import read
+
+__all__ = ["delete", "dropped", "saved", "shared_dir", "sized"]
+
 #: A word, as every contract here takes it, for Java's and Python's regex engines alike.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -20,64 +21,7 @@ STEP_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(scan) if name in ("documents", "pages") else scan
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A table smaller than one split of a scan, which one task would read, is dealt out to all cores; a larger one is left as it is."""
-    spark = scan.sparkSession
-    size = int(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return scan.repartition(spark.sparkContext.defaultParallelism) if size < split else scan
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one only in local mode, where that is unset."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not named and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tallyhouse-"))
-    return jsc.getCheckpointDir().get()
-
-
-def saved(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it again: cuts the lineage, survives lost executors, keeps columns prunable."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(delete, spark, path)
-    made = spark.read.schema(df.schema).parquet(path)
-    made.saved_at = path
-    return made
-
-
-def dropped(*frames: DataFrame) -> None:
-    """Deletes the files of frames that saved() made and that no later result reads."""
-    for frame in frames:
-        delete(frame.sparkSession, frame.saved_at)
-
-
-#: What is broadcast at most, as files hold it.
-BROADCAST_BYTES = 32 << 20
-
-
-def sized(frame: DataFrame) -> DataFrame:
-    """A frame that saved() made, as a side of a join: broadcast where its files are small, else left for a sort-merge join, in which
-    Spark splits the other side's hot keys. The rows are the same either way."""
-    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
-    size = path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame.hint("merge")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    try:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # noqa: BLE001  the session has ended: nothing is left to ask
-        pass
+    return read(spark, sf_dir, name)
 
 
 def unused(name: str, *frames: DataFrame) -> str:
