@@ -139,9 +139,12 @@ def lag_scan(spark, sf):
     return C.lag_scan(pairs(spark, sf).withColumn("series", F.lit("all")), ["series"]).select("series", "lag", six("r").alias("r"), "n")
 
 
-@query()
+@query(WEEKS + """, g AS (SELECT unnest(range(-8, 9))::INT AS lag), j AS (SELECT lag, a.t, a.y, b.x, row_number() OVER (PARTITION BY lag ORDER BY a.t) - 1 AS i, count(*) OVER (PARTITION BY lag) AS n FROM g JOIN s a ON true JOIN s b ON b.t = a.t - lag),
+  h AS (SELECT a.lag, a.n, k.k, corr(a.y, b.x) AS r FROM j a JOIN (SELECT lag, unnest(range(n)) AS k FROM (SELECT DISTINCT lag, n FROM j)) k ON k.lag = a.lag JOIN j b ON b.lag = a.lag AND b.i = (a.i + k.k) % a.n GROUP BY 1, 2, 3), o AS (SELECT lag, r FROM h WHERE k = 0),
+  p AS (SELECT h.lag, o.r, avg((abs(h.r) >= abs(o.r) - 1e-9)::INT) AS p, max(h.n) AS n FROM h JOIN o USING (lag) GROUP BY 1, 2), m AS (SELECT *, row_number() OVER (ORDER BY p) AS rk, count(*) OVER () AS m FROM p) SELECT 'all' AS series, lag, round(r, 6) AS r, round(p, 6) AS p, n, round(least(1, min(p * m / rk) OVER (ORDER BY rk DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM m""")
 def lag_scan_with_q(spark, sf):
-    return C.lag_scan(pairs(spark, sf).withColumn("series", F.lit("all")), ["series"])
+    s = C.lag_scan(pairs(spark, sf).withColumn("series", F.lit("all")), ["series"])
+    return s.select("series", "lag", *(six(c).alias(c) for c in ("r", "p", "q")), "n")
 
 
 @query()

@@ -22,7 +22,7 @@ from ..sources.tables import read, reports, six
 from .events import per_series
 from .panel import R
 from .registry import query
-from .text import ORDER, SENT, sentences, trajectories
+from .text import ORDER, SENT, TRAJ, sentences, trajectories
 from .vectors import FEATURES, features
 
 
@@ -43,10 +43,10 @@ def marked_sentences(spark, sf):
     return s.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("text").rlike(r"(?i)(^|[^\p{L}])(the|der|die)([^\p{L}]|$)")).alias("marked"))
 
 
-@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents WHERE lang = 'en') SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is')))::INT AS style, len(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'is')))::INT AS content FROM w")
+@query("WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents) SELECT doc_id, len(list_filter(w, lambda x: x IN ('the', 'of', 'and', 'to', 'in', 'is')))::INT AS style, len(list_filter(w, lambda x: x NOT IN ('the', 'of', 'and', 'to', 'in', 'is')))::INT AS content FROM w")
 def style_and_content_words(spark, sf):
     stop = ["the", "of", "and", "to", "in", "is"]
-    w = read(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.tokens(F.col("text"), "[a-z]+").alias("w"))
+    w = read(spark, sf, "documents").select("doc_id", X.tokens(F.col("text"), "[a-z]+").alias("w"))
     return w.select("doc_id", F.size(X.style_only(F.col("w"), stop)).alias("style"), F.size(X.content_only(F.col("w"), stop)).alias("content"))
 
 
@@ -111,12 +111,12 @@ def grouped_folds_auc(spark, sf):
     return out[0].crossJoin(out[1])  # one row each
 
 
-@query()
+@query(TRAJ + r", sl AS (SELECT doc_id, (k - 1) * list_sum(list_transform(range(k), lambda i: v[i + 1] * (i - (k - 1) / 2))) / (k * (k * k - 1) / 12) AS x FROM v), m AS (SELECT doc_id, len(regexp_extract_all(text, '(?i)the|der|die|la')) / greatest(len(regexp_extract_all(text, '[A-Za-z'']+')), 1) AS y FROM documents), j AS (SELECT round(x, 9) AS x, y FROM sl JOIN m USING (doc_id)), k AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS x, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS y FROM j) SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM k")
 def slope_against_marker(spark, sf):
     """Rank correlation over documents of the trajectory's slope with the rate of a marker."""
     s = trajectories(spark, sf).select("doc_id", A.slope(F.col("v")).alias("slope"))
-    m = read(spark, sf, "documents").select("doc_id", X.rate(F.col("text"), r"(?i)\b(the|der|die|la)\b").alias("rate"))
-    return W.spearman(s.join(m, "doc_id"), "slope", "rate")
+    m = read(spark, sf, "documents").select("doc_id", X.rate(F.col("text"), "(?i)the|der|die|la").alias("rate"))
+    return W.spearman(s.join(m, "doc_id").withColumn("slope", F.round("slope", 9)), "slope", "rate").select(six("rho").alias("rho"), "n")
 
 
 @query()
@@ -168,7 +168,7 @@ def best_day_per_stratum(spark, sf):
     return first_per_key(o, ["lang"], [F.desc("n"), F.col("day")]).select("lang", F.col("day").cast("string").alias("day"), six("m").alias("m"))
 
 
-@query()
+@query("SELECT (((doc_id % 2147483648) * 2654435761) % 4294967296 >> 5) % 5 AS fold, count(*) AS n FROM documents GROUP BY 1")
 def author_folds(spark, sf):
     return read(spark, sf, "documents").groupBy(S.fold("doc_id", 5).alias("fold")).agg(F.count("*").alias("n"))
 

@@ -153,12 +153,12 @@ def distinct_beginnings(spark, sf):
     return S.distinct_prefix(read(spark, sf, "documents"), "text", "doc_id").select("doc_id")
 
 
-@query()
+@query(r"WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '' AND NOT regexp_matches(x, '^(=+.*=+|#+ .*)$')) AS l FROM documents), c AS (SELECT doc_id, l, list_transform(range(len(l)), lambda i: coalesce(list_sum(list_transform(l[1:i], lambda y: length(y))), 0)) AS before FROM l) SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i <= 3 AND before[i] < 400), chr(10)) AS lead FROM c")
 def lead_sections(spark, sf):
     return read(spark, sf, "documents").select("doc_id", S.lead_section(F.col("text")).alias("lead"))
 
 
-@query()
+@query(r"WITH p AS (SELECT doc_id, regexp_split_to_array(replace(text, chr(10), chr(10) || chr(10)), '\n\s*\n') AS a FROM documents), q AS (SELECT doc_id, unnest(range(len(a)))::INT AS pos, trim(regexp_replace(unnest(a), '\s+', ' ', 'g'), ' ') AS text FROM p), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM q WHERE length(text) >= 300 AND length(text) - length(replace(text, ' ', '')) > 30) SELECT doc_id, pos, text FROM k WHERE n <= 3")
 def capped_paragraphs(spark, sf):
     d = read(spark, sf, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
     return S.capped_paragraphs(d, "doc_id", "text", 3)

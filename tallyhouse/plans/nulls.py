@@ -166,8 +166,8 @@ def lag_one_of_counts(spark, sf):
     return d.agg(six(F.corr("n", "p")).alias("r"), F.count("p").alias("n"))
 
 
-@query()
+@query(SPACED + ", el AS (SELECT day, v FROM d WHERE n >= 5), x AS (SELECT ev.day AS event, (SELECT avg(v) FROM el WHERE el.day BETWEEN ev.day + 1 AND ev.day + 7) - (SELECT avg(v) FROM el WHERE el.day BETWEEN ev.day - 21 AND ev.day - 4) AS e FROM ev JOIN el USING (day)), k AS (SELECT * FROM x WHERE e IS NOT NULL) SELECT event::VARCHAR AS event, round((sum(e) OVER () - e) / (count(*) OVER () - 1), 2) AS mean_of_others FROM k")
 def leave_one_event_out(spark, sf):
     """Each event's weight: the mean effect without it."""
     e = E.event_effects(daily_orders(spark, sf), events(spark, sf), "v", least=5).where("effect IS NOT NULL")
-    return W.loo_deviation(e.withColumn("one", F.lit(1)), "effect", "one").select(text("event"), (F.col("effect") - F.col("dev")).alias("mean_of_others"))
+    return W.loo_deviation(e.withColumn("one", F.lit(1)), "effect", "one").select(text("event"), F.round(F.col("effect") - F.col("dev"), 2).alias("mean_of_others"))

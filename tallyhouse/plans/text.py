@@ -63,15 +63,20 @@ def sentence_table(spark, sf):
     return sentences(spark, sf).select("doc_id", "pos", "text")
 
 
-@query("SELECT doc_id, regexp_matches(text, '(?i)\\b(the|der|die|das|le|la)\\b')::INT AS article, regexp_matches(text, '(?i)\\b(and|und|et)\\b')::INT AS joiner, regexp_matches(text, '(?i)\\b(of|von|de)\\b')::INT AS \"of\" FROM documents WHERE lang = 'en'")
+#: A pattern between what belongs to no word, for SQL, whose own edges know ASCII alone.
+def _apart(words: str) -> str:
+    return rf"regexp_matches(text, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])({words})([^\p{{L}}\p{{M}}\p{{N}}_]|$)')::INT"
+
+
+@query(f"SELECT doc_id, {_apart('the|der|die|das|le|la')} AS article, {_apart('and|und|et')} AS joiner, {_apart('of|von|de')} AS \"of\" FROM documents")
 def lexicon_presence(spark, sf):
-    d = read(spark, sf, "documents").where("lang = 'en'")
+    d = read(spark, sf, "documents")
     return d.select("doc_id", *(c.alias(k) for k, c in X.presence(F.col("text"), COMMON).items()))
 
 
-@query("SELECT doc_id, round(len(regexp_extract_all(text, '(?i)\\bthe\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z'']+')), 1), 8) AS rate FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, round(len(regexp_extract_all(text, '(?i)\\bthe\\b')) / greatest(len(regexp_extract_all(text, '[A-Za-z'']+')), 1), 8) AS rate FROM documents")
 def lexicon_rate(spark, sf):
-    return read(spark, sf, "documents").where("lang = 'en'").select("doc_id", eight(X.rate(F.col("text"), r"(?i)\bthe\b")).alias("rate"))
+    return read(spark, sf, "documents").select("doc_id", eight(X.rate(F.col("text"), r"(?i)\bthe\b")).alias("rate"))
 
 
 @query("SELECT doc_id, sha256(lower(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')))) AS exact FROM benchmark_docs".replace("benchmark_docs", "(SELECT item_id AS doc_id, text FROM benchmark)"))
@@ -130,13 +135,14 @@ def closing_steps(spark, sf):
     return trajectories(spark, sf).select("doc_id", *(eight(c[k]).alias(k) for k in ("step", "pre", "v0", "sd", "vbar")))
 
 
-@query()
+@query(TRAJ + """, w AS (SELECT v, k, list_transform(range(k), lambda i: i % 5 = 4) AS w FROM v), a AS (SELECT 'full' AS arm, v AS x FROM w UNION ALL SELECT 'no_wake', list_filter(v, lambda x, i: (i - 1) % 5 <> 4) FROM w UNION ALL SELECT 'drop_last', v[1:k - 1] FROM w UNION ALL SELECT 'drop_last2', v[1:k - 2] FROM w UNION ALL SELECT 'interior', v[2:k - 1] FROM w UNION ALL SELECT 'not_ending_awake', v FROM w WHERE NOT w[-1] UNION ALL SELECT 'ending_awake', v FROM w WHERE w[-1])
+  SELECT arm, round(avg(x[-1] - x[1]), 8) AS drift, count(*) AS n FROM a WHERE len(x) >= 4 GROUP BY 1""")
 def trimmed_arms(spark, sf):
     """Mean drift of each way of trimming a trajectory, where it leaves four values."""
     wake = F.transform("v", lambda x, i: (i % 5 == 4))
     t = trajectories(spark, sf).withColumn("wake", wake)
     arms = t.select("doc_id", F.explode(F.array(*(F.struct(F.lit(n).alias("arm"), f(F.col("v"), F.col("wake")).alias("w")) for n, f in A.TRIMS.items()))).alias("z")).select("z.arm", "z.w").where(F.size("w") >= 4)
-    return arms.groupBy("arm").agg(F.avg(F.element_at("w", -1) - F.element_at("w", 1)).alias("drift"), F.count("*").alias("n"))
+    return arms.groupBy("arm").agg(eight(F.avg(F.element_at("w", -1) - F.element_at("w", 1))).alias("drift"), F.count("*").alias("n"))
 
 
 @query(TRAJ + ", d AS (SELECT doc_id, source, v[-1] - v[1] AS x FROM v), a AS (SELECT source, avg(x) AS m FROM d GROUP BY 1) SELECT round(avg(m), 8) AS drift, round(stddev_samp(m) / sqrt(count(*)), 8) AS se, count(*) AS n_authors FROM a")
@@ -184,10 +190,10 @@ def mean_squared_displacement(spark, sf):
     return V.displacement(p, "doc_id", "pos", "x").select("tau", eight("msd").alias("msd"), "n")
 
 
-@query()
+@query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), j AS (SELECT t.tau, (b.x - a.x) ** 2 AS q FROM (SELECT unnest(range(1, 7))::INT AS tau) t CROSS JOIN p a JOIN p b ON b.doc_id = a.doc_id AND b.pos = a.pos + t.tau), m AS (SELECT tau, avg(q) AS msd FROM j GROUP BY 1) SELECT round(regr_slope(ln(msd), ln(tau)), 6) AS exponent FROM m WHERE msd > 0")
 def diffusion_exponent(spark, sf):
     p = sentences(spark, sf).select("doc_id", "pos", F.array(value(F.col("text"))).alias("x"))
-    return V.exponent(V.displacement(p, "doc_id", "pos", "x"), "tau", "msd")
+    return V.exponent(V.displacement(p, "doc_id", "pos", "x"), "tau", "msd").select(F.round("exponent", 6).alias("exponent"))
 
 
 @query(SENT + f", p AS (SELECT doc_id, pos, {VALUE} AS x FROM e), k AS (SELECT doc_id FROM p GROUP BY 1 HAVING count(*) >= 3), z AS (SELECT a.doc_id, avg(abs(a.x - b.x)) AS pairs, avg(abs(a.x - b.x)) FILTER (b.pos = a.pos + 1) AS adjacent FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.pos < b.pos WHERE a.doc_id IN (FROM k) GROUP BY 1) SELECT doc_id, CASE WHEN pairs > 0 THEN round(adjacent / pairs, 8) END AS ratio FROM z")
@@ -227,10 +233,10 @@ def quantile_bins(spark, sf):
     return S.binned(read(spark, sf, "documents"), "n_chars", 10).select("doc_id", "bin")
 
 
-@query()
+@query(R + ", d AS (SELECT *, unnest(range(20)) AS draw FROM r), k AS (SELECT draw, value, row_number() OVER (PARTITION BY draw, user_id ORDER BY (doc_id * 2654435761 + draw * 97 + (draw * doc_id) % 65521 * 40503) % 4294967296, doc_id) AS n FROM d) SELECT draw::INT AS draw, round(avg(value), 6) AS mean, count(*) AS n FROM k WHERE n = 1 GROUP BY 1")
 def one_report_per_person(spark, sf):
     d = S.one_per_group(reports(spark, sf).select("doc_id", "user_id", "value"), "user_id", "doc_id", 20)
-    return d.groupBy("draw").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return d.groupBy("draw").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
 @query(R + """, d AS (SELECT *, unnest(range(4)) AS split FROM r), h AS (SELECT *, ((user_id * 2654435761 + (split * (user_id % 65521 + 13)) % 65521 * 40503) % 4294967296 >> 7) % 2 AS h FROM d),

@@ -164,21 +164,29 @@ def edge_persistence(spark, sf):
     return G.edge_jaccard(e, "lang").select("p0", "p1", six("jaccard").alias("jaccard"))
 
 
-@query()
+@query(RANKS + ", o AS (SELECT lang, row_number() OVER (ORDER BY lang) AS i FROM (SELECT DISTINCT lang FROM c)), j AS (SELECT x.lang AS p0, y.lang AS p1, x.rho AS u, y.rho AS v FROM c x JOIN o ox ON ox.lang = x.lang JOIN o oy ON oy.i = ox.i + 1 JOIN c y ON y.lang = oy.lang AND y.a = x.a AND y.b = x.b), k AS (SELECT p0, p1, rank() OVER (PARTITION BY p0 ORDER BY u) + (count(*) OVER (PARTITION BY p0, u) - 1) / 2 AS u, rank() OVER (PARTITION BY p0 ORDER BY v) + (count(*) OVER (PARTITION BY p0, v) - 1) / 2 AS v FROM j) SELECT p0, p1, round(corr(u, v), 6) AS rho, count(*) AS n FROM k GROUP BY 1, 2")
 def matrix_persistence(spark, sf):
-    return G.matrix_persistence(G.correlations(features(spark, sf), FEATURES, ["lang"]), "lang")
+    m = G.matrix_persistence(G.correlations(features(spark, sf), FEATURES, ["lang"]), "lang")
+    return m.select("p0", "p1", six("rho").alias("rho"), "n")
 
 
-@query()
+@query(RANKS.replace("lang", "source").replace("source, source", "lang, source") + ", o AS (SELECT source, row_number() OVER (ORDER BY source) AS i, row_number() OVER (ORDER BY source DESC) AS j FROM (SELECT DISTINCT source FROM c)), g AS (SELECT a, b, avg(coalesce(rho, 0)) FILTER (i <= 3) AS early, avg(coalesce(rho, 0)) FILTER (j <= 3) AS late FROM c JOIN o USING (source) GROUP BY 1, 2) SELECT a, b, round(early, 6) AS early, round(late, 6) AS late, round(late - early, 6) AS change FROM g ORDER BY abs(late - early) DESC, a, b LIMIT 5")
 def edge_changes(spark, sf):
-    return G.edge_changes(G.correlations(features(spark, sf), FEATURES, ["source"]), "source", 3, 5)
+    e = G.edge_changes(G.correlations(features(spark, sf), FEATURES, ["source"]), "source", 3, 5)
+    return e.select("a", "b", *(six(c).alias(c) for c in ("early", "late", "change")))
 
 
 @query()
 def network_scalars(spark, sf):
+    """Scalars of each language's network; its first, by SQL, is network_strength."""
     return G.scalars(G.correlations(features(spark, sf), FEATURES, ["lang"]), ["lang"])
 
 
+@query(RANKS + ", n AS (SELECT lang, count(*) AS n FROM f GROUP BY 1) SELECT lang, n, round(avg(abs(rho)), 6) AS mean_abs_rho FROM c JOIN n USING (lang) GROUP BY 1, 2")
+def network_strength(spark, sf):
+    return G.scalars(G.correlations(features(spark, sf), FEATURES, ["lang"]), ["lang"]).select("lang", "n", six("mean_abs_rho").alias("mean_abs_rho"))
+
+
 @query()
 def network_communities(spark, sf):
     d = read(spark, sf, "documents").withColumn("items", F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)")), lambda x: F.length(x) > 3))
@@ -194,8 +202,9 @@ def network_export(spark, sf):
     return G.graphml(top, edges, "item")
 
 
-@query()
+@query("WITH w AS (SELECT user_id, date_trunc('week', ts)::DATE AS week, avg(value) AS v FROM events GROUP BY 1, 2), i AS (SELECT week, row_number() OVER (ORDER BY week) AS i FROM (SELECT DISTINCT week FROM w)) SELECT a.user_id, a.week::VARCHAR AS p0, b.week::VARCHAR AS p1, round(a.v, 6) AS v_0, round(b.v, 6) AS v_1 FROM w a JOIN i ia ON ia.week = a.week JOIN i ib ON ib.i = ia.i + 1 JOIN w b ON b.week = ib.week AND b.user_id = a.user_id")
 def week_to_week_neighbours(spark, sf):
     """Contributors in successive weeks with both weeks' means."""
     r = reports(spark, sf).withColumn("week", F.date_trunc("week", "day").cast("date")).groupBy("user_id", "week").agg(F.avg("value").alias("v"))
-    return J.adjacent_periods(r, "user_id", "week")
+    n = J.adjacent_periods(r, "user_id", "week")
+    return n.select("user_id", F.col("p0").cast("string").alias("p0"), F.col("p1").cast("string").alias("p1"), six("v_0").alias("v_0"), six("v_1").alias("v_1"))
