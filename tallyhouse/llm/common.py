@@ -35,10 +35,6 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def code_points(text: Column) -> Column:
-    return F.coalesce(F.char_length(text), F.lit(0)).cast("long")
-
-
 def text_steps(column: pa.Array, limit: int = STEP_BYTES):
     """Yields (first row, end row, UTF-8 bytes, byte offsets of the rows) of whole texts; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
