@@ -43,7 +43,7 @@ def event_effects(days: DataFrame, events: DataFrame, value: str, n: str = "n",
     return window_means(at, prefix, {"post": post, "pre": pre}).select("event", "post", "pre", (F.col("post") - F.col("pre")).alias("effect"))
 
 
-def event_study(days: DataFrame, events: DataFrame, value: str, n: str = "n", day: str = "day", post: tuple[int, int] = (1, 7), pre: tuple[int, int] = (-21, -4), least: int = 15, permutations: int = 2000, seed: int = 0) -> DataFrame:
+def event_study(days: DataFrame, events: DataFrame, value: str, n: str = "n", day: str = "day", post: tuple[int, int] = (1, 7), pre: tuple[int, int] = (-21, -4), least: int = 15, permutations: int = 20_000, seed: int = 0) -> DataFrame:
     """One row: events used and dropped, effect, null mean and spread, two-sided p. Pseudo-events are drawn by hash, with replacement, from the eligible days."""
     spark = days.sparkSession
     prefix = _offsets(days, day, n, value, least)
@@ -51,11 +51,13 @@ def event_study(days: DataFrame, events: DataFrame, value: str, n: str = "n", da
     real = prefix.where("eligible").join(asked, "day", "left_semi").select("at")
     windows = {"post": post, "pre": pre}
     observed = window_means(real, prefix, windows).agg(F.count(F.col("post") - F.col("pre")).alias("n_events"), F.avg(F.col("post") - F.col("pre")).alias("effect"), F.count("*").alias("k"))
-    pool = prefix.where("eligible").select("at", (F.row_number().over(Window.orderBy("at")) - 1).alias("i"))
+    # what a pseudo-event would show is the same in every draw: made once for each eligible day
+    shown = window_means(prefix.where("eligible").select("at"), prefix, windows)
+    pool = shown.select((F.row_number().over(Window.orderBy("at")) - 1).alias("i"), (F.col("post") - F.col("pre")).alias("x"))
     sizes = observed.crossJoin(pool.agg(F.count("*").alias("pool"))).crossJoin(asked.agg(F.count("*").alias("asked")))  # one row each
     draws = spark.range(permutations).withColumnRenamed("id", "perm").crossJoin(F.broadcast(sizes.select("k", "pool"))).where("k > 0")
     draws = draws.select("perm", F.explode(F.sequence(F.lit(1), F.col("k").cast("int"))).alias("j"), "pool").withColumn("i", F.pmod(F.xxhash64(F.lit(seed), "perm", "j"), F.col("pool")))
-    null = window_means(draws.join(F.broadcast(pool), "i").select("perm", "at"), prefix, windows).groupBy("perm").agg(F.avg(F.col("post") - F.col("pre")).alias("x")).where("x IS NOT NULL")
+    null = draws.join(F.broadcast(pool), "i").groupBy("perm").agg(F.avg("x").alias("x")).where("x IS NOT NULL")  # a row a day of one series
     told = null.crossJoin(F.broadcast(sizes)).groupBy("n_events", "effect", "k", "asked").agg(F.avg("x").alias("null_mean"), F.stddev_pop("x").alias("null_sd"), F.count("*").alias("n_null"), F.count_if(F.abs("x") >= F.abs("effect")).alias("beyond"))
     return told.select("n_events", (F.col("asked") - F.col("k")).alias("n_dropped"), "effect", "null_mean", "null_sd", F.try_divide("effect", "null_sd").alias("z"), ((F.col("beyond") + 1) / (F.col("n_null") + 1)).alias("p"))
 

@@ -7,17 +7,15 @@ partitioned. What a group holds is a panel's period, an event list or one mean a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.arrays import let, mean
 from .graph import correlations, scalars
 from .joins import neighbourhood
-from .panel import period_moments, weighted_variance
-from .vectors import cohesion, mean_vectors, within_shift_null
-
-MOMENTS = ("mean", "sd", "tail_rate")
+from .panel import weighted_variance
+from .vectors import cohesion, mean_vectors
 
 
 def synchrony(units: DataFrame, vector: str, day: str = "day", within: int = 56, draws: int = 50, same_weekday: bool = True, least: int = 3) -> DataFrame:
@@ -52,22 +50,93 @@ def nominal_excess(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFram
     return df.sparkSession.createDataFrame([(r.n, r.k, K.binomial_upper(r.k, r.n, alpha))], "n long, n_below long, p double")
 
 
-def distribution_dynamics(df: DataFrame, value: str, period: str, person: str, key: str, draws: int = 20, least: int = 30) -> DataFrame:
-    """Weighted variance across periods of mean, spread and lower-tail rate, against shuffles of each person's values over the person's own reports: statistic, observed, null_mean, null_q95, p."""
+#: Draws that a task makes at once; what it holds is as many sums for each period.
+DRAW_BLOCK = 100
 
-    def spread(rows: DataFrame, column: str, draw: int) -> DataFrame:
-        m = period_moments(rows, column, period).where(F.col("n") >= least)
-        parts = [weighted_variance(m, s, "n").select(F.lit(draw).alias("draw"), F.lit(s).alias("statistic"), F.col("wvar").alias("x")) for s in MOMENTS]
-        return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
-    base = df.where(F.col(value).isNotNull()).select(key, person, period, value)
-    everything = spread(base, value, -1)
-    for k in range(draws):
-        everything = everything.unionByName(spread(within_shift_null(base, person, value, key, k), "shuffled", k))
-    g = everything.groupBy("statistic").agg(F.max(F.when(F.col("draw") < 0, F.col("x"))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col("x"))).alias("_x"))
-    beyond = F.size(F.filter("_x", lambda x: x >= F.col("observed")))
-    sorted_ = F.array_sort("_x")
-    return g.select("statistic", "observed", (F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.size("_x")).alias("null_mean"), F.element_at(sorted_, F.ceil(F.size("_x") * 0.95).cast("int")).alias("null_q95"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))
+def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column], draws: int, seed: str = "within") -> DataFrame:
+    """period, draw, n and s: the sums of the columns by period when each person's rows are dealt anew over the person's own rows; draw
+    -1 is as observed.
+
+    Rows move once, by person and block of draws; a task adds up what its people give to each period, so only sums move on. One
+    person's rows meet in one task, as their dealing asks.
+    """
+    kind = df.schema[period].dataType.simpleString()
+    blocks = -(-draws // DRAW_BLOCK)
+    spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks))
+    x = F.array(*(c.cast("double") for c in columns))
+    rows = df.select(F.col(person).alias("person"), F.col(period).alias("period"), x.alias("x")).where("period IS NOT NULL")
+    seen = rows.groupBy("period").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("x", F.lit(k))) for k in range(len(columns)))).alias("s")).withColumn("draw", F.lit(-1))
+    placed = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "part": F.pmod(F.xxhash64("person"), F.lit(spread))}) if blocks else rows.limit(0).withColumns({"block": F.lit(0), "part": F.lit(0).cast("long")})
+    placed = placed.repartition("block", "part").sortWithinPartitions("block", "person", "period", "x")
+
+    def run(frames):
+        import pandas as pd
+
+        sums: dict = {}
+        counts: dict = {}
+
+        def deal(block, who, periods, values):
+            size = min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
+            order = K.rng_of(seed, str(who), block).permuted(np.broadcast_to(np.arange(len(values)), (size, len(values))), axis=1)
+            for k, p in enumerate(periods):
+                if (block, p) not in sums:
+                    sums[block, p], counts[block, p] = np.zeros((size, values.shape[1])), 0
+                sums[block, p] += values[order[:, k]]
+                counts[block, p] += 1
+
+        held = None  # the person whose rows are not yet all there
+        for pdf in frames:
+            for (block, who), part in pdf.groupby(["block", "person"], sort=False, dropna=False):
+                new = (block, who, part["period"].tolist(), np.stack(part["x"].to_numpy()))
+                if held is not None and held[:2] == new[:2]:
+                    held = (block, who, held[2] + new[2], np.r_[held[3], new[3]])
+                else:
+                    if held is not None:
+                        deal(*held)
+                    held = new
+        if held is not None:
+            deal(*held)
+        for (block, p), total in sums.items():
+            yield pd.DataFrame({"period": [p] * len(total), "n": counts[block, p], "s": list(total), "draw": block * DRAW_BLOCK + np.arange(len(total), dtype=np.int32)})
+
+    parts = placed.select("block", "person", "period", "x").mapInPandas(run, f"period {kind}, n long, s array<double>, draw int")
+    dealt = parts.groupBy("period", "draw").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(len(columns)))).alias("s"))
+    return seen.unionByName(dealt).withColumnRenamed("period", period)
+
+
+def beyond_null(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
+    """by, observed (draw -1), null_mean, null_q95 and p, one-sided and two-sided about the null's mean, over the draws."""
+    g = df.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col(x))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col(x))).alias("_x"))  # a number a draw
+    m = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / F.size("_x")
+    g = g.withColumn("null_mean", m)
+    above = F.size(F.filter("_x", lambda v: v >= F.col("observed")))
+    far = F.size(F.filter("_x", lambda v: F.abs(v - F.col("null_mean")) >= F.abs(F.col("observed") - F.col("null_mean"))))
+    size = F.size("_x") + 1
+    return g.select(*by, "observed", "null_mean", F.element_at(F.array_sort("_x"), F.ceil(F.size("_x") * 0.95).cast("int")).alias("null_q95"), ((above + 1) / size).alias("p"), ((far + 1) / size).alias("p_two_sided"), F.size("_x").alias("n_null"))
+
+
+def distribution_dynamics(df: DataFrame, value: str, period: str, person: str, draws: int = 1000, least: int = 30, tail: float = 0.10) -> DataFrame:
+    """Weighted variance across periods of mean, spread and lower-tail rate, against shuffles of each person's values over the person's own reports: statistic, observed, null_mean, null_q95, p."""
+    base = df.where(F.col(value).isNotNull())
+    cut = base.agg(F.percentile(value, F.lit(tail)).alias("_cut"))
+    rows = base.crossJoin(F.broadcast(cut))  # one row
+    v = F.col(value)
+    sums = shuffled_sums(rows, person, period, [v, v * v, (v <= F.col("_cut")).cast("int")], draws).where(F.col("n") >= least)
+    mean_ = F.get("s", F.lit(0)) / F.col("n")
+    told = {"mean": mean_, "sd": F.sqrt(F.greatest(F.get("s", F.lit(1)) / F.col("n") - mean_ * mean_, F.lit(0.0))), "tail_rate": F.get("s", F.lit(2)) / F.col("n")}
+    long_ = sums.select("draw", "n", F.explode(F.array(*(F.struct(F.lit(k).alias("statistic"), c.alias("x")) for k, c in told.items()))).alias("m")).select("draw", "n", "m.*")
+    return beyond_null(weighted_variance(long_, "x", "n", ["statistic", "draw"]).withColumnRenamed("wvar", "x"), ["statistic"]).drop("p_two_sided")
+
+
+def day_effect_null(df: DataFrame, value: str, period: str, person: str, draws: int = 1000) -> DataFrame:
+    """F of the periods' means against shuffles of each person's values over the person's own rows: observed, null_mean, null_q95, p."""
+    sums = shuffled_sums(df.where(F.col(value).isNotNull()), person, period, [F.col(value), F.col(value) * F.col(value)], draws)
+    total, square = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    g = sums.groupBy("draw").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(total).alias("t"), F.sum(total * total / F.col("n")).alias("b"), F.sum(square).alias("q"))
+    msb = (F.col("b") - F.col("t") * F.col("t") / F.col("n")) / F.greatest(F.col("k") - 1, F.lit(1))
+    msw = (F.col("q") - F.col("b")) / F.greatest(F.col("n") - F.col("k"), F.lit(1))
+    return beyond_null(g.select("draw", F.when(msw > 0, msb / msw).alias("x")), []).drop("p_two_sided")
 
 
 def contrast(a: DataFrame, b: DataFrame, value: str, draws: int = 2000) -> DataFrame:
@@ -131,44 +200,49 @@ def date_block_permutation(df: DataFrame, value: str, day: str, wanted: tuple[in
     return d.groupBy().applyInPandas(one, "observed double, null_sd double, p double, n_days long")
 
 
-def warning_pipeline(series: DataFrame, value: str, order: str = "day", window: int = 28, runup: int = 42, families: tuple[str, ...] = ("ar1", "phase"), draws: int = 40) -> DataFrame:
-    """Mean Kendall tau of rolling variance and lag-1 correlation over the run-up to a series' own top-decile excursions, against surrogates put through the same steps: indicator, family, tau, p, episodes."""
+def warning_pipeline(series: DataFrame, value: str, order: str = "day", window: int = 28, runup: int = 42, families: tuple[str, ...] = ("ar1", "phase"), draws: int = 1000) -> DataFrame:
+    """Mean Kendall tau of rolling variance and lag-1 correlation over the run-up to a series' own top-decile excursions, against surrogates put through the same steps: indicator, family, tau, p, episodes.
 
-    def one(pdf):
+    A group holds the daily series and a block of draws of one family, so draws spread over tasks.
+    """
+
+    def taus(v):
         import pandas as pd
 
-        x = pdf.sort_values(order)[value].to_numpy(float)
+        s = pd.Series(v)
+        var = s.rolling(window, min_periods=window // 2).var().to_numpy()
+        ac = K.rolling_ar1(v, window)
+        ahead = (s.shift(-14).rolling(14).mean() - s.rolling(7).mean()).to_numpy()
+        top = np.flatnonzero(np.isfinite(ahead) & (ahead >= np.nanquantile(ahead, 0.90)))
+        kept = []
+        for t in top:
+            if not kept or t - kept[-1] >= runup:
+                kept.append(int(t))
+        out = []
+        for ind in (var, ac):
+            each = []
+            for t in kept:
+                seg = ind[max(0, t - runup) : t]
+                seg = seg[np.isfinite(seg)]
+                if len(seg) >= 10:
+                    each.append(K.kendall_b(np.arange(len(seg)), seg))
+            out.append(float(np.nanmean(each)) if each else np.nan)
+        return out, len(kept)
 
-        def taus(v):
-            s = pd.Series(v)
-            var = s.rolling(window, min_periods=window // 2).var().to_numpy()
-            ac = K.rolling_ar1(v, window)
-            ahead = (s.shift(-14).rolling(14).mean() - s.rolling(7).mean()).to_numpy()
-            top = np.flatnonzero(np.isfinite(ahead) & (ahead >= np.nanquantile(ahead, 0.90)))
-            kept = []
-            for t in top:
-                if not kept or t - kept[-1] >= runup:
-                    kept.append(int(t))
-            out = []
-            for ind in (var, ac):
-                each = []
-                for t in kept:
-                    seg = ind[max(0, t - runup) : t]
-                    seg = seg[np.isfinite(seg)]
-                    if len(seg) >= 10:
-                        each.append(K.kendall_b(np.arange(len(seg)), seg))
-                out.append(float(np.nanmean(each)) if each else np.nan)
-            return out, len(kept)
+    def one(ids, pdf):
+        import pandas as pd
 
+        x = pdf.sort_values(order)[value].to_numpy(float)
+        family, block = ids
+        size = min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
         seen, n = taus(x)
-        rows = []
-        for family in families:
-            null = np.array([taus(K.SURROGATES[family](x, K.rng_of(family, k)))[0] for k in range(draws)])
-            for k, name in enumerate(("variance", "ar1")):
-                rows.append((name, family, seen[k], (1 + (null[:, k] >= seen[k]).sum()) / (draws + 1), n))
-        return pd.DataFrame(rows, columns=["indicator", "family", "tau", "p", "episodes"])
+        null = np.array([taus(v)[0] for v in K.surrogates(family, x, K.rng_of(family, block), size)])
+        return pd.DataFrame([(name, family, seen[k], int((null[:, k] >= seen[k]).sum()), n) for k, name in enumerate(("variance", "ar1"))], columns=["indicator", "family", "tau", "above", "episodes"])
 
-    return series.select(order, value).groupBy().applyInPandas(one, "indicator string, family string, tau double, p double, episodes int")
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAW_BLOCK) - 1))).alias("block")
+    rows = series.select(order, value, F.explode(F.array(*map(F.lit, families))).alias("family")).select("*", blocks)
+    each = rows.groupBy("family", "block").applyInPandas(one, "indicator string, family string, tau double, above long, episodes int")
+    return each.groupBy("indicator", "family").agg(F.first("tau").alias("tau"), ((F.sum("above") + 1) / F.lit(draws + 1)).alias("p"), F.first("episodes").alias("episodes"))
 
 
 def arc_modes(arcs: DataFrame, arc: str, size: int, top: int = 3) -> DataFrame:
@@ -307,20 +381,10 @@ def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[
     return rows.groupBy("pair").applyInPandas(one, "pair int, n_common long, overlap double, chance double, edge_jaccard double, null_mean double, p double")
 
 
-def chronology(panel: DataFrame, person: str, period: str, vector: str, draws: int = 10) -> DataFrame:
+def chronology(panel: DataFrame, person: str, period: str, vector: str, size: int, draws: int = 500) -> DataFrame:
     """Pair-weighted mean cosine within periods of people's unit vectors, against vectors dealt anew over each person's own periods: observed, null_mean, p (two-sided)."""
-    from .vectors import order_parameter
-
-    def mean_order(rows: DataFrame, column: str, draw: int) -> DataFrame:
-        o = order_parameter(rows, column, [period]).where("n > 1")
-        w = F.col("n") * (F.col("n") - 1) / 2
-        return o.agg((F.sum(w * F.col("mean_pair_cosine")) / F.sum(w)).alias("x")).select(F.lit(draw).alias("draw"), "x")
-
-    base = panel.select(person, period, vector)
-    everything = mean_order(base, vector, -1)
-    for d in range(draws):
-        everything = everything.unionByName(mean_order(within_shift_null(base, person, vector, period, d), "shuffled", d))
-    g = everything.agg(F.max(F.when(F.col("draw") < 0, F.col("x"))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col("x"))).alias("_x"))
-    m = F.aggregate("_x", F.lit(0.0), lambda a, x: a + x) / F.size("_x")
-    beyond = F.size(F.filter("_x", lambda x: F.abs(x - m) >= F.abs(F.col("observed") - m)))
-    return g.select("observed", m.alias("null_mean"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))
+    sums = shuffled_sums(panel, person, period, [F.get(vector, F.lit(k)) for k in range(size)], draws, "chronology").where("n > 1")
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+    square = F.aggregate("s", F.lit(0.0), lambda a, v: a + v * v)
+    o = sums.groupBy("draw").agg((F.sum((square - F.col("n")) / 2) / F.sum(pairs)).alias("x"))
+    return beyond_null(o, []).select("observed", "null_mean", F.col("p_two_sided").alias("p"), "n_null")

@@ -72,7 +72,7 @@ def event_effects(spark, sf):
 
 @query()
 def event_study(spark, sf):
-    return E.event_study(daily_orders(spark, sf), events(spark, sf), "v", least=5, permutations=500)
+    return E.event_study(daily_orders(spark, sf), events(spark, sf), "v", least=5)
 
 
 @query()
@@ -81,7 +81,7 @@ def event_battery(spark, sf):
     from ..functions.stats import benjamini_hochberg
 
     d, ev = daily_orders(spark, sf).withColumn("control", F.weekday("day").cast("double")), events(spark, sf)
-    runs = [E.event_study(d, ev, o, least=5, permutations=300, seed=k).withColumns({"outcome": F.lit(o), "negative_control": F.lit(o == "control")}) for k, o in enumerate(("v", "n", "control"))]
+    runs = [E.event_study(d, ev, o, least=5, permutations=2000, seed=k).withColumns({"outcome": F.lit(o), "negative_control": F.lit(o == "control")}) for k, o in enumerate(("v", "n", "control"))]
     both = runs[0].unionByName(runs[1]).unionByName(runs[2])
     return benjamini_hochberg(both.withColumn("tested", F.when(~F.col("negative_control"), F.col("p"))), "tested").drop("tested")
 

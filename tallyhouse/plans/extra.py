@@ -77,7 +77,7 @@ def neighbour_persistence_two_weeks(spark, sf):
 @query()
 def chronology_permutation(spark, sf):
     w = weekly_people(spark, sf).withColumn("u", A.unit(F.array(F.col("value") - 50, F.col("k") - 50))).where("u IS NOT NULL")
-    return N.chronology(w, "user_id", "week", "u", 5)
+    return N.chronology(w, "user_id", "week", "u", 2)
 
 
 @query()
@@ -91,13 +91,12 @@ def shape_power(spark, sf):
         for shape, g in (("linear", z), ("quadratic", z * z), ("absolute", np.abs(z)), ("cosine", np.cos(2 * z))):
             g = (g - g.mean()) / (g.std() or 1.0)
             hits = {"pearson": 0, "dcor": 0}
-            for _ in range(10):
+            for _ in range(50):
                 v = 0.4 * g + np.sqrt(1 - 0.16) * rng.normal(size=len(g))
                 for stat in hits:
-                    f = K.ASSOCIATIONS[stat]
-                    seen = abs(f(v, z))
-                    hits[stat] += sum(abs(f(v, rng.permutation(z))) >= seen for _ in range(19)) == 0
-            out += [{"shape": shape, "statistic": s, "power": h / 10} for s, h in hits.items()]
+                    null = np.abs(K.association_null(stat, v, np.r_[z[None], K.surrogates("shuffle", z, rng, 99)]))
+                    hits[stat] += (null[1:] >= null[0]).sum() < 5
+            out += [{"shape": shape, "statistic": s, "power": h / 50} for s, h in hits.items()]
         return out
 
     return per_series(spark, sf, fn, "shape string, statistic string, power double")
@@ -135,11 +134,11 @@ def interrupted_power(spark, sf):
         out = []
         for delta in (0.0, 1.0, 2.0):
             hits = 0
-            for _ in range(20):
+            for _ in range(200):
                 v = K.stationary_bootstrap(y, rng)
                 v[len(v) // 2 :] += delta * sd
                 hits += K.interrupted(v, len(v) // 2)["p"] < 0.05
-            out.append({"delta": delta, "power": hits / 20})
+            out.append({"delta": delta, "power": hits / 200})
         return out
 
     return per_series(spark, sf, fn, "delta double, power double")
@@ -154,8 +153,8 @@ def volatility_surrogates(spark, sf):
 
     def fn(name, y, x):
         rng = K.rng_of(name, "garch")
-        null = [diag(K.garch(y, rng)) for _ in range(20)]
-        return [{"observed": diag(y), "null_mean": float(np.mean(null)), "p": (1 + sum(v >= diag(y) for v in null)) / 21}]
+        null = [diag(v) for v in K.surrogates("garch", y, rng, 1000)]
+        return [{"observed": diag(y), "null_mean": float(np.mean(null)), "p": (1 + sum(v >= diag(y) for v in null)) / 1001}]
 
     return per_series(spark, sf, fn, "observed double, null_mean double, p double")
 

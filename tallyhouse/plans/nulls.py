@@ -37,7 +37,7 @@ def synchrony_summary(spark, sf):
 
 @query()
 def distribution_dynamics(spark, sf):
-    return N.distribution_dynamics(reports(spark, sf), "value", "day", "user_id", "doc_id", 3)
+    return N.distribution_dynamics(reports(spark, sf), "value", "day", "user_id")
 
 
 @query()
@@ -67,7 +67,7 @@ def weekday_label_permutation(spark, sf):
 
 @query()
 def warning_pipeline(spark, sf):
-    return N.warning_pipeline(daily_orders(spark, sf), "v", draws=20)
+    return N.warning_pipeline(daily_orders(spark, sf), "v")
 
 
 @query()

@@ -247,12 +247,8 @@ def split_half_reliability(spark, sf):
 
 @query()
 def within_person_shuffle_null(spark, sf):
-    """The day effect against shuffles of each person's deviations over the person's own reports."""
-    from ..operators import panel as P
-
-    d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("doc_id", "user_id", "day", "dev")
-    seen = P.anova(d, "dev", "day").select(F.lit(-1).alias("draw"), "f")
-    for k in range(5):
-        s = V.within_shift_null(d, "user_id", "dev", "doc_id", k).select("day", "shuffled")
-        seen = seen.unionByName(P.anova(s, "shuffled", "day").select(F.lit(k).alias("draw"), "f"))
-    return seen
+    """The day effect against 1,000 shuffles of each person's deviations over the person's own reports."""
+    from ..operators import nulls as N
+
+    d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("user_id", "day", "dev")
+    return N.day_effect_null(d, "dev", "day", "user_id")
