@@ -80,3 +80,31 @@ def content_only(words: Column, stop: list[str]) -> Column:
 
 def style_only(words: Column, stop: list[str]) -> Column:
     return F.filter(words, lambda w: w.isin(*stop))
+
+
+#: Odd multipliers that mix the code points of a gram.
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
+
+
+def gram_counts(texts, sizes=(3, 4, 5), features: int = 40_000):
+    """(feature, count) arrays of each text's character grams that stay within a word and the space before or after it, hashed to
+    `features` numbers; whole texts, in small letters."""
+    import numpy as np
+
+    out = []
+    for text in texts:
+        x = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+        spaces = np.r_[0, np.cumsum(x == 32)]
+        grams = []
+        for n in sizes:
+            if len(x) < n:
+                continue
+            at = np.arange(len(x) - n + 1)
+            at = at[spaces[at + n - 1] == spaces[at + 1]]  # no space but at the ends
+            h = np.full(len(at), n, np.uint64)
+            for k in range(n):
+                h = (h ^ x[at + k]) * np.uint64(_MIX[k])
+                h ^= h >> np.uint64(29)
+            grams.append(h % np.uint64(features))
+        out.append(np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    return out

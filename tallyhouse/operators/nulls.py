@@ -343,22 +343,25 @@ def injected_power(series: DataFrame, events: DataFrame, value: str, deltas: lis
     return marked.groupBy().applyInPandas(one, "delta double, power double, null_sd double")
 
 
-def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[str], k: int = 5, lag: int = 1, draws: int = 0) -> DataFrame:
+def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[str], k: int = 5, lag: int = 1, draws: int = 0, step: int = 512) -> DataFrame:
     """For periods `lag` apart in the list: how much of a person's k nearest (cosine of standardised columns) stay, among those in both; with draws also against relabelled people.
 
-    One group holds two periods' panel, a row a person. Pairs with k + 1 people in common or fewer are left out.
+    One group holds two periods' panel, a row a person, and similarities of `step` people at a time. Pairs with k + 1 people in common
+    or fewer are left out.
     """
     order = panel.select(period).distinct().withColumn("_i", F.row_number().over(Window.orderBy(period)))  # a row a period
     rows = panel.select(person, period, *columns).dropna().join(order, period).withColumn("pair", F.explode(F.array(F.col("_i"), F.col("_i") - lag)))
     columns_out = ["pair", "n_common", "overlap", "chance", "edge_jaccard", "null_mean", "p"]
 
     def nearest(x: np.ndarray) -> np.ndarray:
+        """The k nearest of each row, by place."""
         x = (x - x.mean(0)) / (x.std(0) + 1e-9)
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
-        sim = x @ x.T
-        np.fill_diagonal(sim, -np.inf)
-        near = np.zeros(sim.shape, bool)
-        near[np.arange(len(x))[:, None], np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(x) - 1)]] = True
+        near = np.empty((len(x), min(k, len(x) - 1)), np.int64)
+        for lo in range(0, len(x), step):
+            sim = x[lo : lo + step] @ x.T
+            sim[np.arange(len(sim)), lo + np.arange(len(sim))] = -np.inf
+            near[lo : lo + step] = np.argsort(-sim, axis=1, kind="stable")[:, : near.shape[1]]
         return near
 
     def one(ids, pdf):
@@ -369,14 +372,14 @@ def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[
         if len(common) <= k + 1:
             return pd.DataFrame(columns=columns_out)
         n = len(common)
-        near = [nearest(m.loc[common].to_numpy(float)) for m in (a, b)]
-        share = lambda p, q: float((p & q).sum() / (n * min(k, n - 1)))
-        seen, rng = share(*near), K.rng_of("identity", ids[0], n)
-        null = []
+        first, second = (nearest(m.loc[common].to_numpy(float)) for m in (a, b))
+        both = lambda q: int((first[:, :, None] == q[:, None, :]).sum())
+        seen, rng, null = both(second), K.rng_of("identity", ids[0], n), []
         for _ in range(draws):
             o = rng.permutation(n)
-            null.append(share(near[0], near[1][np.ix_(o, o)]))
-        return pd.DataFrame([(ids[0], n, seen, k / (n - 1), float((near[0] & near[1]).sum() / (near[0] | near[1]).sum()), float(np.mean(null)) if null else np.nan, (1 + sum(v >= seen for v in null)) / (draws + 1) if null else np.nan)], columns=columns_out)
+            null.append(both(np.argsort(o)[second[o]]))
+        size = first.size
+        return pd.DataFrame([(ids[0], n, seen / size, k / (n - 1), seen / (2 * size - seen), float(np.mean(null)) / size if null else np.nan, (1 + sum(v >= seen for v in null)) / (draws + 1) if null else np.nan)], columns=columns_out)
 
     return rows.groupBy("pair").applyInPandas(one, "pair int, n_common long, overlap double, chance double, edge_jaccard double, null_mean double, p double")
 

@@ -177,3 +177,76 @@ def within_shift_null(df: DataFrame, person: str, value: str, order: str, seed:
     a = df.withColumn("_r", F.row_number().over(own.orderBy(order)))
     b = df.select(person, F.col(value).alias(name), F.row_number().over(own.orderBy(F.xxhash64(F.lit(seed), order), order)).alias("_r"))
     return a.join(b, [person, "_r"]).drop("_r")
+
+
+def gram_vectors(df: DataFrame, keep: list[str], text: str, features: int = 40_000) -> DataFrame:
+    """keep, feature, n: character 3- to 5-grams of whole texts as counts of hashed features, a row for each that a text has."""
+    from pyspark.sql import types as T
+
+    from ..functions.text import gram_counts
+
+    read = df.select(*keep, text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                found = gram_counts(part.column(len(keep)).to_pylist(), features=features)
+                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _ in found]))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(len(keep))), pa.array(np.concatenate([f for f, _ in found]).astype(np.int32)), pa.array(np.concatenate([c for _, c in found]).astype(np.float64))], names=[*keep, "feature", "n"])
+
+    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType())]))
+
+
+def leading_directions(weights: DataFrame, row: str, feature: str, weight: str, size: int, k: int, rounds: int = 4, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and directions (size by k) of a sparse matrix given as rows (row, feature, weight), by subspace iteration: each
+    round multiplies by the matrix and its transpose in the tasks that hold whole rows; size by k numbers reach the driver from each."""
+    blocked = weights.select(row, feature, weight).repartition(row)
+    basis = np.linalg.qr(K.rng_of("directions", size).normal(size=(size, k + spare)))[0]
+    values = np.zeros(k + spare)
+    for _ in range(rounds):
+
+        def product(frames, basis=basis):
+            import pandas as pd
+
+            total = np.zeros_like(basis)
+            for pdf in frames:
+                code, _ = pd.factorize(pdf[row])
+                f, w = pdf[feature].to_numpy(), pdf[weight].to_numpy()
+                left = np.zeros((code.max() + 1 if len(code) else 0, basis.shape[1]))
+                for j in range(basis.shape[1]):
+                    left[:, j] = np.bincount(code, w * basis[f, j], len(left))
+                    total[:, j] += np.bincount(f, w * left[code, j], len(total))
+            yield pd.DataFrame({"total": [total.tobytes()]})
+
+        # a row of one frame may continue in the next; frames are kept whole by row below
+        parts = blocked.sortWithinPartitions(row).mapInPandas(_whole(product, row), "total binary").collect()
+        basis, r = np.linalg.qr(sum(np.frombuffer(p.total).reshape(basis.shape) for p in parts))
+        values = np.sqrt(np.abs(np.diag(r)))
+    order = np.argsort(-values)[:k]
+    return values[order], basis[:, order]
+
+
+def _whole(fn, key: str):
+    """fn over frames in which the rows of a key are together, from frames sorted by key."""
+
+    def run(frames):
+        import pandas as pd
+
+        def joined():
+            held = None
+            for pdf in frames:
+                pdf = pdf if held is None else pd.concat([held, pdf])
+                if not len(pdf):
+                    continue
+                last = pdf[key].iloc[-1]
+                held = pdf[pdf[key] == last]
+                yield pdf[pdf[key] != last]
+            if held is not None:
+                yield held
+
+        return fn(joined())
+
+    return run

@@ -66,7 +66,7 @@ def weekly_people(spark, sf):
 @query()
 def neighbour_persistence(spark, sf):
     """Share of a contributor's nearest five in one week that are so in the next, against relabelled contributors."""
-    return N.neighbour_overlap(weekly_people(spark, sf), "user_id", "week", ["value", "k"], draws=50)
+    return N.neighbour_overlap(weekly_people(spark, sf), "user_id", "week", ["value", "k"], draws=1000)
 
 
 @query()
