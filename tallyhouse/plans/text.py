@@ -87,14 +87,14 @@ def normalised_keys(spark, sf):
 
 @query()
 def corpus_overlap(spark, sf):
-    """Documents that benchmark shares under each of three keys."""
+    """Distinct texts of two corpora, and how many they share, under each of three keys."""
     sides = []
-    for name, key in (("documents", "doc_id"), ("benchmark", "item_id")):
-        t = read(spark, sf, name).select(F.col(key).alias("id"), X.normal(F.col("text")).alias("t"))
+    for name in ("documents", "benchmark"):
+        t = read(spark, sf, name).select(X.normal(F.col("text")).alias("t"))
         keys = X.overlap_keys(F.col("t"))
-        sides.append(t.select(F.lit(name).alias("corpus"), F.explode(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("h")) for k, c in keys.items()))).alias("x")).select("corpus", "x.key", "x.h").distinct())
-    a, b = sides
-    return a.join(b.select("key", "h"), ["key", "h"]).groupBy("key").agg(F.count("*").alias("shared"))
+        sides.append(t.select(F.lit(name).alias("corpus"), F.explode(F.array(*(F.struct(F.lit(k).alias("key"), c.alias("h")) for k, c in keys.items()))).alias("x")).select("corpus", "x.key", "x.h"))
+    held = sides[0].unionByName(sides[1]).groupBy("key", "h").agg(*(F.max((F.col("corpus") == n).cast("int")).alias(n) for n in ("documents", "benchmark")))
+    return held.groupBy("key").agg(*(F.sum(n).alias(n) for n in ("documents", "benchmark")), F.sum(F.col("documents") * F.col("benchmark")).alias("shared"))
 
 
 @query(TRAJ + """, q AS (SELECT doc_id, k, v, greatest(k // 3, 1) AS j, k // 2 AS h FROM v), t AS (SELECT *, list_avg(v[1:j]) AS t1, CASE WHEN k - 2 * j > 0 THEN list_avg(v[j + 1:k - j]) ELSE list_avg(v) END AS t2, list_avg(v[k - j + 1:k]) AS t3 FROM q)
