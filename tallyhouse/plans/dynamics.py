@@ -18,6 +18,7 @@ from ..operators import panel as P
 from ..operators import records as Rec
 from ..operators import sampling as S
 from ..operators import windows as W
+from ..sources import readers as Src
 from ..sources.tables import daily_orders, eight, read, reports, six
 from .events import SPACED, events
 from .panel import R, text
@@ -283,3 +284,10 @@ def weighted_mean(spark, sf):
 def head_of_days(spark, sf):
     """The first fifty days: a head of a table in a stated order."""
     return daily_orders(spark, sf).orderBy("day").limit(50).select(text("day"), six("v").alias("v"))
+
+
+@query(SENT + " SELECT doc_id, count(*) AS n_sent FROM e GROUP BY 1 HAVING count(*) >= 4 ORDER BY doc_id LIMIT 100")
+def head_of_corpus(spark, sf):
+    """The first hundred documents, in order, that have four sentences: a head is what is asked for."""
+    d = read(spark, sf, "documents").select("doc_id", F.explode(F.array(X.sentences(F.col("text")))).alias("s"))
+    return Src.head_of_corpus(d, "doc_id", "s", 100).select("doc_id", F.size("s").cast("long").alias("n_sent"))
