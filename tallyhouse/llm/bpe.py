@@ -37,7 +37,7 @@ STATES, SYMBOLS = 8, 9
 #: Symbols in a block of the scan.
 BLOCK = 256
 #: Slices kept in a worker's cache, and their code points; it is emptied when full, which costs time and changes no result.
-CACHE_SLICES, CACHE_POINTS = 300_000, 16_000_000
+CACHE_SLICES, CACHE_POINTS = 200_000, 8_000_000
 #: Slices of more bytes are merged one at a time, with a heap, as each merge of many slices at once touches all of them.
 LONG = 256
 NEVER = 1 << 40
