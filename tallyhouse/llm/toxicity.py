@@ -36,7 +36,7 @@ PREFIXES = range(4, 9)
 #: An entry stands in this share of toxic texts at least, which bounds how many entries there are, and has these log-odds.
 MIN_SHARE, MIN_ODDS = 0.012, 2.5
 #: What the prior counts for: occurrences of a word, toxic texts (of which SEED_SHARE hold a seed entry), labelled texts in the fit.
-PRIOR_WORDS, PRIOR_TEXTS, SEED_SHARE, PRIOR_FIT = 2.0, 20.0, 0.05, 1.0
+PRIOR_WORDS, PRIOR_TEXTS, SEED_SHARE, PRIOR_FIT = 0.5, 20.0, 0.05, 1.0
 COEFFICIENTS = (-4.0, 0.6, 0.2, 0.5)
 #: The prior's entries, with weights.
 SEED_ENTRIES = {" idiot ": 5.0, " moron ": 5.0, " scum ": 5.0, " stupid ": 4.0, " pathetic ": 4.0, " worthless ": 4.0, " loser ": 4.0, " disgusting ": 4.0}
