@@ -41,12 +41,16 @@ def dropped(*frames: DataFrame) -> None:
         delete(frame.sparkSession, frame.saved_at)
 
 
+def small_enough(frame: DataFrame) -> bool:
+    """Whether a frame that saved() made may be broadcast, by the size of its files."""
+    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
+    return path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength() <= BROADCAST_BYTES
+
+
 def sized(frame: DataFrame) -> DataFrame:
     """A frame that saved() made, as a side of a join: broadcast where its files are small, else left for a sort-merge join, in which
     Spark splits the other side's hot keys. The rows are the same either way."""
-    path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(frame.saved_at)
-    size = path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
-    return F.broadcast(frame) if size <= BROADCAST_BYTES else frame.hint("merge")
+    return F.broadcast(frame) if small_enough(frame) else frame.hint("merge")
 
 
 def delete(spark: SparkSession, path: str) -> None:
