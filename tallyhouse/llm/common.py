@@ -8,10 +8,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import delete, dropped, saved, shared_dir, sized
+from ..sources.shared import delete, dropped, saved, shared_dir, sized, small_enough
 from ..sources.tables import read
 
-__all__ = ["delete", "dropped", "saved", "shared_dir", "sized"]
+__all__ = ["delete", "dropped", "saved", "shared_dir", "sized", "small_enough"]
 
 #: A word, as every contract here takes it, for Java's and Python's regex engines alike.
 WORD = r"[^\x20\x09-\x0D]+"

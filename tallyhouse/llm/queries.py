@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, idfile, merkle, mixing, neardup, quality, secrets, toxicity
+from . import bpe, chat, exact, html, idfile, manifest, merkle, mixing, neardup, negatives, quality, secrets, toxicity
 from .common import table
 
 
@@ -62,7 +62,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
-ALL = (op1_mix_sources, op2_toxicity, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_html_text, op7_near_duplicates, op8_chat_format, op9_token_files, op10_quality)
+def op11_dataset_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.digest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digest(table(spark, sf_dir, "documents"))
+
+
+ALL = (op1_mix_sources, op2_toxicity, op3_secrets, op4_fingerprints, op5_byte_bpe, op6_html_text, op7_near_duplicates, op8_chat_format, op9_token_files, op10_quality, op11_dataset_manifest, op12_hard_negatives, op13_exact_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -70,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op8_chat_format": chat.SQL, "op11_dataset_manifest": manifest.SQL, "op12_hard_negatives": negatives.SQL, "op13_exact_dedup": exact.SQL}
