@@ -71,7 +71,7 @@ def tier_of_interval(n: Column, lo: Column, sign_p: Column, combined_p: Column)
 
 
 def average_rank(value: str, by: list[str] | None = None) -> Column:
-    """Rank with ties averaged, NULLs unranked."""
+    """Rank with ties averaged, NULLs unranked, for groups that one task may hold (a series, a table of pairs); operators.ranks has no such bound."""
     part = Window.partitionBy(*(by or []), F.col(value).isNull())
     first = F.rank().over(part.orderBy(value))
     ties = F.count("*").over(Window.partitionBy(*(by or []), F.col(value)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import near_days
+from .ranks import quantiles
 from .windows import calendar
 
 START = "1970-01-01"
@@ -114,8 +115,8 @@ def placebo_days(days: DataFrame, events: DataFrame, count: int, exclusion: int
 
 def phase_portrait(rows: DataFrame, stage: Column, level: str, nxt: str, person: str, bands: int = 5, least_reports: int = 20, least_people: int = 5) -> DataFrame:
     """Occupancy and mean next step by stage and quantile band of level, blanked below the floor: stage, band, n, people, step."""
-    cuts = rows.agg(*(F.percentile(level, F.lit(k / bands)).alias(f"_q{k}") for k in range(1, bands)))
-    band = sum(((F.col(level) > F.col(f"_q{k}")).cast("int") for k in range(1, bands)), F.lit(0))
+    cuts = quantiles(rows, level, [k / bands for k in range(1, bands)])
+    band = sum(((F.col(level) > F.col(f"_q{k}")).cast("int") for k in range(bands - 1)), F.lit(0))
     placed = rows.crossJoin(F.broadcast(cuts)).select(stage.alias("stage"), band.alias("band"), (F.col(nxt) - F.col(level)).alias("_s"), F.col(person).alias("_p"))
     g = placed.groupBy("stage", "band").agg(F.count("*").alias("n"), F.count_distinct("_p").alias("people"), F.avg("_s").alias("step"))
     return g.withColumn("step", F.when((F.col("n") >= least_reports) & (F.col("people") >= least_people), F.col("step")))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions.stats import average_rank
 from ..sources.shared import dropped, saved
+from .ranks import ranked
 
 
 def components(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
@@ -46,12 +48,9 @@ def scalars(corr: DataFrame, by: list[str]) -> DataFrame:
 
 def correlations(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """Rank correlations of all column pairs in long form: by, a, b, rho; 0 where undefined."""
-    from ..functions.stats import average_rank
-
-    known = df.dropna(subset=columns)
-    ranked = known.select(*by, *(average_rank(c, by).alias(f"_{c}") for c in columns))
+    rows = ranked(df.dropna(subset=columns).select(*by, *columns), columns, by)
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"_{a}", f"_{b}").alias("rho")) for a, b in pairs)).alias("e"))
+    wide = rows.groupBy(*by).agg(F.count("*").alias("n"), F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"_r_{a}", f"_r_{b}").alias("rho")) for a, b in pairs)).alias("e"))
     return wide.select(*by, "n", F.explode("e").alias("e")).select(*by, "n", "e.a", "e.b", F.coalesce(F.nanvl("e.rho", F.lit(0.0)), F.lit(0.0)).alias("rho"))
 
 
@@ -69,13 +68,13 @@ def edge_jaccard(edges: DataFrame, period: str) -> DataFrame:
 
 def matrix_persistence(corr: DataFrame, period: str) -> DataFrame:
     """Rank correlation of successive periods' correlation entries: p0, p1, rho."""
-    from .windows import spearman
-
     order = corr.select(period).distinct().withColumn("_i", F.row_number().over(Window.orderBy(period)))
     c = corr.join(order, period)
     a = c.select("_i", F.col(period).alias("p0"), "a", "b", F.col("rho").alias("x"))
     b = c.select((F.col("_i") - 1).alias("_i"), F.col(period).alias("p1"), "a", "b", F.col("rho").alias("y"))
-    return spearman(a.join(b, ["_i", "a", "b"]), "x", "y", ["p0", "p1"])
+    both = a.join(b, ["_i", "a", "b"])
+    known = both.where("x IS NOT NULL AND y IS NOT NULL").withColumns({f"_{c}": average_rank(c, ["p0", "p1"]) for c in "xy"})  # a row a pair of columns
+    return known.groupBy("p0", "p1").agg(F.corr("_x", "_y").alias("rho"), F.count("*").alias("n"))
 
 
 def edge_changes(corr: DataFrame, period: str, first: int, top: int) -> DataFrame:

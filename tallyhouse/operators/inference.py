@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.arrays import dot
 from ..functions.calendar import calendar_design
-from ..functions.stats import average_rank
 from ..sources.shared import saved, sized
+from .ranks import ranked
 from .windows import filled
 
 
@@ -156,7 +156,7 @@ def daily_residual(df: DataFrame, value: str, day: str = "day", least: int = 20)
 
 def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     """Mann-Whitney of a 0/1 group: U, rank-biserial, Cohen's d, normal p."""
-    r = df.where(F.col(value).isNotNull()).withColumn("_r", average_rank(value))
+    r = ranked(df.where(F.col(value).isNotNull()).select(value, group), [value]).withColumnRenamed(f"_r_{value}", "_r")
     g = F.col(group) == 1
     s = r.agg(F.count_if(g).alias("n1"), F.count_if(~g).alias("n0"), F.sum(F.when(g, F.col("_r"))).alias("r1"), F.avg(F.when(g, F.col(value))).alias("m1"), F.avg(F.when(~g, F.col(value))).alias("m0"), F.var_samp(F.when(g, F.col(value))).alias("v1"), F.var_samp(F.when(~g, F.col(value))).alias("v0"))
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -169,7 +169,7 @@ def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
 def signed_rank(pairs: DataFrame, gap: str) -> DataFrame:
     """Wilcoxon's signed rank of paired differences: n, w_plus, z."""
     d = pairs.where(F.col(gap).isNotNull() & (F.col(gap) != 0)).withColumn("_a", F.abs(gap))
-    r = d.withColumn("_r", average_rank("_a"))
+    r = ranked(d.select(gap, "_a"), ["_a"]).withColumnRenamed("_r__a", "_r")
     s = r.agg(F.count("*").alias("n"), F.sum(F.when(F.col(gap) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"))
     n = F.col("n")
     return s.withColumn("z", (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24))

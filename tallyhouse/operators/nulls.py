@@ -15,6 +15,7 @@ from ..functions.arrays import let, mean
 from .graph import correlations, scalars
 from .joins import neighbourhood
 from .panel import weighted_variance
+from .ranks import cumulated, quantiles
 from .vectors import cohesion, mean_vectors
 
 
@@ -119,7 +120,7 @@ def beyond_null(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
 def distribution_dynamics(df: DataFrame, value: str, period: str, person: str, draws: int = 1000, least: int = 30, tail: float = 0.10) -> DataFrame:
     """Weighted variance across periods of mean, spread and lower-tail rate, against shuffles of each person's values over the person's own reports: statistic, observed, null_mean, null_q95, p."""
     base = df.where(F.col(value).isNotNull())
-    cut = base.agg(F.percentile(value, F.lit(tail)).alias("_cut"))
+    cut = quantiles(base, value, [tail]).withColumnRenamed("_q0", "_cut")
     rows = base.crossJoin(F.broadcast(cut))  # one row
     v = F.col(value)
     sums = shuffled_sums(rows, person, period, [v, v * v, (v <= F.col("_cut")).cast("int")], draws).where(F.col("n") >= least)
@@ -264,8 +265,9 @@ def heaps(tokens: DataFrame, order: list[str], token: str = "token", points: int
     first = tokens.groupBy(token).agg(F.min(F.struct(*order)).alias("o"))
     new = first.groupBy("o").agg(F.count("*").alias("new"))
     size = tokens.groupBy(F.struct(*order).alias("o")).agg(F.sum("freq").alias("n"))
-    w = Window.orderBy("o").rowsBetween(Window.unboundedPreceding, 0)  # one row a document: counts only
-    run = size.join(new, "o", "left").select(F.sum("n").over(w).alias("n"), F.sum(F.coalesce("new", F.lit(0))).over(w).alias("v"))
+    both = size.join(new, "o", "left").select("o.*", "n", F.coalesce("new", F.lit(0)).alias("new"))
+    before = cumulated(both, order, {"_n": "n", "_v": "new"})
+    run = before.select((F.col("_n") + F.col("n")).alias("n"), (F.col("_v") + F.col("new")).alias("v"))
     return run.where("n >= 100").agg(F.regr_slope(F.log("v"), F.log("n")).alias("exponent"), F.count("*").alias("documents"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def first_per_key(df: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in a stated order."""
@@ -81,7 +83,7 @@ def mean_of_people(df: DataFrame, value: str, person: str = "user_id", by: list[
 
 def period_moments(df: DataFrame, value: str, period: str, tail: float = 0.10, arc: str | None = None) -> DataFrame:
     """n, mean, population spread, share at or below the pooled quantile; with arc also its entropy and share of 'fall'."""
-    cut = df.agg(F.percentile(value, F.lit(tail)).alias("_cut"))
+    cut = quantiles(df, value, [tail]).withColumnRenamed("_q0", "_cut")
     rows = df.where(F.col(value).isNotNull()).crossJoin(F.broadcast(cut))  # one row
     agg = [F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"), F.avg((F.col(value) <= F.col("_cut")).cast("int")).alias("tail_rate")]
     if arc:
@@ -154,9 +156,10 @@ def shares(df: DataFrame, row: Column, col: str, values: list) -> DataFrame:
 def profile(df: DataFrame, day: str = "day", person: str = "user_id", value: str = "value") -> DataFrame:
     """One row: reports, people, active days, span, medians."""
     per_day = df.groupBy(day).agg(F.count("*").alias("n"))
-    a = df.agg(F.count("*").alias("n_reports"), F.count_distinct(person).alias("n_people"), F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.percentile(value, F.lit(0.5)).alias("median_value"))
+    a = df.agg(F.count("*").alias("n_reports"), F.count_distinct(person).alias("n_people"), F.min(day).alias("first_day"), F.max(day).alias("last_day"))
     b = per_day.agg(F.count("*").alias("active_days"), F.percentile("n", F.lit(0.5)).alias("median_per_day"))
-    return a.crossJoin(F.broadcast(b))  # one row each
+    m = quantiles(df, value, [0.5]).withColumnRenamed("_q0", "median_value")
+    return a.crossJoin(F.broadcast(m)).crossJoin(F.broadcast(b))  # one row each
 
 
 def centroids(df: DataFrame, vector: list[str], person: str, period: str, least_reports: int = 3, least_people: int = 20) -> DataFrame:

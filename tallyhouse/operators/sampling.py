@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved
+from .ranks import quantiles
 
 def small(key: str) -> Column:
     """The key modulo 2^31, so that products stay in 64 bits."""
@@ -41,8 +42,8 @@ def matched_counts(a: DataFrame, b: DataFrame, stratum: str, key: str, seed: int
 
 def binned(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """Bins by pooled quantile edges: how many inner edges lie below the value."""
-    cuts = df.agg(*(F.percentile(value, F.lit(k / bins)).alias(f"_q{k}") for k in range(1, bins)))
-    return df.crossJoin(F.broadcast(cuts)).withColumn(name, sum(((F.col(value) > F.col(f"_q{k}")).cast("int") for k in range(1, bins)), F.lit(0))).drop(*(f"_q{k}" for k in range(1, bins)))
+    cuts = quantiles(df, value, [k / bins for k in range(1, bins)])
+    return df.crossJoin(F.broadcast(cuts)).withColumn(name, sum(((F.col(value) > F.col(f"_q{k}")).cast("int") for k in range(bins - 1)), F.lit(0))).drop(*(f"_q{k}" for k in range(bins - 1)))
 
 
 def one_per_group(df: DataFrame, by: str, key: str, draws: int, seed: int = 0) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.arrays import dot, norm, unit
+from .ranks import quantiles
 
 
 def mean_vectors(df: DataFrame, vector: str, by: list[str], name: str = "mean") -> DataFrame:
@@ -63,8 +64,8 @@ def jumps(df: DataFrame, step: str) -> DataFrame:
     """Tail ratios, excess kurtosis and share of long steps."""
     s = df.agg(F.avg(step).alias("_m"), F.stddev_pop(step).alias("_s"))
     rows = df.crossJoin(F.broadcast(s))  # one row
-    p = lambda q: F.percentile(step, F.lit(q))
-    return rows.agg((p(0.95) / p(0.5)).alias("p95_p50"), (p(0.99) / p(0.5)).alias("p99_p50"), F.kurtosis(step).alias("kurtosis"), F.avg((F.col(step) > F.col("_m") + 2 * F.col("_s")).cast("int")).alias("long_share"), F.count("*").alias("n"))
+    q = quantiles(df, step, [0.5, 0.95, 0.99]).select((F.col("_q1") / F.col("_q0")).alias("p95_p50"), (F.col("_q2") / F.col("_q0")).alias("p99_p50"))
+    return q.crossJoin(rows.agg(F.kurtosis(step).alias("kurtosis"), F.avg((F.col(step) > F.col("_m") + 2 * F.col("_s")).cast("int")).alias("long_share"), F.count("*").alias("n")))  # one row each
 
 
 def order_coherence(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:

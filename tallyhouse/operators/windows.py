@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import average_rank, robust_z
+from ..functions.stats import robust_z
+from .ranks import ranked
 
 
 def rolling_z(series: DataFrame, value: str, by: list[str], order: str = "day", window: int = 28, least: int = 14) -> DataFrame:
@@ -132,9 +133,8 @@ def tenure_quarters(df: DataFrame, person: str = "user_id", day: str = "day") ->
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
-    return ranked.groupBy(*(by or [])).agg(F.corr("_rx", "_ry").alias("rho"), F.count("*").alias("n"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*(by or []), x, y)
+    return ranked(known, [x, y], by).groupBy(*(by or [])).agg(F.corr(f"_r_{x}", f"_r_{y}").alias("rho"), F.count("*").alias("n"))
 
 
 def volume_tercile(days: DataFrame, n: str, day: str = "day", by: list[str] | None = None) -> DataFrame:
