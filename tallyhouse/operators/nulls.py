@@ -15,6 +15,7 @@ from ..functions.arrays import let, mean
 from .graph import correlations, scalars
 from .joins import neighbourhood
 from .panel import weighted_variance
+from .permutations import shuffled_sums
 from .ranks import cumulated, quantiles
 from .vectors import cohesion, mean_vectors
 
@@ -51,61 +52,10 @@ def nominal_excess(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFram
     return df.sparkSession.createDataFrame([(r.n, r.k, K.binomial_upper(r.k, r.n, alpha))], "n long, n_below long, p double")
 
 
-#: Draws that a task makes at once; what it holds is as many sums for each period.
+#: Draws of surrogates that a task makes at once.
 DRAW_BLOCK = 100
 
 
-def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column], draws: int, seed: str = "within") -> DataFrame:
-    """period, draw, n and s: the sums of the columns by period when each person's rows are dealt anew over the person's own rows; draw
-    -1 is as observed.
-
-    Rows move once, by person and block of draws; a task adds up what its people give to each period, so only sums move on. One
-    person's rows meet in one task, as their dealing asks.
-    """
-    kind = df.schema[period].dataType.simpleString()
-    blocks = -(-draws // DRAW_BLOCK)
-    spread = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks))
-    x = F.array(*(c.cast("double") for c in columns))
-    rows = df.select(F.col(person).alias("person"), F.col(period).alias("period"), x.alias("x")).where("period IS NOT NULL")
-    seen = rows.groupBy("period").agg(F.count("*").alias("n"), F.array(*(F.sum(F.get("x", F.lit(k))) for k in range(len(columns)))).alias("s")).withColumn("draw", F.lit(-1))
-    placed = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))), "part": F.pmod(F.xxhash64("person"), F.lit(spread))}) if blocks else rows.limit(0).withColumns({"block": F.lit(0), "part": F.lit(0).cast("long")})
-    placed = placed.repartition("block", "part").sortWithinPartitions("block", "person", "period", "x")
-
-    def run(frames):
-        import pandas as pd
-
-        sums: dict = {}
-        counts: dict = {}
-
-        def deal(block, who, periods, values):
-            size = min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
-            order = K.rng_of(seed, str(who), block).permuted(np.broadcast_to(np.arange(len(values)), (size, len(values))), axis=1)
-            for k, p in enumerate(periods):
-                if (block, p) not in sums:
-                    sums[block, p], counts[block, p] = np.zeros((size, values.shape[1])), 0
-                sums[block, p] += values[order[:, k]]
-                counts[block, p] += 1
-
-        held = None  # the person whose rows are not yet all there
-        for pdf in frames:
-            for (block, who), part in pdf.groupby(["block", "person"], sort=False, dropna=False):
-                new = (block, who, part["period"].tolist(), np.stack(part["x"].to_numpy()))
-                if held is not None and held[:2] == new[:2]:
-                    held = (block, who, held[2] + new[2], np.r_[held[3], new[3]])
-                else:
-                    if held is not None:
-                        deal(*held)
-                    held = new
-        if held is not None:
-            deal(*held)
-        for (block, p), total in sums.items():
-            yield pd.DataFrame({"period": [p] * len(total), "n": counts[block, p], "s": list(total), "draw": block * DRAW_BLOCK + np.arange(len(total), dtype=np.int32)})
-
-    parts = placed.select("block", "person", "period", "x").mapInPandas(run, f"period {kind}, n long, s array<double>, draw int")
-    dealt = parts.groupBy("period", "draw").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.get("s", F.lit(k))) for k in range(len(columns)))).alias("s"))
-    return seen.unionByName(dealt).withColumnRenamed("period", period)
-
-
 def beyond_null(df: DataFrame, by: list[str], x: str = "x") -> DataFrame:
     """by, observed (draw -1), null_mean, null_q95 and p, one-sided and two-sided about the null's mean, over the draws."""
     g = df.groupBy(*by).agg(F.max(F.when(F.col("draw") < 0, F.col(x))).alias("observed"), F.collect_list(F.when(F.col("draw") >= 0, F.col(x))).alias("_x"))  # a number a draw
@@ -130,9 +80,9 @@ def distribution_dynamics(df: DataFrame, value: str, period: str, person: str, d
     return beyond_null(weighted_variance(long_, "x", "n", ["statistic", "draw"]).withColumnRenamed("wvar", "x"), ["statistic"]).drop("p_two_sided")
 
 
-def day_effect_null(df: DataFrame, value: str, period: str, person: str, draws: int = 1000) -> DataFrame:
-    """F of the periods' means against shuffles of each person's values over the person's own rows: observed, null_mean, null_q95, p."""
-    sums = shuffled_sums(df.where(F.col(value).isNotNull()), person, period, [F.col(value), F.col(value) * F.col(value)], draws)
+def day_effect_null(df: DataFrame, value: str, period: str, person: str, draws: int = 1000, stratum: Column | None = None, block: int = 1) -> DataFrame:
+    """F of the periods' means against shuffles of each person's values over the person's own rows (of a stratum, in blocks): observed, null_mean, null_q95, p."""
+    sums = shuffled_sums(df.where(F.col(value).isNotNull()), person, period, [F.col(value), F.col(value) * F.col(value)], draws, stratum=stratum, block=block)
     total, square = F.get("s", F.lit(0)), F.get("s", F.lit(1))
     g = sums.groupBy("draw").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(total).alias("t"), F.sum(total * total / F.col("n")).alias("b"), F.sum(square).alias("q"))
     msb = (F.col("b") - F.col("t") * F.col("t") / F.col("n")) / F.greatest(F.col("k") - 1, F.lit(1))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import arrays as A
 from ..operators import events as E
 from ..operators import nulls as N
+from ..operators import permutations as M
 from ..operators import sampling as S
 from ..operators import windows as W
 from ..sources.tables import daily_orders, read, reports, six
@@ -60,6 +61,19 @@ def matched_contrast_over_seeds(spark, sf):
     return out
 
 
+def baskets(spark, sf):
+    """Orders with what their lines amount to, whether they are urgent, and their month."""
+    lines = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("double").alias("lines"), F.sum("l_quantity").cast("double").alias("quantity"), F.avg("l_discount").cast("double").alias("discount"), F.avg("l_tax").cast("double").alias("tax"))
+    o = read(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("price"), (F.substring("o_orderpriority", 1, 1) <= "2").cast("int").alias("urgent"), F.date_trunc("month", "o_orderdate").cast("date").alias("month"))
+    return o.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).drop("l_orderkey")
+
+
+@query()
+def network_contrast(spark, sf):
+    """Which rank correlations of orders differ between urgent and other ones, by the greatest difference of 300 relabellings within months."""
+    return M.network_contrast(baskets(spark, sf), ["price", "lines", "quantity", "discount", "tax"], "o_orderkey", "urgent", "month")
+
+
 @query()
 def weekday_label_permutation(spark, sf):
     return N.date_block_permutation(reports(spark, sf), "value", "day")

@@ -252,3 +252,21 @@ def within_person_shuffle_null(spark, sf):
 
     d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("user_id", "day", "dev")
     return N.day_effect_null(d, "dev", "day", "user_id")
+
+
+@query()
+def weekday_preserving_null(spark, sf):
+    """The same with each person's deviations dealt anew among the person's reports of one weekday, so that weekly rhythm stays in the null."""
+    from ..operators import nulls as N
+
+    d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("user_id", "day", "dev")
+    return N.day_effect_null(d, "dev", "day", "user_id", stratum=F.weekday("day"))
+
+
+@query()
+def block_shuffle_null(spark, sf):
+    """The same with runs of three successive reports of a person moved as wholes, so that what carries over to the next report stays in the null."""
+    from ..operators import nulls as N
+
+    d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("user_id", "day", "dev")
+    return N.day_effect_null(d, "dev", "day", "user_id", block=3)

@@ -9,6 +9,7 @@ from ..functions import kernels as K
 from ..operators import graph as G
 from ..operators import joins as J
 from ..operators import panel as P
+from ..operators import permutations as M
 from ..operators import vectors as V
 from ..operators import windows as W
 from ..sources.tables import read, reports, six
@@ -78,6 +79,14 @@ def reidentification(spark, sf):
     return r.select("n", *(six(x).alias(x) for x in ("top1", "top5", "mrr", "lift")))
 
 
+@query()
+def reidentification_null(spark, sf):
+    """How often the nearest and the five nearest centroids hold the true one, against 1,000 permutations of who owns which vector."""
+    e = embeddings(spark, sf)
+    c = V.unit_means(e.where("vec_id % 5 <> 0"), "embedding", ["label"]).select("label", F.col("unit").alias("embedding"))
+    return M.label_permutation(M.nearest_people(e.where("vec_id % 5 = 0"), c, "vec_id", "label", "embedding"), "vec_id", "label")
+
+
 @query(SOME + ", x AS (SELECT t.vec_id, max(list_cosine_similarity(t.v, b.v)) AS m FROM e t JOIN e b ON t.label = b.label WHERE t.vec_id % 5 = 0 AND b.vec_id % 5 <> 0 GROUP BY 1) SELECT vec_id FROM x WHERE m <= 0.6")
 def near_own_guard(spark, sf):
     e = embeddings(spark, sf)
