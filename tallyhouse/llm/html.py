@@ -3,11 +3,14 @@
 One scan from left to right cuts a page into tags and text; a tree builder opens and closes elements, with end tags implied where HTML
 lets authors leave them out; what is hidden is taken out; then the tree is rendered as a reader would see it: white space collapsed
 outside `pre`, blocks on lines of their own with blank lines where a browser leaves a margin, lists with marks and indents, tables
-with cells aligned in columns, spans of rows and columns included.
+with cells aligned in columns, spans of rows and columns included. Visibility follows attributes, inline styles and the page's style
+sheets (rules whose selector is a tag, a class, an id, or a tag with one of these; others are passed over); a closed `details` shows its
+summary alone.
 
 Defined results: null and empty pages give an empty text; broken markup (unclosed or stray tags, unfinished comments and attributes)
-gives the text that can still be seen; very long pages, pages of many open elements and tables in tables are rendered whole, in time
-that grows with their length; repeated rows render each; an empty table gives an empty result; other columns pass through if named in
+gives the text that can still be seen; very long pages, pages of many open elements, tables with many spans and tables in tables are
+rendered whole, in time that grows with their length: tables more than DEEP_TABLES deep show their cells as blocks, and a table whose
+alignment would need more than SPREAD times its text has its cells two spaces apart; repeated rows render each; an empty table gives an empty result; other columns pass through if named in
 `keep`.
 """
 
@@ -56,6 +59,10 @@ TABLE_TAGS = frozenset("table tr tbody thead tfoot td th".split())
 _WHITE = re.compile(r"[ \t\n\f\r]+")
 #: HTML's limit of a colspan.
 MAX_COLSPAN = 1000
+#: Levels of tables in tables that are laid out in columns.
+DEEP_TABLES = 24
+#: Times a table's text that its alignment may take up.
+SPREAD = 16
 #: In what order the parts of a table stand.
 GROUPS = {"thead": 0, "tbody": 1, "tfoot": 2}
 
@@ -137,23 +144,88 @@ def tokens(html: str):
         at = lt + 1
 
 
-def stands(node: Node) -> str | None:
-    """What an element's attributes say: "gone" with its place, "hidden" or "visible" for itself and what doesn't say otherwise, or None."""
+def declared(style: str):
+    """Name, whether it is marked important, and value of each declaration."""
+    for part in style.split(";"):
+        name, _, value = part.partition(":")
+        value, mark, _ = value.strip().lower().partition("!")
+        yield name.strip().lower(), bool(mark), value.strip()
+
+
+#: A selector that is a tag, a class, an id, or a tag with a class or an id.
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?([.#][\w-]+)?")
+_SHEET_INERT = re.compile(r"(?s)/\*.*?(?:\*/|\Z)|<!--|-->")
+#: How specific a selector is: of no tag, by tag, class, tag and class, id, tag and id.
+_WEIGHTS = {"": 0, ".": 10, "#": 100}
+
+
+def rules(sheet: str, so_far: dict[str, dict[str, tuple]]) -> None:
+    """Adds to so_far, by selector and property, (important, weight, turn, value) of the winning rule. At-rules are passed over."""
+    sheet = _SHEET_INERT.sub(" ", sheet)
+    at, size = 0, len(sheet)
+    while (brace := sheet.find("{", at)) >= 0:
+        head = sheet[at:brace]
+        if ";" in head:  # an at-rule without a block
+            head = head.rpartition(";")[2]
+        head = head.strip()
+        if head.startswith("@"):
+            depth, k = 1, brace + 1
+            for m in re.compile("[{}]").finditer(sheet, brace + 1):
+                depth += 1 if m[0] == "{" else -1
+                k = m.end()
+                if not depth:
+                    break
+            at = k if not depth else size
+            continue
+        end = sheet.find("}", brace)
+        end = size if end < 0 else end
+        said = [d for d in declared(_STYLE_INERT.sub(" ", sheet[brace + 1 : end])) if d[0] in ("display", "visibility")]
+        for selector in head.split(",") if said else ():
+            m = _SELECTOR.fullmatch(selector.strip())
+            if not m or not m[0]:
+                continue
+            tag, mark = (m[1] or "").lower().replace("*", ""), m[2] or ""
+            weight = _WEIGHTS[mark[:1]] + bool(tag)
+            own = so_far.setdefault((tag + mark) or "*", {})
+            for name, strong, value in said:
+                if name not in own or (strong, weight) >= own[name][:2]:
+                    own[name] = strong, weight, len(so_far), value
+        at = end + 1
+
+
+def _styled(node: Node, sheet: dict[str, dict[str, tuple]]) -> dict[str, tuple]:
+    """What the sheets say of an element: by property the winning rule."""
+    tag, found = node.tag, {}
+    keys = ["*", tag]
+    for c in (node.attrs.get("class") or "").split():
+        keys += [f".{c}", f"{tag}.{c}"]
+    if name := node.attrs.get("id"):
+        keys += [f"#{name}", f"{tag}#{name}"]
+    for k in keys:
+        for prop, rule in sheet.get(k, {}).items():
+            if prop not in found or rule[:3] > found[prop][:3]:
+                found[prop] = rule
+    return found
+
+
+def stands(node: Node, sheet: dict[str, dict[str, tuple]] | None = None) -> str | None:
+    """What an element's attributes and the sheets say: "gone" with its place, "hidden" or "visible" for itself and what doesn't say
+    otherwise, or None."""
     found = node.attrs
-    if node.tag in UNSEEN or "hidden" in found or (node.tag == "dialog" and "open" not in found):
+    if node.tag in UNSEEN or (node.tag == "dialog" and "open" not in found):
         return "gone"
     said: dict[str, tuple[bool, str]] = {}
     for name in ("display", "visibility"):  # attributes of drawings
         if name in found:
             said[name] = False, found[name].strip().lower()
+    for name, rule in (_styled(node, sheet) if sheet else {}).items():
+        said[name] = rule[0], rule[3]
     style = found.get("style", "")
-    for part in _STYLE_INERT.sub(" ", style).split(";") if style else ():
-        name, _, value = part.partition(":")
-        value, mark, _ = value.strip().lower().partition("!")
-        name, strong = name.strip().lower(), bool(mark)
+    for name, strong, value in declared(_STYLE_INERT.sub(" ", style)) if style else ():
         if strong >= said.get(name, (False, ""))[0]:
-            said[name] = strong, value.strip()
-    if said.get("display", (False, ""))[1] == "none":
+            said[name] = strong, value
+    shown = said.get("display", (False, ""))[1]
+    if shown == "none" or ("hidden" in found and not shown):
         return "gone"
     seen = said.get("visibility", (False, ""))[1]
     if seen == "collapse":
@@ -161,8 +233,8 @@ def stands(node: Node) -> str | None:
     return seen if seen in ("hidden", "visible") else None
 
 
-def build(html: str) -> Node:
-    """The tree of a page."""
+def build(html: str, sheet: dict[str, dict[str, tuple]] | None = None) -> Node:
+    """The tree of a page; the rules of its style sheets are added to `sheet`."""
     root = Node("html")
     stack = [root]
     where: dict[str, list[int]] = {}  # the places in the stack of each tag's open elements
@@ -246,6 +318,8 @@ def build(html: str) -> Node:
                 node.children.append(unescape(body))
             elif tag == "xmp":
                 node.children.append(body)
+            elif tag == "style" and sheet is not None:
+                rules(body, sheet)
             moved = end.end() if end else len(html)
             continue
         if slash and tag in FOREIGN:
@@ -253,18 +327,20 @@ def build(html: str) -> Node:
         push(node)
 
 
-def take_out_hidden(root: Node) -> None:
+def take_out_hidden(root: Node, sheet: dict[str, dict[str, tuple]] | None = None) -> None:
     """Leaves in the tree what shows, and elements that keep their place without showing."""
     todo = [(root, False)]
     while todo:
         node, dark = todo.pop()
         kept = []
+        if node.tag == "details" and "open" not in node.attrs:
+            node.children = [c for c in node.children if isinstance(c, Node) and c.tag == "summary"][:1]
         for child in node.children:
             if isinstance(child, str):
                 if not dark:
                     kept.append(child)
                 continue
-            state = stands(child) if child.attrs or child.tag in UNSEEN or child.tag == "dialog" else None
+            state = stands(child, sheet) if sheet or child.attrs or child.tag in UNSEEN or child.tag == "dialog" else None
             hidden = dark if state is None else state == "hidden"
             if state == "gone" or (hidden and child.tag in VOID and child.tag != "br"):
                 continue
@@ -471,27 +547,81 @@ def _rows(table: Node) -> tuple[list[tuple[int, list[Node]]], list[str]]:
     return sorted(rows, key=lambda r: r[0]), before
 
 
+class Taken:
+    """Columns that cells from the rows above stand in: pieces (start, end, first free row), apart from each other and in order, and the
+    runs that they form, so that the next free column is found without a walk."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.pieces: list[tuple[int, int, int]] = []
+        self.run_starts: list[int] = []
+        self.run_ends: list[int] = []
+        self.until: dict[int, list[int]] = {}
+
+    def free(self, k: int) -> int:
+        """The first free column from k on."""
+        r = bisect_right(self.run_starts, k) - 1
+        return self.run_ends[r] if r >= 0 and k < self.run_ends[r] else k
+
+    def put(self, a: int, b: int, row: int) -> None:
+        """Takes the columns a to b up to the row; where they are taken already, the later row counts."""
+        lo = bisect_right(self.starts, a) - 1
+        lo = lo + 1 if lo < 0 or self.pieces[lo][1] <= a else lo
+        hi = bisect_left(self.starts, b)
+        new, at = [], a
+        for p, q, old in self.pieces[lo:hi]:  # at most as many as a colspan may cover
+            if p < a:
+                new.append((p, a, old))
+            if at < p:
+                new.append((at, p, row))
+            new.append((max(p, a), min(q, b), max(old, row)))
+            if q > b:
+                new.append((b, q, old))
+            at = max(at, q)
+        if at < b:
+            new.append((at, b, row))
+        self.pieces[lo:hi], self.starts[lo:hi] = new, [p for p, _, _ in new]
+        for p, _, r in new:
+            self.until.setdefault(r, []).append(p)
+        lo, hi = bisect_left(self.run_ends, a), bisect_right(self.run_starts, b)
+        if lo < hi:
+            a, b = min(a, self.run_starts[lo]), max(b, self.run_ends[hi - 1])
+        self.run_starts[lo:hi], self.run_ends[lo:hi] = [a], [b]
+
+    def release(self, row: int) -> None:
+        """Frees what is free from the row on."""
+        for p in self.until.pop(row, ()):
+            k = bisect_left(self.starts, p)
+            if k == len(self.starts) or self.starts[k] != p or self.pieces[k][2] > row:
+                continue
+            a, b, _ = self.pieces.pop(k)
+            del self.starts[k]
+            r = bisect_right(self.run_starts, a) - 1
+            left, right = (self.run_starts[r], a), (b, self.run_ends[r])
+            kept = [x for x in (left, right) if x[0] < x[1]]
+            self.run_starts[r : r + 1], self.run_ends[r : r + 1] = [x[0] for x in kept], [x[1] for x in kept]
+
+
 def table_lines(table: Node) -> list[str]:
     """A table's rows, cells padded to their columns' widths; a cell's own lines stay lines, a span of rows leaves its place free below."""
     rows, out = _rows(table)
-    taken: dict[int, int] = {}  # by column, in how many more rows a cell from above stands there
-    grid, group = [], None
-    for own_group, cells in rows:
+    ends = {g: n + 1 for n, (g, _) in enumerate(rows)}  # of each part of the table
+    taken, grid, group = Taken(), [], None
+    for n, (own_group, cells) in enumerate(rows):
         if own_group != group:
-            taken, group = {}, own_group
-        below = {k: n - 1 for k, n in taken.items() if n > 1}
-        row, k = [], 0
+            taken, group = Taken(), own_group
+        taken.release(n)
+        row, k, below = [], 0, []
         for c in cells:
-            while k in taken:
-                k += 1
+            k = taken.free(k)
             wide, high = _span(c, "colspan", MAX_COLSPAN, 1), _span(c, "rowspan", 65534, 0) or 65534
             row.append((k, wide, _inner(c.children)))
             if high > 1:
-                for j in range(k, k + wide):
-                    below[j] = max(below.get(j, 0), high - 1)
+                below.append((k, k + wide, min(n + high, ends[group])))
             k += wide
+        for span in below:
+            taken.put(*span)
         grid.append(row)
-        taken = below
     columns = sorted({k for row in grid for k, _, _ in row})
     widths = dict.fromkeys(columns, 0)
     for row in grid:
@@ -502,31 +632,43 @@ def table_lines(table: Node) -> list[str]:
     for k in columns:
         place[k] = at
         at += widths[k] + 2 if widths[k] else 0  # a column that shows nothing takes no place
+    laid, need, held = [], 0, 1000
     for row in grid:
-        for h in range(max((len(lines) for _, _, lines in row), default=0)):
-            line, size = "", 0
-            for k, _, lines in row:
-                if h < len(lines) and lines[h]:
-                    room = max(place[k] - size, 2 if size else 0)
-                    line += " " * room + lines[h]
-                    size += room + width(lines[h])
-            line = line.rstrip()
-            if line:
-                out.append(line)
+        lines_of: dict[int, list[tuple[int, str]]] = {}
+        for k, _, lines in row:
+            for h, text in enumerate(lines):
+                if text:
+                    lines_of.setdefault(h, []).append((place[k], text))
+                    held += len(text) + 2
+        laid.append([lines_of[h] for h in sorted(lines_of)])
+        need += sum(line[-1][0] for line in laid[-1])
+    aligned = need <= SPREAD * held
+    for row in laid:
+        for parts in row:
+            line, size = [], 0
+            for where, text in parts:
+                room = max(where - size if aligned else 0, 2 if size else 0)
+                line += [" " * room, text]
+                size += room + width(text)
+            if joined := "".join(line).rstrip():
+                out.append(joined)
     return out
 
 
 def text_of(html: str | None) -> str:
     if not html:
         return ""
-    root = build(html)
-    take_out_hidden(root)
-    tables, todo = [], [root]
+    sheet: dict[str, dict[str, tuple]] = {}
+    root = build(html, sheet)
+    take_out_hidden(root, sheet)
+    tables, todo = [], [(root, 0)]
     while todo:
-        node = todo.pop()
+        node, level = todo.pop()
         if node.tag == "table":
-            tables.append(node)
-        todo += [c for c in node.children if isinstance(c, Node)]
+            level += 1
+            if level <= DEEP_TABLES:
+                tables.append(node)
+        todo += [(c, level) for c in node.children if isinstance(c, Node)]
     for table in reversed(tables):  # an inner table comes after the one around it
         table.lines = table_lines(table)
     return render(root)

@@ -636,6 +636,77 @@ def test_pages_equal_a_plain_reader(spark):
         assert [w for w in r.text.split() if w != "-"] == [w for w in plain_words(r.html) if w != "-"]
 
 
+@pytest.mark.parametrize("name", ["spans", "varied", "overlap", "nested", "pairs", "lines", "sheet", "braces"])
+def test_html_large_tables_in_little_time(name):
+    n = 8000
+    page = {
+        "spans": "<table>" + "<tr><td rowspan=0 colspan=1000>x" * n,
+        "varied": "<table>" + "".join(f"<tr><td rowspan={n - i - i % 3} colspan=7>x" for i in range(n)),
+        "overlap": "<table><tr><td>a" + "<td rowspan=0>b" * 500 + "<tr><td rowspan=2 colspan=1000>x" * n,
+        "nested": "<table><tr><td>x" * n,
+        "pairs": "<table><tr><td>x<td>y" * n,
+        "lines": "<table><tr><td>" + "a<br>" * n + "<td>" * n,
+        "sheet": "<style>" + "".join(f".c{i}{{visibility:visible}}" for i in range(n)) + "</style>" + "<p class='c1 c2'>x</p>" * n,
+        "braces": "x<style>" + "@media x{" * n + "</style>",
+    }[name]
+    start = time.time()
+    shown = html.text_of(page)
+    assert time.time() - start < 6 and shown.count("x") == (n if name not in ("lines", "braces") else 1 - (name == "lines"))
+
+
+def plain_grid(rows):
+    """Cells' first columns by HTML's own rule, one column at a time."""
+    taken, out = {}, []
+    for n, cells in enumerate(rows):
+        k, row, below = 0, [], []
+        for wide, high in cells:
+            while taken.get(k, 0) > n:
+                k += 1
+            row.append(k)
+            below += [(j, n + high) for j in range(k, k + wide)]
+            k += wide
+        for j, end in below:
+            taken[j] = max(taken.get(j, 0), end)
+        out.append(row)
+    return out
+
+
+def test_html_spans_are_the_plain_ones():
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = [[(rng.choice([1, 1, 2, 3]), rng.choice([1, 1, 2, 3, 9])) for _ in range(rng.randint(0, 4))] for _ in range(rng.randint(1, 8))]
+        taken, got = html.Taken(), []
+        for n, cells in enumerate(rows):
+            taken.release(n)
+            k, row, below = 0, [], []
+            for wide, high in cells:
+                k = taken.free(k)
+                row.append(k)
+                below.append((k, k + wide, min(n + high, len(rows))))
+                k += wide
+            for b in below:
+                if b[2] > n + 1:
+                    taken.put(*b)
+            got.append(row)
+        assert got == plain_grid(rows), rows
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<style>.x{display:none}</style><p class=x>no<p class='y x'>no<p class=y>yes", "yes"),
+        ("<style>p.x, #k {color:red; display : NONE} </style><p class=x>no</p><b class=x>yes</b><i id=k>no</i>", "yes"),
+        ("<style>.x{display:none} .y{display:block!important} #z{display:inline}</style><p class='x y'>a<p class=x id=z>b<p class=x style='display:block'>c", "a\n\nb\n\nc"),
+        ("<style>/* .x{ */ @media print{.x{display:none}} @import 'a'; .v{visibility:hidden} .v2{visibility:visible}</style><p class=x>a<p class=v>b<b class=v2>c</b>", "a\n\nc"),
+        ("<style>div .x{display:none} .x:hover{display:none}</style><p class=x>a", "a"),
+        ("<details><summary>S</summary>no<p>no</details>yes<details open><summary>T</summary>shown</details>", "S\nyes\nT\nshown"),
+        ("<style>.x{display:block}</style><p hidden>no<p hidden class=x>yes", "yes"),
+    ],
+)
+def test_html_sheets_and_details(page, text):
+    assert html.text_of(page) == text
+
+
 def test_html_awkward(spark):
     deep = "<div>" * 3000 + "core" + "</div>" * 3000
     tables = "<table><tr><td>" * 60 + "in" + "</table>" * 60
