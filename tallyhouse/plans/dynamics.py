@@ -17,6 +17,8 @@ from ..operators import joins as J
 from ..operators import panel as P
 from ..operators import records as Rec
 from ..operators import sampling as S
+from ..operators import spectra as Sp
+from ..operators import statespace as SS
 from ..operators import windows as W
 from ..sources import readers as Src
 from ..sources.tables import daily_orders, eight, read, reports, six
@@ -87,6 +89,28 @@ def cohort_axes_against_wave(spark, sf):
     return stats.benjamini_hochberg(joined.groupBy("axis").applyInPandas(one, "axis string, r double, p double, n long"))
 
 
+@query()
+def wave_cross_check(spark, sf):
+    """A dynamic factor of the indicators (two own lags, by EM) beside their first component: loadings, noise, correlation of the two."""
+    return SS.wave_check(indicators(spark, sf), "week", ["volume", "rank", "total"], "volume")
+
+
+@query()
+def axes_against_wave_by_lag(spark, sf):
+    """Each axis, less time and volume, with the wave at lags -3 to 3, p against 2,000 surrogates of random phases, q over the axes of a lag."""
+    wave = I.first_component(indicators(spark, sf), "week", ["volume", "rank", "total"], "volume")
+    o = read(spark, sf, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("axis"), F.to_date(F.date_trunc("week", "o_orderdate")).alias("week")).agg(F.avg("o_totalprice").alias("y"), F.count("*").alias("n_orders"))
+    s = Sp.lag_scan_against_phases(o.join(wave, "week"), ["axis"], "week", "y", "wave", volume="n_orders")
+    return stats.benjamini_hochberg(s, family=["lag"])
+
+
+@query()
+def welch_spectrum(spark, sf):
+    """Welch's spectrum of every priority's daily mean price."""
+    o = read(spark, sf, "orders").groupBy(F.substring("o_orderpriority", 1, 1).alias("axis"), F.to_date("o_orderdate").alias("day")).agg(F.avg("o_totalprice").alias("v"))
+    return Sp.welch(o, ["axis"], "day", "v")
+
+
 @query(AXES + ", u AS (UNPIVOT (SELECT week, volume, rank::DOUBLE AS rank, total::DOUBLE AS total FROM i) ON volume, rank, total INTO NAME indicator VALUE x), t AS (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY week) AS t FROM u), l AS (SELECT indicator, regr_slope(x, t) AS b, regr_intercept(x, t) AS c FROM t GROUP BY 1), d AS (SELECT t.*, x - b * t - c AS flat FROM t JOIN l USING (indicator)) SELECT axis, indicator, round(corr(y, x), 6) AS r, round(corr(y, flat), 6) AS r_detrended, count(*) AS n FROM a JOIN d USING (week) GROUP BY 1, 2")
 def indicator_battery(spark, sf):
     """Each axis against each indicator as it is and without its line over time."""
