@@ -13,32 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..functions.arrays import let, mean
 from .graph import correlations, scalars
-from .joins import neighbourhood
 from .panel import weighted_variance
 from .permutations import shuffled_sums
 from .ranks import cumulated, quantiles
-from .vectors import cohesion, mean_vectors
-
-
-def synchrony(units: DataFrame, vector: str, day: str = "day", within: int = 56, draws: int = 50, same_weekday: bool = True, least: int = 3) -> DataFrame:
-    """Cohesion of each day's units against that of as many units drawn from nearby days: day, n, obs, null_mean, null_sd, excess, z, p.
-
-    A day's pool holds days within `within` days; draws are hash orders of the pool, so nothing is paired.
-    """
-    seen = cohesion(units, vector, [day]).where(F.col("n") >= least).withColumnRenamed("cohesion", "obs")
-    near = neighbourhood(units.select(day), within, same_weekday, day)
-    pool = near.join(units.select(F.col(day).alias("other"), vector, F.col("unit_id")), "other").join(seen.select(day, F.col("n").alias("_k")), day)
-    size = pool.groupBy(day).agg(F.count("*").alias("_size"))
-    drawn = pool.join(size, day).withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    # a draw ranks only rows whose hash lies below a share that holds enough of them, six spreads to spare
-    share = (F.col("_k") + 6 * F.sqrt("_k") + 6) / F.col("_size")
-    drawn = drawn.where(F.pmod(F.xxhash64("unit_id", "other", day, "draw"), F.lit(1_000_003)) / 1_000_003.0 < share)
-    turn = F.row_number().over(Window.partitionBy(day, "draw").orderBy(F.xxhash64("draw", day, "other", "unit_id")))
-    drawn = drawn.withColumn("_n", turn).where(F.col("_n") <= F.col("_k"))
-    null = cohesion(drawn, vector, [day, "draw"]).groupBy(day).agg(F.avg("cohesion").alias("null_mean"), F.stddev_samp("cohesion").alias("null_sd"), F.collect_list("cohesion").alias("_x"))
-    rows = seen.join(null, day)
-    beyond = F.size(F.filter("_x", lambda x: x >= F.col("obs")))
-    return rows.select(day, "n", "obs", "null_mean", "null_sd", (F.col("obs") - F.col("null_mean")).alias("excess"), F.try_divide(F.col("obs") - F.col("null_mean"), "null_sd").alias("z"), ((beyond + 1) / (F.size("_x") + 1)).alias("p"))
+from .vectors import mean_vectors
 
 
 def stouffer(df: DataFrame, z: str = "z") -> DataFrame:
@@ -46,12 +24,6 @@ def stouffer(df: DataFrame, z: str = "z") -> DataFrame:
     return df.where(F.col(z).isNotNull()).agg((F.sum(z) / F.sqrt(F.count("*"))).alias("stouffer_z"), F.avg((F.col(z) > 0).cast("int")).alias("share_positive"), F.count("*").alias("n"))
 
 
-def nominal_excess(df: DataFrame, p: str = "p", alpha: float = 0.05) -> DataFrame:
-    """One row: how many p lie below alpha and how likely as many would be (binomial)."""
-    r = df.agg(F.count(p).alias("n"), F.count_if(F.col(p) < alpha).alias("k")).first()
-    return df.sparkSession.createDataFrame([(r.n, r.k, K.binomial_upper(r.k, r.n, alpha))], "n long, n_below long, p double")
-
-
 #: Draws of surrogates that a task makes at once.
 DRAW_BLOCK = 100
 
@@ -90,7 +62,7 @@ def day_effect_null(df: DataFrame, value: str, period: str, person: str, draws:
     return beyond_null(g.select("draw", F.when(msw > 0, msb / msw).alias("x")), []).drop("p_two_sided")
 
 
-def contrast(a: DataFrame, b: DataFrame, value: str, draws: int = 2000) -> DataFrame:
+def contrast(a: DataFrame, b: DataFrame, value: str, draws: int = 4000) -> DataFrame:
     """Difference of the means of two sets of contributor means, with a bootstrap interval, its ratio and how far the variance may grow before 0 is in reach.
 
     Each task weighs its rows for every draw by Poisson numbers and gives their sums, so nothing but sums of draws moves.

@@ -20,10 +20,18 @@ from .sampling import numbered, order_of
 #: Up to so many places a permutation is the order of that many hashes, and so exactly uniform; beyond, rounds of a Feistel network.
 ORDERED = 32
 ROUNDS = 6
+#: Numbers that stay in a processor's cache.
+CACHED = 1 << 15
 #: Numbers that a task holds at once for a step over draws and rows.
 STEP = 1 << 21
 
 
+def dealt_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that each take much work, over all cores whatever the size of their files."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -47,34 +55,68 @@ def scattered(place: np.ndarray, size: np.ndarray, name: np.ndarray, draws: np.n
     key = _hash(name[None], draws[:, None])
     small = size <= ORDERED
     if small.any():
-        i, n, k = place[small], size[small], key[:, small]
-        mine, before = _hash(k, i[None]), np.zeros(k.shape, np.int64)
-        for j in range(int(n.max(initial=0))):
-            other = _hash(k, np.uint64(j))
-            before += (j < n)[None] & ((other < mine) | ((other == mine) & (j < i)[None]))
-        out[:, small] = before
+        own = np.flatnonzero(small)
+        _, first, group = np.unique(np.stack([name[own], size[own].astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+        sizes = size[own][first]
+        ends = sizes.cumsum()
+        starts = ends - sizes
+        inner = np.arange(ends[-1]) - np.repeat(starts, sizes)
+        part = np.repeat(np.arange(len(sizes), dtype=np.uint64), sizes) << np.uint64(44)
+        step = max(1, CACHED // len(inner))
+        for lo in range(0, len(draws), step):
+            k = key[lo : lo + step][:, own[first]][:, np.repeat(np.arange(len(sizes)), sizes)]
+            order = np.argsort((_hash(k, inner[None]) >> np.uint64(20)) | part, axis=1, kind="stable")
+            place_of = np.empty(order.shape, np.int64)
+            np.put_along_axis(place_of, order, np.broadcast_to(inner, order.shape), 1)
+            out[lo : lo + step, own] = place_of[:, starts[group.ravel()] + place[own]]
     if not small.all():
         rows = np.flatnonzero(~small)
-        n = size[rows]
-        a = np.ceil(np.sqrt(n)).astype(np.int64)
-        b = -(-n // a)
-        d, r = (v.ravel() for v in np.meshgrid(np.arange(len(draws)), np.arange(len(rows)), indexing="ij"))
-        x = place[rows][r]
-        while len(r):  # a network over a * b >= n places; what leaves the n places goes round again
-            left, right = x // b[r], x % b[r]
-            k = key[d, rows[r]]
-            for step in range(ROUNDS):
-                if step % 2:
-                    right = (right + (_hash(k, left, np.uint64(step)) % b[r].astype(np.uint64)).astype(np.int64)) % b[r]
-                else:
-                    left = (left + (_hash(k, right, np.uint64(step)) % a[r].astype(np.uint64)).astype(np.int64)) % a[r]
-            x = left * b[r] + right
-            done = x < n[r]
-            out[d[done], rows[r[done]]] = x[done]
-            d, r, x = d[~done], r[~done], x[~done]
+        n = size[rows].astype(np.uint64)
+        a = np.ceil(np.sqrt(size[rows])).astype(np.uint64)
+        b = (n + a - np.uint64(1)) // a
+        start = place[rows].astype(np.uint64)
+        whole = len(rows) == len(place)
+        step = max(1, CACHED // max(1, len(rows)))
+        for lo in range(0, len(draws), step):
+            k = key[lo : lo + step] if whole else key[lo : lo + step, rows]
+            made = _network(start, k, a, b, n)
+            out[lo : lo + step, slice(None) if whole else rows] = made
     return out
 
 
+def _network(start: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A network over a * b >= n places; what leaves the n places goes round again."""
+    shape = key.shape
+    left, right = np.broadcast_to(start // b, shape), np.broadcast_to(start % b, shape)
+    for step in range(ROUNDS):
+        if step % 2:
+            right = _turned(right, left, key, step, b)
+        else:
+            left = _turned(left, right, key, step, a)
+    x = left * b + right
+    draw, row = np.nonzero(x >= n)
+    if len(draw):
+        x[draw, row] = _network(x[draw, row], key[draw, row][None], a[row], b[row], n[row])[0]
+    return x.astype(np.int64)
+
+
+def _turned(half: np.ndarray, by: np.ndarray, key: np.ndarray, step: int, size: np.ndarray) -> np.ndarray:
+    """half, moved round its size by a hash of the other half."""
+    with np.errstate(over="ignore"):
+        h = by * np.uint64(0x9E3779B97F4A7C15)
+        h += np.uint64((0xD1342543DE82EF95 * (step + 1)) & (2**64 - 1))
+        h ^= key
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0x94D049BB133111EB)
+        h >>= np.uint64(32)
+        h *= size
+        h >>= np.uint64(32)
+        h += half
+        return np.where(h >= size, h - size, h)
+
+
 # ---- whose centroid is nearest -------------------------------------------------------------------
 
 
@@ -141,7 +183,7 @@ def label_permutation(rows: DataFrame, key: str, person: str, best: str = "best"
         draw = np.repeat(np.arange(-1, draws, dtype=np.int32), len(tops))
         yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(np.tile(np.array(tops, np.int32), draws + 1)), pa.array(hits.ravel())], names=["draw", "top", "hits"])
 
-    sums = placed.mapInArrow(run, "draw int, top int, hits long").groupBy("draw", "top").agg((F.sum("hits") / F.lit(max(total, 1))).alias("x"))
+    sums = dealt_out(placed, "i").mapInArrow(run, "draw int, top int, hits long").groupBy("draw", "top").agg((F.sum("hits") / F.lit(max(total, 1))).alias("x"))
     from .nulls import beyond_null
 
     return beyond_null(sums, ["top"]).select("top", "observed", "null_mean", "null_q95", "p", F.lit(total).alias("n"), F.col("n_null").alias("draws"))
@@ -210,7 +252,7 @@ def network_contrast(df: DataFrame, columns: list[str], key: str, label: str, st
         return pd.DataFrame([{"draw": ids[0], "most": float(np.abs(one_ - zero).max(initial=0.0)), "rho_1": one_, "rho_0": zero}])
 
     # a group holds a draw's sums of every task
-    each = saved(placed.mapInArrow(run, "draw int, inside binary, every binary").groupBy("draw").applyInPandas(one, "draw int, most double, rho_1 array<double>, rho_0 array<double>"), "contrast-draws")
+    each = saved(dealt_out(placed, "name", "_place").mapInArrow(run, "draw int, inside binary, every binary").groupBy("draw").applyInPandas(one, "draw int, most double, rho_1 array<double>, rho_0 array<double>"), "contrast-draws")
     i, j = np.triu_indices(c, 1)
     names = F.array(*(F.struct(F.lit(columns[p]).alias("a"), F.lit(columns[q]).alias("b")) for p, q in zip(i, j, strict=True)))
     null = each.where("draw >= 0").agg(F.collect_list("most").alias("_x"))  # a number a draw

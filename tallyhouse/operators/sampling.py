@@ -47,19 +47,23 @@ def binned(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame
 
 
 def one_per_group(df: DataFrame, by: str, key: str, draws: int, seed: int = 0) -> DataFrame:
-    """For each draw one row of each group, by hash: draw and df's columns."""
+    """For each draw one row of each group, by hash: draw and df's columns. A group's least rows are found in the tasks that hold its rows."""
     d = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     mixed = F.pmod(small(key) * 2654435761 + F.col("draw") * 97 + (F.col("draw") * small(key)) % 65521 * 40503 + seed, F.lit(4294967296))
-    return d.withColumn("_n", F.row_number().over(Window.partitionBy("draw", by).orderBy(mixed, key))).where("_n = 1").drop("_n")
+    return d.groupBy("draw", by).agg(F.min_by(F.struct(*df.columns), F.struct(mixed, F.col(key))).alias("_r")).select("draw", "_r.*")
 
 
-def split_half(df: DataFrame, value: str, period: str, unit: str, splits: int, least: int = 5, seed: int = 0) -> DataFrame:
-    """For each split the correlation of the two halves' period means, over periods with `least` rows in both: split, r, n."""
+def halves(df: DataFrame, value: str, period: str, unit: str, splits: int, least: int = 5, seed: int = 0) -> DataFrame:
+    """split, period, 0_m, 0_n, 1_m, 1_n: means and counts of both halves of each split, for periods with `least` rows in both."""
     d = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
     side = F.pmod(F.shiftright(F.pmod(small(unit) * 2654435761 + (F.col("split") * (small(unit) % 65521 + 13)) % 65521 * 40503 + seed, F.lit(4294967296)), 7), F.lit(2))
     means = d.withColumn("_h", side).groupBy("split", period).pivot("_h", [0, 1]).agg(F.avg(value).alias("m"), F.count(value).alias("n"))
-    both = means.where((F.col("0_n") >= least) & (F.col("1_n") >= least))
-    return both.groupBy("split").agg(F.corr("0_m", "1_m").alias("r"), F.count("*").alias("n")).where("n > 10")
+    return means.where((F.col("0_n") >= least) & (F.col("1_n") >= least))
+
+
+def split_half(df: DataFrame, value: str, period: str, unit: str, splits: int, least: int = 5, seed: int = 0) -> DataFrame:
+    """For each split the correlation of the two halves' period means, over periods with `least` rows in both: split, r, n."""
+    return halves(df, value, period, unit, splits, least, seed).groupBy("split").agg(F.corr("0_m", "1_m").alias("r"), F.count("*").alias("n")).where("n > 10")
 
 
 def numbered(df: DataFrame, key: str, order: list[Column], keep: list[str] | None = None) -> DataFrame:

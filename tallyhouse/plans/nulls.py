@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..operators import events as E
 from ..operators import nulls as N
 from ..operators import permutations as M
+from ..operators import replicates as Rep
 from ..operators import sampling as S
 from ..operators import windows as W
 from ..sources.tables import daily_orders, read, reports, six
@@ -27,13 +28,13 @@ def units(spark, sf):
 
 @query()
 def synchrony_against_near_days(spark, sf):
-    return N.synchrony(units(spark, sf), "u", within=14, draws=20, same_weekday=False)
+    return Rep.synchrony(units(spark, sf), "u", 2, within=14, same_weekday=False)
 
 
 @query()
 def synchrony_summary(spark, sf):
-    s = N.synchrony(units(spark, sf), "u", within=14, draws=20, same_weekday=False)
-    return N.stouffer(s).crossJoin(N.nominal_excess(s).select("n_below", F.col("p").alias("p_excess")))
+    """Excess over days: combined z, sign test, both tails of the days' p against chance and by blocks of days."""
+    return Rep.excess_of_days(Rep.synchrony(units(spark, sf), "u", 2, within=14, same_weekday=False), "day")
 
 
 @query()
@@ -50,15 +51,9 @@ def corpus_contrast(spark, sf):
 
 @query()
 def matched_contrast_over_seeds(spark, sf):
-    """The contrast of two languages' trajectories at equal numbers of sentences, over seeds."""
-    t = trajectories(spark, sf).select("doc_id", "source", F.size("v").alias("k"), (F.element_at("v", -1) - F.element_at("v", 1)).alias("x"))
-    a, b = t.where("source < 'src15'"), t.where("source >= 'src15'")
-    out = None
-    for seed in range(3):
-        m = S.matched_counts(a, b, "k", "doc_id", order=F.xxhash64(F.lit(seed), "doc_id")).join(t.select("doc_id", "x"), "doc_id")
-        c = N.contrast(m.where("side = 'a'"), m.where("side = 'b'"), "x", 500).withColumn("seed", F.lit(seed))
-        out = c if out is None else out.unionByName(c)
-    return out
+    """The contrast of two sets of sources' trajectories at equal numbers of sentences: median and range over 50 matchings, 1,000 bootstraps each."""
+    t = trajectories(spark, sf).select("doc_id", "source", (F.col("source") < "src15").cast("int").alias("side"), F.size("v").alias("k"), (F.element_at("v", -1) - F.element_at("v", 1)).alias("x"))
+    return Rep.over_seeds(Rep.matched_over_seeds(t, "doc_id", "side", "k", "source", "x"))
 
 
 def baskets(spark, sf):

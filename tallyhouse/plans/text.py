@@ -153,21 +153,11 @@ def author_clustered_drift(spark, sf):
 
 @query()
 def drift_bootstrap(spark, sf):
-    """Author means of drift with a bootstrap interval and a sign-flip p; the authors' means are one group."""
-    from ..functions import kernels as K
+    """Author means of drift with an interval from 4,000 bootstraps and p from 10,000 sign flips."""
+    from ..operators import replicates as Rep
 
     d = trajectories(spark, sf).select("source", (F.element_at("v", -1) - F.element_at("v", 1)).alias("x")).groupBy("source").agg(F.avg("x").alias("m"))
-
-    def one(pdf):
-        import numpy as np
-        import pandas as pd
-
-        m, rng = pdf["m"].sort_values().to_numpy(), K.rng_of("drift")
-        boot = m[rng.integers(0, len(m), (2000, len(m)))].mean(1)
-        flip = (rng.choice([-1.0, 1.0], (2000, len(m))) * m).mean(1)
-        return pd.DataFrame([{"drift": m.mean(), "lo": np.quantile(boot, 0.025), "hi": np.quantile(boot, 0.975), "p": (1 + (abs(flip) >= abs(m.mean())).sum()) / 2001}])
-
-    return d.groupBy().applyInPandas(one, "drift double, lo double, hi double, p double")
+    return Rep.resampled_means(d, "source", "m").withColumnRenamed("mean", "drift")
 
 
 @query()
@@ -233,16 +223,16 @@ def quantile_bins(spark, sf):
     return S.binned(read(spark, sf, "documents"), "n_chars", 10).select("doc_id", "bin")
 
 
-@query(R + ", d AS (SELECT *, unnest(range(20)) AS draw FROM r), k AS (SELECT draw, value, row_number() OVER (PARTITION BY draw, user_id ORDER BY (doc_id * 2654435761 + draw * 97 + (draw * doc_id) % 65521 * 40503) % 4294967296, doc_id) AS n FROM d) SELECT draw::INT AS draw, round(avg(value), 6) AS mean, count(*) AS n FROM k WHERE n = 1 GROUP BY 1")
+@query(R + ", d AS (SELECT *, unnest(range(200)) AS draw FROM r), k AS (SELECT draw, value, row_number() OVER (PARTITION BY draw, user_id ORDER BY (doc_id * 2654435761 + draw * 97 + (draw * doc_id) % 65521 * 40503) % 4294967296, doc_id) AS n FROM d) SELECT draw::INT AS draw, round(avg(value), 6) AS mean, count(*) AS n FROM k WHERE n = 1 GROUP BY 1")
 def one_report_per_person(spark, sf):
-    d = S.one_per_group(reports(spark, sf).select("doc_id", "user_id", "value"), "user_id", "doc_id", 20)
+    d = S.one_per_group(reports(spark, sf).select("doc_id", "user_id", "value"), "user_id", "doc_id", 200)
     return d.groupBy("draw").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
 
 
-@query(R + """, d AS (SELECT *, unnest(range(4)) AS split FROM r), h AS (SELECT *, ((user_id * 2654435761 + (split * (user_id % 65521 + 13)) % 65521 * 40503) % 4294967296 >> 7) % 2 AS h FROM d),
+@query(R + """, d AS (SELECT *, unnest(range(200)) AS split FROM r), h AS (SELECT *, ((user_id * 2654435761 + (split * (user_id % 65521 + 13)) % 65521 * 40503) % 4294967296 >> 7) % 2 AS h FROM d),
   m AS (SELECT split, day, avg(value) FILTER (h = 0) AS a, avg(value) FILTER (h = 1) AS b, count(value) FILTER (h = 0) AS na, count(value) FILTER (h = 1) AS nb FROM h GROUP BY 1, 2) SELECT split::INT AS split, round(corr(a, b), 8) AS r, count(*) AS n FROM m WHERE na >= 5 AND nb >= 5 GROUP BY 1 HAVING count(*) > 10""")
 def split_half_reliability(spark, sf):
-    return S.split_half(reports(spark, sf), "value", "day", "user_id", 4).select("split", eight("r").alias("r"), "n")
+    return S.split_half(reports(spark, sf), "value", "day", "user_id", 200).select("split", eight("r").alias("r"), "n")
 
 
 @query()
@@ -270,3 +260,11 @@ def block_shuffle_null(spark, sf):
 
     d = W.loo_deviation(reports(spark, sf), "value").where("dev IS NOT NULL").select("user_id", "day", "dev")
     return N.day_effect_null(d, "dev", "day", "user_id", block=3)
+
+
+@query()
+def reliability_interval(spark, sf):
+    """Split-half reliability over 50 splits, stepped up, with an interval from 500 bootstraps of blocks of days."""
+    from ..operators import replicates as Rep
+
+    return Rep.reliability(S.halves(reports(spark, sf), "value", "day", "user_id", 50), "day")

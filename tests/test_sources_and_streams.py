@@ -179,6 +179,7 @@ def test_aligned_days_are_in_synchrony(spark):
     import numpy as np
 
     from tallyhouse.operators import nulls as N
+    from tallyhouse.operators import replicates as Rep
 
     rng = np.random.default_rng(1)
     rows = []
@@ -188,6 +189,6 @@ def test_aligned_days_are_in_synchrony(spark):
             a = turn + rng.normal(0, 0.3)
             rows.append((d, u, [float(np.cos(a)), float(np.sin(a))]))
     units = spark.createDataFrame(rows, "d int, unit_id int, u array<double>").select(F.expr("date_add(date'2024-01-01', d)").alias("day"), "unit_id", "u")
-    s = N.synchrony(units, "u", within=10, draws=20, same_weekday=False)
+    s = Rep.synchrony(units, "u", 2, within=10, draws=100, same_weekday=False)
     r = N.stouffer(s).first()
     assert r.stouffer_z > 5 and r.n == 30 and s.agg(F.min("n")).first()[0] == 12
