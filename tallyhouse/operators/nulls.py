@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.arrays import let, mean
+from ..sources.shared import saved
 from .graph import correlations, scalars
 from .panel import weighted_variance
 from .permutations import shuffled_sums
@@ -123,49 +124,133 @@ def date_block_permutation(df: DataFrame, value: str, day: str, wanted: tuple[in
     return d.groupBy().applyInPandas(one, "observed double, null_sd double, p double, n_days long")
 
 
-def warning_pipeline(series: DataFrame, value: str, order: str = "day", window: int = 28, runup: int = 42, families: tuple[str, ...] = ("ar1", "phase"), draws: int = 1000) -> DataFrame:
-    """Mean Kendall tau of rolling variance and lag-1 correlation over the run-up to a series' own top-decile excursions, against surrogates put through the same steps: indicator, family, tau, p, episodes.
+FAMILIES = ("ar1", "phase", "garch", "bootstrap", "iaaft")
+
+
+def _rolling(v: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rolling sample variance (from half a window on) and lag-1 correlation (from half a window, and six values, on) of each row."""
+    v = v - v.mean(1, keepdims=True)
+    t = v.shape[1]
+    ends = np.arange(1, t + 1)
+    lo = np.maximum(ends - window, 0)
+    run = lambda x: np.concatenate([np.zeros((len(x), 1)), x.cumsum(1)], 1)
+    s, q, p = run(v), run(v * v), run(v[:, 1:] * v[:, :-1])
+    n = ends - lo
+    sums, squares = s[:, ends] - s[:, lo], q[:, ends] - q[:, lo]
+    with np.errstate(invalid="ignore", divide="ignore"):
+        var = np.where(n >= max(window // 2, 2), np.maximum(squares - sums**2 / n, 0) / (n - 1), np.nan)
+        m = n - 1  # pairs: rows lo .. end - 2 with lo + 1 .. end - 1
+        first = s[:, ends - 1] - s[:, lo]
+        second = s[:, ends] - s[:, np.minimum(lo + 1, t)]
+        both = p[:, ends - 1] - p[:, lo]
+        a = q[:, ends - 1] - q[:, lo] - first**2 / m
+        b = q[:, ends] - q[:, np.minimum(lo + 1, t)] - second**2 / m
+        ar1 = np.where(n >= max(6, window // 2), (both - first * second / m) / np.sqrt(a * b), np.nan)
+    return var, ar1
+
+
+def _run_ups(v: np.ndarray, window: int, runup: int) -> list[tuple[list[np.ndarray], list[int]]]:
+    """For each row of v, Kendall's tau of rolling variance and lag-1 correlation over the run-up to each top-decile excursion; and the
+    excursions' places."""
+    indicators = _rolling(v, window)
+    t = v.shape[1]
+    run = np.concatenate([np.zeros((len(v), 1)), v.cumsum(1)], 1)
+    at = np.arange(13, t - 14)  # the next 14 rows less the last 7, from the fourteenth row on
+    ahead = np.full(v.shape, np.nan)
+    if len(at):
+        ahead[:, at] = (run[:, at + 15] - run[:, at + 1]) / 14 - (run[:, at + 1] - run[:, at - 6]) / 7
+    with np.errstate(invalid="ignore"):
+        top = ahead >= np.nanquantile(ahead, 0.90, axis=1, keepdims=True) if len(at) else np.zeros(v.shape, bool)
+    places, owner, kept = [], [], []
+    for k, row in enumerate(top):
+        found, where = [], np.flatnonzero(row)
+        while len(where):
+            found.append(int(where[0]))
+            where = where[np.searchsorted(where, where[0] + runup) :]
+        kept.append(found)
+        places += found
+        owner += [k] * len(found)
+    owner, places = np.array(owner, int), np.array(places, int)
+    i, j = np.triu_indices(runup, 1)
+    taus = []
+    for ind in indicators:
+        tau = np.full(len(places), np.nan)
+        whole = np.flatnonzero(places >= runup)
+        seg = ind[owner[whole][:, None], places[whole][:, None] - runup + np.arange(runup)]
+        full = np.isfinite(seg).all(1)
+        for lo in range(0, len(seg), 2048):
+            x = seg[lo : lo + 2048]
+            sign = np.sign(x[:, j] - x[:, i])
+            with np.errstate(invalid="ignore", divide="ignore"):
+                tau[whole[lo : lo + 2048]] = sign.sum(1) / np.sqrt(len(i) * np.abs(sign).sum(1))
+        rest = np.r_[np.flatnonzero(places < runup), whole[~full]]
+        for r in rest:
+            x = ind[owner[r], max(0, places[r] - runup) : places[r]]
+            x = x[np.isfinite(x)]
+            tau[r] = K.kendall_b(np.arange(len(x)), x) if len(x) >= 10 else np.nan
+        taus.append(tau)
+    cuts = np.r_[0, np.cumsum([len(f) for f in kept])]
+    return [([tau[cuts[k] : cuts[k + 1]] for tau in taus], kept[k]) for k in range(len(v))]
+
+
+def _mean(x: np.ndarray) -> float:
+    known = x[np.isfinite(x)]
+    return float(known.mean()) if len(known) else np.nan
+
+
+def warning_draws(series: DataFrame, value: str, order: str = "day", window: int = 28, runup: int = 42, families: tuple[str, ...] = FAMILIES, draws: int = 1000) -> DataFrame:
+    """family, indicator, draw (-1 as observed), tau, episodes: the mean Kendall tau of rolling variance and lag-1 correlation over the run-up to a
+    series' own top-decile excursions, of the series and of its surrogates put through the same steps.
 
     A group holds the daily series and a block of draws of one family, so draws spread over tasks.
     """
 
-    def taus(v):
-        import pandas as pd
-
-        s = pd.Series(v)
-        var = s.rolling(window, min_periods=window // 2).var().to_numpy()
-        ac = K.rolling_ar1(v, window)
-        ahead = (s.shift(-14).rolling(14).mean() - s.rolling(7).mean()).to_numpy()
-        top = np.flatnonzero(np.isfinite(ahead) & (ahead >= np.nanquantile(ahead, 0.90)))
-        kept = []
-        for t in top:
-            if not kept or t - kept[-1] >= runup:
-                kept.append(int(t))
-        out = []
-        for ind in (var, ac):
-            each = []
-            for t in kept:
-                seg = ind[max(0, t - runup) : t]
-                seg = seg[np.isfinite(seg)]
-                if len(seg) >= 10:
-                    each.append(K.kendall_b(np.arange(len(seg)), seg))
-            out.append(float(np.nanmean(each)) if each else np.nan)
-        return out, len(kept)
-
     def one(ids, pdf):
         import pandas as pd
 
         x = pdf.sort_values(order)[value].to_numpy(float)
         family, block = ids
-        size = min(DRAW_BLOCK, draws - block * DRAW_BLOCK)
-        seen, n = taus(x)
-        null = np.array([taus(v)[0] for v in K.surrogates(family, x, K.rng_of(family, block), size)])
-        return pd.DataFrame([(name, family, seen[k], int((null[:, k] >= seen[k]).sum()), n) for k, name in enumerate(("variance", "ar1"))], columns=["indicator", "family", "tau", "above", "episodes"])
+        made = K.surrogates(family, x, K.rng_of(family, block), min(DRAW_BLOCK, draws - block * DRAW_BLOCK))
+        first = -1 if not block else 0
+        every = np.r_[x[None], made] if not block else made
+        rows = [(family, name, block * DRAW_BLOCK + k if k >= 0 else -1, _mean(t), len(kept)) for k, (taus, kept) in enumerate(_run_ups(every, window, runup), first) for name, t in zip(("variance", "ar1"), taus, strict=True)]
+        return pd.DataFrame(rows, columns=["family", "indicator", "draw", "tau", "episodes"])
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-draws // DRAW_BLOCK) - 1))).alias("block")
     rows = series.select(order, value, F.explode(F.array(*map(F.lit, families))).alias("family")).select("*", blocks)
-    each = rows.groupBy("family", "block").applyInPandas(one, "indicator string, family string, tau double, above long, episodes int")
-    return each.groupBy("indicator", "family").agg(F.first("tau").alias("tau"), ((F.sum("above") + 1) / F.lit(draws + 1)).alias("p"), F.first("episodes").alias("episodes"))
+    return saved(rows.groupBy("family", "block").applyInPandas(one, "family string, indicator string, draw int, tau double, episodes int"), "warning-draws")
+
+
+def warning_pipeline(draws: DataFrame) -> DataFrame:
+    """family, indicator, tau, null_mean, null_q95, p (one-sided), draws, episodes: warning_draws' rows, summed up."""
+    told = beyond_null(draws.where(~F.isnan("tau")).withColumnRenamed("tau", "x"), ["family", "indicator"])
+    seen = draws.where("draw < 0").select("family", "indicator", "episodes")
+    return told.join(F.broadcast(seen), ["family", "indicator"]).select("family", "indicator", F.col("observed").alias("tau"), "null_mean", "null_q95", "p", F.col("n_null").alias("draws"), "episodes")
+
+
+def episode_jackknife(series: DataFrame, draws: DataFrame, value: str, order: str = "day", window: int = 28, runup: int = 42) -> DataFrame:
+    """family, indicator, episode (its day), tau (its own), tau_without (the mean of the others), p_without: each episode left out, against
+    every family's surrogates. Means without an episode come from the episodes' sum; a group holds one daily series."""
+    kind = series.schema[order].dataType.simpleString()
+
+    def one(pdf):
+        import pandas as pd
+
+        pdf = pdf.sort_values(order)
+        taus, kept = _run_ups(pdf[value].to_numpy(float)[None], window, runup)[0]
+        days = pdf[order].to_numpy()[kept]
+        out = []
+        for name, t in zip(("variance", "ar1"), taus, strict=True):
+            known = np.isfinite(t)
+            for k in np.flatnonzero(known):
+                n = int(known.sum()) - 1
+                out.append((name, days[k], t[k], (t[known].sum() - t[k]) / n if n else np.nan))
+        return pd.DataFrame(out, columns=["indicator", "episode", "tau", "tau_without"])
+
+    episodes = series.select(order, value).groupBy().applyInPandas(one, f"indicator string, episode {kind}, tau double, tau_without double")
+    null = draws.where((F.col("draw") >= 0) & ~F.isnan("tau")).groupBy("family", "indicator").agg(F.collect_list("tau").alias("_x"))  # a number a draw
+    beyond = F.size(F.filter("_x", lambda v: v >= F.col("tau_without")))
+    return episodes.join(F.broadcast(null), "indicator").select("family", "indicator", "episode", "tau", "tau_without", ((beyond + 1) / (F.size("_x") + 1)).alias("p_without"))
 
 
 def arc_modes(arcs: DataFrame, arc: str, size: int, top: int = 3) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..functions import stats
 from ..operators import events as E
+from ..operators import geometry as Geo
 from ..operators import nulls as N
 from ..operators import permutations as M
 from ..operators import replicates as Rep
@@ -76,7 +78,34 @@ def weekday_label_permutation(spark, sf):
 
 @query()
 def warning_pipeline(spark, sf):
-    return N.warning_pipeline(daily_orders(spark, sf), "v")
+    """Mean tau over run-ups against 1,000 surrogates of each of five families, q over the indicators of a family."""
+    return stats.benjamini_hochberg(N.warning_pipeline(N.warning_draws(daily_orders(spark, sf), "v")), family=["family"])
+
+
+@query()
+def episode_jackknife(spark, sf):
+    """The same with each episode left out, under every family."""
+    d = daily_orders(spark, sf)
+    return N.episode_jackknife(d, N.warning_draws(d, "v"), "v")
+
+
+@query()
+def rotated_network(spark, sf):
+    """The scalars of rolling networks against 120 turns of the values round the calendar."""
+    r = reports(spark, sf).withColumns({"hour": F.hour("ts").cast("double"), "high": (F.col("value") > 30).cast("double")})
+    return Geo.rotated_networks(r, ["value", "k", "hour", "high"], "doc_id", "day", "user_id", 10, 5, 100)
+
+
+@query()
+def arc_order_control(spark, sf):
+    """Principal shapes of trajectories beside those of the same sentences in random order."""
+    return Geo.arc_order_control(trajectories(spark, sf, 5), "doc_id", "v")
+
+
+@query()
+def geometry_against_nulls(spark, sf):
+    """Dimension and percolation of the vectors over five seeds, beside shuffled and Gaussian copies."""
+    return Geo.against_nulls(read(spark, sf, "embeddings"), "vec_id", "embedding", 64)
 
 
 @query()
