@@ -3,9 +3,10 @@
 Labelled credentials (what the base patterns find in a bounded sample of documents, labelled by their kind) become one prefix tree
 for each kind, over character classes, with counts. Red-blue state merging joins states whose outgoing frequencies agree by
 Hoeffding's bound, down the whole tree, and leaves a probabilistic automaton. A further automaton is inferred in the same way from
-long tokens that are no credentials. Every long token of every text is then scored: the log-likelihood of its format under the best
-credential automaton, for each character, less that under the other one. Tokens above the threshold are added to the base spans as
-kind `format`; those that touch a base span are not added again.
+long tokens that are no credentials. Every long token of every text is then scored, those in or around base spans too: the
+log-likelihood of its format under the best credential automaton, for each character, less that under the other one. Tokens above the
+threshold that reach beyond the base spans, or lie outside of them, are added to the base spans as kind `format`; every span comes with
+the score of the tokens that it touches, and every text with the best score of all its tokens.
 
 Defined results: null counts as empty; very long texts are scanned whole; offsets are code points, ends exclusive, and a span is a
 whole match (for assign: from the key's first letter to the value's last character); repeated rows are scanned each; with no labelled
@@ -43,7 +44,7 @@ ALPHA = 0.01
 THRESHOLD = 0.5
 #: Longer tokens are scored anew each time, so that a worker's memory of scores stays small.
 REMEMBERED = 256
-SPAN = "array<struct<kind:string,start:int,end:int,value_start:int>>"
+SPAN = "array<struct<kind:string,start:int,end:int,value_start:int,score:double>>"
 
 
 def _key_starts(low: str) -> list[int]:
@@ -89,6 +90,11 @@ class Touched:
         k = bisect_left(self.starts, end)
         return k > 0 and self.reach[k - 1] > start
 
+    def holds(self, start: int, end: int) -> bool:
+        """Whether one base span covers the range."""
+        k = bisect_left(self.starts, start + 1)
+        return k > 0 and self.reach[k - 1] >= end
+
 
 def tokens(text: str) -> list[tuple[int, int]]:
     """Start and end of what may be a credential: long runs of its characters, without a dash or sign of equality at the end."""
@@ -199,14 +205,13 @@ class Automaton:
                 red.append(state)
 
     def log_likelihood(self, s: str) -> float:
-        """Of the whole string with its end; what was never seen has the share of half a count."""
+        """Of the whole string with its end; what was never seen has the share of half a count, and leads back to the start, so that a
+        string is judged by all its parts."""
         at, out = 0, 0.0
         for c in s:
             n = self.total[at] + 0.5 * self.alphabet
             out += math.log((self.count[at].get(c, 0) + 0.5) / n)
-            if c not in self.next[at]:
-                return out + (len(s) + 1) * math.log(0.5 / n)
-            at = self.next[at][c]
+            at = self.next[at].get(c, 0)
         return out + math.log((self.ends[at] + 0.5) / (self.total[at] + 0.5 * self.alphabet))
 
 
@@ -233,15 +238,39 @@ class Grammar:
         return (max(a.log_likelihood(s) for a in self.kinds.values()) - self.other.log_likelihood(s)) / (len(s) + 1)
 
 
+def scored(text: str, grammar: Grammar | None) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, float]]]:
+    """The base spans, and every long token (start, end, score) of a text."""
+    known = grammar is not None and grammar.kinds
+    return base_spans(text), [(a, b, grammar.score(text[a:b])) for a, b in tokens(text)] if known else []
+
+
 def spans_of(text: str, grammar: Grammar | None, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    base = base_spans(text)
-    if grammar is None or not grammar.kinds:
-        return base
-    touched = Touched(base)
-    added = [(a, 3, b, a) for a, b in tokens(text) if not touched(a, b) and grammar.score(text[a:b]) >= threshold]
+    """(start, kind index, end, start of the value) of base and added spans."""
+    base, found = scored(text, grammar)
+    return _joined(base, found, threshold)
+
+
+def _joined(base: list, found: list, threshold: float) -> list[tuple[int, int, int, int]]:
+    covered = Touched(base)
+    added = [(a, 3, b, a) for a, b, score in found if score >= threshold and not covered.holds(a, b)]
     return sorted(base + added) if added else base
 
 
+def with_scores(text: str, grammar: Grammar | None, threshold: float = THRESHOLD) -> tuple[list[dict], float | None]:
+    """Spans with the best score of the tokens that each touches (None if it touches none), and the best score of all tokens."""
+    base, found = scored(text, grammar)
+    out, k = [], 0
+    for a, kind, b, v in _joined(base, found, threshold):
+        while k < len(found) and found[k][1] <= a:
+            k += 1
+        best, j = None, k
+        while j < len(found) and found[j][0] < b:
+            best = found[j][2] if best is None else max(best, found[j][2])
+            j += 1
+        out.append({"kind": KINDS[kind], "start": a, "end": b, "value_start": v, "score": best})
+    return out, max((x[2] for x in found), default=None)
+
+
 def learn(docs: DataFrame) -> Grammar:
     """A grammar from the labelled credentials and the other long tokens of SAMPLE_DOCUMENTS documents."""
     order = F.xxhash64(F.lit("secrets"), "doc_id")
@@ -277,19 +306,17 @@ def learn(docs: DataFrame) -> Grammar:
 
 
 def scan(docs: DataFrame, grammar: Grammar | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """The columns of `keep` and secrets: all spans by start, then kind as in KINDS."""
-    keep = tuple(c for c in keep if c != "secrets")
+    """The columns of `keep`, secrets (all spans by start, then kind as in KINDS, with scores) and best_score (of all long tokens)."""
+    keep = tuple(c for c in keep if c not in ("secrets", "best_score"))
     read = docs.select(*dict.fromkeys([*keep, text_col]))
-    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32())])
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("value_start", pa.int32()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            made = []
-            for text in batch.column(text_col).to_pylist():
-                made.append([{"kind": KINDS[k], "start": a, "end": b, "value_start": v} for a, k, b, v in spans_of(text or "", grammar)])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(made, pa.list_(kind))], names=[*keep, "secrets"])
+            made = [with_scores(text or "", grammar) for text in batch.column(text_col).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([m[0] for m in made], pa.list_(kind)), pa.array([m[1] for m in made], pa.float64())], names=[*keep, "secrets", "best_score"])
 
-    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("secrets", T._parse_datatype_string(SPAN), False)]))
+    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("secrets", T._parse_datatype_string(SPAN), False), T.StructField("best_score", T.DoubleType())]))
 
 
 def redact(docs: DataFrame, grammar: Grammar | None, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
@@ -324,4 +351,4 @@ def digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     base = F.filter("secrets", lambda s: s["kind"].isin(*KINDS[:3]))
-    return found.select("doc_id", *map(number, KINDS), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"))
+    return found.select("doc_id", *map(number, KINDS), F.sha2(told(base).cast("binary"), 256).alias("base_sha256"), told(F.col("secrets")).alias("spans"), "best_score")

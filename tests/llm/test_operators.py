@@ -237,9 +237,7 @@ def test_spans_equal_plain_scan():
         for k, c in enumerate(s):
             n = automaton.total[at] + 0.5 * automaton.alphabet
             out += np.log((automaton.count[at].get(c, 0) + 0.5) / n)
-            if c not in automaton.next[at]:
-                return out + (len(s) + 1) * np.log(0.5 / n)
-            at = automaton.next[at][c]
+            at = automaton.next[at].get(c, 0)
         return out + np.log((automaton.ends[at] + 0.5) / (automaton.total[at] + 0.5 * automaton.alphabet))
 
     def symbols(t):
@@ -251,7 +249,7 @@ def test_spans_equal_plain_scan():
         want = base_by_regex(t)
         for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", t):
             a, b = m.start(), m.start() + len(m[0].rstrip("=-"))
-            if b - a >= 16 and not any(x < b and a < y for x, _, y in base_by_regex(t)):
+            if b - a >= 16 and not any(x <= a and b <= y for x, _, y in base_by_regex(t)):
                 s = symbols(t[a:b])
                 if (max(likely(x, s) for x in g.kinds.values()) - likely(g.other, s)) / (len(s) + 1) >= secrets.THRESHOLD:
                     want.append((a, 3, b))
@@ -265,6 +263,30 @@ def test_many_spans_take_time_by_length():
     assert len(found) >= 50_000 and time.process_time() - begin < 10
 
 
+def test_formats_outside_the_patterns_are_found(spark):
+    """Credentials of formats that no pattern knows, in whole documents beside those of a table, and long words that are none."""
+    rng = random.Random(31)
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    prose = lambda: " ".join(pick(low, rng.randint(2, 9)) for _ in range(60)) + " " + pick(low, rng.randint(16, 24)) + " un-" + pick(low, 18)
+    table = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    g = secrets.learn(table)
+    planted = {"github": "ghp_16C7e42F292c6912E7710c838347Ae178B4a", "small": "x8k2m9q4r7t1v5w3y6z0b2c8", "large": "X8K2-M9Q4-R7T1-V5W3-Y6Z0", "mixed": "AIzaSyD3x9K2mQ8rT5vW1yZ4bC7eF0hJ6kL9nP2q"}
+    texts = [*(f"{prose()} {v} {prose()}" for v in planted.values()), *(prose() + " state-of-the-art-machine-learning usr/local/share/applications getElementsByClassName MAX_BUFFER_SIZE_IN_BYTES" for _ in range(50)), "my-token=" + pick(low + up + num, 24)]
+    frame = table.limit(0).unionByName(docs(spark, texts).select("doc_id", "text"))
+    got = {r.doc_id: r for r in secrets.scan(frame, g).collect()}
+    for k, (name, value) in enumerate(planted.items()):
+        start = texts[k].index(value)
+        part = value.split(".")[0].rstrip("=")
+        spans = {(s.kind, s.start, s.end): s.score for s in got[k].secrets}
+        assert spans.get(("format", start, start + len(part)), -9) >= secrets.THRESHOLD and got[k].best_score >= secrets.THRESHOLD, name
+        assert {s for s, *_ in spans} == {"format"}
+    assert all(not got[k].secrets and got[k].best_score < secrets.THRESHOLD for k in range(4, 54))
+    assert got[54].best_score is not None and got[54].secrets[-1].kind == "assign"  # tokens around base spans are scored too
+    clean = secrets.scan(table, g).where(F.size(F.filter("secrets", lambda s: s["kind"] == "format")) > 0)
+    assert clean.count() <= 10  # of 10,000
+
+
 def test_secrets_awkward(spark, awkward, nothing):
     got = secrets.digest(awkward).collect()
     assert len(got) == awkward.count() and all(r.n_assign == r.n_access == r.n_hex == 0 for r in got)
