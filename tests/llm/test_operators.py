@@ -194,6 +194,16 @@ def test_toxicity_awkward(spark, awkward, nothing):
     assert toxicity.digest(nothing, labels).count() == 0
 
 
+def test_folds_stay_within_the_rows_that_teach(spark):
+    folder = "/root/testdata/sf0.01"
+    frame, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    (prior, toxic, found, alarms), = toxicity.folds(frame, labels, (toxicity.PRIOR_WORDS,))
+    marks = labels.toPandas().dropna(subset=["doc_id", "toxic"])
+    teach = [zlib.crc32(str(int(i)).encode()) % 5 != 0 for i in marks["doc_id"]]
+    assert prior == toxicity.PRIOR_WORDS and toxic == int((marks["toxic"] * teach > 0).sum())
+    assert found >= 0.65 * toxic and alarms <= 0.01 * len(marks)
+
+
 # ---- 3 secrets -----------------------------------------------------------------------------------
 
 
