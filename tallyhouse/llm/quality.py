@@ -2,18 +2,26 @@
 
 Fixed rules fail texts that are short or repeat themselves. For the others a vector of transformed statistics (symbol share, word
 length, capitals, repetition, richness of vocabulary) is held against a minimum-covariance-determinant estimate of its language and
-source: from medians and absolute deviations, concentration steps keep the three quarters of the vectors that lie nearest and
-estimate mean and covariance from those alone, so that outliers don't shape what they are judged by. A text is rejected whose
-squared Mahalanobis distance, scaled so that its median is that of chi-square, passes the cutoff.
+source. Three starts (medians with quartile ranges; the covariance of directions from the median; mean and covariance of all) each
+take TRIALS concentration steps, which keep the three quarters of the vectors that lie nearest and estimate mean and covariance from
+those alone; the start with the least determinant goes on until its determinant settles. So outliers don't shape what they are judged
+by. A text is rejected whose squared Mahalanobis distance passes the cutoff.
+
+No estimate is narrower than NOISE, what chance does to texts of MIN_WORDS words. Where texts are longer, they scatter less than that, so
+distances are smaller than chi-square's (their median is 0.3 on sf0.1, not 4.35) and CUTOFF, chi-square's quantile of 0.9999, is a
+bound on how many ordinary texts are lost, not their expected number; where texts scatter more, distances are scaled down to chi-square's
+median. A rule without NOISE would reject one ordinary text in ten there, whose statistics merely lie beyond three quarters of very like
+ones.
 
 A language's and source's estimate is shrunk towards its language's, that towards all texts', and that towards NOISE, each as if
-PRIOR_ROWS rows stood for the wider one. So one rule holds at all sizes: a source of a few texts is judged by its language, and in a
-table of a few texts hardly any lies far enough out to be rejected.
+PRIOR_ROWS rows stood for the wider one. The wider estimates start from the kept three quarters of all their sources together and take
+steps of their own. So one rule holds at all sizes: a source of a few texts is judged by its language, and in a table of a few texts hardly any lies far enough out
+to be rejected.
 
-All estimates come from counts and sums per stratum, merged before they move: quantiles from counts in fixed bins, moments from exact
-sums of statistics in whole units. They don't depend on the order of tasks, so verdicts are the same in every run. Rows never move:
-each pass reads the statistics and meets the estimates, a row a stratum, in a broadcast join once they have been measured (in a
-sort-merge join with skew splitting if there are too many sources for that).
+A step is one pass: counts and exact sums of statistics in whole units by stratum, start and bin of distance, merged before they move;
+the nearest bins' sums give the next estimate. Sums don't depend on the order of tasks, so verdicts are the same in every run. Rows
+never move: each pass reads the statistics and meets the estimates, a row a stratum and start, in a broadcast join once they have been
+measured (in a sort-merge join with skew splitting if there are too many sources for that).
 
 Defined results: null and empty texts have no words and fail the base rules; null languages and sources are values of their own;
 repeated rows count each; very long texts are measured whole; an empty table gives an empty result; other columns are ignored.
@@ -32,7 +40,11 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 PRIOR_ROWS = 50
 KEEP_SHARE = 0.75
-STEPS = 3
+#: Steps of each start, and of the best one at most; it has settled where no determinant's logarithm changes by more than this (a bin of
+#: distances holds some per cent of the rows, so determinants move by about as much in the end).
+TRIALS, MOST_STEPS, SETTLED = 2, 3, 1e-2
+#: How much of a distance's doubling is one bin of a step.
+STEP_BINS = 16
 #: Statistics are kept as whole multiples of this.
 UNIT = 1e-6
 #: Letters of a usual word, and how much more the counts of a text scatter than independent ones would.
@@ -134,20 +146,22 @@ def _quantiles(counts: DataFrame, keys: list[str], **shares: float) -> DataFrame
     return ranked.groupBy(*keys).agg(F.max("all").alias("n"), *(F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))).alias(name) for name, share in shares.items()))
 
 
-def _middles(rows: DataFrame, values: list[Column], name: str) -> DataFrame:
-    """stratum, name_0, name_1, ...: the medians of the values."""
-    one = rows.select("stratum", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(v * FINE).alias("bin")) for i, v in enumerate(values)))).alias("x"))
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """stratum, n, and each statistic's median m_i and robust spread s_i (the range of its quartiles as a standard deviation's)."""
+    one = rows.select("stratum", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.floor(v * FINE).alias("bin")) for i, v in enumerate(_statistics())))).alias("x"))
     counts = one.groupBy("stratum", "x.i", "x.bin").agg(F.count("*").alias("n"))
-    found = _quantiles(counts, ["stratum", "i"], half=0.5)
-    return found.groupBy("stratum").agg(*(F.max(F.when(F.col("i") == i, (F.col("half") + 0.5) / FINE)).alias(f"{name}_{i}") for i in range(SIZE)))
+    found = _quantiles(counts, ["stratum", "i"], low=0.25, half=0.5, high=0.75)
+    of = lambda i, c: F.max(F.when(F.col("i") == i, c))
+    middle, spread = (F.col("half") + 0.5) / FINE, (F.col("high") - F.col("low")) / (FINE * 1.349)
+    return found.groupBy("stratum").agg(*(of(i, middle).alias(f"m_{i}") for i in range(SIZE)), *(of(i, spread).alias(f"s_{i}") for i in range(SIZE)))
 
 
 def _statistics() -> list[Column]:
     return [F.col(n) * UNIT for n in NAMES]
 
 
-def _bin(d2: Column) -> Column:
-    return F.floor(PER_DOUBLING * F.log2(1 + 64 * d2))
+def _bin(d2: Column, per_doubling: int = PER_DOUBLING) -> Column:
+    return F.floor(per_doubling * F.log2(1 + 64 * d2))
 
 
 def _upper(bin_: Column) -> Column:
@@ -157,12 +171,17 @@ def _upper(bin_: Column) -> Column:
 
 def factored(moments: DataFrame) -> DataFrame:
     """Adds the lower Cholesky factor l_i_j of each covariance with NOISE added."""
-    for i in range(SIZE):
-        for j in range(i + 1):
-            rest = F.col(f"c_{i}_{j}") + (F.lit(NOISE[NAMES[i]] ** 2) if i == j else F.lit(0.0))
-            for k in range(j):
-                rest = rest - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            moments = moments.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == j else rest / F.col(f"l_{j}_{j}"))
+
+    def rest(i: int, j: int) -> Column:
+        left = F.col(f"c_{i}_{j}") + (F.lit(NOISE[NAMES[i]] ** 2) if i == j else F.lit(0.0))
+        for k in range(j):
+            left = left - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
+        return left
+
+    for j in range(SIZE):
+        moments = moments.withColumn(f"l_{j}_{j}", F.sqrt(F.greatest(rest(j, j), F.lit(1e-12))))
+        if j + 1 < SIZE:
+            moments = moments.withColumns({f"l_{i}_{j}": rest(i, j) / F.col(f"l_{j}_{j}") for i in range(j + 1, SIZE)})
     return moments
 
 
@@ -176,31 +195,107 @@ def distance(rows: DataFrame) -> DataFrame:
     return rows.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(1, SIZE)), F.col("z_0") ** 2))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """stratum, n, means m_i and covariances c_i_j, from exact sums."""
-    sums = [F.count("*").alias("n"), *(F.sum(n).cast("double").alias(f"s_{i}") for i, n in enumerate(NAMES))]
-    sums += [F.sum((F.col(NAMES[i]) * F.col(NAMES[j])).cast("decimal(20,0)")).cast("double").alias(f"p_{i}_{j}") for i in range(SIZE) for j in range(i + 1)]
-    means = [(F.col(f"s_{i}") / F.col("n") * UNIT).alias(f"m_{i}") for i in range(SIZE)]
-    spread = [((F.col(f"p_{i}_{j}") - F.col(f"s_{i}") / F.col("n") * F.col(f"s_{j}")) / F.col("n") * UNIT * UNIT).alias(f"c_{i}_{j}") for i in range(SIZE) for j in range(i + 1)]
-    return rows.groupBy("stratum").agg(*sums).select("stratum", "n", *means, *spread)
-
-
-def concentrated(rows: DataFrame, steps: int = STEPS) -> DataFrame:
-    """stratum, n, m_i, c_i_j of the share of each stratum's rows (stratum and the statistics) that lies nearest."""
-    middle = saved(_middles(rows, _statistics(), "m"), "quality-middle")
-    around = rows.join(sized(middle), "stratum")
-    deviations = saved(_middles(around, [F.abs(x - F.col(f"m_{i}")) for i, x in enumerate(_statistics())], "s"), "quality-spread")
-    start = sum((((x - F.col(f"m_{i}")) / F.sqrt((1.4826 * F.col(f"s_{i}")) ** 2 + NOISE[NAMES[i]] ** 2)) ** 2 for i, x in enumerate(_statistics())), F.lit(0.0))
-    far = around.join(sized(deviations), "stratum").withColumn("d2", start)
-    made = [middle, deviations]
-    for turn in range(steps):
-        bound = saved(_quantiles(far.groupBy("stratum", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n")), ["stratum"], bound=KEEP_SHARE).drop("n"), "quality-bound")
-        near = far.join(sized(bound), "stratum").where(_bin(F.col("d2")) <= F.col("bound"))
-        fitted = saved(factored(_moments(near.select("stratum", *NAMES))), "quality-estimate")
-        made += [bound, fitted]
-        far = distance(rows.join(sized(fitted), "stratum"))
-    dropped(*made[:-1])
-    return fitted
+PAIRS = [(i, j) for i in range(SIZE) for j in range(i + 1)]
+_SUMS = ["n", *(f"s_{i}" for i in range(SIZE)), *(f"{part}_{i}_{j}" for i, j in PAIRS for part in ("hi", "lo"))]
+
+
+def _sums(values: list[Column]) -> list[Column]:
+    """Count, sums and sums of products (in two parts, so that they stay exact) of whole numbers."""
+    out = [F.count("*").alias("n"), *(F.sum(v).alias(f"s_{i}") for i, v in enumerate(values))]
+    for i, j in PAIRS:
+        product = values[i] * values[j]
+        out += [F.sum(F.shiftright(product, 24)).alias(f"hi_{i}_{j}"), F.sum(product.bitwiseAND((1 << 24) - 1)).alias(f"lo_{i}_{j}")]
+    return out
+
+
+def _estimate(sums: DataFrame, *keys: str) -> DataFrame:
+    """keys, n, means m_i and covariances c_i_j, from exact sums."""
+    n = F.col("n").cast("double")
+    product = lambda i, j: F.col(f"hi_{i}_{j}").cast("double") * float(1 << 24) + F.col(f"lo_{i}_{j}")
+    means = [(F.col(f"s_{i}") / n * UNIT).alias(f"m_{i}") for i in range(SIZE)]
+    spread = [((product(i, j) - F.col(f"s_{i}").cast("double") / n * F.col(f"s_{j}")) / n * UNIT * UNIT).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    return sums.select(*keys, "n", *means, *spread)
+
+
+def _determined(moments: DataFrame) -> DataFrame:
+    """factored(), and the logarithm of the determinant."""
+    return factored(moments).withColumn("logdet", sum((2 * F.log(f"l_{i}_{i}") for i in range(1, SIZE)), 2 * F.log("l_0_0")))
+
+
+_FITTED = [*_SUMS, *(f"m_{i}" for i in range(SIZE)), *(f"c_{i}_{j}" for i, j in PAIRS), *(f"l_{i}_{j}" for i, j in PAIRS), "logdet"]
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """stratum, start, m_i and l_i_j of the three starts, after one pass for quartiles and one for sums."""
+    middle = saved(_quartiles(rows), "quality-quartiles")
+    spread = lambda i: F.sqrt(F.col(f"s_{i}") ** 2 + NOISE[NAMES[i]] ** 2)
+    z = [(x - F.col(f"m_{i}")) / spread(i) for i, x in enumerate(_statistics())]
+    length = F.sqrt(sum((v * v for v in z[1:]), z[0] * z[0]))
+    turned = [F.round(F.when(length > 0, v / length).otherwise(0.0) / UNIT).cast("long") for v in z]
+    met = rows.join(sized(middle), "stratum").select("stratum", *NAMES, *(t.alias(f"u_{i}") for i, t in enumerate(turned)))
+    plain = _sums([F.col(n) for n in NAMES])
+    signs = [c.alias(f"u_{n}") for c, n in zip(_sums([F.col(f"u_{i}") for i in range(SIZE)]), _SUMS, strict=True)]
+    sums = saved(met.groupBy("stratum").agg(*plain, *signs), "quality-start-sums")
+    about = _estimate(sums.select("stratum", *(F.col(f"u_{n}").alias(n) for n in _SUMS)), "stratum").drop("n")
+    # of directions: their products about 0, SIZE times, in units of the spreads
+    wide = middle.join(about.withColumnsRenamed({f"m_{i}": f"um_{i}" for i in range(SIZE)} | {f"c_{i}_{j}": f"uc_{i}_{j}" for i, j in PAIRS}), "stratum")
+    zero = F.lit(0.0)
+    own = [F.col(f"m_{i}") for i in range(SIZE)]
+    one = wide.select("stratum", F.lit(0).alias("start"), *own, *((F.col(f"s_{i}") ** 2 if i == j else zero).alias(f"c_{i}_{j}") for i, j in PAIRS))
+    two = wide.select("stratum", F.lit(1).alias("start"), *own, *((SIZE * (F.col(f"uc_{i}_{j}") + F.col(f"um_{i}") * F.col(f"um_{j}")) * F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"c_{i}_{j}") for i, j in PAIRS))
+    three = _estimate(sums, "stratum").select("stratum", F.lit(2).alias("start"), *own, *(f"c_{i}_{j}" for i, j in PAIRS))
+    return _determined(one.unionByName(two).unionByName(three))
+
+
+def _step(rows: DataFrame, estimate: DataFrame) -> DataFrame:
+    """The estimate, by stratum and start, from the share of rows that lies nearest by the one given: one pass."""
+    placed = estimate.select("stratum", "start", *(f"m_{i}" for i in range(SIZE)), *(f"l_{i}_{j}" for i, j in PAIRS))
+    placed.saved_at = estimate.saved_at  # fewer columns of the same files
+    far = distance(rows.join(sized(placed), "stratum"))
+    bins = far.groupBy("stratum", "start", _bin(F.col("d2"), STEP_BINS).alias("bin")).agg(*_sums([F.col(n) for n in NAMES]))
+    own = Window.partitionBy("stratum", "start")
+    upto = F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+    near = bins.withColumns({"upto": upto, "all": F.sum("n").over(own)}).where(F.col("upto") - F.col("n") < KEEP_SHARE * F.col("all"))
+    core = near.groupBy("stratum", "start").agg(*(F.sum(c).alias(c) for c in _SUMS))
+    made = _estimate(core, "stratum", "start").drop("n").join(core, ["stratum", "start"])
+    return saved(_determined(made).select("stratum", "start", *_FITTED), "quality-step")
+
+
+def _least(steps: DataFrame) -> DataFrame:
+    """The row of the least determinant of each stratum (ties: the first start)."""
+    best = F.min_by(F.struct("start", *_FITTED), F.struct("logdet", "start")).alias("best")
+    return steps.groupBy("stratum").agg(best).select("stratum", "best.*")
+
+
+def concentrated(rows: DataFrame, wider: tuple[str, ...] = ()) -> DataFrame:
+    """stratum, n, m_i, c_i_j: the minimum-determinant estimate of each stratum's rows (stratum, the statistics and the names of the wider
+    strata that each belongs to), and of the wider strata, which start from their members' nearest rows together and take TRIALS steps
+    over all their rows. Steps go on until every stratum has settled."""
+    made = [saved(_starts(rows), "quality-starts")]
+    for _ in range(TRIALS):
+        made.append(_step(rows, made[-1]))
+    best = saved(_least(made[-1]), "quality-best")
+    for _ in range(MOST_STEPS):
+        new = _step(rows, best)
+        settled = new.alias("b").join(best.alias("a"), "stratum").where(F.abs(F.col("b.logdet") - F.col("a.logdet")) > SETTLED).isEmpty()
+        made.append(best)
+        best = new
+        if settled:
+            break
+    dropped(*made)
+    found = _estimate(best.select("stratum", *_SUMS), "stratum")
+    if wider:
+        belongs = saved(rows.select("stratum", *wider).distinct(), "quality-strata")
+        met, start = best.select("stratum", *_SUMS).join(belongs, "stratum"), None
+        for w in wider:
+            part = met.groupBy(F.col(w).alias("stratum")).agg(*(F.sum(c).alias(c) for c in _SUMS))
+            start = part if start is None else start.unionByName(part)
+        level = saved(_determined(_estimate(start, "stratum").withColumn("start", F.lit(0))), "quality-wide")
+        every = rows.select(*NAMES, F.explode(F.array(*wider)).alias("stratum"))
+        for _ in range(TRIALS):
+            level = _step(every, level)
+        found = found.unionByName(_estimate(level.select("stratum", *_SUMS), "stratum"))
+    return found
 
 
 def shrunk(fitted: DataFrame, named: DataFrame) -> DataFrame:
@@ -230,13 +325,12 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = saved(measured(docs), "quality-stats")
     narrow, wide, everything = strata()
     good = stats.where(~F.col("base_failed"))
-    fitted = concentrated(good.select(*NAMES, F.explode(F.array(*strata())).alias("stratum")))
+    fitted = concentrated(good.select(*NAMES, narrow.alias("stratum"), wide.alias("wide"), everything.alias("all")), ("wide", "all"))
     named = stats.select(narrow.alias("stratum"), wide.alias("wide"), everything.alias("all")).distinct()
     estimate = saved(shrunk(fitted, named), "quality-shrunk")
     placed = distance(stats.withColumn("stratum", narrow).join(sized(estimate), "stratum"))
     counts = placed.where(~F.col("base_failed")).groupBy("stratum", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("n"))
     half = _quantiles(counts, ["stratum"], half=0.5)
     scale = saved(half.select("stratum", ((F.col("n") * F.greatest(_upper(F.col("half")) / MEDIAN, F.lit(1.0)) + PRIOR_ROWS) / (F.col("n") + PRIOR_ROWS)).alias("scale")), "quality-scale")
-    dropped(fitted)
     judged = placed.join(sized(scale), "stratum", "left").withColumn("distance", F.col("d2") / F.coalesce("scale", F.lit(1.0)))
     return judged.select("doc_id", *stats.columns[3:8], "base_failed", "distance", (~F.col("base_failed") & (F.col("distance") <= CUTOFF)).alias("kept"))
