@@ -77,14 +77,6 @@ def adjacent_periods(df: DataFrame, person: str, period: str, lag: int = 1) -> D
     return a.join(b, [person, "i0"]).drop("i0")
 
 
-def all_cosines(rows: DataFrame, key: str, vector: str, blocks: int = 8) -> DataFrame:
-    """Cosines of all pairs a < b of a bounded set of rows, by blocks, so that no task sees more than two blocks' rows."""
-    tagged = rows.select(key, vector, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("_b"))
-    a = tagged.select(F.col(key).alias("a"), F.col(vector).alias("va"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o"), F.col("_b").alias("own"))
-    b = tagged.select(F.col(key).alias("b"), F.col(vector).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("own"), F.col("_b").alias("o"))
-    return a.join(b, ["own", "o"]).where("a < b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("sim"))
-
-
 #: Rows of either side that a task holds at once where all of one side meet all of the other.
 BLOCK_ROWS = 2048
 
@@ -126,8 +118,9 @@ def cosine_links(rows: DataFrame, key: str, vector: str, least: float) -> DataFr
     return a.groupBy("_i", "_j").cogroup(b.groupBy("_i", "_j")).applyInPandas(links, f"a {kind}, b {kind}")
 
 
-def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str) -> DataFrame:
-    """Cosines of every query with every base row but itself, in blocks: key, other, sim."""
+def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str, least: float | None = None) -> DataFrame:
+    """Cosines of every query with every base row but itself, in blocks: key, other, sim; with least, those of that size or more, so that
+    what leaves a block is links, not pairs."""
     kind = base.schema[key].dataType.simpleString()
 
     def pairs(q, b):
@@ -139,8 +132,9 @@ def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str) -
         x, y = (np.stack(v.to_numpy()).astype(float) for v in (q[vector], b["_v"]))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
         own, others = q[key].to_numpy(), b["other"].to_numpy()
-        i, j = np.nonzero(own[:, None] != others[None])
-        return pd.DataFrame({key: own[i], "other": others[j], "sim": (x @ y.T)[i, j]})
+        sim, held = x @ y.T, own[:, None] != others[None]
+        i, j = np.nonzero(held if least is None else held & (sim >= least))
+        return pd.DataFrame({key: own[i], "other": others[j], "sim": sim[i, j]})
 
     others = base.select(F.col(key).alias("other"), F.col(vector).alias("_v"))
     return in_blocks(queries.select(key, vector), others, pairs, f"{key} {kind}, other {kind}, sim double")

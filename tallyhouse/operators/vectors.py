@@ -203,7 +203,8 @@ def gram_vectors(df: DataFrame, keep: list[str], text: str, features: int = 40_0
 
 def leading_directions(weights: DataFrame, row: str, feature: str, weight: str, size: int, k: int, rounds: int = 4, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and directions (size by k) of a sparse matrix given as rows (row, feature, weight), by subspace iteration: each
-    round multiplies by the matrix and its transpose in the tasks that hold whole rows; size by k numbers reach the driver from each."""
+    round multiplies by the matrix and its transpose in the tasks that hold whole rows; the tasks' products are added up in blocks of
+    features, so that size by k numbers in all reach the driver."""
     blocked = weights.select(row, feature, weight).repartition(row)
     basis = np.linalg.qr(K.rng_of("directions", size).normal(size=(size, k + spare)))[0]
     values = np.zeros(k + spare)
@@ -220,16 +221,28 @@ def leading_directions(weights: DataFrame, row: str, feature: str, weight: str,
                 for j in range(basis.shape[1]):
                     left[:, j] = np.bincount(code, w * basis[f, j], len(left))
                     total[:, j] += np.bincount(f, w * left[code, j], len(total))
-            yield pd.DataFrame({"total": [total.tobytes()]})
+            at = range(0, len(total), FEATURE_BLOCK)
+            yield pd.DataFrame({"at": list(at), "total": [total[k : k + FEATURE_BLOCK].tobytes() for k in at]})
 
         # a row of one frame may continue in the next; frames are kept whole by row below
-        parts = blocked.sortWithinPartitions(row).mapInPandas(_whole(product, row), "total binary").collect()
-        basis, r = np.linalg.qr(sum(np.frombuffer(p.total).reshape(basis.shape) for p in parts))
+        parts = blocked.sortWithinPartitions(row).mapInPandas(_whole(product, row), "at int, total binary")
+        summed = parts.groupBy("at").applyInPandas(_added, "at int, total binary").orderBy("at").collect()
+        basis, r = np.linalg.qr(np.concatenate([np.frombuffer(p.total).reshape(-1, basis.shape[1]) for p in summed]))
         values = np.sqrt(np.abs(np.diag(r)))
     order = np.argsort(-values)[:k]
     return values[order], basis[:, order]
 
 
+#: Features whose sums of all tasks meet in one group.
+FEATURE_BLOCK = 64
+
+
+def _added(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "total": [np.sum([np.frombuffer(t) for t in pdf["total"]], axis=0).tobytes()]})
+
+
 def _whole(fn, key: str):
     """fn over frames in which the rows of a key are together, from frames sorted by key."""
 
