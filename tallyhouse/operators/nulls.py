@@ -278,6 +278,15 @@ def heaps(tokens: DataFrame, order: list[str], token: str = "token", points: int
     return run.where("n >= 100").agg(F.regr_slope(F.log("v"), F.log("n")).alias("exponent"), F.count("*").alias("documents"))
 
 
+def lognormal(df: DataFrame, size: str, by: list[str] | None = None) -> DataFrame:
+    """by, mu and sigma (mean and population spread of the logarithm), skewness of the logarithm (0 for a log-normal size), median, mean, n:
+    of sizes above 0."""
+    known = df.where(F.col(size) > 0).withColumn("_l", F.log(F.col(size).cast("double")))
+    middle = quantiles(known.withColumn("_s", F.col(size)), "_s", [0.5], by).withColumnRenamed("_q0", "median")
+    g = known.groupBy(*(by or [])).agg(F.avg("_l").alias("mu"), F.stddev_pop("_l").alias("sigma"), F.skewness("_l").alias("skewness"), F.avg(size).alias("mean"), F.count("*").alias("n"))
+    return g.join(middle, by) if by else g.crossJoin(F.broadcast(middle))  # one row each
+
+
 def taylor(counts: DataFrame, item: str, n: str) -> DataFrame:
     """Exponent of the variance of an item's counts over periods against their mean."""
     g = counts.groupBy(item).agg(F.avg(n).alias("m"), F.var_samp(n).alias("v"), F.count("*").alias("k")).where("k >= 5 AND m > 0 AND v > 0")

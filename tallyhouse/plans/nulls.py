@@ -119,6 +119,23 @@ def heaps_exponent(spark, sf):
     return N.heaps(t, ["doc_id"]).select(six("exponent").alias("exponent"), "documents")
 
 
+@query("WITH w AS (SELECT lang, len(string_split(text, ' ')) AS k FROM documents WHERE text IS NOT NULL), l AS (SELECT lang, k, ln(k) AS l FROM w), m AS (SELECT lang, avg(l) AS mu, stddev_pop(l) AS sigma, quantile_cont(k, 0.5) AS median, avg(k) AS mean, count(*) AS n FROM l GROUP BY 1) SELECT m.lang, round(any_value(mu), 6) AS mu, round(any_value(sigma), 6) AS sigma, round(avg((l - mu) ** 3) / any_value(sigma) ** 3, 5) AS skewness, any_value(median)::DOUBLE AS median, round(any_value(mean), 6) AS mean, any_value(n) AS n FROM m JOIN l USING (lang) GROUP BY 1")
+def lognormal_length(spark, sf):
+    """Lengths of texts in words by language, as a log-normal size."""
+    d = read(spark, sf, "documents").where("text IS NOT NULL").select("lang", F.size(F.split("text", " ")).alias("k"))
+    return N.lognormal(d, "k", ["lang"]).select("lang", six("mu").alias("mu"), six("sigma").alias("sigma"), F.round("skewness", 5).alias("skewness"), "median", six("mean").alias("mean"), "n")
+
+
+@query()
+def shift_associations(spark, sf):
+    """Distance correlation and mutual information of the axes with the indicators by month, against 200 circular shifts."""
+    from ..operators import coupling as C
+    from .dynamics import family
+
+    pairs = family(spark, sf).where("freq = 'month'").drop("freq")
+    return C.surrogate_scan(pairs, ["signal", "indicator"], ("dcor", "mi"), ("shift",), refine=200)
+
+
 @query("WITH c AS (SELECT user_id, ts::DATE AS day, count(*) AS n FROM events GROUP BY 1, 2), g AS (SELECT user_id, avg(n) AS m, var_samp(n) AS v FROM c GROUP BY 1 HAVING count(*) >= 5 AND var_samp(n) > 0) SELECT round(regr_slope(ln(v), ln(m)), 6) AS exponent, count(*) AS items FROM g")
 def taylor_exponent(spark, sf):
     c = reports(spark, sf).groupBy("user_id", "day").agg(F.count("*").alias("n"))

@@ -109,3 +109,20 @@ def test_registered(spark, name, rows):
         o = pd.read_parquet(f"{SMALL}/orders.parquet")
         d = o[o["o_orderpriority"].str[0] == "1"].assign(day=pd.to_datetime(o["o_orderdate"]).dt.normalize()).groupby("day")["o_totalprice"].mean().to_numpy()
         assert got[got["axis"] == "1"].sort_values("frequency")["power"].to_numpy() == pytest.approx(plain_welch(d, 256)[1])
+
+
+def test_shifts_turn_a_series():
+    x = np.arange(20.0)
+    made = K.surrogates("shift", x, K.rng_of("shift"), 200)
+    assert {tuple(m) for m in made} <= {tuple(np.roll(x, k)) for k in range(20)} and len({m[0] for m in made}) > 15
+
+
+def test_associations_against_shifts(spark):
+    from tallyhouse.operators import coupling as C
+
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=60)
+    y = x**2 + 0.1 * rng.normal(size=60)
+    frame = spark.createDataFrame([("s", t, float(a), float(b)) for t, (a, b) in enumerate(zip(y, x, strict=True))], "k string, t int, y double, x double")
+    got = C.surrogate_scan(frame, ["k"], ("dcor",), ("shift",), screen=100, refine=100).first()
+    assert got.observed == pytest.approx(K.distance_correlation(y, x)) and got.p < 0.05
