@@ -205,9 +205,8 @@ def cache_misses(spark, sf):
 
 
 def drained(frame, name: str, mode: str = "complete"):
-    q = frame.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return frame.sparkSession.table(name)
+    """The result of a stream that runs to its end; see streaming.panels.drained."""
+    return St.drained(frame, name, mode)
 
 
 def event_stream(spark, sf):

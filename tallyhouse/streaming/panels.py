@@ -6,6 +6,8 @@ LATE long; distinct contributors are counted approximately, as streams allow no
 
 from __future__ import annotations
 
+import atexit
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.shared import delete, shared_dir
+
 LATE = "2 days"
 
 
@@ -66,6 +70,26 @@ def trailing_z(events: DataFrame, key: str, value: str, window: int = 28, least:
     return rows.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {ts} timestamp, {value} double, z double", "past array<double>", "append", GroupStateTimeout.NoTimeout)
 
 
+def drained(frame: DataFrame, name: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream over what its source holds and gives its rows: those of all batches, or of the last one in complete mode.
+
+    Rows and the stream's checkpoint (its offsets and state) are files in the shared folder, nothing passes through the driver; a batch
+    that is run again after a failure replaces its own files.
+    """
+    spark = frame.sparkSession
+    home = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(delete, spark, home)
+    numbers: list[int] = []
+
+    def keep(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{home}/rows/{number}")
+        numbers.append(number)
+
+    frame.writeStream.foreachBatch(keep).option("checkpointLocation", f"{home}/checkpoint").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
+    wanted = sorted(set(numbers))[-1:] if mode == "complete" else sorted(set(numbers))
+    return spark.read.schema(frame.schema).parquet(*(f"{home}/rows/{n}" for n in wanted)) if wanted else spark.createDataFrame([], frame.schema)
+
+
 def append_scored(stream_: DataFrame, path: str, checkpoint: str, key: str, score):
     """Scores each micro-batch's new keys and appends them: a restarted stream writes no key twice."""
     from ..sources.readers import append_new
