@@ -73,9 +73,11 @@ def order_coherence(df: DataFrame, key: str, pos: str, value: str) -> DataFrame:
     v = F.transform(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(value).cast("double").alias("v")))), lambda s: s["v"])
     held = df.groupBy(key).agg(v.alias("v")).where(F.size("v") >= 3)
     adjacent = F.aggregate(F.zip_with(F.slice("v", 2, F.size("v") - 1), F.slice("v", 1, F.size("v") - 1), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / (F.size("v") - 1)
-    # sum over sorted values of x_(i) (2 i - k + 1) is the sum of all pairs' distances
-    ordered = F.transform(F.array_sort("v"), lambda x, i: x * (2 * i - F.size("v") + 1))
-    pairs = F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x) / (F.size("v") * (F.size("v") - 1) / 2)
+    # the gap above the i-th smallest value lies in i (k - i) pairs: their sum is 0 where all values are equal, and there only
+    ordered = F.array_sort("v")
+    gaps = F.zip_with(F.slice(ordered, 2, F.size("v") - 1), F.slice(ordered, 1, F.size("v") - 1), lambda a, b: a - b)
+    shared = F.transform(gaps, lambda g, i: g * (i + 1) * (F.size("v") - 1 - i))
+    pairs = F.aggregate(shared, F.lit(0.0), lambda s, x: s + x) / (F.size("v") * (F.size("v") - 1.0) / 2)
     return held.select(key, F.when(pairs > 0, adjacent / pairs).alias("ratio"), F.size("v").alias("n"))
 
 

@@ -83,3 +83,13 @@ def test_two_nn_takes_more_rows_and_copies():
     np.fill_diagonal(d, np.inf)
     assert K.nearest_two(x) == pytest.approx(np.sort(d, axis=1)[:, :2])
     assert K.nearest_two(np.r_[x, x[:1]])[0, 0] == 0
+
+
+def test_coherence_of_equal_values_is_unknown(spark):
+    from tallyhouse.operators import vectors as V
+
+    # equal values added up with weights -4, -2, 0, 2, 4 need not give 0
+    rows = [(k, i, x) for k, x in ((5, 2 / 3 - 0.33), (6, 1 / 6 - 0.33), (8, 5 / 7 - 0.33)) for i in range(k)] + [(1, i, x) for i, x in enumerate((0.5, 0.1, 0.4, 0.1))]
+    got = {r.doc: r.ratio for r in V.order_coherence(spark.createDataFrame(rows, "doc int, pos int, x double"), "doc", "pos", "x").collect()}
+    assert got[5] is None and got[6] is None and got[8] is None
+    assert got[1] == pytest.approx((0.4 + 0.3 + 0.3) / 3 / ((0.4 + 0.1 + 0.4 + 0.3 + 0.0 + 0.3) / 6))
