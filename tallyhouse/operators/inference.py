@@ -166,6 +166,23 @@ def rank_sum(df: DataFrame, value: str, group: str) -> DataFrame:
     return s.select("n1", "n0", u.alias("u"), (2 * u / nn - 1).alias("rank_biserial"), ((F.col("m1") - F.col("m0")) / pooled).alias("cohen_d"), z.alias("z"))
 
 
+def gap_of_means(df: DataFrame, by: str, group: str, value: str, first: str, second: str) -> DataFrame:
+    """by and gap: mean value of one group less that of another, by person, from sums of decimals, so that equal gaps are equal and no gap is
+    0 in whatever order rows are met. A mean with a value that decimals don't hold (not finite, or 1e12 and more) is that of doubles."""
+    exact = F.col(value).try_cast("decimal(18,6)")
+    sums = []
+    for k, g in enumerate((first, second)):
+        own = F.col(group) == g
+        sums += [F.count(F.when(own, F.col(value))).alias(f"_n{k}"), F.sum(F.when(own, exact)).alias(f"_s{k}"), F.count(F.when(own, exact)).alias(f"_k{k}"), F.avg(F.when(own, F.col(value))).alias(f"_m{k}")]
+    n, s = [F.col(f"_n{k}") for k in (0, 1)], [F.col(f"_s{k}") for k in (0, 1)]
+    times = [F.col(f"_n{k}").cast("decimal(10,0)") for k in (0, 1)]
+    # millionths as whole numbers: below 2^53 both sides of the division are exact, so equal fractions give one double
+    millionths = ((s[0] * times[1] - s[1] * times[0]) * 1_000_000).cast("double") / (n[0] * n[1]).cast("double")
+    whole = (F.col("_n0") == F.col("_k0")) & (F.col("_n1") == F.col("_k1"))
+    gap = F.when((n[0] > 0) & (n[1] > 0), F.when(whole, millionths / 1e6).otherwise(F.col("_m0") - F.col("_m1")))
+    return df.groupBy(by).agg(*sums).select(by, gap.alias("gap"))
+
+
 def signed_rank(pairs: DataFrame, gap: str) -> DataFrame:
     """Wilcoxon's signed rank of paired differences: n, w_plus, z."""
     d = pairs.where(F.col(gap).isNotNull() & (F.col(gap) != 0)).withColumn("_a", F.abs(gap))

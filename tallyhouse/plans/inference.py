@@ -89,7 +89,7 @@ def rank_sum(spark, sf):
 
 @query(R + ", p AS (SELECT user_id, avg(value) FILTER (lang = 'click') - avg(value) FILTER (lang = 'view') AS gap FROM r GROUP BY 1), a AS (SELECT gap, rank() OVER (ORDER BY abs(gap)) + (count(*) OVER (PARTITION BY abs(gap)) - 1) / 2 AS rk FROM p WHERE gap IS NOT NULL AND gap <> 0) SELECT count(*) AS n, round(sum(CASE WHEN gap > 0 THEN rk ELSE 0 END), 6) AS w_plus FROM a")
 def within_person_gap(spark, sf):
-    p = reports(spark, sf).groupBy("user_id").pivot("lang", ["click", "view"]).agg(F.avg("value")).withColumn("gap", F.col("click") - F.col("view"))
+    p = I.gap_of_means(reports(spark, sf), "user_id", "lang", "value", "click", "view")
     return I.signed_rank(p, "gap").select("n", six("w_plus").alias("w_plus"))
 
 

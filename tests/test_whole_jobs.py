@@ -93,3 +93,14 @@ def test_coherence_of_equal_values_is_unknown(spark):
     got = {r.doc: r.ratio for r in V.order_coherence(spark.createDataFrame(rows, "doc int, pos int, x double"), "doc", "pos", "x").collect()}
     assert got[5] is None and got[6] is None and got[8] is None
     assert got[1] == pytest.approx((0.4 + 0.3 + 0.3) / 3 / ((0.4 + 0.1 + 0.4 + 0.3 + 0.0 + 0.3) / 6))
+
+
+def test_gaps_do_not_hang_on_the_order_of_rows(spark, tmp_path):
+    def table(path, turn):
+        rows = [(1, "click", (0.1, 0.2, 0.3)), (1, "view", (0.3, 0.2, 0.1)), (2, "click", (0.7, 0.1, 0.3)), (2, "view", (0.1, 0.1, 0.2)), (3, "click", (0.2, 0.1, 0.1)), (3, "view", (0.3, 0.7, 0.1)), (4, "click", (5.0,)), (4, "view", (float("inf"),))]
+        flat = [(u, e, v, "{}") for u, e, vs in rows for v in (vs[::-1] if turn else vs)]
+        spark.createDataFrame(flat, "user_id long, event_type string, value double, props string").selectExpr("monotonically_increasing_id() AS event_id", "timestamp '2024-01-01' AS ts", "*").coalesce(1).write.parquet(f"{path}/events.parquet")
+        return [tuple(r) for r in QUERIES["within_person_gap"](spark, str(path)).collect()]
+
+    # person 1 has no gap, persons 2 and 3 the same one either way (ranks 1.5 each), person 4 an infinite one
+    assert table(tmp_path / "a", False) == table(tmp_path / "b", True) == [(3, 1.5)]
