@@ -182,8 +182,13 @@ def within_shift_null(df: DataFrame, person: str, value: str, order: str, seed:
     return a.join(b, [person, "_r"]).drop("_r")
 
 
-def gram_vectors(df: DataFrame, keep: list[str], text: str, features: int = 40_000) -> DataFrame:
-    """keep, feature, n: character 3- to 5-grams of whole texts as counts of hashed features, a row for each that a text has."""
+#: Texts whose grams are worked on at once.
+GRAM_TEXTS = 64
+
+
+def gram_rows(df: DataFrame, keep: list[str], text: str, features: int = 40_000) -> DataFrame:
+    """keep, gaps, counts: character 3- to 5-grams of whole texts as counts of hashed features, a row a text; gaps are the features in
+    ascending order, each less the one before it (small numbers, which files hold in about a byte)."""
     from pyspark.sql import types as T
 
     from ..functions.text import gram_counts
@@ -194,41 +199,120 @@ def gram_vectors(df: DataFrame, keep: list[str], text: str, features: int = 40_0
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, len(batch), 64):
-                part = batch.slice(lo, 64)
+            for lo in range(0, len(batch), GRAM_TEXTS):
+                part = batch.slice(lo, GRAM_TEXTS)
                 found = gram_counts(part.column(len(keep)).to_pylist(), features=features)
-                row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f, _ in found]))
-                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in range(len(keep))), pa.array(np.concatenate([f for f, _ in found]).astype(np.int32)), pa.array(np.concatenate([c for _, c in found]).astype(np.float64))], names=[*keep, "feature", "n"])
+                ends = np.cumsum([0, *(len(f) for f, _ in found)]).astype(np.int32)
+                gaps = np.concatenate([np.diff(f.astype(np.int32), prepend=np.int32(0)) for f, _ in found])
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (gaps, np.concatenate([c for _, c in found]))]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *lists], names=[*keep, "gaps", "counts"])
+
+    ints = T.ArrayType(T.IntegerType())
+    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("gaps", ints), T.StructField("counts", ints)]))
+
+
+def _grams(batches):
+    """(rows, code, feature, count) of some of gram_rows' texts at a time; code is a gram's place in rows."""
+    for batch in batches:
+        for lo in range(0, len(batch), GRAM_TEXTS):
+            part = batch.slice(lo, GRAM_TEXTS)
+            gaps, counts = part.column("gaps"), part.column("counts")
+            size = np.diff(np.asarray(gaps.offsets))
+            code = np.repeat(np.arange(len(part)), size)
+            run = np.r_[0, np.cumsum(np.asarray(gaps.flatten()), dtype=np.int64)]
+            yield part, code, run[1:] - run[np.cumsum(size) - size][code], np.asarray(counts.flatten()).astype(float)
 
-    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("feature", T.IntegerType()), T.StructField("n", T.DoubleType())]))
+
+def weighed_grams(batches, idf: np.ndarray):
+    """(rows, code, feature, weight) of gram_rows' texts: counts times idf, of length 1 a text; grams without an idf weigh 0."""
+    for part, code, f, c in _grams(batches):
+        w = c * idf[f]
+        length = np.sqrt(np.bincount(code, w * w, len(part)))
+        yield part, code, f, w / np.maximum(length, 1e-300)[code]
+
+
+def texts_with(grams: DataFrame, features: int) -> np.ndarray:
+    """In how many of gram_rows' texts each feature is: tasks count their own, a number a feature reaches the driver."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        total = np.zeros(features, np.int64)
+        for _, _, f, _ in _grams(batches):
+            total += np.bincount(f, minlength=features)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
+
+    seen = np.zeros(features, np.int64)
+    for r in grams.select("gaps", "counts").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+        seen[r.feature] = r.n
+    return seen
 
 
 def leading_directions(weights: DataFrame, row: str, feature: str, weight: str, size: int, k: int, rounds: int = 4, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Singular values and directions (size by k) of a sparse matrix given as rows (row, feature, weight), by subspace iteration: each
     round multiplies by the matrix and its transpose in the tasks that hold whole rows; the tasks' products are added up in blocks of
     features, so that size by k numbers in all reach the driver."""
-    blocked = weights.select(row, feature, weight).repartition(row)
-    basis = np.linalg.qr(K.rng_of("directions", size).normal(size=(size, k + spare)))[0]
-    values = np.zeros(k + spare)
-    for _ in range(rounds):
+    blocked = weights.select(row, feature, weight).repartition(row).sortWithinPartitions(row)
 
-        def product(frames, basis=basis):
+    def product(basis):
+        def run(frames):
             import pandas as pd
 
             total = np.zeros_like(basis)
             for pdf in frames:
                 code, _ = pd.factorize(pdf[row])
-                f, w = pdf[feature].to_numpy(), pdf[weight].to_numpy()
-                left = np.zeros((code.max() + 1 if len(code) else 0, basis.shape[1]))
-                for j in range(basis.shape[1]):
-                    left[:, j] = np.bincount(code, w * basis[f, j], len(left))
-                    total[:, j] += np.bincount(f, w * left[code, j], len(total))
-            at = range(0, len(total), FEATURE_BLOCK)
-            yield pd.DataFrame({"at": list(at), "total": [total[k : k + FEATURE_BLOCK].tobytes() for k in at]})
+                _both_ways(total, basis, code, pdf[feature].to_numpy(), pdf[weight].to_numpy())
+            at, sums = _blocks(total)
+            yield pd.DataFrame({"at": at, "total": sums})
 
         # a row of one frame may continue in the next; frames are kept whole by row below
-        parts = blocked.sortWithinPartitions(row).mapInPandas(_whole(product, row), "at int, total binary")
-        summed = parts.groupBy("at").applyInPandas(_added, "at int, total binary").orderBy("at").collect()
+        return blocked.mapInPandas(_whole(run, row), "at int, total binary")
+
+    return _subspace(product, size, k, rounds, spare)
+
+
+def leading_directions_of_rows(grams: DataFrame, idf: np.ndarray, k: int, rounds: int = 4, spare: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """leading_directions of gram_rows' texts, weighed by idf and brought to length 1 where they lie: no row of a text and feature is made,
+    moved or sorted. At most as many tasks as cores give their sums (len(idf) by k + spare numbers each), whatever the number of files."""
+    held = grams.select("gaps", "counts").coalesce(grams.sparkSession.sparkContext.defaultParallelism)
+
+    def product(basis):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros_like(basis)
+            for _, code, f, w in weighed_grams(batches, idf):
+                _both_ways(total, basis, code, f, w)
+            at, sums = _blocks(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums, pa.binary())], names=["at", "total"])
+
+        return held.mapInArrow(run, "at int, total binary")
+
+    return _subspace(product, len(idf), k, rounds, spare)
+
+
+def _both_ways(total: np.ndarray, basis: np.ndarray, code: np.ndarray, f: np.ndarray, w: np.ndarray) -> None:
+    """Adds to total the transpose of a sparse matrix (rows code, columns f, values w) times its product with basis; both are held with a
+    direction a row, so that a direction stays in the cache."""
+    n = code.max() + 1 if len(code) else 0
+    for held, made in zip(basis, total, strict=True):
+        left = np.bincount(code, w * held[f], n)
+        made += np.bincount(f, w * left[code], len(made))
+
+
+def _blocks(total: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Blocks of features of a task's sums, held with a direction a row: first features and bytes, a feature a row."""
+    at = list(range(0, total.shape[1], FEATURE_BLOCK))
+    return at, [np.ascontiguousarray(total[:, k : k + FEATURE_BLOCK].T).tobytes() for k in at]
+
+
+def _subspace(product, size: int, k: int, rounds: int, spare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Singular values and directions by rounds of product, which gives blocks of sums (at, total) for a basis."""
+    basis = np.linalg.qr(K.rng_of("directions", size).normal(size=(size, k + spare)))[0]
+    values = np.zeros(k + spare)
+    for _ in range(rounds):
+        summed = product(np.ascontiguousarray(basis.T)).groupBy("at").applyInPandas(_added, "at int, total binary").orderBy("at").collect()
         basis, r = np.linalg.qr(np.concatenate([np.frombuffer(p.total).reshape(-1, basis.shape[1]) for p in summed]))
         values = np.sqrt(np.abs(np.diag(r)))
     order = np.argsort(-values)[:k]

@@ -132,28 +132,22 @@ def char_ngram_spectrum(spark, sf):
     from ..sources.shared import saved
 
     d = read(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", "source", fold("doc_id", 5).alias("fold"), "text")
-    grams = saved(V.gram_vectors(d, ["doc_id", "source", "fold"], "text", GRAM_FEATURES), "grams")
+    grams = saved(V.gram_rows(d, ["source", "fold"], "text", GRAM_FEATURES), "grams").where("size(gaps) > 0")
     train = grams.where("fold <> 0")
-    n = train.select("doc_id").distinct().count()
-    idf = train.groupBy("feature").agg((F.log((1 + F.lit(n)) / (1 + F.count("*"))) + 1).alias("idf"))
-    raw = grams.join(F.broadcast(idf), "feature").withColumn("w", F.col("n") * F.col("idf"))  # at most GRAM_FEATURES rows
-    length = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("l"))
-    weighed = saved(raw.join(length, "doc_id").select("doc_id", "source", "fold", "feature", (F.col("w") / F.col("l")).alias("w")), "gram-weights")
-    _, basis = V.leading_directions(weighed.where("fold <> 0"), "doc_id", "feature", "w", GRAM_FEATURES, GRAM_DIRECTIONS)
+    n, seen = train.count(), V.texts_with(train, GRAM_FEATURES)
+    idf = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1, 0.0)
+    _, basis = V.leading_directions_of_rows(train, idf, GRAM_DIRECTIONS)
     basis = np.ascontiguousarray(basis.astype(np.float32))
 
-    def held(frames):
-        import pandas as pd
+    def held(batches):
+        import pyarrow as pa
 
-        for pdf in frames:
-            if len(pdf):
-                code, ids = pd.factorize(pdf["doc_id"])
-                p = np.zeros((len(ids), basis.shape[1]))
-                np.add.at(p, code, pdf["w"].to_numpy()[:, None] * basis[pdf["feature"].to_numpy()])
-                yield pd.DataFrame({"source": pdf.groupby(code)["source"].first().to_numpy(), "held": (p * p).sum(1)})
+        for part, code, f, w in V.weighed_grams(batches, idf):
+            p = np.stack([np.bincount(code, w * basis[f, j], len(part)) for j in range(basis.shape[1])], 1)
+            known = pa.array(np.bincount(code, w * w, len(part)) > 0)
+            yield pa.RecordBatch.from_arrays([part.column("source").filter(known), pa.array((p * p).sum(1)).filter(known)], names=["source", "held"])
 
-    test = weighed.where("fold = 0").repartition("doc_id").sortWithinPartitions("doc_id")
-    each = test.select("doc_id", "source", "feature", "w").mapInPandas(V._whole(held, "doc_id"), "source string, held double")
+    each = grams.where("fold = 0").select("source", "gaps", "counts").mapInArrow(held, "source string, held double")
     return each.groupBy("source").agg(F.count("*").alias("n"), F.avg("held").alias("held"))
 
 

@@ -104,3 +104,34 @@ def test_gaps_do_not_hang_on_the_order_of_rows(spark, tmp_path):
 
     # person 1 has no gap, persons 2 and 3 the same one either way (ranks 1.5 each), person 4 an infinite one
     assert table(tmp_path / "a", False) == table(tmp_path / "b", True) == [(3, 1.5)]
+
+
+def test_grams_are_a_row_a_text_and_are_not_moved(spark):
+    from tallyhouse.functions import text as X
+    from tallyhouse.operators import vectors as V
+
+    texts = ["the cat sat on the mat", None, "a cat and a hat", "", "sat on that"]
+    held = V.gram_rows(spark.createDataFrame(list(enumerate(texts)), "id int, text string"), ["id"], "text", 500)
+    seen = {r.id: (np.cumsum(r.gaps).tolist(), list(r.counts)) for r in held.collect()}
+    assert seen == {k: tuple(v.tolist() for v in X.gram_counts([t], features=500)[0]) for k, t in enumerate(texts)}
+    m = np.zeros((len(texts), 500))
+    for k, (f, c) in seen.items():
+        m[k, f] = c
+    held = held.where("size(gaps) > 0")
+    assert V.texts_with(held, 500).tolist() == (m > 0).sum(0).tolist()
+    idf = np.linspace(0.5, 2, 500)
+    m *= idf
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+    values, basis = V.leading_directions_of_rows(held, idf, 2, rounds=60)
+    assert values == pytest.approx(np.linalg.svd(m, compute_uv=False)[:2], rel=1e-6)
+    assert basis.T @ basis == pytest.approx(np.eye(2), abs=1e-9)
+
+
+def test_gram_spectrum_writes_less_than_a_row_a_gram(spark, monkeypatch):
+    from tallyhouse.sources import shared
+
+    kept, real = [], shared.saved
+    monkeypatch.setattr(shared, "saved", lambda df, label: kept.append(real(df, label)) or kept[-1])
+    QUERIES["char_ngram_spectrum"](spark, SMALL).collect()
+    n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    assert [k.count() for k in kept] == [n]
