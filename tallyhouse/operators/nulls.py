@@ -364,8 +364,9 @@ def injected_power(series: DataFrame, events: DataFrame, value: str, deltas: lis
 def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[str], k: int = 5, lag: int = 1, draws: int = 0, step: int = 512) -> DataFrame:
     """For periods `lag` apart in the list: how much of a person's k nearest (cosine of standardised columns) stay, among those in both; with draws also against relabelled people.
 
-    One group holds two periods' panel, a row a person, and similarities of `step` people at a time. Pairs with k + 1 people in common
-    or fewer are left out.
+    One group holds two periods' panel, a row a person. With two columns a person is a direction in a plane, so the nearest are found
+    beside it in the order of angles; with more, every two people meet, `step` at a time. Pairs with k + 1 people in common or fewer are
+    left out.
     """
     order = panel.select(period).distinct().withColumn("_i", F.row_number().over(Window.orderBy(period)))  # a row a period
     rows = panel.select(person, period, *columns).dropna().join(order, period).withColumn("pair", F.explode(F.array(F.col("_i"), F.col("_i") - lag)))
@@ -374,6 +375,8 @@ def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[
     def nearest(x: np.ndarray) -> np.ndarray:
         """The k nearest of each row, by place."""
         x = (x - x.mean(0)) / (x.std(0) + 1e-9)
+        if x.shape[1] == 2:
+            return K.nearest_directions(x, k)
         x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-12)
         near = np.empty((len(x), min(k, len(x) - 1)), np.int64)
         for lo in range(0, len(x), step):
@@ -391,11 +394,14 @@ def neighbour_overlap(panel: DataFrame, person: str, period: str, columns: list[
             return pd.DataFrame(columns=columns_out)
         n = len(common)
         first, second = (nearest(m.loc[common].to_numpy(float)) for m in (a, b))
-        both = lambda q: int((first[:, :, None] == q[:, None, :]).sum())
-        seen, rng, null = both(second), K.rng_of("identity", ids[0], n), []
+        columns_of = [np.ascontiguousarray(c, np.int32) for c in first.T]
+        both = lambda q: sum(int(np.count_nonzero(c == d)) for d in np.ascontiguousarray(q.T) for c in columns_of)
+        second = second.astype(np.int32)
+        seen, rng, null, back = both(second), K.rng_of("identity", ids[0], n), [], np.empty(n, np.int32)
         for _ in range(draws):
             o = rng.permutation(n)
-            null.append(both(np.argsort(o)[second[o]]))
+            back[o] = np.arange(n, dtype=np.int32)
+            null.append(both(back[second[o]]))
         size = first.size
         return pd.DataFrame([(ids[0], n, seen / size, k / (n - 1), seen / (2 * size - seen), float(np.mean(null)) / size if null else np.nan, (1 + sum(v >= seen for v in null)) / (draws + 1) if null else np.nan)], columns=columns_out)
 

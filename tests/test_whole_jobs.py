@@ -135,3 +135,25 @@ def test_gram_spectrum_writes_less_than_a_row_a_gram(spark, monkeypatch):
     QUERIES["char_ngram_spectrum"](spark, SMALL).collect()
     n = spark.read.parquet(f"{SMALL}/documents.parquet").count()
     assert [k.count() for k in kept] == [n]
+
+
+def test_nearest_directions_equal_all_pairs():
+    rng = np.random.default_rng(5)
+    for n in (3, 9, 40, 700):
+        x = rng.normal(size=(n, 2))
+        x[n // 2 :] = x[: n - n // 2] * rng.choice([1.0, 2.0], (n - n // 2, 1))  # the same directions
+        x[:2] = 0
+        u = x / np.maximum(np.hypot(x[:, 0], x[:, 1]), 1e-300)[:, None]
+        sim = u[:, :1] * u[:, 0] + u[:, 1:] * u[:, 1]
+        np.fill_diagonal(sim, -np.inf)
+        assert (K.nearest_directions(x, 5) == np.argsort(-sim, axis=1, kind="stable")[:, :5][:, : n - 1]).all()
+
+
+def test_nearest_directions_of_many_people_take_no_pairs():
+    import time
+
+    x = np.random.default_rng(6).normal(size=(60_000, 2))
+    x[30_000:] = x[0]
+    began = time.process_time()
+    assert K.nearest_directions(x, 5).shape == (60_000, 5)
+    assert time.process_time() - began < 30  # all pairs take minutes
