@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import cosine, dot
+from ..functions.arrays import dot
 
 
 def outer_chain(panels: list[DataFrame], key: str = "week") -> DataFrame:
@@ -169,9 +169,33 @@ def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int)
 
 
 def drop_near_own(test: DataFrame, train: DataFrame, key: str, person: str, vector: str, most: float = 0.98) -> DataFrame:
-    """Test rows whose greatest cosine to the same person's training rows is at most `most`."""
-    t = test.select(key, person, F.col(vector).alias("_t"))
-    seen = t.join(train.select(person, F.col(vector).alias("_v")), person).groupBy(key).agg(F.max(cosine(F.col("_t"), F.col("_v"))).alias("closest"))
+    """Test rows whose greatest cosine to the same person's training rows is at most `most`. Every row meets all of its person's, in blocks
+    that hold the rows of persons of one hash; vectors with a NULL in them, of another length or of zeros have no cosine."""
+    whole = lambda side, *columns: side.select(*columns, F.size(vector).alias("_l")).where(F.forall(vector, lambda x: x.isNotNull()) & F.exists(vector, lambda x: x != 0) & F.col(person).isNotNull())
+    t, v = whole(test, F.col(key).alias("_k"), person, vector), whole(train, F.xxhash64(key).alias("_k"), person, vector)
+    buckets = max(1, -(-v.count() // BLOCK_ROWS))
+    bucket = F.pmod(F.xxhash64(person, "_l"), F.lit(buckets)).alias("_b")
+    t, v = t.select("*", bucket), v.select("*", bucket)
+    blocks = [max(1, -(-(side.groupBy("_b").count().agg(F.max("count")).first()[0] or 0) // BLOCK_ROWS)) for side in (t, v)]
+
+    def dealt(side: DataFrame, own: int) -> DataFrame:
+        other = F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - own] - 1)))
+        return side.select("*", F.pmod(F.xxhash64("_k"), F.lit(blocks[own])).cast("int").alias(f"_{own}"), other.alias(f"_{1 - own}"))
+
+    def closest(q, b):
+        import numpy as np
+        import pandas as pd
+
+        if not len(q) or not len(b):
+            return pd.DataFrame(columns=["_k", "closest"])
+        x, y = (np.stack(side[vector].to_numpy()).astype(float) for side in (q, b))
+        sim = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None])
+        best = np.where(q[person].to_numpy()[:, None] == b[person].to_numpy()[None], sim, -np.inf).max(1)
+        return pd.DataFrame({"_k": q["_k"], "closest": best})[~np.isneginf(best)]
+
+    keys = ["_b", "_l", "_0", "_1"]
+    met = dealt(t, 0).groupBy(*keys).cogroup(dealt(v, 1).groupBy(*keys)).applyInPandas(closest, f"_k {test.schema[key].dataType.simpleString()}, closest double")
+    seen = met.groupBy(F.col("_k").alias(key)).agg(F.max("closest").alias("closest"))
     return test.join(seen, key, "left").where(F.coalesce("closest", F.lit(-1.0)) <= most).drop("closest")
 
 

@@ -157,3 +157,20 @@ def test_nearest_directions_of_many_people_take_no_pairs():
     began = time.process_time()
     assert K.nearest_directions(x, 5).shape == (60_000, 5)
     assert time.process_time() - began < 30  # all pairs take minutes
+
+
+def test_near_own_rows_meet_in_blocks(spark):
+    from tallyhouse.operators import joins as J
+
+    rng = np.random.default_rng(8)
+    vectors = [v.tolist() for v in rng.normal(size=(400, 3))]
+    vectors[0], vectors[1], vectors[2] = [0.0, 0.0, 0.0], None, [1.0, None, 0.0]
+    rows = [(k, None if k == 5 else int(k % 3), v) for k, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "id long, who int, v array<float>")
+    kept = J.drop_near_own(df.where("id % 4 = 0"), df.where("id % 4 <> 0"), "id", "who", "v", 0.9)
+    cos = lambda a, b: float(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b))
+    usable = lambda v: v is not None and None not in v and any(v)
+    want = {k for k, who, v in rows if k % 4 == 0 and all(cos(v, u) <= 0.9 for j, w, u in rows if j % 4 and w == who and usable(u) and usable(v))}
+    assert {r.id for r in kept.collect()} == want
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "Join Inner" not in plan  # no row a pair
