@@ -53,6 +53,62 @@ def one_per_group(df: DataFrame, by: str, key: str, draws: int, seed: int = 0) -
     return d.groupBy("draw", by).agg(F.min_by(F.struct(*df.columns), F.struct(mixed, F.col(key))).alias("_r")).select("draw", "_r.*")
 
 
+#: Hashes made at once.
+STEP = 1 << 20
+
+
+def mean_of_one_per_group(df: DataFrame, by: str, key: str, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """draw, mean, n: the mean value (without NULLs) and the number of the rows that one_per_group gives, without a row for each row and draw.
+
+    Rows move once, by group; a task goes through its groups in turn, keeps each draw's least row of the group at hand and adds it to the
+    draw's sums, so that a number a draw leaves a task, whatever the size of a group. Groups of a NULL key are one group.
+    """
+    rows = df.select(F.xxhash64(by).alias("_g"), F.col(by).alias("_by"), F.col(key).cast("long").alias("_k"), small(key).alias("_s"), F.col(value).cast("double").alias("_v"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        turn = np.arange(draws)[:, None]
+        total, known, n = np.zeros(draws), np.zeros(draws, np.int64), np.zeros(draws, np.int64)
+        group, held = None, None  # held: mixed, key, value and whether known of each draw's least row so far
+
+        def put():
+            if held is not None:
+                total[held[3]] += held[2][held[3]]
+                known[held[3]] += 1
+                n[:] += 1
+
+        for batch in batches:
+            g = batch.column("_by").to_pylist()
+            k, s = (np.asarray(batch.column(c).fill_null(0)) for c in ("_k", "_s"))
+            there = ~np.asarray(batch.column("_v").is_null())
+            v = np.asarray(batch.column("_v").fill_null(0.0))
+            cuts = [0, *(i for i in range(1, len(g)) if g[i] != g[i - 1]), len(g)] if g else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if held is None or g[lo] != group:
+                    put()
+                    group, held = g[lo], None
+                for at in range(lo, hi, max(1, STEP // draws)):
+                    part = slice(at, min(hi, at + max(1, STEP // draws)))
+                    own = s[part]
+                    mixed = (own * 2654435761 + turn * 97 + (turn * own) % 65521 * 40503 + seed) % 4294967296
+                    least = mixed.min(1)
+                    tied = np.where(mixed == least[:, None], k[part], np.iinfo(np.int64).max)
+                    best = tied.argmin(1)
+                    new = (least, k[part][best], v[part][best], there[part][best])
+                    if held is None:
+                        held = new
+                    else:
+                        less = (new[0] < held[0]) | ((new[0] == held[0]) & (new[1] < held[1]))
+                        held = tuple(np.where(less, a, b) for a, b in zip(new, held, strict=True))
+        put()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws, dtype=np.int32)), pa.array(total), pa.array(known), pa.array(n)], names=["draw", "s", "k", "n"])
+
+    sums = rows.repartition("_g").sortWithinPartitions("_g", "_by").select("_by", "_k", "_s", "_v").mapInArrow(run, "draw int, s double, k long, n long")
+    return sums.groupBy("draw").agg(F.try_divide(F.sum("s"), F.sum("k")).alias("mean"), F.sum("n").alias("n")).where("n > 0")
+
+
 def halves(df: DataFrame, value: str, period: str, unit: str, splits: int, least: int = 5, seed: int = 0) -> DataFrame:
     """split, period, 0_m, 0_n, 1_m, 1_n: means and counts of both halves of each split, for periods with `least` rows in both."""
     d = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))

@@ -225,8 +225,8 @@ def quantile_bins(spark, sf):
 
 @query(R + ", d AS (SELECT *, unnest(range(200)) AS draw FROM r), k AS (SELECT draw, value, row_number() OVER (PARTITION BY draw, user_id ORDER BY (doc_id * 2654435761 + draw * 97 + (draw * doc_id) % 65521 * 40503) % 4294967296, doc_id) AS n FROM d) SELECT draw::INT AS draw, round(avg(value), 6) AS mean, count(*) AS n FROM k WHERE n = 1 GROUP BY 1")
 def one_report_per_person(spark, sf):
-    d = S.one_per_group(reports(spark, sf).select("doc_id", "user_id", "value"), "user_id", "doc_id", 200)
-    return d.groupBy("draw").agg(F.round(F.avg("value"), 6).alias("mean"), F.count("*").alias("n"))
+    d = S.mean_of_one_per_group(reports(spark, sf), "user_id", "doc_id", "value", 200)
+    return d.select("draw", F.round("mean", 6).alias("mean"), "n")
 
 
 @query(R + """, d AS (SELECT *, unnest(range(200)) AS split FROM r), h AS (SELECT *, ((user_id * 2654435761 + (split * (user_id % 65521 + 13)) % 65521 * 40503) % 4294967296 >> 7) % 2 AS h FROM d),

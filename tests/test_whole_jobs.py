@@ -174,3 +174,17 @@ def test_near_own_rows_meet_in_blocks(spark):
     assert {r.id for r in kept.collect()} == want
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "Join Inner" not in plan  # no row a pair
+
+
+def test_one_per_group_makes_no_row_a_draw(spark):
+    from pyspark.sql import functions as F
+
+    from tallyhouse.operators import sampling as S
+
+    rows = [(k, None if k % 11 == 0 else k % 7 if k > 400 else 100, None if k % 5 == 0 else k / 4) for k in range(12_000, 0, -1)] + [(7, 3, 1.0), (7 + 2**31, 3, 2.0)]
+    df = spark.createDataFrame(rows, "id long, who int, v double")
+    want = S.one_per_group(df, "who", "id", 30, 9).groupBy("draw").agg(F.avg("v").alias("mean"), F.count("*").alias("n"))
+    made = S.mean_of_one_per_group(df, "who", "id", "v", 30, 9)
+    key = lambda f: sorted((r.draw, round(r.mean, 9), r.n) for r in f.collect())
+    assert key(made) == key(want)
+    assert "Generate" not in QUERIES["one_report_per_person"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
