@@ -79,11 +79,13 @@ def adjacent_periods(df: DataFrame, person: str, period: str, lag: int = 1) -> D
 
 #: Rows of either side that a task holds at once where all of one side meet all of the other.
 BLOCK_ROWS = 2048
+#: Queries that meet as many base rows at once where every pair is a row of the result.
+PAIR_QUERIES = 256
 
 
-def in_blocks(queries: DataFrame, base: DataFrame, fn, schema: str) -> DataFrame:
-    """fn(queries, base) as pandas frames for every block of BLOCK_ROWS queries and of as many base rows, by cogroups of two hashes: nothing is broadcast, no group grows with the data."""
-    blocks = [max(1, -(-side.count() // BLOCK_ROWS)) for side in (queries, base)]
+def in_blocks(queries: DataFrame, base: DataFrame, fn, schema: str, query_rows: int | None = None) -> DataFrame:
+    """fn(queries, base) as pandas frames for every block of BLOCK_ROWS (or query_rows) queries and of BLOCK_ROWS base rows, by cogroups of two hashes: nothing is broadcast, no group grows with the data."""
+    blocks = [max(1, -(-side.count() // rows)) for side, rows in ((queries, query_rows or BLOCK_ROWS), (base, BLOCK_ROWS))]
 
     def dealt(side: DataFrame, own: int) -> DataFrame:
         key = F.pmod(F.xxhash64(*side.columns[:1]), F.lit(blocks[own])).cast("int")
@@ -120,7 +122,7 @@ def cosine_links(rows: DataFrame, key: str, vector: str, least: float) -> DataFr
 
 def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str, least: float | None = None) -> DataFrame:
     """Cosines of every query with every base row but itself, in blocks: key, other, sim; with least, those of that size or more, so that
-    what leaves a block is links, not pairs."""
+    what leaves a block is links, not pairs; without, blocks are of PAIR_QUERIES queries, since every pair of a block is a row in memory."""
     kind = base.schema[key].dataType.simpleString()
 
     def pairs(q, b):
@@ -137,7 +139,7 @@ def cosines_to_all(queries: DataFrame, base: DataFrame, key: str, vector: str, l
         return pd.DataFrame({key: own[i], "other": others[j], "sim": sim[i, j]})
 
     others = base.select(F.col(key).alias("other"), F.col(vector).alias("_v"))
-    return in_blocks(queries.select(key, vector), others, pairs, f"{key} {kind}, other {kind}, sim double")
+    return in_blocks(queries.select(key, vector), others, pairs, f"{key} {kind}, other {kind}, sim double", PAIR_QUERIES if least is None else None)
 
 
 def nearest(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int) -> DataFrame:

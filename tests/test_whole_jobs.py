@@ -188,3 +188,14 @@ def test_one_per_group_makes_no_row_a_draw(spark):
     key = lambda f: sorted((r.draw, round(r.mean, 9), r.n) for r in f.collect())
     assert key(made) == key(want)
     assert "Generate" not in QUERIES["one_report_per_person"](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_pairs_stay_small(spark, monkeypatch):
+    from tallyhouse.operators import joins as J
+
+    real, used = J.in_blocks, []
+    monkeypatch.setattr(J, "in_blocks", lambda q, b, fn, schema, rows=None: used.append(rows) or real(q, b, lambda x, y: fn(x, y).assign(sim=float(len(x) * len(y))), schema, rows))
+    df = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(1500)], "vec_id long, embedding array<float>")
+    got = J.cosines_to_all(df, df, "vec_id", "embedding").agg({"sim": "max", "*": "count"}).first()
+    assert got["count(1)"] == 1500 * 1499
+    assert used == [256] and got["max(sim)"] < 1500 * 512
