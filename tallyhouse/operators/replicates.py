@@ -19,6 +19,10 @@ from .permutations import STEP, _hash, dealt_out, in_strata, scattered
 
 #: Chances of a Poisson number of mean 1 to be at most 0, 1, ...
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+#: Places of a pool up to which each unit finds out by its place in which draws it is; in larger pools a draw is dealt to blocks first.
+PLACED_POOL = 1 << 16
+#: Units of a day that meet in a task where draws are dealt to blocks.
+BLOCK_UNITS = 1 << 14
 
 
 def weights(name: np.ndarray, draws: np.ndarray, seed: int) -> np.ndarray:
@@ -247,15 +251,45 @@ def _ln_binomial(n: Column, k: Column, p: float) -> Column:
     return _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k) + k * math.log(p) + (n - k) * math.log(1 - p)
 
 
-def synchrony(units: DataFrame, vector: str, size: int, day: str = "day", within: int = 56, draws: int = 1000, same_weekday: bool = True, least: int = 3) -> DataFrame:
+def block_edges(sizes: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the blocks of a pool begin and end, of days of so many units one after another, each cut into blocks; and the number of
+    blocks before each day."""
+    many = -(-sizes // block)
+    first = np.cumsum(many) - many
+    inner = np.arange(many.sum()) - np.repeat(first, many)
+    length = np.minimum(block, np.repeat(sizes, many) - inner * block)
+    return np.r_[0, np.cumsum(length)], first
+
+
+def block_counts(leaf: int, edges: np.ndarray, k: int, name: str, draws: int) -> np.ndarray:
+    """How many of k places, drawn without replacement from the whole pool, lie in one of its blocks: a number a draw. The pool is halved
+    down to the block, and what a half gets follows from the name and the half alone, so that blocks in different tasks agree."""
+    lo, hi, count = 0, len(edges) - 1, np.full(draws, k)
+    while hi - lo > 1:
+        mid = (lo + hi) // 2
+        low = K.rng_of("halves", name, lo, hi).hypergeometric(edges[mid] - edges[lo], edges[hi] - edges[mid], count)
+        if leaf < mid:
+            count, hi = low, mid
+        else:
+            count, lo = count - low, mid
+    return count
+
+
+def synchrony(units: DataFrame, vector: str, size: int, day: str = "day", within: int = 56, draws: int = 1000, same_weekday: bool = True, least: int = 3, placed_pool: int | None = None, block: int | None = None) -> DataFrame:
     """Cohesion of each day's units against that of as many units drawn from nearby days: day, n, obs, null_mean, null_sd, excess, z, p.
 
     A day's pool holds the units of days within `within` days, one day's after another's, so a unit's place in a pool follows from its
     place in its own day; a place tells in which draws its unit is. A task adds up the drawn vectors by day and draw.
+
+    In a pool of more than `placed_pool` places (PLACED_POOL) most units would find that they are in none of most draws. There each draw
+    is first dealt to blocks of `block` units (BLOCK_UNITS) of a day, by hypergeometric numbers, and a block then picks that many of its
+    own units without replacement: the same distribution, and no more work than there are units drawn.
     """
     from .joins import neighbourhood
     from .vectors import cohesion
 
+    placed_pool, block = PLACED_POOL if placed_pool is None else placed_pool, BLOCK_UNITS if block is None else block
+    units = saved(units.select(day, "unit_id", vector), "synchrony-units")
     seen = saved(cohesion(units, vector, [day]).where(F.col("n") >= least).withColumnRenamed("cohesion", "obs"), "synchrony-days")
     placed = in_strata(units.select(day, "unit_id", vector), "unit_id", day, [vector], [F.col("unit_id")]).select(F.col(day).alias("other"), vector, "_place", "_size")
     sizes = units.groupBy(F.col(day).alias("other")).agg(F.count("*").alias("m"))
@@ -263,7 +297,9 @@ def synchrony(units: DataFrame, vector: str, size: int, day: str = "day", within
     near = neighbourhood(units.select(day), within, same_weekday, day).join(sizes, "other")
     near = near.withColumns({"start": F.coalesce(F.sum("m").over(before), F.lit(0)), "pool": F.sum("m").over(Window.partitionBy(day))})
     near = near.join(seen.select(day, F.col("n").alias("k")), day).where("pool >= k")
-    pool = dealt_out(placed, "other", "_place").join(sized(saved(near.select(day, "other", "start", "pool", "k"), "synchrony-pools")), "other")
+    near = saved(near.select(day, "other", "start", "pool", "k", "m"), "synchrony-pools")
+    few = saved(near.where(F.col("pool") <= placed_pool).select(day, "other", "start", "pool", "k"), "synchrony-placed")
+    pool = dealt_out(placed, "other", "_place").join(sized(few), "other")
     rows = pool.select(day, F.xxhash64(F.col(day).cast("string")).alias("name"), (F.col("start") + F.col("_place")).alias("place"), "pool", "k", F.col(vector).alias("x"))
     kind, arrow = units.schema[day].dataType.simpleString(), to_arrow_type(units.schema[day].dataType)
 
@@ -299,7 +335,33 @@ def synchrony(units: DataFrame, vector: str, size: int, day: str = "day", within
         t = np.sum([np.frombuffer(v).reshape(draws, size) for v in pdf["x"]], axis=0)
         return pd.DataFrame([{day: ids[0], "lengths": (t * t).sum(1)}])
 
-    sums = rows.mapInArrow(run, f"{day} {kind}, x binary").groupBy(day).applyInPandas(one, f"{day} {kind}, lengths array<double>")
+    def picked(own, pools):
+        import pandas as pd
+
+        if not len(own) or not len(pools):
+            return pd.DataFrame(columns=[day, "x"])
+        x = np.stack(own.sort_values("_place")[vector].to_numpy()).astype(float)
+        out = []
+        for w, sizes_, turn, k, b in zip(pools[day], pools["sizes"], pools["turn"], pools["k"], pools["_block"], strict=True):
+            edges, first = block_edges(np.asarray(sizes_, np.int64), block)
+            leaf = int(first[turn] + b)
+            rng = K.rng_of("picked", str(w), leaf)
+            made = [x[rng.choice(len(x), c, replace=False, shuffle=False)].sum(0) for c in block_counts(leaf, edges, int(k), str(w), draws).tolist()]
+            out.append((w, np.stack(made).tobytes()))
+        return pd.DataFrame(out, columns=[day, "x"])
+
+    made = rows.mapInArrow(run, f"{day} {kind}, x binary")
+    many = near.where(F.col("pool") > placed_pool)
+    if not many.isEmpty():
+        pools = many.groupBy(day).agg(F.array_sort(F.collect_list(F.struct("other", "m", "k"))).alias("_p"))  # a day nearby each
+        at = pools.select(day, F.transform("_p", lambda s: s["m"]).alias("sizes"), F.posexplode("_p").alias("turn", "_s"))
+        blocks = F.explode(F.sequence(F.lit(0), F.floor((F.col("_s.m") - 1) / block).cast("int"))).alias("_block")
+        at = at.select(F.col("_s.other").alias("other"), blocks, day, "sizes", "turn", F.col("_s.k").alias("k"))
+        own = placed.select("other", F.floor(F.col("_place") / block).cast("int").alias("_block"), "_place", vector)
+        keys = ("other", "_block")
+        met = dealt_out(own, *keys).groupBy(*keys).cogroup(dealt_out(at, *keys).groupBy(*keys))
+        made = made.unionByName(met.applyInPandas(picked, f"{day} {kind}, x binary"))
+    sums = made.groupBy(day).applyInPandas(one, f"{day} {kind}, lengths array<double>")
     n = F.col("n")
     met = seen.join(sums, day).withColumn("_x", F.transform("lengths", lambda s: (s - n) / (n * (n - 1))))
     mean = F.aggregate("_x", F.lit(0.0), lambda a, v: a + v) / F.size("_x")

@@ -102,6 +102,37 @@ def test_synchrony_is_the_plain_one(spark):
         assert (r.n, r.obs, r.null_mean, r.null_sd, r.p) == pytest.approx((k, obs, null.mean(), null.std(ddof=1), (1 + (null >= obs - 1e-12).sum()) / 151))
 
 
+def test_draws_dealt_to_blocks():
+    sizes, block = np.array([40, 7, 23]), 16
+    edges, first = R.block_edges(sizes, block)
+    assert edges.tolist() == [0, 16, 32, 40, 47, 63, 70] and first.tolist() == [0, 3, 4]
+    counts = np.stack([R.block_counts(leaf, edges, 25, "d", 4000) for leaf in range(6)])
+    size = np.diff(edges)
+    assert (counts.sum(0) == 25).all() and (counts <= size[:, None]).all() and (counts >= 0).all()
+    assert counts.mean(1) == pytest.approx(25 * size / 70, rel=0.02)
+    spread = 25 * size / 70 * (1 - size / 70) * (45 / 69)
+    assert counts.var(1) == pytest.approx(spread, rel=0.12)
+
+
+def test_synchrony_of_large_pools(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(0, 1.5, 900)
+    rows = [(i // 150, i, float(np.cos(v)), float(np.sin(v))) for i, v in enumerate(a)]
+    units = spark.createDataFrame(rows, "d int, unit_id int, x double, y double").select(F.expr("date_add(date'2024-01-01', d)").alias("day"), "unit_id", F.array("x", "y").alias("u"))
+    made = lambda parts, **kw: {r.day.day - 1: r for r in R.synchrony(units.repartition(parts), "u", 2, within=4, same_weekday=False, **kw).collect()}
+    got, again, placed = made(3, placed_pool=0, block=32), made(5, placed_pool=0, block=32), made(3)
+    mixed = made(3, placed_pool=700, block=32)  # the first and the last day have 600 places, the others 750
+    x = np.c_[np.cos(a), np.sin(a)]
+    for d in range(6):
+        r, pool = got[d], x[[i for i in range(900) if i // 150 != d and abs(i // 150 - d) <= 4]]
+        n = len(pool)
+        mean = ((pool.sum(0) ** 2).sum() - n) / (n * (n - 1))  # of all the pool's pairs, and so of a draw's
+        assert r.null_mean == pytest.approx(mean, abs=4 * r.null_sd / math.sqrt(1000))
+        assert (r.n, r.obs) == (placed[d].n, placed[d].obs) and r.null_sd == pytest.approx(placed[d].null_sd, rel=0.12) and abs(r.p - placed[d].p) < 0.08
+        assert again[d].null_mean == pytest.approx(r.null_mean, rel=1e-9)
+        assert mixed[d].null_mean == pytest.approx((placed if d in (0, 5) else got)[d].null_mean, rel=1e-9)
+
+
 def test_days_beyond_chance(spark):
     rng = np.random.default_rng(4)
     p = np.where(rng.random(90) < 0.2, 0.01, rng.random(90))
