@@ -10,6 +10,7 @@ from ..functions import calendar as Cal
 from ..functions import text as X
 from ..operators import inference as I
 from ..sources import readers as S
+from ..sources.shared import saved
 from ..sources.tables import daily_orders, read, reports, six
 from ..streaming import panels as St
 from .panel import ORDERS, R, text
@@ -112,7 +113,8 @@ def arc_clusters(spark, sf):
 
     arcs = trajectories(spark, sf, 5).select("doc_id", A.resample(F.col("v")).alias("arc"))
     flat = A.let(F.col("arc"), lambda v: A.let(A.mean(v), lambda m: F.transform(v, lambda x: x - m)))
-    shaped = arcs.select("doc_id", "arc", array_to_vector(flat).alias("features"))
+    # fitting passes over the arcs many times: texts are cut into sentences once
+    shaped = saved(arcs.select("doc_id", "arc", flat.alias("flat")), "arcs").select("doc_id", "arc", array_to_vector("flat").alias("features"))
     model = KMeans(k=6, seed=0, maxIter=20).fit(shaped)
     return model.transform(shaped).groupBy("prediction").agg(F.count("*").alias("n"), F.avg(F.element_at("arc", -1) - F.element_at("arc", 1)).alias("drift"))
 
