@@ -269,10 +269,12 @@ def arc_modes(arcs: DataFrame, arc: str, size: int, top: int = 3) -> DataFrame:
 
 def heaps(tokens: DataFrame, order: list[str], token: str = "token", points: int = 20) -> DataFrame:
     """Growth of vocabulary over a stated order of documents: exponent of distinct tokens against tokens. tokens: order columns, token, freq."""
-    first = tokens.groupBy(token).agg(F.min(F.struct(*order)).alias("o"))
+    place = F.col(order[0]) if len(order) == 1 else F.struct(*order)  # the least of one column is found by hashing, that of a struct by sorting
+    first = tokens.groupBy(token).agg(F.min(place).alias("o"))
     new = first.groupBy("o").agg(F.count("*").alias("new"))
-    size = tokens.groupBy(F.struct(*order).alias("o")).agg(F.sum("freq").alias("n"))
-    both = size.join(new, "o", "left").select("o.*", "n", F.coalesce("new", F.lit(0)).alias("new"))
+    size = tokens.groupBy(place.alias("o")).agg(F.sum("freq").alias("n"))
+    named = [F.col("o").alias(order[0])] if len(order) == 1 else ["o.*"]
+    both = size.join(new, "o", "left").select(*named, "n", F.coalesce("new", F.lit(0)).alias("new"))
     before = cumulated(both, order, {"_n": "n", "_v": "new"})
     run = before.select((F.col("_n") + F.col("n")).alias("n"), (F.col("_v") + F.col("new")).alias("v"))
     return run.where("n >= 100").agg(F.regr_slope(F.log("v"), F.log("n")).alias("exponent"), F.count("*").alias("documents"))

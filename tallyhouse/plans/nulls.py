@@ -115,7 +115,7 @@ def arc_modes(spark, sf):
 
 @query("WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM documents), f AS (SELECT token, min(doc_id) AS o FROM t GROUP BY 1), n AS (SELECT o, count(*) AS new FROM f GROUP BY 1), s AS (SELECT doc_id AS o, count(*) AS n FROM t GROUP BY 1), r AS (SELECT sum(n) OVER (ORDER BY o) AS n, sum(coalesce(new, 0)) OVER (ORDER BY o) AS v FROM s LEFT JOIN n USING (o)) SELECT round(regr_slope(ln(v), ln(n)), 6) AS exponent, count(*) AS documents FROM r WHERE n >= 100")
 def heaps_exponent(spark, sf):
-    t = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("freq"))
+    t = read(spark, sf, "documents").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("token"), F.lit(1).alias("freq"))  # a row a token: tasks count before anything moves
     return N.heaps(t, ["doc_id"]).select(six("exponent").alias("exponent"), "documents")
 
 
