@@ -18,6 +18,7 @@ from ..operators import nulls as N
 from ..operators import records as R2
 from ..operators import sampling as S
 from ..operators import windows as W
+from ..sources.shared import saved
 from ..sources.tables import read, reports, six
 from .events import per_series
 from .panel import R
@@ -105,7 +106,7 @@ def shape_power(spark, sf):
 @query()
 def grouped_folds_auc(spark, sf):
     """Forward against reversed with folds by document and by author."""
-    rows = R2.both_ways(trajectories(spark, sf), ["doc_id", "source"], "v")
+    rows = saved(R2.both_ways(saved(trajectories(spark, sf), "trajectories"), ["doc_id", "source"], "v"), "both-ways")
     out = [I.folded_auc(rows.withColumn("fold", F.pmod(F.xxhash64(c), F.lit(5))), list(ORDER), "y", "fold").select(F.col("auc").alias(f"auc_by_{n}")) for c, n in (("doc_id", "document"), ("source", "author"))]
     return out[0].crossJoin(out[1])  # one row each
 
