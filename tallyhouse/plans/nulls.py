@@ -13,6 +13,7 @@ from ..operators import permutations as M
 from ..operators import replicates as Rep
 from ..operators import sampling as S
 from ..operators import windows as W
+from ..sources.shared import saved
 from ..sources.tables import daily_orders, read, reports, six
 from .events import SPACED, events
 from .panel import ORDERS, R, text
@@ -55,6 +56,7 @@ def corpus_contrast(spark, sf):
 def matched_contrast_over_seeds(spark, sf):
     """The contrast of two sets of sources' trajectories at equal numbers of sentences: median and range over 50 matchings, 1,000 bootstraps each."""
     t = trajectories(spark, sf).select("doc_id", "source", (F.col("source") < "src15").cast("int").alias("side"), F.size("v").alias("k"), (F.element_at("v", -1) - F.element_at("v", 1)).alias("x"))
+    t = saved(t, "matched-trajectories")  # sizes, places and rows are taken from it apart
     return Rep.over_seeds(Rep.matched_over_seeds(t, "doc_id", "side", "k", "source", "x"))
 
 
