@@ -5,6 +5,7 @@ import importlib
 import pytest
 from pyspark.sql import functions as F
 
+from tallyhouse.functions import scoring
 from tallyhouse.operators import graph as G
 from tallyhouse.operators import nulls as N
 from tallyhouse.plans import catalog
@@ -59,3 +60,11 @@ def test_vocabulary_grows_without_sorting_tokens(spark):
     finally:
         N.cumulated = real
     assert "SortAggregate" not in seen[0]
+
+
+def test_scorers_hold_few_texts_at_once(spark):
+    df = spark.createDataFrame([(i, None if i % 7 == 0 else "x" * (i % 5)) for i in range(1500)], "i long, t string").coalesce(1)
+    got = scoring.scored(df, "t", lambda texts: [len(texts)] * len(texts), batch=10_000, keep=["i"]).collect()
+    assert [r.i for r in got] == list(range(1500)) and max(r.score for r in got) <= scoring.ROWS
+    e = scoring.scored(df, "t", scoring.hashed_embedding, "e", kind="array<double>", keep=["i"]).collect()
+    assert [(r.i, len(r.e)) for r in e] == [(i, 64) for i in range(1500)]
