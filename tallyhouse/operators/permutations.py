@@ -209,10 +209,12 @@ def network_contrast(df: DataFrame, columns: list[str], key: str, label: str, st
     products by one matrix multiplication; sums by draw meet.
     """
     known = df.dropna(subset=[*columns, label, stratum]).select(key, F.col(label).cast("int").alias("_label"), F.col(stratum).alias("_stratum"), *columns)
+    known = saved(known, "contrast-known")  # counted, sized and numbered apart
     least = known.agg(F.least(F.count_if(F.col("_label") == 1), F.count_if(F.col("_label") == 0)).alias("n")).first().n
     even = in_strata(known, key, "_label", ["_stratum", *columns], [order_of(key, seed), F.col(key)]).where(F.col("_place") < least)
     even = saved(even.select(key, "_label", "_stratum", *columns), "contrast-rows")
     rank = ranked(even, columns).select(key, "_label", "_stratum", F.array(*(F.col(f"_r_{c}") - F.lit(least + 0.5) for c in columns)).alias("x"))
+    rank = saved(rank, "contrast-ranks")
     placed = in_strata(rank, key, "_stratum", ["_label", "x"], [order_of(key, seed + 1), F.col(key)]).select(F.xxhash64(F.col("_stratum").cast("string")).alias("name"), "_label", "x", "_place", "_size")
     c = len(columns)
     upper = np.triu_indices(c)

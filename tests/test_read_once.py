@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyhouse.functions import scoring
 from tallyhouse.operators import graph as G
 from tallyhouse.operators import nulls as N
+from tallyhouse.operators import permutations as M
 from tallyhouse.plans import catalog
 from tallyhouse.plans import text as T
 from tests.conftest import SMALL
@@ -68,3 +69,9 @@ def test_scorers_hold_few_texts_at_once(spark):
     assert [r.i for r in got] == list(range(1500)) and max(r.score for r in got) <= scoring.ROWS
     e = scoring.scored(df, "t", scoring.hashed_embedding, "e", kind="array<double>", keep=["i"]).collect()
     assert [(r.i, len(r.e)) for r in e] == [(i, 64) for i in range(1500)]
+
+
+def test_network_contrast_reads_rows_once(spark):
+    rows = [(i, i % 2, i % 3, float(i * 7 % 31), float(i * i % 29)) for i in range(120)]
+    df, seen = counting(spark, spark.createDataFrame(rows, "i long, y int, m int, a double, b double"), "i")
+    assert len(M.network_contrast(df, ["a", "b"], "i", "y", "m", draws=10).collect()) == 1 and seen.value == 120
