@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import kernels as K
 from ..sources.shared import saved
 from .nulls import beyond_null
-from .permutations import _hash, dealt_out, scattered
+from .permutations import STEP, _hash, dealt_out, scattered
 from .ranks import ranked
 from .sampling import numbered
 from .vectors import covariance, matrix_of
@@ -121,19 +121,27 @@ def arc_order_control(docs: DataFrame, key: str, values: str, points: int = 20,
 
         total = np.zeros((draws + 1, 1 + points + points * points))
         for batch in batches:
-            made = []
-            for name, v in zip(np.asarray(batch.column("name")), batch.column("v").to_pylist(), strict=True):
-                v = np.array(v, float)
-                if not np.isfinite(v).all():
-                    continue
-                to = scattered(np.arange(len(v)), np.full(len(v), len(v)), np.full(len(v), name).view(np.uint64), np.arange(draws))
-                dealt = np.empty((draws + 1, len(v)))
-                dealt[0] = v
-                np.put_along_axis(dealt[1:], to, np.broadcast_to(v, to.shape), 1)
-                made.append(arcs_of(dealt, points))
-            if made:
-                a = np.stack(made)
-                total += np.concatenate([np.full((draws + 1, 1), len(a)), a.sum(0), np.einsum("nbi,nbj->bij", a, a).reshape(draws + 1, -1)], 1)
+            names, column = np.asarray(batch.column("name")), batch.column("v")
+            ends, flat = np.asarray(column.offsets), np.asarray(column.values.fill_null(np.nan), float)
+            sizes = np.diff(ends)
+            # documents of one length are dealt together
+            for n in np.unique(sizes):
+                same = np.flatnonzero(sizes == n)
+                step = max(1, STEP // ((draws + 1) * max(int(n), points)))
+                for lo in range(0, len(same), step):
+                    own = same[lo : lo + step]
+                    v = flat[ends[own][:, None] + np.arange(n)]
+                    known = np.isfinite(v).all(1)
+                    own, v = own[known], v[known]
+                    if not len(own):
+                        continue
+                    shape = (draws, len(own), n)
+                    to = scattered(np.tile(np.arange(n), len(own)), np.full(len(own) * n, n), np.repeat(names[own], n).view(np.uint64), np.arange(draws)).reshape(shape)
+                    dealt = np.empty((draws + 1, len(own), n))
+                    dealt[0] = v
+                    np.put_along_axis(dealt[1:], to, np.broadcast_to(v, shape), 2)
+                    a = arcs_of(dealt.reshape(-1, n), points).reshape(draws + 1, len(own), points)
+                    total += np.concatenate([np.full((draws + 1, 1), len(own)), a.sum(1), (a.transpose(0, 2, 1) @ a).reshape(draws + 1, -1)], 1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(draws + 1, dtype=np.int32)), pa.array([t.tobytes() for t in total])], names=["draw", "x"])
 
     def one(ids, pdf):
