@@ -7,6 +7,8 @@ move. Restricted groups of permutations (within strata, of whole blocks) are bij
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,10 +104,17 @@ def _network(start: np.ndarray, key: np.ndarray, a: np.ndarray, b: np.ndarray, n
 
 def _turned(half: np.ndarray, by: np.ndarray, key: np.ndarray, step: int, size: np.ndarray) -> np.ndarray:
     """half, moved round its size by a hash of the other half."""
+    h = _moves(by, key, step, size)
+    h += half
+    return np.where(h >= size, h - size, h)
+
+
+def _moves(by: np.ndarray, key: np.ndarray, step: int, size: np.ndarray) -> np.ndarray:
+    """How far a step of the network moves a half, below its size."""
     with np.errstate(over="ignore"):
         h = by * np.uint64(0x9E3779B97F4A7C15)
-        h += np.uint64((0xD1342543DE82EF95 * (step + 1)) & (2**64 - 1))
-        h ^= key
+        h = h + np.uint64((0xD1342543DE82EF95 * (step + 1)) & (2**64 - 1))
+        h = h ^ key
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -113,8 +122,55 @@ def _turned(half: np.ndarray, by: np.ndarray, key: np.ndarray, step: int, size:
         h >>= np.uint64(32)
         h *= size
         h >>= np.uint64(32)
-        h += half
-        return np.where(h >= size, h - size, h)
+    return h
+
+
+class Whence:
+    """scattered() of one whole group, the other way round: which place comes to each place in each draw.
+
+    A step moves a half by a hash of the other half, and a group of n places has about sqrt(n) halves: each is hashed once a draw and
+    kept in a table, so that a place in a draw costs six look-ups. Halves are held as half * draws + draw, their own place in a table.
+    """
+
+    def __init__(self, size: int, name: np.uint64, draws: np.ndarray):
+        self.size, self.draws = size, len(draws)
+        key = _hash(name, draws)
+        if size <= ORDERED:
+            inner = np.arange(size, dtype=np.uint64)
+            order = np.sort((_hash(key[:, None], inner[None]) >> np.uint64(20)) << np.uint64(5) | inner, axis=1)
+            self.order = np.ascontiguousarray((order & np.uint64(ORDERED - 1)).T).view(np.int64)
+            return
+        a = int(np.ceil(np.sqrt(size)))
+        self.halves = a, -(-size // a)
+        self.tables = []
+        for step in range(ROUNDS):
+            own, other = self.halves[step % 2], self.halves[1 - step % 2]
+            moved = _moves(np.arange(other, dtype=np.uint64)[:, None], key[None], step, np.uint64(own))
+            self.tables.append(((np.uint64(own) - moved) * np.uint64(self.draws)).ravel())
+        self.beyond = self._back(np.arange(size, a * self.halves[1])).ravel()
+
+    def _back(self, place: np.ndarray) -> np.ndarray:
+        d, (a, b) = np.uint64(self.draws), self.halves
+        draw = np.arange(self.draws, dtype=np.uint64)
+        halves = [np.add.outer(half.astype(np.uint64) * d, draw) for half in (place // b, place % b)]
+        for step in reversed(range(ROUNDS)):
+            half, by = halves[step % 2], halves[1 - step % 2]
+            half += self.tables[step].take(by.view(np.int64), mode="clip")
+            np.minimum(half, half - np.uint64(self.halves[step % 2]) * d, out=half)  # below 0 an unsigned number is a large one
+        left, right = (half // d for half in halves)
+        return (left * np.uint64(b) + right).view(np.int64)
+
+    def __call__(self, place: np.ndarray) -> np.ndarray:
+        """Places by draws."""
+        if self.size <= ORDERED:
+            return self.order[place]
+        x = self._back(place)
+        flat = x.ravel()
+        at = np.flatnonzero(flat >= self.size)
+        while len(at):  # what comes from outside the group's places came there from a place before
+            flat[at] = self.beyond[(flat[at] - self.size) * self.draws + at % self.draws]
+            at = at[flat[at] >= self.size]
+        return x
 
 
 # ---- whose centroid is nearest -------------------------------------------------------------------
@@ -282,6 +338,24 @@ def dealt_places(place: np.ndarray, size: np.ndarray, name: np.ndarray, draws: n
     return to * block + place % block - np.where(last < to, short, 0)
 
 
+def dealt_whence(size: int, name: np.uint64, draws: np.ndarray, block: int):
+    """dealt_places() of one whole group, the other way round, for successive places, as Whence."""
+    if block == 1:
+        return Whence(size, name, draws)
+    blocks, short = -(-size // block), -size % block
+    whence = Whence(blocks, name, draws)
+    last = scattered(np.array([blocks - 1]), np.array([blocks]), np.array([name]), draws)[:, 0]
+    ends = (last + 1) * block - short  # of the short block: what comes after it has moved up
+
+    def blockwise(place: np.ndarray) -> np.ndarray:
+        full = place[:, None] + np.where(place[:, None] >= ends, short, 0)
+        first = place[0] // block
+        order = whence(np.arange(first, full[-1].max() // block + 1))
+        return np.take_along_axis(order, full // block - first, 0) * block + full % block
+
+    return blockwise
+
+
 def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column], draws: int, seed: str = "within", stratum: Column | None = None, block: int = 1, hot: int | None = None) -> DataFrame:
     """period, draw, n and s: the sums of the columns by period when each person's rows are dealt anew over the person's own rows; draw
     -1 is as observed. With stratum only over rows of the same stratum (a weekday, say, so that weekdays are kept); with block > 1 whole
@@ -337,9 +411,9 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
                 flat.append((own[codes] * draws + np.arange(draws)[:, None]).ravel())
                 weight.append(np.broadcast_to(values[None], (draws, *values.shape)).reshape(-1, c))
             flat, weight = np.concatenate(flat), np.concatenate(weight)
-            made = np.stack([np.bincount(flat, weight[:, k], len(known) * draws) for k in range(c)], 1).reshape(len(known), draws, c)
+            made = np.stack([np.bincount(flat, weight[:, k], len(known) * draws) for k in range(c)]).reshape(c, len(known), draws)
             for p, k in known.items():
-                self.totals[p] = self.totals[p] + made[k] if p in self.totals else made[k].copy()
+                self.totals[p] = self.totals[p] + made[:, k] if p in self.totals else made[:, k].copy()
             self.waiting, self.size = [], 0
 
         def full(self) -> bool:
@@ -347,18 +421,23 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
 
     def together(batches):
         sums, held = Sums(), None
+        step = max(1, CACHED // draws)
 
         def deal(who, periods, values):
-            names = sorted(set(periods))
-            place = {p: k for k, p in enumerate(names)}
-            codes = np.array([place[p] for p in periods])
-            for p, k in zip(*np.unique(codes, return_counts=True), strict=True):
-                sums.counts[names[p]] = sums.counts.get(names[p], 0) + int(k)
-            n = len(values)
-            for lo in range(0, n, max(1, STEP // draws)):
-                part = np.arange(lo, min(n, lo + max(1, STEP // draws)))
-                to = dealt_places(part, np.full(len(part), n), np.full(len(part), who).astype(np.int64).view(np.uint64), np.arange(draws), block)
-                sums.put(codes[to], names, values[part])
+            whence = dealt_whence(len(values), np.int64(who).view(np.uint64), np.arange(draws), block)
+            for lo in range(0, len(values), step):
+                come = whence(np.arange(lo, min(len(values), lo + step)))
+                moved = np.empty((c, *come.shape))
+                for v, to in zip(values.T, moved, strict=True):
+                    v.take(come, out=to, mode="clip")
+                at = 0
+                for p, run in groupby(periods[lo : lo + step]):  # the places of a period are successive
+                    k = len(list(run))
+                    if p not in sums.totals:
+                        sums.totals[p] = np.zeros((c, draws))
+                    sums.totals[p] += moved[:, at : at + k].sum(1)
+                    sums.counts[p] = sums.counts.get(p, 0) + k
+                    at += k
 
         for batch in batches:
             who = np.asarray(batch.column("name"))
@@ -376,14 +455,12 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
                     deal(*held)
                 held = new
             if sums.full():
-                sums.add()
-                yield emitted(sums.totals, {p: sums.counts.pop(p, 0) for p in sums.totals})
-                sums.totals = {}
+                yield emitted(sums.totals, sums.counts)
+                sums.totals, sums.counts = {}, {}
         if held is not None:
             deal(*held)
-        sums.add()
         if sums.totals:
-            yield emitted(sums.totals, {p: sums.counts.get(p, 0) for p in sums.totals})
+            yield emitted(sums.totals, sums.counts)
 
     dealt = usual.repartition("name").sortWithinPartitions("name", "period", "x").mapInArrow(together, f"period {kind}, n long, s binary")
 
@@ -410,7 +487,7 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
         sums.add()
         if sums.totals or sums.counts:
             for p in sums.counts:
-                sums.totals.setdefault(p, np.zeros((draws, c)))
+                sums.totals.setdefault(p, np.zeros((c, draws)))
             yield emitted(sums.totals, {p: sums.counts.get(p, 0) for p in sums.totals})
 
     if any_hot:
@@ -424,7 +501,7 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
     def told(ids, pdf):
         import pandas as pd
 
-        total = np.sum([np.frombuffer(v).reshape(draws, c) for v in pdf["s"]], axis=0)
+        total = np.sum([np.frombuffer(v).reshape(c, draws) for v in pdf["s"]], axis=0).T
         return pd.DataFrame({"period": [ids[0]] * draws, "n": int(pdf["n"].sum()), "s": list(total), "draw": np.arange(draws, dtype=np.int32)})
 
     # a group holds a period's sums of every task

@@ -49,6 +49,25 @@ def test_blocks_stay_together(n):
     assert len({tuple(r) for r in to.tolist()}) > 1
 
 
+@pytest.mark.parametrize("n", [1, 2, 9, 32, 33, 50, 66, 81, 101, 1000, 4099])
+@pytest.mark.parametrize("block", [1, 3, 4])
+def test_what_comes_is_what_was_sent(n, block):
+    name, draws = np.uint64(2**63 + 17 * n), np.arange(40)
+    whence = M.dealt_whence(n, name, draws, block)
+    come = np.concatenate([whence(np.arange(lo, min(n, lo + 25))) for lo in range(0, n, 25)])
+    to = M.dealt_places(np.arange(n), np.full(n, n), np.full(n, name), draws, block)
+    assert (np.take_along_axis(come.T, to, 1) == np.arange(n)).all()
+
+
+def test_a_whole_group_hashes_halves_not_rows(monkeypatch):
+    """A person's rows in a draw cost look-ups; hashes are of about sqrt(n) halves a step, where each row had its own."""
+    made, usual = [], M._moves
+    monkeypatch.setattr(M, "_moves", lambda *a: made.append(usual(*a)) or made[-1])
+    n, draws = 4096, 10
+    M.Whence(n, np.uint64(5), np.arange(draws))(np.arange(n))
+    assert sum(m.size for m in made) == M.ROUNDS * 64 * draws
+
+
 def shuffled(frame, **more):
     s = N.shuffled_sums(frame, "u", "d", [F.col("v"), F.lit(1.0)], 40, **more).toPandas().sort_values(["draw", "d"])
     return s["draw"].tolist(), s["d"].tolist(), s["n"].tolist(), np.stack(s["s"])
