@@ -153,12 +153,16 @@ class Whence:
         d, (a, b) = np.uint64(self.draws), self.halves
         draw = np.arange(self.draws, dtype=np.uint64)
         halves = [np.add.outer(half.astype(np.uint64) * d, draw) for half in (place // b, place % b)]
+        spare = np.empty_like(halves[0])
         for step in reversed(range(ROUNDS)):
             half, by = halves[step % 2], halves[1 - step % 2]
-            half += self.tables[step].take(by.view(np.int64), mode="clip")
-            np.minimum(half, half - np.uint64(self.halves[step % 2]) * d, out=half)  # below 0 an unsigned number is a large one
-        left, right = (half // d for half in halves)
-        return (left * np.uint64(b) + right).view(np.int64)
+            half += self.tables[step].take(by.view(np.int64), out=spare, mode="clip")
+            np.subtract(half, np.uint64(self.halves[step % 2]) * d, out=spare)
+            np.minimum(half, spare, out=half)  # below 0 an unsigned number is a large one
+        left, right = (np.floor_divide(half, d, out=half) for half in halves)
+        left *= np.uint64(b)
+        left += right
+        return left.view(np.int64)
 
     def __call__(self, place: np.ndarray) -> np.ndarray:
         """Places by draws."""
@@ -421,7 +425,7 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
 
     def together(batches):
         sums, held = Sums(), None
-        step = max(1, CACHED // draws)
+        step = max(1, CACHED // 2 // draws)
 
         def deal(who, periods, values):
             whence = dealt_whence(len(values), np.int64(who).view(np.uint64), np.arange(draws), block)
@@ -462,7 +466,7 @@ def shuffled_sums(df: DataFrame, person: str, period: str, columns: list[Column]
         if sums.totals:
             yield emitted(sums.totals, sums.counts)
 
-    dealt = usual.repartition("name").sortWithinPartitions("name", "period", "x").mapInArrow(together, f"period {kind}, n long, s binary")
+    dealt = dealt_out(usual, "name").sortWithinPartitions("name", "period", "x").mapInArrow(together, f"period {kind}, n long, s binary")
 
     def apart(batches):
         sums = Sums()

@@ -110,6 +110,12 @@ def test_shuffles_are_the_plain_ones(spark, people):
     assert made.to_numpy() == pytest.approx(want)
 
 
+def test_dealing_keeps_its_number_of_tasks(people):
+    """Rows of a thousand draws each are few bytes and much work: their tasks are not put together by size."""
+    plan = N.shuffled_sums(people[1], "u", "d", [F.col("v")], 30)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
 def test_a_rhythm_is_no_day_effect_within_weekdays(spark):
     """A weekly rhythm is found by the plain shuffle and not by the one that keeps weekdays."""
     rng = np.random.default_rng(6)
