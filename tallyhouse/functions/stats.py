@@ -25,6 +25,12 @@ def nightmare_index(fear="fear", danger="danger", sadness="sadness", joy="joy")
     return row_mean(fear, danger, sadness) - F.col(joy)
 
 
+def corr(x: str, y: str) -> Column:
+    """Aggregate: Pearson's correlation of two columns without NULLs; NaN where a side is constant, at which F.corr divides by zero."""
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.when(spread == 0, F.lit(float("nan"))).otherwise(F.covar_pop(x, y) / spread)
+
+
 def spearman_brown(r: Column) -> Column:
     return F.when(r > -1, 2 * r / (1 + r))
 

@@ -24,7 +24,7 @@ from .events import per_series
 from .panel import R
 from .registry import query
 from .text import ORDER, SENT, TRAJ, sentences, trajectories
-from .vectors import FEATURES, features
+from .vectors import correlated
 
 
 @query()
@@ -122,7 +122,7 @@ def slope_against_marker(spark, sf):
 @query()
 def theme_networks(spark, sf):
     """Edges of fixed density by language with communities and modularity."""
-    e = W.top_edges(G.correlations(features(spark, sf), FEATURES, ["lang"]), "rho", 0.5, ["lang"]).withColumn("weight", F.abs("rho"))
+    e = W.top_edges(correlated(spark, sf, "lang"), "rho", 0.5, ["lang"]).withColumn("weight", F.abs("rho"))
     return G.communities(e.select("lang", "a", "b", "weight"), ["lang"])
 
 

@@ -210,7 +210,9 @@ def cluster_labels(spark, sf):
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    f = features(spark, sf).select("doc_id", "lang", "vowels", array_to_vector(F.array(*(F.col(c) / (1 + F.abs(F.col(c))) for c in FEATURES))).alias("features"))
+    # a text without characters, or none at all, counts as zeros
+    known = features(spark, sf).withColumns({c: F.coalesce(F.nanvl(c, F.lit(0.0)), F.lit(0.0)) for c in FEATURES})
+    f = known.select("doc_id", "lang", "vowels", array_to_vector(F.array(*(F.col(c) / (1 + F.abs(F.col(c))) for c in FEATURES))).alias("features"))
     g = KMeans(k=4, seed=0, maxIter=15).fit(f).transform(f)
     return g.groupBy("prediction").agg(F.count("*").alias("n"), F.avg((F.col("lang") == "en").cast("int")).alias("en_share"), F.avg("vowels").alias("vowels"))
 
