@@ -94,17 +94,17 @@ def gram_counts(texts, sizes=(3, 4, 5), features: int = 40_000):
     out = []
     for text in texts:
         x = np.frombuffer(f" {' '.join((text or '').lower().split())} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
-        spaces = np.r_[0, np.cumsum(x == 32)]
+        spaces = np.cumsum(x == 32)
         grams = []
         for n in sizes:
-            if len(x) < n:
+            size = len(x) - n + 1
+            if size < 1:
                 continue
-            at = np.arange(len(x) - n + 1)
-            at = at[spaces[at + n - 1] == spaces[at + 1]]  # no space but at the ends
-            h = np.full(len(at), n, np.uint64)
+            h, shifted = np.full(size, n, np.uint64), np.empty(size, np.uint64)
             for k in range(n):
-                h = (h ^ x[at + k]) * np.uint64(_MIX[k])
-                h ^= h >> np.uint64(29)
-            grams.append(h % np.uint64(features))
+                h ^= x[k : k + size]
+                h *= np.uint64(_MIX[k])
+                h ^= np.right_shift(h, np.uint64(29), out=shifted)
+            grams.append(h[spaces[n - 2 : n - 2 + size] == spaces[:size]] % np.uint64(features))  # no space but at the ends
         out.append(np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
     return out

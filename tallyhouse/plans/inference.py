@@ -139,15 +139,15 @@ def char_ngram_spectrum(spark, sf):
     n, seen = train.count(), V.texts_with(train, GRAM_FEATURES)
     idf = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1, 0.0)
     _, basis = V.leading_directions_of_rows(train, idf, GRAM_DIRECTIONS)
-    basis = np.ascontiguousarray(basis.astype(np.float32))
+    basis = np.ascontiguousarray(basis.astype(np.float32).T)
 
     def held(batches):
         import pyarrow as pa
 
         for part, code, f, w in V.weighed_grams(batches, idf):
-            p = np.stack([np.bincount(code, w * basis[f, j], len(part)) for j in range(basis.shape[1])], 1)
+            p = V.products(basis, code, f, w, len(part))
             known = pa.array(np.bincount(code, w * w, len(part)) > 0)
-            yield pa.RecordBatch.from_arrays([part.column("source").filter(known), pa.array((p * p).sum(1)).filter(known)], names=["source", "held"])
+            yield pa.RecordBatch.from_arrays([part.column("source").filter(known), pa.array((p * p).sum(0)).filter(known)], names=["source", "held"])
 
     each = grams.where("fold = 0").select("source", "gaps", "counts").mapInArrow(held, "source string, held double")
     return each.groupBy("source").agg(F.count("*").alias("n"), F.avg("held").alias("held"))

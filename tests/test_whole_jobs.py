@@ -127,6 +127,36 @@ def test_grams_are_a_row_a_text_and_are_not_moved(spark):
     assert basis.T @ basis == pytest.approx(np.eye(2), abs=1e-9)
 
 
+@pytest.mark.parametrize("often", [0.0, 1.3, 9.0])
+def test_frequent_and_rare_grams_are_multiplied_alike(spark, monkeypatch, often):
+    from tallyhouse.operators import vectors as V
+
+    # none, some or all features go the dense way; texts have some of either kind or one kind alone
+    monkeypatch.setattr(V, "OFTEN", often)
+    rng = np.random.default_rng(2)
+    m = np.where(rng.random((150, 40)) < 0.3, rng.integers(1, 5, (150, 40)), 0)
+    m[:20, 20:], m[20:40, :20], m[:, 7] = 0, 0, 0
+    m = m[m.any(1)]
+    rows = [(np.diff(np.flatnonzero(r), prepend=0).tolist(), r[r > 0].tolist()) for r in m]
+    held = spark.createDataFrame(rows, "gaps array<int>, counts array<int>")
+    idf = np.where(np.arange(40) == 7, 0, np.where(np.arange(40) < 20, 1.1, 2.0))
+    w = m * idf
+    w = w / np.linalg.norm(w, axis=1, keepdims=True)
+    entries = spark.createDataFrame([(int(k), int(f), float(w[k, f])) for k, f in zip(*np.nonzero(w))], "r int, f int, w double")
+    (values, basis), (want, directions) = V.leading_directions_of_rows(held, idf, 3), V.leading_directions(entries, "r", "f", "w", 40, 3)
+    assert values == pytest.approx(want) and basis == pytest.approx(directions)
+
+
+def test_gram_products_equal_dense_ones():
+    from tallyhouse.operators import vectors as V
+
+    m = np.array([[0, 2.0, 0, 1], [0, 0, 0, 0], [3, 0, 0, 0.5]])
+    code, f = np.nonzero(m)
+    basis = np.arange(8.0).reshape(2, 4)
+    assert V.products(basis, code, f, m[code, f], 3).tolist() == (m @ basis.T).T.tolist()
+    assert V.products(basis, code[:0], f[:0], m[code, f][:0], 3).tolist() == np.zeros((2, 3)).tolist()
+
+
 def test_gram_spectrum_writes_less_than_a_row_a_gram(spark, monkeypatch):
     from tallyhouse.sources import shared
 
