@@ -186,9 +186,10 @@ def within_shift_null(df: DataFrame, person: str, value: str, order: str, seed:
 GRAM_TEXTS = 64
 
 
-def gram_rows(df: DataFrame, keep: list[str], text: str, features: int = 40_000) -> DataFrame:
+def gram_rows(df: DataFrame, keep: list[str], text: str, features: int = 40_000, packed: bool = False) -> DataFrame:
     """keep, gaps, counts: character 3- to 5-grams of whole texts as counts of hashed features, a row a text; gaps are the features in
-    ascending order, each less the one before it (small numbers, which files hold in about a byte)."""
+    ascending order, each less the one before it (small numbers, which files hold in about a byte). Packed: keep, grams, both as one
+    compressed value (empty for a text without grams), which passes between Spark and Python as it is, not number by number."""
     from pyspark.sql import types as T
 
     from ..functions.text import gram_counts
@@ -203,12 +204,39 @@ def gram_rows(df: DataFrame, keep: list[str], text: str, features: int = 40_000)
                 part = batch.slice(lo, GRAM_TEXTS)
                 found = gram_counts(part.column(len(keep)).to_pylist(), features=features)
                 ends = np.cumsum([0, *(len(f) for f, _ in found)]).astype(np.int32)
-                gaps = np.concatenate([np.diff(f.astype(np.int32), prepend=np.int32(0)) for f, _ in found])
+                each = [np.diff(f.astype(np.int32), prepend=np.int32(0)) for f, _ in found]
+                if packed:
+                    blobs = pa.array([_pack(np.r_[g, c]) for g, (_, c) in zip(each, found, strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), blobs], names=[*keep, "grams"])
+                    continue
+                gaps = np.concatenate(each)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.int32))) for v in (gaps, np.concatenate([c for _, c in found]))]
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(len(keep))), *lists], names=[*keep, "gaps", "counts"])
 
     ints = T.ArrayType(T.IntegerType())
-    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), T.StructField("gaps", ints), T.StructField("counts", ints)]))
+    made = [T.StructField("grams", T.BinaryType())] if packed else [T.StructField("gaps", ints), T.StructField("counts", ints)]
+    return read.mapInArrow(run, T.StructType([*(read.schema[c] for c in keep), *made]))
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers as their first, second, third and fourth bytes, compressed, after the length of these; nothing for none."""
+    import pyarrow as pa
+
+    raw = values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else b""
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    if not blob:
+        return np.zeros(0, np.int32)
+    raw = pa.decompress(blob[4:], int.from_bytes(blob[:4], "little"), codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _held(grams: DataFrame) -> DataFrame:
+    return grams.select(*(c for c in ("gaps", "counts", "grams") if c in grams.columns))
 
 
 def _grams(batches):
@@ -216,11 +244,17 @@ def _grams(batches):
     for batch in batches:
         for lo in range(0, len(batch), GRAM_TEXTS):
             part = batch.slice(lo, GRAM_TEXTS)
-            gaps, counts = part.column("gaps"), part.column("counts")
-            size = np.diff(np.asarray(gaps.offsets))
+            if "grams" in part.schema.names:
+                each = [np.split(v, 2) for v in map(_unpack, part.column("grams").to_pylist())]
+                size = np.array([len(g) for g, _ in each])
+                gaps, counts = (np.concatenate([v[k] for v in each]) for k in range(2))
+            else:
+                lists = part.column("gaps"), part.column("counts")
+                size = np.diff(np.asarray(lists[0].offsets))
+                gaps, counts = (np.asarray(v.flatten()) for v in lists)
             code = np.repeat(np.arange(len(part)), size)
-            run = np.r_[0, np.cumsum(np.asarray(gaps.flatten()), dtype=np.int64)]
-            yield part, code, run[1:] - run[np.cumsum(size) - size][code], np.asarray(counts.flatten()).astype(float)
+            run = np.r_[0, np.cumsum(gaps, dtype=np.int64)]
+            yield part, code, run[1:] - run[np.cumsum(size) - size][code], counts.astype(float)
 
 
 def weighed_grams(batches, idf: np.ndarray):
@@ -244,7 +278,7 @@ def texts_with(grams: DataFrame, features: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["feature", "n"])
 
     seen = np.zeros(features, np.int64)
-    for r in grams.select("gaps", "counts").mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
+    for r in _held(grams).mapInArrow(run, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect():
         seen[r.feature] = r.n
     return seen
 
@@ -277,7 +311,7 @@ def leading_directions_of_rows(grams: DataFrame, idf: np.ndarray, k: int, rounds
     moved or sorted. At most as many tasks as cores give their sums (len(idf) by k + spare numbers each), whatever the number of files.
 
     Features with an idf under OFTEN are multiplied as a dense matrix of some texts at a time, rarer ones as a sparse one."""
-    held = grams.select("gaps", "counts").coalesce(grams.sparkSession.sparkContext.defaultParallelism)
+    held = _held(grams).coalesce(grams.sparkSession.sparkContext.defaultParallelism)
     order = np.argsort(np.where(idf > 0, idf, np.inf), kind="stable")
     place, often = np.argsort(order), int(((idf > 0) & (idf < OFTEN)).sum())
 

@@ -134,7 +134,7 @@ def char_ngram_spectrum(spark, sf):
     from ..sources.shared import saved
 
     d = read(spark, sf, "documents").where("doc_id IS NOT NULL").select("doc_id", "source", fold("doc_id", 5).alias("fold"), "text")
-    grams = saved(V.gram_rows(d, ["source", "fold"], "text", GRAM_FEATURES), "grams").where("size(gaps) > 0")
+    grams = saved(V.gram_rows(d, ["source", "fold"], "text", GRAM_FEATURES, packed=True), "grams").where("length(grams) > 0")
     train = grams.where("fold <> 0")
     n, seen = train.count(), V.texts_with(train, GRAM_FEATURES)
     idf = np.where(seen > 0, np.log((1 + n) / (1 + seen)) + 1, 0.0)
@@ -149,7 +149,7 @@ def char_ngram_spectrum(spark, sf):
             known = pa.array(np.bincount(code, w * w, len(part)) > 0)
             yield pa.RecordBatch.from_arrays([part.column("source").filter(known), pa.array((p * p).sum(0)).filter(known)], names=["source", "held"])
 
-    each = grams.where("fold = 0").select("source", "gaps", "counts").mapInArrow(held, "source string, held double")
+    each = grams.where("fold = 0").select("source", "grams").mapInArrow(held, "source string, held double")
     return each.groupBy("source").agg(F.count("*").alias("n"), F.avg("held").alias("held"))
 
 

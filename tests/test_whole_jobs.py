@@ -147,6 +147,21 @@ def test_frequent_and_rare_grams_are_multiplied_alike(spark, monkeypatch, often)
     assert values == pytest.approx(want) and basis == pytest.approx(directions)
 
 
+def test_packed_grams_are_the_same(spark):
+    from tallyhouse.operators import vectors as V
+
+    texts = [(0, "the cat sat on the mat"), (1, None), (2, "a" * 90_000), (3, ""), (4, "ÀÉ x " * 300)]
+    df = spark.createDataFrame(texts, "id int, text string")
+    plain, packed = (V.gram_rows(df, ["id"], "text", 500, packed=p) for p in (False, True))
+    want = {r.id: [*r.gaps, *r.counts] for r in plain.collect()}
+    assert {r.id: V._unpack(bytes(r.grams)).tolist() for r in packed.collect()} == want and max(want[2]) > 65_536
+    plain, packed = plain.where("size(gaps) > 0"), packed.where("length(grams) > 0")
+    assert V.texts_with(packed, 500).tolist() == V.texts_with(plain, 500).tolist()
+    for a, b in zip(V.leading_directions_of_rows(packed, np.ones(500), 2), V.leading_directions_of_rows(plain, np.ones(500), 2), strict=True):
+        assert np.abs(a) == pytest.approx(np.abs(b))
+    assert dict(packed.dtypes)["grams"] == "binary" and "gaps" not in V._held(packed).columns
+
+
 def test_gram_products_equal_dense_ones():
     from tallyhouse.operators import vectors as V
 
